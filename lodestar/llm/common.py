@@ -74,3 +74,13 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[
 def md5_bits(*columns: str | object) -> object:
     """The first 60 bits of the MD5 of the joined columns, as a bigint; DuckDB can compute the same."""
     return F.conv(F.substring(F.md5(F.concat(*columns)), 1, 15), 16, 10).cast("bigint")
+
+
+def doc_key(doc_id: object, text: object) -> object:
+    """64 bits that stand for a document: rows with the same id and text share them."""
+    return F.xxhash64(doc_id, text)
+
+
+def word_count(text: object) -> object:
+    """Number of words; a null text has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")

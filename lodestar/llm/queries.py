@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import bpe, url_filter
+from lodestar.llm import bpe, mixing, quality_rules, url_filter
 from lodestar.llm.common import table
 
 #: Rules of the url filter's contract.
@@ -20,6 +20,99 @@ URL_RULES = [
 ORACLE_SQL: dict[str, str] = {}
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; cutoffs are certified for each language."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    judged = quality_rules.apply_quality_rules(docs, table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rule")
+
+
+def _op1_oracle() -> str:
+    rules = quality_rules.RULES
+    trials = ", ".join(f"('{r}', {i}, {c})" for r, (_, _, cutoffs) in rules.items() for i, c in enumerate(cutoffs))
+    ratio = "CASE rule " + " ".join(f"WHEN '{r}' THEN 1000 * {a} > cutoff * {b}" for r, (a, b, _) in rules.items()) + " END"
+    order = "CASE rule " + " ".join(f"WHEN '{r}' THEN {i}" for i, r in enumerate(rules)) + " END"
+    return rf"""
+WITH cut AS (
+  SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS words FROM documents),
+numbered AS (SELECT row_number() OVER () AS r, * FROM cut),
+windows AS (
+  SELECT r, unnest(range(1, len(words) - 1)) AS i, unnest(list_transform(range(1, len(words) - 1), lambda i: [words[i], words[i + 1], words[i + 2]])) AS w
+  FROM numbered WHERE len(words) > 2),
+repeated AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w) AS c FROM windows) WHERE c > 1),
+covered AS (SELECT r, count(DISTINCT i + d) AS n FROM repeated, (VALUES (0), (1), (2)) AS t(d) GROUP BY r),
+lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM numbered),
+dups AS (
+  SELECT r, sum(c - 1) AS n FROM (SELECT r, line, count(*) AS c FROM lines WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY r, line) GROUP BY r),
+counts AS (
+  SELECT doc_id, lang, len(words)::BIGINT AS n_words, length(list_aggregate(words || [''], 'string_agg', ''))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dups.n, 0)::BIGINT AS n_dup_lines,
+    coalesce(covered.n, 0)::BIGINT AS n_repeat_words, length(regexp_replace(text, '[^A-Z]', '', 'g'))::BIGINT AS n_capitals
+  FROM numbered LEFT JOIN dups USING (r) LEFT JOIN covered USING (r)),
+based AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
+good AS (SELECT b.* FROM based b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+trials AS (SELECT * FROM (VALUES {trials}) AS t(rule, i, cutoff)),
+tested AS (
+  SELECT lang, rule, i, cutoff, count(*) AS n, count(*) FILTER (WHERE {ratio}) AS k FROM good, trials GROUP BY ALL),
+pairs AS (SELECT count(DISTINCT coalesce(lang, chr(0))) * {len(rules)} AS m FROM good),
+tails AS (
+  SELECT lang, rule, i, cutoff,
+    CASE WHEN k >= n * {quality_rules.RISK} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j:
+      exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({quality_rules.RISK}) + (n - j) * ln(1 - {quality_rules.RISK})))) END
+      <= {quality_rules.LEVEL} / m AS passes
+  FROM tested, pairs),
+certified AS (
+  SELECT lang, rule, max_by(cutoff, i) AS cutoff
+  FROM (SELECT *, bool_and(passes) OVER (PARTITION BY lang, rule ORDER BY i) AS all_pass FROM tails) WHERE all_pass GROUP BY lang, rule),
+numbered_counts AS (SELECT row_number() OVER () AS r, * FROM based),
+failed AS (
+  SELECT r, min_by(rule, {order}) AS failed_rule
+  FROM numbered_counts b JOIN certified c ON b.lang IS NOT DISTINCT FROM c.lang WHERE {ratio} GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rule IS NULL AS kept, failed_rule
+FROM numbered_counts LEFT JOIN failed USING (r)
+"""
+
+
+ORACLE_SQL["op1_quality_rules"] = _op1_oracle()
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, and the target of its source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE_SQL["op2_mixing"] = rf"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    ('0x' || substr(md5('{mixing.SEED}' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+  FROM documents),
+per AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS source_rank FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, [5, 2, 1][((source_rank - 1) % 3 + 1)::INT] AS weight, sum(source_size) OVER () AS total FROM per),
+levels AS (
+  SELECT *, 2 * source_size / weight AS at_full,
+    (total * 1.5::DOUBLE - coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / weight, source_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY 2 * source_size / weight, source_rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed),
+aims AS (
+  SELECT *, CASE WHEN total = 0 THEN 0.0::DOUBLE ELSE coalesce(least((2 * source_size)::DOUBLE,
+    weight * (SELECT min_by(level, at_full) FROM levels WHERE level < at_full)), (2 * source_size)::DOUBLE) END AS target
+  FROM levels),
+placed AS (
+  SELECT row_number() OVER () AS r, s.*, a.source_rank, a.weight, a.source_size, a.total, a.target,
+    sum(s.size) OVER (PARTITION BY a.source_rank ORDER BY h, doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source),
+queue AS (SELECT r, size, total, source_rank, h, doc_id, copy, (upto + source_size * copy) / weight AS time FROM placed, (VALUES (0), (1)) AS c(copy)),
+queued AS (SELECT r, total, sum(size) OVER (ORDER BY time, source_rank, h, doc_id, size, copy ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS words FROM queue),
+copies AS (SELECT r, count(*) AS n FROM queued WHERE words * 2 <= total * 3 GROUP BY r)
+SELECT doc_id, size, source_size, target, (size * coalesce(n, 0))::BIGINT AS taken FROM placed LEFT JOIN copies USING (r)
+"""
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every whole document, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -52,4 +145,4 @@ SELECT cut.page_id, cut.host, cut.path, found.rule, coalesce(found.verdict, 'all
 FROM cut LEFT JOIN found USING (page_id)
 """
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op7_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_bpe, op7_url_filter)}
