@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, mixing, quality_rules, sharding, url_filter
+from lodestar.llm import bpe, mixing, quality_rules, sharding, simhash, url_filter
 from lodestar.llm.common import table
 
 #: Rules of the url filter's contract.
@@ -146,10 +146,16 @@ SELECT cut.page_id, cut.host, cut.path, found.rule, coalesce(found.verdict, 'all
 FROM cut LEFT JOIN found USING (page_id)
 """
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of near-duplicates of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document; sizes of the 16 shards are near equal."""
     packed = sharding.pack_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), 16)
     return packed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_bpe, op7_url_filter, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_bpe, op7_url_filter, op8_simhash, op10_sharding)}
