@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, mixing, quality_rules, sharding, simhash, url_filter
+from lodestar.llm import bpe, mixing, quality_rules, sharding, simhash, substring_dedup, url_filter
 from lodestar.llm.common import table
 
 #: Rules of the url filter's contract.
@@ -121,6 +121,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that it repeats, and where they stood."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.dedup_substrings(docs).select("doc_id", "removed_words", "spans", "text")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict and rule for the url of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -158,4 +164,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_bpe, op7_url_filter, op8_simhash, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_bpe, op4_substring_dedup, op7_url_filter, op8_simhash, op10_sharding)}
