@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, mixing, quality_rules, sharding, simhash, substring_dedup, url_filter
+from lodestar.llm import bpe, mixing, quality_rules, sharding, simhash, substring_dedup, unigram, url_filter
 from lodestar.llm.common import table
 
 #: Rules of the url filter's contract.
@@ -158,10 +158,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pre-tokens, tokens and log probability of every whole document under a unigram model."""
+    scores = unigram.rank_scores(unigram.read_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+    return unigram.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), scores)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document; sizes of the 16 shards are near equal."""
     packed = sharding.pack_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), 16)
     return packed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_bpe, op4_substring_dedup, op7_url_filter, op8_simhash, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_bpe, op4_substring_dedup, op7_url_filter, op8_simhash, op9_token_counts, op10_sharding)}
