@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, mixing, quality_rules, sharding, simhash, substring_dedup, unigram, url_filter
+from lodestar.llm import bpe, classifier, mixing, multi_index, quality_rules, sharding, simhash, substring_dedup, unigram, url_filter
 from lodestar.llm.common import table
 
 #: Rules of the url filter's contract.
@@ -127,6 +127,18 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(docs).select("doc_id", "removed_words", "spans", "text")
 
 
+def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector, among all others."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return multi_index.search(vectors, F.col("vec_id") % 20 == 0)
+
+
+def op6_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classifier.score_quality(docs, table(spark, sf_dir, "labels"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict and rule for the url of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -170,4 +182,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_bpe, op4_substring_dedup, op7_url_filter, op8_simhash, op9_token_counts, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_bpe, op4_substring_dedup, op5_multi_index, op6_classifier, op7_url_filter, op8_simhash, op9_token_counts, op10_sharding)}
