@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestar.plans.dialect import Node
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
@@ -26,15 +28,9 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-def sql_query(name: str, sql: str, oracle: str | None = None, views: tuple[str, ...] = ()) -> None:
-    """Register a query whose text both engines understand (``oracle`` where DuckDB differs)."""
-    from lodestar.sources.tables import register_views
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register_views(spark, sf_dir, views)
-        return spark.sql(sql)
-
-    query(name, sql if oracle is None else oracle)(run)
+def declare(name: str, node: Node, oracle: bool = True) -> None:
+    """Register an operator tree: Spark runs it, and DuckDB the same tree in its own dialect."""
+    query(name, node.duck() if oracle else None)(lambda spark, sf_dir: node.spark(spark, sf_dir))
 
 
 def _load() -> None:
