@@ -1,0 +1,273 @@
+"""Raw pages, robots.txt, llms.txt and JSON-LD: SQL rules, and one parse function for whole documents."""
+
+from __future__ import annotations
+
+import json
+from html.parser import HTMLParser
+from urllib.parse import urljoin, urlsplit
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestar.plans.dialect import Duck, operator, text, values
+from lodestar.sources.shipping import ship
+
+# Crawlers whose access is reported, and the first and second tier of the access score.
+CRAWLERS = ["GPTBot", "OAI-SearchBot", "ChatGPT-User", "ClaudeBot", "anthropic-ai", "PerplexityBot", "CCBot", "Bytespider", "cohere-ai", "Google-Extended", "GoogleOther", "Applebot-Extended", "FacebookBot", "Amazonbot"]
+TIER_1 = ["GPTBot", "OAI-SearchBot", "ChatGPT-User", "ClaudeBot", "PerplexityBot"]
+TIER_2 = ["Google-Extended", "GoogleOther", "Applebot-Extended", "Amazonbot", "FacebookBot"]
+# Placeholder texts, retired and restricted types of structured data.
+PLACEHOLDERS = ["[Business Name]", "[City]", "[State]", "[Phone]", "[Address]", "[Your", "[INSERT", "REPLACE", "[URL]", "[Email]"]
+RETIRED = ["HowTo", "SpecialAnnouncement", "CourseInfo", "EstimatedSalary", "LearningVideo", "ClaimReview", "VehicleListing"]
+RESTRICTED = ["FAQPage"]
+
+
+@operator
+def html_lint(d: Duck) -> str:
+    """H4. Seven checks of the source of ``pages`` (id, html)."""
+    images = d.count("html", "<img[^>]*>")
+    with_alt = d.count("html", "<img[^>]*alt=[^>]*>")
+    return f"""
+SELECT id, NOT {d.like('html', '(?i)<!doctype html>')} AS no_doctype, NOT {d.like('html', '(?i)charset.*utf-8')} AS no_charset, NOT {d.like('html', '(?i)name="viewport"')} AS no_viewport,
+  NOT {d.like('html', '(?i)<html.*lang=')} AS no_lang, {images} > {with_alt} AS image_without_alt, NOT {d.like('html', '(?i)<title>')} AS no_title, {d.like('html', 'http://')} AS insecure_url FROM @pages@"""
+
+
+@operator
+def page_links(d: Duck) -> str:
+    """T9. Links of ``pages`` (id, html): href and anchor text without tags."""
+    href, anchor = d.extract("link", '(?is)href="([^"]*)"'), d.sub(d.extract("link", "(?is)<a[^>]*>(.*?)</a>"), "<[^>]*>", "")
+    return f"""
+SELECT id, {href} AS href, trim({anchor}) AS anchor FROM (SELECT id, {d.explode(d.extract_all('html', '(?is)<a [^>]*href="[^"]*"[^>]*>.*?</a>'))} AS link FROM @pages@) AS l"""
+
+
+@operator
+def robots_status(d: Duck) -> str:
+    """H5. Access of each crawler by the robots.txt of ``robots`` (url, content): rules belong to the last user-agent line before them."""
+    agents = values([(c,) for c in CRAWLERS], "crawler")
+    value = f"trim({d.extract('line', '^[^:]*:(.*)$')})"
+    return f"""
+WITH lines AS (SELECT url, n, trim(line) AS line FROM (SELECT url, n, {d.at('parts', 'n')} AS line FROM (
+  SELECT url, parts, {d.explode(d.sequence('1', d.size('parts')))} AS n FROM (SELECT url, {d.split('content', chr(10)) if d.name == 'duckdb' else "split(content, '\\n', -1)"} AS parts FROM @robots@) AS p) AS q) AS r),
+parsed AS (SELECT url, n, CASE WHEN lower(line) LIKE 'user-agent:%' THEN 'agent' WHEN lower(line) LIKE 'disallow:%' THEN 'disallow' WHEN lower(line) LIKE 'allow:%' THEN 'allow' END AS kind, {value} AS value FROM lines),
+owned AS (SELECT url, kind, value, max(CASE WHEN kind = 'agent' THEN n END) OVER (PARTITION BY url ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS owner FROM parsed WHERE kind IS NOT NULL),
+rules AS (SELECT o.url, a.value AS agent, max(CASE WHEN o.kind = 'disallow' AND o.value = '/' THEN 1 ELSE 0 END) AS whole, max(CASE WHEN o.kind = 'disallow' AND o.value <> '' THEN 1 ELSE 0 END) AS some
+  FROM owned o JOIN parsed a ON o.url = a.url AND o.owner = a.n GROUP BY o.url, a.value)
+SELECT s.url, c.crawler, CASE WHEN r.whole = 1 THEN 'BLOCKED' WHEN r.some = 1 THEN 'PARTIALLY_BLOCKED' WHEN r.url IS NOT NULL THEN 'ALLOWED' WHEN w.whole = 1 THEN 'BLOCKED_BY_WILDCARD' WHEN w.url IS NOT NULL THEN 'ALLOWED_BY_DEFAULT' ELSE 'NOT_MENTIONED' END AS status
+FROM (SELECT DISTINCT url FROM @robots@) AS s CROSS JOIN {agents} AS c LEFT JOIN rules r ON s.url = r.url AND c.crawler = r.agent LEFT JOIN rules w ON s.url = w.url AND w.agent = '*'"""
+
+
+@operator
+def crawler_access(d: Duck) -> str:
+    """H13. Access score of each url by ``status`` (url, crawler, status) and ``files`` (url, llmstxt, sitemap)."""
+    allowed = "(status LIKE 'ALLOWED%' OR status = 'NOT_MENTIONED' OR status = 'PARTIALLY_BLOCKED')"
+    tier = lambda t: "(" + ", ".join(text(c) for c in t) + ")"
+    return f"""
+SELECT s.url, least(100e0, s.first * 10e0 + s.second * 5e0 + CASE WHEN s.blanket = 0 THEN 15e0 ELSE 0e0 END + CASE WHEN f.llmstxt THEN 5e0 ELSE 0e0 END + CASE WHEN f.sitemap THEN 5e0 ELSE 0e0 END) AS score
+FROM (SELECT url, count_if({allowed} AND crawler IN {tier(TIER_1)}) AS first, count_if({allowed} AND crawler IN {tier(TIER_2)}) AS second, count_if(status = 'BLOCKED_BY_WILDCARD') AS blanket FROM @status@ GROUP BY url) AS s
+JOIN @files@ f ON s.url = f.url"""
+
+
+@operator
+def llmstxt_checks(d: Duck) -> str:
+    """H6. Format of each llms.txt of ``files`` (url, content)."""
+    return f"""
+SELECT url, has_title, has_description, sections, links, has_title AND has_description AND sections > 0 AND links > 0 AS valid FROM (
+  SELECT url, {d.like('trim(content)', '^# ')} AS has_title, {d.like('content', '(?m)^> ')} AS has_description, CAST({d.count('content', '(?m)^## ')} AS BIGINT) AS sections,
+    CAST({d.count('content', r'- \[.+\]\(.+\)')} AS BIGINT) AS links FROM @files@) AS f"""
+
+
+@operator
+def llmstxt_links(d: Duck, most: int = 30) -> str:
+    """H7. Links of ``links`` (site, href, anchor) worth listing, by kind: first of equal hrefs, no assets, ``most`` for each kind."""
+    h = "lower(href)"
+    return f"""
+SELECT site, kind, href, anchor FROM (SELECT *, row_number() OVER (PARTITION BY site, kind ORDER BY href) AS n FROM (
+  SELECT site, href, min(anchor) AS anchor, CASE WHEN {d.like(h, '/(product|feature|pricing|solution|demo)')} THEN 'products' WHEN {d.like(h, '/(blog|article|guide|resource|learn|doc|help|faq)')} THEN 'resources'
+    WHEN {d.like(h, '/(about|team|career|press)')} THEN 'company' WHEN {d.like(h, '/(contact|support)')} THEN 'support' ELSE 'pages' END AS kind
+  FROM @links@ WHERE length(anchor) >= 2 AND NOT {d.like(h, r'[.](jpg|jpeg|png|gif|svg|css|js|pdf|zip|ico)$')} AND {d.like(h, '^/')} GROUP BY site, href) AS l) AS r WHERE n <= {most}"""
+
+
+@operator
+def llmstxt_text(d: Duck) -> str:
+    """H8. Sections of an llms.txt from ``links`` (site, kind, href, anchor), ten links each."""
+    line = "'- [' || anchor || '](' || href || ')'"
+    return f"""
+SELECT site, kind, '## ' || kind || ': ' || {d.agg_join(line, '; ', 'href')} AS section FROM (
+  SELECT *, row_number() OVER (PARTITION BY site, kind ORDER BY href) AS n FROM @links@) AS r WHERE n <= 10 GROUP BY site, kind"""
+
+
+@operator
+def jsonld_checks(d: Duck) -> str:
+    """H9, H10. Faults of the JSON-LD blocks of ``pages`` (id, html) by text rules, and whether one is critical.
+
+    Reads the first @context and @type of each block; nested lists are left to ``parse_pages``.
+    """
+    block = d.extract_all("html", r"(?is)<script\s+type=[\x22\x27]application/ld\+json[\x22\x27]\s*>(.*?)</script>", 1)
+    kind = d.extract("b", r'"@type"\s*:\s*"([^"]*)"')
+    context = d.extract("b", r'"@context"\s*:\s*"([^"]*)"')
+    placeholder = " OR ".join(f"{d.instr('lower(b)', text(p.lower()))} > 0" for p in PLACEHOLDERS)
+    inlist = lambda xs: "(" + ", ".join(text(x) for x in xs) + ")"
+    return f"""
+SELECT id, CAST(count(*) AS BIGINT) AS blocks, CAST(count_if(context = '') AS BIGINT) AS no_context, CAST(count_if(context NOT IN ('', 'https://schema.org', 'http://schema.org')) AS BIGINT) AS wrong_context,
+  CAST(count_if(kind = '') AS BIGINT) AS no_type, CAST(count_if(placeholder) AS BIGINT) AS placeholders, CAST(count_if(kind IN {inlist(RETIRED)}) AS BIGINT) AS retired, CAST(count_if(kind IN {inlist(RESTRICTED)}) AS BIGINT) AS restricted,
+  count_if(placeholder OR kind IN {inlist(RETIRED)}) > 0 AS critical
+FROM (SELECT id, {kind} AS kind, {context} AS context, ({placeholder}) AS placeholder FROM (SELECT id, {d.explode(block)} AS b FROM @pages@) AS x) AS y GROUP BY id"""
+
+
+@operator
+def staged_checks(d: Duck) -> str:
+    """H11. Checks before a page of ``pages`` (id, html) is committed: placeholder, title and description length, alt, retired types, old metric."""
+    title, meta = d.extract("html", "(?is)<title>(.*?)</title>"), d.extract("html", '(?is)<meta name="description" content="([^"]*)"')
+    images, with_alt = d.count("html", "<img[^>]*>"), d.count("html", "<img[^>]*alt=[^>]*>")
+    return f"""
+SELECT id, {d.like('html', r'(?i)\[(Business Name|City|State|Phone|Address|Your)')} AS placeholder, length({title}) BETWEEN 30 AND 60 AS title_ok, length({meta}) BETWEEN 120 AND 160 AS meta_ok,
+  {images} > {with_alt} AS image_without_alt, {d.like('html', '"@type"[ ]*:[ ]*"(HowTo|SpecialAnnouncement)"')} AS retired_type, {d.like('html', r'(?i)first input delay|\bFID\b')} AS old_metric FROM @pages@"""
+
+
+@operator
+def structured_data_score(d: Duck) -> str:
+    """H12. Points of ``sites`` (site, organisation, same_as, author, business_type, search_action, breadcrumb, jsonld, rendered, speakable, errors, knows_about, retired)."""
+    return """
+SELECT site, points, CASE WHEN points >= 85 THEN 'Excellent' WHEN points >= 70 THEN 'Good' WHEN points >= 55 THEN 'Moderate' WHEN points >= 40 THEN 'Below Average' ELSE 'Needs Attention' END AS rating FROM (
+  SELECT site, CASE organisation WHEN 2 THEN 15 WHEN 1 THEN 10 ELSE 0 END + least(15, 3 * same_as) + CASE author WHEN 2 THEN 10 WHEN 1 THEN 5 ELSE 0 END + CASE business_type WHEN 2 THEN 10 WHEN 1 THEN 5 ELSE 0 END
+    + CASE WHEN search_action THEN 5 ELSE 0 END + CASE WHEN breadcrumb THEN 5 ELSE 0 END + CASE jsonld WHEN 2 THEN 5 WHEN 1 THEN 3 ELSE 0 END + CASE rendered WHEN 2 THEN 10 WHEN 1 THEN 5 ELSE 0 END + CASE WHEN speakable THEN 5 ELSE 0 END
+    + CASE WHEN errors = 0 THEN 10 WHEN errors < 3 THEN 5 ELSE 0 END + CASE WHEN knows_about >= 3 THEN 5 ELSE 0 END + CASE WHEN retired = 0 THEN 5 ELSE 0 END AS points FROM @sites@) AS s"""
+
+
+# --- whole documents ---------------------------------------------------------------------
+
+PAGE_SCHEMA = (
+    "title string, meta_description string, meta_robots string, canonical string, lang string, word_count bigint, headings array<struct<level:int,text:string>>, images array<struct<src:string,alt:string>>, "
+    "internal_links array<struct<href:string,text:string>>, external_links array<struct<href:string,text:string>>, hreflang array<struct<lang:string,href:string>>, og map<string,string>, jsonld array<string>, "
+    "blocks array<struct<heading:string,text:string>>, text string"
+)
+_HIDDEN = {"script", "style", "nav", "footer", "header", "noscript", "template"}
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_BLOCKS = {"p", "ul", "ol", "table", "blockquote"}
+
+
+class _Page(HTMLParser):
+    def __init__(self, base: str):
+        super().__init__(convert_charrefs=True)
+        self.base = base
+        self.page: dict = {"title": "", "meta_description": "", "meta_robots": "", "canonical": "", "lang": "", "headings": [], "images": [], "internal_links": [], "external_links": [], "hreflang": [], "og": {}, "jsonld": [], "blocks": []}
+        self.open: list[str] = []
+        self.shown: list[str] = []
+        self.grabbed: list[str] | None = None
+        self.heading = ""
+        self.block: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        a = {k: v or "" for k, v in attrs}
+        p = self.page
+        if tag not in _VOID:
+            self.open.append(tag)
+        if tag == "html":
+            p["lang"] = a.get("lang", "")
+        elif tag == "meta":
+            name, content = a.get("name", "").lower(), a.get("content", "")
+            if name == "description":
+                p["meta_description"] = content
+            elif name == "robots":
+                p["meta_robots"] = content
+            elif a.get("property", "").startswith("og:"):
+                p["og"][a["property"]] = content
+        elif tag == "link":
+            rel = a.get("rel", "").lower()
+            if rel == "canonical":
+                p["canonical"] = a.get("href", "")
+            elif rel == "alternate" and a.get("hreflang"):
+                p["hreflang"].append({"lang": a["hreflang"], "href": a.get("href", "")})
+        elif tag == "img":
+            p["images"].append({"src": a.get("src", ""), "alt": a.get("alt", "")})
+        if tag in ("title", "a", "h1", "h2", "h3", "h4", "h5", "h6") or (tag == "script" and a.get("type") == "application/ld+json"):
+            self.grabbed = []
+            self.href = a.get("href")
+
+    def handle_data(self, data):
+        if self.grabbed is not None:
+            self.grabbed.append(data)
+        if not _HIDDEN & set(self.open) and "title" not in self.open:
+            self.shown.append(data)
+            if _BLOCKS & set(self.open):
+                self.block.append(data)
+
+    def handle_endtag(self, tag):
+        if tag not in self.open:
+            return
+        while self.open and self.open.pop() != tag:
+            pass
+        got = " ".join("".join(self.grabbed or []).split())
+        p = self.page
+        if tag == "title" and not p["title"]:
+            p["title"] = got
+        elif tag == "script" and self.grabbed is not None:
+            p["jsonld"].append("".join(self.grabbed).strip())
+        elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            p["headings"].append({"level": int(tag[1]), "text": got})
+            self.flush()
+            self.heading = got
+        elif tag == "a" and self.grabbed is not None:
+            href = self.href or ""
+            if href and not href.startswith(("#", "javascript:")):
+                full = urljoin(self.base, href) if self.base else href
+                inside = not urlsplit(full).netloc or urlsplit(full).netloc == urlsplit(self.base).netloc
+                p["internal_links" if inside else "external_links"].append({"href": full, "text": got[:100]})
+        if tag in ("title", "a", "h1", "h2", "h3", "h4", "h5", "h6", "script"):
+            self.grabbed = None
+        if tag in _BLOCKS and not _BLOCKS & set(self.open):
+            self.block.append(" ")
+
+    def flush(self):
+        text_ = " ".join("".join(self.block).split())
+        if text_:
+            self.page["blocks"].append({"heading": self.heading, "text": text_})
+        self.block = []
+
+
+def parse_page(html: str, base: str = "") -> dict:
+    """H1-H3. The record of one page, as in PAGE_SCHEMA; broken markup is read as far as it goes."""
+    parser = _Page(base or "")
+    try:
+        parser.feed(html or "")
+        parser.close()
+    except (ValueError, AssertionError):  # what stands before the fault counts
+        pass
+    parser.flush()
+    shown = " ".join(" ".join(parser.shown).split())
+    import re
+
+    return parser.page | {"text": shown, "word_count": len(re.findall(r"\b\w+\b", shown))}
+
+
+def parse_pages(pages: DataFrame, html: str = "html", url: str | None = "url") -> DataFrame:
+    """H1-H3. ``pages`` without their html, and the fields of PAGE_SCHEMA; null html is an empty page."""
+    ship(pages.sparkSession)
+    keep = [c for c in pages.columns if c != html]
+
+    @F.pandas_udf(PAGE_SCHEMA)
+    def parsed(source: pd.Series, base: pd.Series) -> pd.DataFrame:
+        rows = [parse_page(h, b) for h, b in zip(source, base, strict=True)]
+        return pd.DataFrame(rows, columns=[f.split()[0] for f in PAGE_SCHEMA.split(", ") if " " in f])
+
+    base = F.coalesce(F.col(url), F.lit("")) if url else F.lit("")
+    return pages.select(*keep, parsed(F.coalesce(F.col(html), F.lit("")), base).alias("__page")).select(*keep, "__page.*")
+
+
+def jsonld_types(block: str) -> list[str]:
+    """Types in one JSON-LD block, lists and graphs included; none if it isn't JSON."""
+    try:
+        found = json.loads(block)
+    except ValueError:
+        return []
+    todo, types = [found], []
+    while todo:
+        x = todo.pop()
+        if isinstance(x, list):
+            todo += x
+        elif isinstance(x, dict):
+            t = x.get("@type")
+            types += [str(v) for v in (t if isinstance(t, list) else [t]) if v]
+            todo += [v for k, v in x.items() if k == "@graph"]
+    return sorted(types)
