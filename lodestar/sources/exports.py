@@ -235,10 +235,10 @@ def distinct_keywords(df: DataFrame, column: str = "keyword") -> DataFrame:
 
 
 def text_folder(spark: SparkSession, path: str, min_words: int = 50) -> DataFrame:
-    """S22. (url, text, word_count) of the text files in a folder; the url is the decoded stem of the name."""
+    """S22. (url, text, word_count) of the text files in a folder; the url is the decoded stem of the name (which Spark encodes once more)."""
     raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("name"))
     words = F.size(F.filter(F.split(F.trim("value"), r"\s+"), lambda w: w != ""))
-    return raw.select(F.url_decode(F.regexp_replace("name", r"\.[^.]*$", "")).alias("url"), F.col("value").alias("text"), words.alias("word_count")).filter(F.col("word_count") >= min_words)
+    return raw.select(F.url_decode(F.url_decode(F.regexp_replace("name", r"\.[^.]*$", ""))).alias("url"), F.col("value").alias("text"), words.alias("word_count")).filter(F.col("word_count") >= min_words)
 
 
 _SERP = "tasks array<struct<result:array<struct<keyword:string,items:array<struct<type:string,rank_group:int,url:string,domain:string,title:string,description:string>>>>>>"
