@@ -81,7 +81,7 @@ SELECT left_id, right_id, round(similarity, 6) AS similarity FROM (
 def keyword_mapping(d: Duck, threshold: float = 0.70, top_n: int = 5, boost: float = 0.05) -> str:
     """B4. Best pages of each keyword in ``pairs`` (keyword, url, similarity): cosine plus url boost."""
     return f"""
-SELECT keyword, url, n AS match_rank, round(combined, 4) AS similarity, round(combined, 4) >= {e(threshold)} AS strong FROM (
+SELECT keyword, url, CAST(n AS BIGINT) AS match_rank, round(combined, 4) AS similarity, round(combined, 4) >= {e(threshold)} AS strong FROM (
   SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY combined DESC, url) AS n FROM (
     SELECT keyword, url, similarity + {keyword_boost(d, 'keyword', 'url', boost)} AS combined FROM @pairs@) AS c) AS r
 WHERE n <= {top_n} AND combined >= {e(threshold * 0.5)}"""
@@ -145,7 +145,7 @@ SELECT pair, round(20e-2 * title + 15e-2 * h1 + 10e-2 * meta + 55e-2 * body, 4)
 def best_pages(d: Duck, k: int = 5) -> str:
     """B14. The k best pages of each keyword, mismatch with the ranking page, and misallocation (mismatch within rank 20)."""
     return f"""
-SELECT t.keyword, t.url, t.n AS match_rank, round(t.similarity, 4) AS similarity, k.actual_url <> '' AND k.actual_url <> t.best AS mismatch, k.actual_url <> '' AND k.actual_url <> t.best AND k.actual_rank <= 20 AS misallocated
+SELECT t.keyword, t.url, CAST(t.n AS BIGINT) AS match_rank, round(t.similarity, 4) AS similarity, k.actual_url <> '' AND k.actual_url <> t.best AS mismatch, k.actual_url <> '' AND k.actual_url <> t.best AND k.actual_rank <= 20 AS misallocated
 FROM (SELECT *, max(CASE WHEN n = 1 THEN url END) OVER (PARTITION BY keyword) AS best FROM (
   SELECT keyword, url, similarity, row_number() OVER (PARTITION BY keyword ORDER BY similarity DESC, url) AS n FROM @pairs@) AS r) AS t
 JOIN @keywords@ k ON t.keyword = k.keyword WHERE t.n <= {k}"""

@@ -125,7 +125,7 @@ def prospect_tiers(d: Duck) -> str:
 def dashboard(d: Duck, status: str = "active") -> str:
     """P3. Prospects of a status with their places by score, company and value."""
     return f"""
-SELECT id, company, row_number() OVER (ORDER BY geo_score, id) AS by_score, row_number() OVER (ORDER BY lower(company), id) AS by_company, row_number() OVER (ORDER BY monthly_value DESC, id) AS by_value FROM @prospects@ WHERE status = '{status}'"""
+SELECT id, company, CAST(row_number() OVER (ORDER BY geo_score, id) AS BIGINT) AS by_score, CAST(row_number() OVER (ORDER BY lower(company), id) AS BIGINT) AS by_company, CAST(row_number() OVER (ORDER BY monthly_value DESC, id) AS BIGINT) AS by_value FROM @prospects@ WHERE status = '{status}'"""
 
 
 @operator

@@ -72,7 +72,7 @@ def standardize_titles(d: Duck) -> str:
     """G6. Averages, brand-first share and separators of ``products`` (category, brand, title) by category."""
     seps = ", ".join(f"CAST(count_if({d.instr('title', text(s))} > 0) AS BIGINT) AS {n}" for n, s in (("dashes", " - "), ("pipes", " | "), ("commas", ", "), ("slashes", " / "), ("colons", ": ")))
     return f"""
-SELECT category, CAST(count(*) AS BIGINT) AS products, round(avg(length(title)), 1) AS avg_chars, round(avg({d.count('title', '[^ ]+')}), 1) AS avg_words, min(length(title)) AS min_chars, max(length(title)) AS max_chars,
+SELECT category, CAST(count(*) AS BIGINT) AS products, round(avg(length(title)), 1) AS avg_chars, round(avg({d.count('title', '[^ ]+')}), 1) AS avg_words, CAST(min(length(title)) AS BIGINT) AS min_chars, CAST(max(length(title)) AS BIGINT) AS max_chars,
   round(count_if(lower(title) LIKE lower(brand) || '%') * 100e0 / count(*), 1) AS brand_first, CAST(count(DISTINCT brand) AS BIGINT) AS brands, {seps} FROM @products@ GROUP BY category"""
 
 

@@ -48,7 +48,7 @@ def sentences(d: Duck, s: str) -> str:
 def text_measures(d: Duck) -> str:
     """F1, F2. Words, sentences and length of the cleaned ``texts`` (id, text)."""
     return f"""
-SELECT id, length(t) AS characters, CAST({words(d, 't')} AS BIGINT) AS words, CAST({sentences(d, 't')} AS BIGINT) AS sentences FROM (SELECT id, {clean(d, 'text')} AS t FROM @texts@) AS c"""
+SELECT id, CAST(length(t) AS BIGINT) AS characters, CAST({words(d, 't')} AS BIGINT) AS words, CAST({sentences(d, 't')} AS BIGINT) AS sentences FROM (SELECT id, {clean(d, 'text')} AS t FROM @texts@) AS c"""
 
 
 @operator

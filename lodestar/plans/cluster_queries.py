@@ -26,7 +26,7 @@ WORDS = fx.shaped("fixture_words", lambda d: f"SELECT doc_id AS page, word FROM
 ITEMS = fx.shaped("fixture_items", "SELECT event_id AS id, 'https://x.test/' || event_type || '/' || CAST(user_id AS STRING) || CASE WHEN event_id % 2 = 0 THEN '/?a=1' ELSE '' END AS url, CAST(event_id % 3 AS BIGINT) AS priority, CAST(event_id % 997 AS BIGINT) AS length FROM @e@", e=fx.EVENTS)
 
 declare("b1_cosine_pairs", PAIRS)
-declare("b2_b3_url_keyword_boost", fx.shaped("b3", lambda d: f"SELECT p_partkey, {c.keyword_boost(d, 'p_name', '''concat('https://www.x.test/', replace(p_name, ' ', '-'), '/', p_type, '.html?q=1')''')} AS boost, {d.size(c.slug_words(d, '''concat('https://www.x.test/shop/', p_type, '_', p_brand)'''))} AS slug_words FROM @p@", p=fx.PART))
+declare("b2_b3_url_keyword_boost", fx.shaped("b3", lambda d: f"SELECT p_partkey, {c.keyword_boost(d, 'p_name', '''concat('https://www.x.test/', replace(p_name, ' ', '-'), '/', p_type, '.html?q=1')''')} AS boost, CAST({d.size(c.slug_words(d, '''concat('https://www.x.test/shop/', p_type, '_', p_brand)'''))} AS BIGINT) AS slug_words FROM @p@", p=fx.PART))
 declare("b4_keyword_mapping", MAPPING)
 declare("b4_keyword_classes", c.keyword_classes(keywords=NAMES, mapping=MAPPING))
 declare("b5_hub_pages", c.hub_pages(mapping=MAPPING, least=3))

@@ -36,7 +36,7 @@ SELECT '/' || replace(p_type, ' ', '-') || '/' || CAST(p_partkey AS STRING) AS a
 def fixture_rankings(d: Duck) -> str:
     return f"""
 SELECT CAST(partkey AS STRING) AS keyword, volume, s.s_name AS domain, position, partkey * 1000 + position AS row_id FROM (
-  SELECT partkey, suppkey, CAST(sum(quantity) OVER (PARTITION BY partkey) * 100 AS BIGINT) AS volume, row_number() OVER (PARTITION BY partkey ORDER BY revenue DESC, suppkey) AS position FROM (
+  SELECT partkey, suppkey, CAST(sum(quantity) OVER (PARTITION BY partkey) * 100 AS BIGINT) AS volume, CAST(row_number() OVER (PARTITION BY partkey ORDER BY revenue DESC, suppkey) AS BIGINT) AS position FROM (
     SELECT l_partkey AS partkey, l_suppkey AS suppkey, sum({d.int('l_quantity')}) AS quantity, round(sum(l_extendedprice), 2) AS revenue FROM @lineitem@ GROUP BY l_partkey, l_suppkey) AS g) AS r
 JOIN @supplier@ s ON r.suppkey = s.s_suppkey"""
 
@@ -55,7 +55,7 @@ def fixture_serp(d: Duck, top_n: int = 10) -> str:
     """Keyword, rank, url: a customer's parts by quantity."""
     return f"""
 SELECT keyword, rank, url FROM (
-  SELECT CAST(o.o_custkey AS STRING) AS keyword, '/' || CAST(l.l_partkey AS STRING) AS url, row_number() OVER (PARTITION BY o.o_custkey ORDER BY max(l.l_quantity) DESC, l.l_partkey) AS rank
+  SELECT CAST(o.o_custkey AS STRING) AS keyword, '/' || CAST(l.l_partkey AS STRING) AS url, CAST(row_number() OVER (PARTITION BY o.o_custkey ORDER BY max(l.l_quantity) DESC, l.l_partkey) AS BIGINT) AS rank
   FROM @lineitem@ l JOIN @orders@ o ON l.l_orderkey = o.o_orderkey GROUP BY o.o_custkey, l.l_partkey) AS r WHERE rank <= {top_n}"""
 
 
