@@ -168,7 +168,7 @@ def web_vitals(d: Duck) -> str:
     """C21. Rating of ``samples`` (page, metric, value) by the 75th percentile."""
     p75 = "percentile_cont(75e-2) WITHIN GROUP (ORDER BY value)"
     return f"""
-SELECT s.page, s.metric, round(s.p75, 4) AS p75, CASE WHEN s.p75 <= v.good THEN 'good' WHEN s.p75 <= v.poor THEN 'needs_improvement' ELSE 'poor' END AS rating
+SELECT s.page, s.metric, round(s.p75, 8) AS p75, CASE WHEN s.p75 <= v.good THEN 'good' WHEN s.p75 <= v.poor THEN 'needs_improvement' ELSE 'poor' END AS rating
 FROM (SELECT page, metric, {p75} AS p75 FROM @samples@ GROUP BY page, metric) AS s JOIN {values(VITALS, "metric, good, poor")} AS v ON s.metric = v.metric"""
 
 
