@@ -175,11 +175,11 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, m
 EXACT_NODES, SAMPLED_SOURCES, MOST_EDGES = 10_000, 500, 20_000_000
 
 
-def betweenness(edges: DataFrame, seed: int = 42) -> DataFrame:
+def betweenness(edges: DataFrame, seed: int = 42, exact_nodes: int | None = EXACT_NODES) -> DataFrame:
     """D4. (node, betweenness), normalised, of the directed graph ``edges`` (src, dst), unweighted.
 
     Sources are dealt over the tasks, each of which holds the whole graph; a graph of more
-    than MOST_EDGES edges is refused. Above EXACT_NODES nodes a sample of sources stands for all.
+    than MOST_EDGES edges is refused. Above ``exact_nodes`` nodes a sample of sources stands for all; None: never.
     """
     spark = edges.sparkSession
     ship(spark)
@@ -194,8 +194,9 @@ def betweenness(edges: DataFrame, seed: int = 42) -> DataFrame:
         follows[place[s]].append(place[t])
     sent = spark.sparkContext.broadcast(follows)
     nodes = spark.range(n)
-    sources = nodes if n <= EXACT_NODES else nodes.orderBy(F.xxhash64("id", F.lit(seed))).limit(SAMPLED_SOURCES)
-    factor = (1.0 if n <= EXACT_NODES else n / SAMPLED_SOURCES) / max((n - 1) * (n - 2), 1)
+    exact = exact_nodes is None or n <= exact_nodes
+    sources = nodes if exact else nodes.orderBy(F.xxhash64("id", F.lit(seed))).limit(SAMPLED_SOURCES)
+    factor = (1.0 if exact else n / SAMPLED_SOURCES) / max((n - 1) * (n - 2), 1)
 
     def partial(batches):
         import numpy as np

@@ -22,7 +22,7 @@ DOCS = fx.shaped("fixture_docs", "SELECT doc_id AS id, text FROM @d@", d=fx.DOCU
 PARTS = fx.shaped("fixture_components", "SELECT l_orderkey * 10 + l_linenumber AS pair, l_discount * 10 AS title, l_tax * 12 AS h1, l_discount * 5 AS meta, l_quantity / 50 AS body FROM @l@", l=fx.LINEITEM)
 PASSAGES = fx.shaped("fixture_passages", "SELECT right_id AS passage, CAST(left_id AS STRING) AS query, similarity FROM @p@", p=PAIRS)
 TOPICS = fx.shaped("fixture_topics", "SELECT p_type || p_brand AS cluster, p_name AS keyword, CAST(p_partkey % 1000 AS BIGINT) AS volume FROM @p@", p=fx.PART)
-WORDS = fx.shaped("fixture_words", lambda d: f"SELECT doc_id AS page, word FROM (SELECT doc_id, {d.explode(d.extract_all('lower(text)', '[a-z]+'))} AS word FROM @d@ WHERE doc_id % 4 = 0) AS w", d=fx.DOCUMENTS)
+WORDS = fx.shaped("fixture_words", lambda d: f"SELECT doc_id AS page, word FROM (SELECT doc_id, {d.explode(d.extract_all('lower(text)', '[a-z]+'))} AS word FROM @d@) AS w", d=fx.DOCUMENTS)
 ITEMS = fx.shaped("fixture_items", "SELECT event_id AS id, 'https://x.test/' || event_type || '/' || CAST(user_id AS STRING) || CASE WHEN event_id % 2 = 0 THEN '/?a=1' ELSE '' END AS url, CAST(event_id % 3 AS BIGINT) AS priority, CAST(event_id % 997 AS BIGINT) AS length FROM @e@", e=fx.EVENTS)
 
 declare("b1_cosine_pairs", PAIRS)
@@ -34,7 +34,7 @@ declare("b6_near_duplicate_pairs", c.near_duplicate_pairs(pairs=SELF, minhash=CL
 declare("b9_exact_duplicates", c.exact_duplicates(docs=DOCS))
 declare("b12_b13_component_class", c.component_class(parts=PARTS))
 declare("b14_keyword_page_topk", c.best_pages(pairs=NAMED, keywords=NAMES, k=5))
-declare("b15_cannibalization_severity", c.cannibalization_severity(gsc=fx.shaped("fixture_gsc_some", "SELECT * FROM @g@ WHERE partkey % 10 = 0", g=fx.QUERY_PAGE)))
+declare("b15_cannibalization_severity", c.cannibalization_severity(gsc=fx.QUERY_PAGE))
 declare("b18_serp_overlap", SHARED)
 declare("b19_serp_jaccard", JACCARD)
 declare("b23_hub_urls", c.hub_urls(members=MEMBERS, serp=fx.SERP))

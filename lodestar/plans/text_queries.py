@@ -68,7 +68,7 @@ for kind, bands, name in (
 TOPIC_PAGES = fx.shaped("fixture_topic_pages", "SELECT c_custkey AS domain, c_custkey % 30 AS pages FROM @c@", c=fx.CUSTOMER)
 HISTORY = fx.shaped("fixture_history", "SELECT o_custkey % 100 AS domain, o_orderpriority AS category, CAST(o_orderdate AS DATE) AS audit_date, o_orderkey AS id, CAST(o_orderkey * 7 % 101 AS BIGINT) AS score FROM @o@", o=fx.ORDERS)
 LOG = fx.shaped("fixture_visibility", "SELECT user_id % 10 AS cluster, event_type AS platform, CASE event_id % 5 WHEN 0 THEN 'first' WHEN 1 THEN 'mentioned' WHEN 2 THEN 'cited' ELSE 'none' END AS mention FROM @e@", e=fx.EVENTS)
-SENTIMENT = fx.shaped("fixture_sentiment", "SELECT user_id % 12 AS topic, event_type || CAST(user_id % 3 AS STRING) AS source, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS positive, CASE WHEN event_id % 3 = 1 THEN 1 ELSE 0 END AS negative, CASE WHEN event_id % 3 = 2 THEN 1 ELSE 0 END AS neutral FROM @e@ WHERE event_id % 97 = 0", e=fx.EVENTS)
+SENTIMENT = fx.shaped("fixture_sentiment", "SELECT user_id % 12 AS topic, event_type || CAST(user_id % 3 AS STRING) AS source, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS positive, CASE WHEN event_id % 3 = 1 THEN 1 ELSE 0 END AS negative, CASE WHEN event_id % 3 = 2 THEN 1 ELSE 0 END AS neutral FROM @e@", e=fx.EVENTS)
 ANALYSES = fx.shaped("fixture_analyses", "SELECT p_partkey AS id, p_partkey % 60 AS positive, 30 AS negative, CASE WHEN p_partkey % 4 = 0 THEN 5 ELSE 70 - p_partkey % 60 END AS neutral, p_partkey % 20 AS topics, p_partkey % 7 AS themes, p_partkey % 2 AS quotes, p_partkey % 5 AS sources FROM @p@", p=fx.PART)
 FOUND = fx.shaped("fixture_found_items", "SELECT event_type AS source FROM @e@ WHERE event_type <> 'error'", e=fx.EVENTS)
 WANTED = fx.shaped("fixture_wanted_sources", "SELECT DISTINCT event_type AS source, event_type = 'view' AS is_limited FROM @e@", e=fx.EVENTS)
@@ -80,7 +80,7 @@ POINTS = fx.shaped("fixture_points", "SELECT * FROM (VALUES ('https', 'security'
 LENSES = fx.shaped("fixture_lenses", "SELECT p_partkey AS id, p_partkey % 11 AS l1, p_partkey * 3 % 11 AS l2, p_partkey * 5 % 11 AS l3, p_partkey * 7 % 11 AS l4, p_size % 11 AS l5 FROM @p@", p=fx.PART)
 FLAGS = fx.shaped("fixture_flags", "SELECT c_custkey AS id, c_custkey % 2 = 0 AS has_api, c_custkey % 3 = 0 AS has_search, c_custkey % 5 = 0 AS has_browser FROM @c@", c=fx.CUSTOMER)
 SEEDS = fx.shaped("fixture_seeds", "SELECT 'What is ' || CAST(p_partkey AS STRING) || '?' AS question FROM @p@ WHERE p_partkey < 5", p=fx.PART)
-QUESTIONS = fx.shaped("fixture_question_edges", "SELECT 'What is ' || CAST(p_partkey AS STRING) || '?' AS parent, 'what is ' || CAST((p_partkey * 3 + k) % 500 AS STRING) AS question FROM @p@ CROSS JOIN (SELECT * FROM (VALUES (1), (2), (3)) AS v(k)) AS v WHERE p_partkey < 500", p=fx.PART)
+QUESTIONS = fx.shaped("fixture_question_edges", "SELECT 'What is ' || CAST(p_partkey AS STRING) || '?' AS parent, 'what is ' || CAST((p_partkey * 3 + k) % 500 AS STRING) AS question FROM @p@ CROSS JOIN (SELECT * FROM (VALUES (1), (2), (3)) AS v(k)) AS v", p=fx.PART)
 
 declare("q4_authority_modifier", p.authority_modifier(composite=p.composite_score(scores=scores_for("content_geo"), kind="content_geo"), pages=TOPIC_PAGES))
 declare("q6_platform_readiness", p.platform_readiness(scores=scores_for("geo_report")))
