@@ -79,8 +79,10 @@ def fuzzy_matches(own: DataFrame, other: DataFrame, threshold: float = 90.0) ->
 def minhash_duplicates(docs: DataFrame, threshold: float = 0.9, k: int = 5, tables: int = 8) -> DataFrame:
     """B10. Pairs of ``docs`` (id, text) whose sets of k-word shingles have a Jaccard similarity of at least the threshold.
 
-    Equal texts are one document, so copies don't square. Candidates share one of ``tables``
-    bands of two minimum hashes; the similarity is exact.
+    Equal texts are one document, the one with the smallest id, so copies don't square: every
+    other copy, of a text of any length, has one row with it (id_a; copy is true). Null texts
+    have no copies. Candidates share one of ``tables`` bands of two minimum hashes; the
+    similarity is exact.
     """
     words = F.filter(F.split(F.lower("text"), r"\W+"), lambda w: w != "")
     one = docs.groupBy("text").agg(F.min("id").alias("id")).select("id", words.alias("w")).filter(F.size("w") >= k)
@@ -93,7 +95,10 @@ def minhash_duplicates(docs: DataFrame, threshold: float = 0.9, k: int = 5, tabl
     b = shingles.select(F.col("id").alias("id_b"), F.col("s").alias("s_b"))
     both = F.size(F.array_intersect("s_a", "s_b"))
     found = pairs.join(a, "id_a").join(b, "id_b").withColumn("jaccard", both / (F.size("s_a") + F.size("s_b") - both))
-    return found.filter(F.col("jaccard") >= threshold).select("id_a", "id_b", F.round("jaccard", 6).alias("jaccard"))
+    near = found.filter(F.col("jaccard") >= threshold).select("id_a", "id_b", F.round("jaccard", 6).alias("jaccard"), F.lit(False).alias("copy"))
+    kept = docs.groupBy("text").agg(F.min("id").alias("id_a"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND text IS NOT NULL").select("text", "id_a")
+    copies = docs.join(kept, "text").filter("id <> id_a").select("id_a", F.col("id").alias("id_b"), F.lit(1.0).alias("jaccard"), F.lit(True).alias("copy"))
+    return near.unionByName(copies.distinct())
 
 
 def greedy_clusters(overlap: DataFrame, serp: DataFrame, method: str = "clique", min_overlap: int = 2) -> DataFrame:

@@ -8,7 +8,7 @@ from lodestar.operators import text as t
 from lodestar.plans import fixtures as fx
 from lodestar.plans.registry import declare
 
-TEXTS = fx.shaped("fixture_texts", "SELECT doc_id AS id, text FROM @d@ WHERE lang = 'en'", d=fx.DOCUMENTS)
+TEXTS = fx.shaped("fixture_texts", "SELECT doc_id AS id, text FROM @d@", d=fx.DOCUMENTS)
 PASSAGES = fx.shaped("fixture_passage_rows", "SELECT conv_id * 1000 + turn AS id, CASE WHEN turn % 3 = 0 THEN 'What is this?' ELSE 'About it' END AS section, CASE WHEN turn % 3 = 0 THEN 'What is this?' ELSE 'About it' END AS heading, CASE WHEN turn % 4 = 0 THEN 'However, 45% of 2024 users. ' WHEN turn % 4 = 1 THEN 'According to Google a score is a number. ' ELSE '' END || text AS text FROM @c@", c=fx.CONVERSATIONS)
 SCORED = t.score_passages(passages=PASSAGES)
 BY_PAGE = fx.shaped("fixture_scored_pages", "SELECT id, total, rating, id % 20 AS url, CAST(1 + id % 3 AS BIGINT) AS weight FROM @s@", s=SCORED)
