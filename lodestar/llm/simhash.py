@@ -177,14 +177,8 @@ def near_links(distinct: DataFrame, distance: int = DISTANCE, prefix_rows: int =
     return sent.groupBy("prefix", "parts", "part").applyInPandas(links, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS, distance: int = DISTANCE) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, doc_key, fp and component_id.
-
-    component_id is the smallest doc_id among the documents that links of at most ``distance``
-    bits reach, the document itself included. Null, empty and wordless texts have fingerprint
-    zero and link like any other. A null doc_id counts only if all in its component are null.
-    Repeated rows share a component; an empty table gives no rows.
-    """
+def components_of(docs: DataFrame, doc_id: str, text: str, shingle_words: int = SHINGLE_WORDS, distance: int = DISTANCE) -> DataFrame:
+    """The rows of near_duplicates, and root: the smallest fingerprint of the component, which stands for it."""
     keyed = docs.select(F.col(doc_id).alias("doc_id"), doc_key(F.col(doc_id), F.col(text)).alias("doc_key"), F.col(text).alias("text"))
     rows = materialize(fingerprints(keyed, "text", shingle_words), "fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
@@ -192,10 +186,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = components(links)
     tied = found.join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "least")
     roots = tied.groupBy("root").agg(F.min("least").alias("component_id"))
-    tied = tied.join(roots, "root").select("fp", "component_id")
-    alone = distinct.join(tied, "fp", "left").select(F.col("fp").alias("__fp"), F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    tied = tied.join(roots, "root").select("fp", "root", "component_id")
+    alone = distinct.join(tied, "fp", "left").select(F.col("fp").alias("__fp"), F.coalesce("root", "fp").alias("root"), F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
     alone = materialize(alone, "fingerprint-components")
-    return rows.join(alone, F.col("fp") == F.col("__fp")).select("doc_id", "doc_key", "fp", "component_id")
+    return rows.join(alone, F.col("fp") == F.col("__fp")).select("doc_id", "doc_key", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS, distance: int = DISTANCE) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, doc_key, fp and component_id.
+
+    component_id is the smallest doc_id among the documents that links of at most ``distance``
+    bits reach, the document itself included. Null, empty and wordless texts have fingerprint
+    zero and link like any other. A null doc_id counts only if all in its component are null.
+    Repeated rows share a component; an empty table gives no rows.
+    """
+    return components_of(docs, doc_id, text, shingle_words, distance).select("doc_id", "doc_key", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -203,7 +208,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     Rows that repeat it wholly (same id and text) are one document: one of them stays.
     """
-    found = near_duplicates(docs, doc_id, text, **options)
-    stays = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "doc_key")).alias("d")).select(F.col("d.doc_key").alias("__doc"))
+    found = components_of(docs, doc_id, text, **options)
+    stays = found.groupBy("root").agg(F.min(F.struct("doc_id", "doc_key")).alias("d")).select(F.col("d.doc_key").alias("__doc"))
     keyed = docs.withColumn("__doc", doc_key(F.col(doc_id), F.col(text)))
     return keyed.join(stays.distinct(), "__doc", "left_semi").dropDuplicates(["__doc"]).drop("__doc")
