@@ -104,8 +104,9 @@ def search(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", embeddin
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).agg(F.max(F.struct("n", "d")).alias("m")).first()["m"]
     if sizes is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    n, d = sizes["n"], sizes["d"]
-    rows = rows.filter(F.size("v") == d)
+    d = sizes["d"]
+    rows = rows.filter(F.size("v") == d).groupBy("vec_id").agg(F.min("v").alias("v"))  # one vector for each id
+    n = rows.count()
     half = d // 2
     some = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // sample))) == 0) if n > sample else rows
     drawn = sorted((r["vec_id"], r["v"]) for r in some.select("vec_id", "v").collect())
@@ -134,11 +135,11 @@ def search(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", embeddin
         def step(cols):
             x = np.array(cols["v"]).reshape(-1, d)
             u, w = x[:, :half] @ a.T, x[:, half:] @ b.T
-            return cols | {"cells": [traverse(u[i], w[i], h, share * n + 1) for i in range(len(x))]}
+            return cols | {"cells": [traverse(u[i], w[i], h, max(share * n, k) + 1) for i in range(len(x))]}
 
         return step
 
-    asked = rows.filter(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = rows.filter(queries)
     blocks = max(1, math.ceil(asked.count() / BLOCK_QUERIES))
     asked = map_rows(asked, plan, "vec_id bigint, v array<double>, cells array<int>", 1_000)
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
