@@ -5,14 +5,16 @@ bytes decide, so an insertion moves chunk borders near itself alone. Candidates
 are word starts (one in four is taken), and any character start in stretches of 64 bytes
 without white space (one in 24); a chunk ends after 4,096 bytes at the latest.
 
-Every chunk has a 64-bit digest. Of the documents with a chunk one owns it: the one with the
-smallest hash of id and text. Chunks in other documents, and later ones in the owner, are
-duplicates; consecutive duplicates form a run, and runs of at least MIN_WORDS words are cut
-out. A passage of over 50 words keeps at least MIN_WORDS words of whole chunks but for about
+A unit is two neighbouring chunks, or one chunk of at least MIN_WORDS words, and has a 64-bit
+digest: chunks of a few frequent words stand elsewhere by chance, so a chunk counts only with
+a neighbour. Of the documents with a unit one owns it: the one with the smallest hash of id
+and text. Units in other documents, and later ones in the owner, are duplicates; duplicates
+that share a chunk form a run, and runs of at least MIN_WORDS words are cut out. So each joint
+between chunks of a cut run stands in another place too. A passage of over 50 words keeps at least MIN_WORDS words of whole chunks but for about
 one in two hundred; the few words between its ends and the outermost borders stay.
 
-No occurrence list of a chunk is ever gathered: the owner is a minimum with partial sums, and
-only chunks whose digest occurs more than once are joined, in tasks that Spark can split.
+No occurrence list of a unit is ever gathered: the owner is a minimum with partial sums, and
+only units whose digest occurs more than once are joined, in tasks that Spark can split.
 """
 
 from __future__ import annotations
@@ -80,48 +82,64 @@ def chunks(data: bytes) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
     return [digest(data[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)], edges[:-1], np.diff(edges), np.diff(total[edges])
 
 
+def units(data: bytes, min_words: int = MIN_WORDS) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Digest, start, length, words and words of the first chunk of the units of ``data``."""
+    single, starts, lengths, words = chunks(data)
+    digest = xxhash.xxh3_64_intdigest
+    ends = starts + lengths
+    both = [digest(data[s:e], 1) for s, e in zip(starts[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    long = np.flatnonzero(words >= min_words)
+    return (
+        both + [single[i] for i in long],
+        np.concatenate((starts[:-1], starts[long])),
+        np.concatenate((lengths[:-1] + lengths[1:], lengths[long])),
+        np.concatenate((words[:-1] + words[1:], words[long])),
+        np.concatenate((words[:-1], words[long])),
+    )
+
+
 def _signed(values: list[int]) -> np.ndarray:
     return np.array(values, dtype=np.uint64).view(np.int64)
 
 
-def chunk_table(docs: DataFrame) -> DataFrame:
-    """(doc, digest, place, length, words, again) of every chunk of ``docs`` (doc, text).
+def unit_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc, digest, place, length, words, head, again) of every unit of ``docs`` (doc, text); head: words of its first chunk.
 
-    again: the document has the digest at an earlier place. Runs of chunks with the same
+    again: the document has the digest at an earlier place. Runs of units with the same
     digest, as of a line repeated a thousand times, stay single rows.
     """
 
     def make():
         def step(cols):
-            out: dict[str, list] = {c: [] for c in ("doc", "digest", "place", "length", "words", "again")}
+            out: dict[str, list] = {c: [] for c in ("doc", "digest", "place", "length", "words", "head", "again")}
             for doc, text in zip(cols["doc"], cols["text"], strict=True):
                 if not text:
                     continue
-                digests, starts, lengths, words = chunks(text.encode())
+                digests, starts, lengths, words, head = units(text.encode(), min_words)
                 d = _signed(digests)
                 again = np.ones(len(d), bool)
                 again[np.unique(d, return_index=True)[1]] = False
-                for c, v in (("doc", np.full(len(d), doc)), ("digest", d), ("place", starts), ("length", lengths), ("words", words), ("again", again)):
+                for c, v in (("doc", np.full(len(d), doc)), ("digest", d), ("place", starts), ("length", lengths), ("words", words), ("head", head), ("again", again)):
                     out[c].append(v)
             return {c: np.concatenate(v) if v else [] for c, v in out.items()}
 
         return step
 
-    return map_rows(docs, make, "doc bigint, digest bigint, place int, length int, words int, again boolean", 200)
+    return map_rows(docs, make, "doc bigint, digest bigint, place int, length int, words int, head int, again boolean", 200)
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, spans, removed_words) of the documents (doc, text) with runs of duplicate chunks.
+    """(doc, spans, removed_words) of the documents (doc, text) with runs of duplicate units.
 
     spans: start and length in bytes of UTF-8, in order.
     """
-    table = materialize(chunk_table(docs), "chunks")
+    table = materialize(unit_table(docs, min_words), "units")
     owners = table.filter("NOT again").groupBy("digest").agg(F.min("doc").alias("owner"), F.count(F.lit(1)).alias("n"))
     owners = owners.filter("n > 1").select("digest", "owner")
-    elsewhere = table.join(owners, "digest").filter("doc <> owner").select("doc", "place", "length", "words")
-    within = table.filter("again").select("doc", "place", "length", "words")
+    elsewhere = table.join(owners, "digest").filter("doc <> owner").select("doc", "place", "length", "words", "head")
+    within = table.filter("again").select("doc", "place", "length", "words", "head")
     dup = elsewhere.unionByName(within)
-    by_doc = dup.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("place", "length", "words"))).alias("dup"))
+    by_doc = dup.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("place", "length", "words", "head"))).alias("dup"))
 
     def make():
         def step(cols):
@@ -129,9 +147,12 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             for doc, dup in zip(cols["doc"], cols["dup"], strict=True):
                 runs: list[list[int]] = []
                 for c in dup:
-                    if runs and runs[-1][0] + runs[-1][1] == c["place"]:
-                        runs[-1][1] += c["length"]
-                        runs[-1][2] += c["words"]
+                    if runs and runs[-1][0] + runs[-1][1] > c["place"]:
+                        # what they share is the first chunk of the later one, or all of it
+                        end = c["place"] + c["length"] - runs[-1][0]
+                        if end > runs[-1][1]:
+                            runs[-1][1] = end
+                            runs[-1][2] += c["words"] - c["head"]
                     else:
                         runs.append([c["place"], c["length"], c["words"]])
                 runs = [r for r in runs if r[2] >= min_words]
