@@ -36,9 +36,14 @@ _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 
 def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
     """A bit is 1 if it is set in over half the XXH64 of the text's shingles, repeats included; no words: 0."""
+    return majority(shingle_hashes(text, shingle_words))
+
+
+def shingle_hashes(text: str, shingle_words: int) -> np.ndarray:
+    """XXH64 of the text's shingles in order; a text of fewer words is one shingle."""
     words = words_of(text.translate(_LOWER) if not text.islower() else text)
     if not words:
-        return 0
+        return np.array([], dtype="<u8")
     joined = " ".join(words).encode()
     if len(words) <= shingle_words:
         hashes = [xxhash.xxh64_intdigest(joined, SEED)]
@@ -49,7 +54,10 @@ def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
         ends = np.concatenate((gaps, [len(joined)]))[shingle_words - 1 :].tolist()
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)]
-    h = np.array(hashes, dtype="<u8")
+    return np.array(hashes, dtype="<u8")
+
+
+def majority(h: np.ndarray) -> int:
     bits = np.zeros(64, np.int64)
     for at in range(0, len(h), 65_536):
         bits += np.unpackbits(h[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -177,12 +185,72 @@ def near_links(distinct: DataFrame, distance: int = DISTANCE, prefix_rows: int =
     return sent.groupBy("prefix", "parts", "part").applyInPandas(links, "a bigint, b bigint").distinct()
 
 
-def components_of(docs: DataFrame, doc_id: str, text: str, shingle_words: int = SHINGLE_WORDS, distance: int = DISTANCE) -> DataFrame:
-    """The rows of near_duplicates, and root: the smallest fingerprint of the component, which stands for it."""
+#: Bands of minimum hashes: texts of similarity 0.8 share none of them once in 38,000 times.
+BANDS, BAND_HASHES = 20, 4
+_MIX = np.array([[xxhash.xxh64_intdigest(bytes([i, j]), 11) | (j == 1) for j in range(2)] for i in range(BANDS * BAND_HASHES)], dtype=np.uint64)
+
+
+def minimum_bands(h: np.ndarray) -> list[int]:
+    """A signed number for each band of minimum hashes of the shingle hashes ``h``; none for a text without words."""
+    if not len(h):
+        return []
+    least = np.full(len(_MIX), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 2_048):
+        np.minimum(least, ((h[None, at : at + 2_048] ^ _MIX[:, :1]) * _MIX[:, 1:]).min(axis=1), out=least)
+    digest = xxhash.xxh64_intdigest
+    rows = least.reshape(BANDS, BAND_HASHES)
+    return np.array([digest(x.tobytes(), t) for t, x in enumerate(rows)], dtype=np.uint64).view(np.int64).tolist()
+
+
+def similar_links(docs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """(a, b): fingerprints of texts of ``docs`` (text) with a Jaccard similarity of at least ``similarity``.
+
+    Texts that share a band meet one of the band's texts, another one in each band: no pairs
+    of a band are formed. Every pair that meets is compared by its whole sets of shingles.
+    """
+    texts = docs.select(F.xxhash64("text").alias("t"), "text").dropDuplicates(["t"])
+
+    def make():
+        return lambda cols: {"t": cols["t"], "bands": [minimum_bands(shingle_hashes(x or "", shingle_words)) for x in cols["text"]]}
+
+    banded = map_rows(texts, make, "t bigint, bands array<bigint>").select("t", F.explode("bands").alias("band"))
+    banded = materialize(banded, "bands")
+    centers = banded.groupBy("band").agg(F.min(F.struct(F.xxhash64("t", "band"), "t")).alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", F.col("m.t").alias("c"))
+    pairs = materialize(banded.join(centers, "band").filter("t <> c").select(F.least("t", "c").alias("t"), F.greatest("t", "c").alias("c")).distinct(), "band-pairs")
+    met = pairs.select("t").union(pairs.select("c")).distinct()
+    texts = materialize(texts.join(met, "t", "left_semi"), "met-texts")
+    both = pairs.join(texts, "t").withColumnRenamed("text", "x").join(texts.select(F.col("t").alias("c"), F.col("text").alias("y")), "c").select("x", "y")
+
+    def compare():
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+        def step(cols):
+            out: dict[str, list] = {"a": [], "b": []}
+            for x, y in zip(cols["x"], cols["y"], strict=True):
+                h, g = shingle_hashes(x, shingle_words), shingle_hashes(y, shingle_words)
+                s, u = set(h.tolist()), set(g.tolist())
+                if len(s & u) >= similarity * len(s | u):
+                    out["a"].append(signed(majority(h)))
+                    out["b"].append(signed(majority(g)))
+            return out
+
+        return step
+
+    return map_rows(both, compare, "a bigint, b bigint").filter("a <> b").distinct()
+
+
+def components_of(docs: DataFrame, doc_id: str, text: str, shingle_words: int = SHINGLE_WORDS, distance: int = DISTANCE, similarity: float | None = None) -> DataFrame:
+    """The rows of near_duplicates, and root: the smallest fingerprint of the component, which stands for it.
+
+    With ``similarity``, texts of so high a Jaccard similarity of their shingles link too.
+    """
     keyed = docs.select(F.col(doc_id).alias("doc_id"), doc_key(F.col(doc_id), F.col(text)).alias("doc_key"), F.col(text).alias("text"))
     rows = materialize(fingerprints(keyed, "text", shingle_words), "fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    links = materialize(near_links(distinct.select("fp"), distance), "near-links")
+    links = near_links(distinct.select("fp"), distance)
+    if similarity is not None:
+        links = links.unionByName(similar_links(keyed, shingle_words, similarity))
+    links = materialize(links, "near-links")
     found = components(links)
     tied = found.join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "least")
     roots = tied.groupBy("root").agg(F.min("least").alias("component_id"))
