@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,17 +45,75 @@ def with_ratio(pairs: DataFrame, a: str, b: str, to: str = "ratio") -> DataFrame
     return pairs.withColumn(to, ratio(F.coalesce(F.col(a), F.lit("")), F.coalesce(F.col(b), F.lit(""))))
 
 
+#: Distinct titles of either side in a block.
+BLOCK_TITLES = 2_048
+
+
+def ratios_to(a: str, codes: np.ndarray, lengths: np.ndarray, alphabet: dict[str, int], others: list[str]) -> np.ndarray:
+    """token_sort_ratio of ``a`` with each of ``others``, all given as sorted tokens.
+
+    ``codes``: a row for each place, the number that ``alphabet`` gives the character there, or 0 past the end.
+    """
+    if len(a) > 64:
+        common = np.array([common_length(a, b) for b in others])
+    else:
+        places = np.zeros(len(alphabet) + 1, np.uint64)
+        for i, c in enumerate(a):
+            if c in alphabet:
+                places[alphabet[c]] |= np.uint64(1 << i)
+        full = np.uint64((1 << len(a)) - 1)
+        open_ = np.full(len(others), full)
+        for at in codes:
+            hit = open_ & places[at]
+            open_ = ((open_ + hit) | (open_ - hit)) & full
+        common = len(a) - np.bitwise_count(open_).astype(np.int64)
+    both = lengths + len(a)
+    return np.where(both > 0, 200.0 * common / np.maximum(both, 1), 100.0)
+
+
+def all_ratios(left: DataFrame, right: DataFrame, threshold: float | None = None) -> DataFrame:
+    """(a, b, ratio): the distinct titles of ``left`` against those of ``right`` (one column each), without nulls.
+
+    Pairs with at least the threshold; without one, for each block of ``right`` the best b of
+    each a, the largest on a tie.
+    """
+    ship(left.sparkSession)
+    m, n = (max(1, -(-side.count() // BLOCK_TITLES)) for side in (left, right))
+    block = lambda side, k: F.pmod(F.xxhash64(side.columns[0]), F.lit(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    x = left.select(F.col(left.columns[0]).alias("a"), block(left, m).alias("i"), each(n).alias("j"))
+    y = right.select(F.col(right.columns[0]).alias("b"), block(right, n).alias("j"), each(m).alias("i"))
+
+    def rate(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, list] = {"a": [], "b": [], "ratio": []}
+        names = sorted(q["b"])
+        others = [sorted_tokens(b) for b in names]
+        alphabet = {c: k + 1 for k, c in enumerate(sorted(set("".join(others))))}
+        lengths = np.array([len(b) for b in others], np.int64)
+        codes = np.zeros((max(lengths, default=0), len(others)), np.int32)
+        for k, b in enumerate(others):
+            codes[: len(b), k] = [alphabet[c] for c in b]
+        for a in p["a"] if names else ():
+            ratios = ratios_to(sorted_tokens(a), codes, lengths, alphabet, others)
+            hits = np.flatnonzero(ratios >= threshold) if threshold is not None else np.flatnonzero(ratios == ratios.max())[-1:]
+            out["a"] += [a] * len(hits)
+            out["b"] += [names[k] for k in hits]
+            out["ratio"] += ratios[hits].tolist()
+        return pd.DataFrame({c: pd.Series(v, dtype="float64" if c == "ratio" else object) for c, v in out.items()})
+
+    return x.groupBy("i", "j").cogroup(y.groupBy("i", "j")).applyInPandas(rate, "a string, b string, ratio double")
+
+
 def check_breadcrumbs(pages: DataFrame, threshold: float = 60.0) -> DataFrame:
     """G10. Ratio of title and last breadcrumb part of ``pages`` (url, title, last_part); below the threshold the best other part, if better.
 
-    Only distinct mismatched titles meet the distinct parts, and only where they share a token.
+    Only distinct mismatched titles meet the distinct parts, all of them.
     """
     rated = with_ratio(pages, "title", "last_part")
     poor = rated.filter(F.col("ratio") < threshold)
-    token = lambda c: F.explode(F.array_distinct(F.split(F.lower(c), " ")))
-    parts = pages.select(F.col("last_part").alias("candidate")).distinct()
-    tried = poor.select("title").distinct().withColumn("t", token("title")).join(parts.withColumn("t", token("candidate")), "t").select("title", "candidate").distinct()
-    best = with_ratio(tried, "title", "candidate", "better").groupBy("title").agg(F.max_by(F.struct("candidate", "better"), F.struct("better", "candidate")).alias("b"))
+    parts = pages.select(F.col("last_part").alias("candidate")).filter("candidate IS NOT NULL").distinct()
+    tried = all_ratios(poor.select("title").filter("title IS NOT NULL").distinct(), parts)
+    best = tried.groupBy("a").agg(F.max_by(F.struct(F.col("b").alias("candidate"), F.col("ratio").alias("better")), F.struct("ratio", "b")).alias("b")).withColumnRenamed("a", "title")
     joined = rated.join(best, "title", "left")
     use = (F.col("ratio") < threshold) & (F.col("b.better") > F.col("ratio"))
     return joined.select("url", "title", "last_part", F.round("ratio", 4).alias("ratio"), (F.col("ratio") < threshold).alias("mismatch"), F.when(use, F.col("b.candidate")).alias("suggestion"))
@@ -63,14 +122,11 @@ def check_breadcrumbs(pages: DataFrame, threshold: float = 60.0) -> DataFrame:
 def fuzzy_matches(own: DataFrame, other: DataFrame, threshold: float = 90.0) -> DataFrame:
     """G3, second pass. Best title of ``other`` for each title of ``own`` (id, title) with a ratio of at least the threshold.
 
-    Candidates share a token and their lengths allow the ratio: 2 * shorter / (a + b) >= threshold.
+    Every distinct title meets every other one, in blocks: the ratio does not imply a common token.
     """
-    token = lambda c: F.explode(F.array_distinct(F.split(F.lower(c), " ")))
-    a = own.select(F.col("id").alias("own_id"), F.col("title").alias("own_title")).withColumn("t", token("own_title"))
-    b = other.select(F.col("id").alias("other_id"), F.col("title").alias("other_title")).withColumn("t", token("other_title"))
-    la, lb = F.length("own_title"), F.length("other_title")
-    titles = a.select("own_title", "t").distinct().join(b.select("other_title", "t").distinct(), "t").filter(200 * F.least(la, lb) >= threshold * (la + lb)).select("own_title", "other_title").distinct()
-    alike = with_ratio(titles, "own_title", "other_title").filter(F.col("ratio") >= threshold)
+    a = own.select(F.col("id").alias("own_id"), F.col("title").alias("own_title")).filter("own_title IS NOT NULL")
+    b = other.select(F.col("id").alias("other_id"), F.col("title").alias("other_title")).filter("other_title IS NOT NULL")
+    alike = all_ratios(a.select("own_title").distinct(), b.select("other_title").distinct(), threshold).toDF("own_title", "other_title", "ratio")
     rated = alike.join(a.select("own_id", "own_title").distinct(), "own_title").join(b.select("other_id", "other_title").distinct(), "other_title")
     first = Window.partitionBy("own_id").orderBy(F.desc("ratio"), "other_id")
     return rated.withColumn("n", F.row_number().over(first)).filter("n = 1").select("own_id", "other_id", F.round("ratio", 4).alias("ratio"))
