@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import map_rows
+from lodestar.llm.common import col, fresh, map_rows, others
 
 #: Pre-token pattern of byte-level BPE (fixed values); the alternatives exclude each other but for the last two.
 PRE_TOKEN = r" ?\p{L}+| ?\p{N}+|'(?:s|t|re|ve|m|ll|d)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -252,51 +252,43 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str =
     n_tokens, ids_sha256 and decoded_sha256, so that whole id lists need not leave the task.
 
     A null text counts as empty: no ids. Empty and very long texts, repeated rows and empty
-    tables need no special case. A column of ``docs`` that has the name of a result is replaced.
-    Each row depends on its own text only, so nothing is shuffled.
+    tables need no special case. A column of ``docs`` that has the name of a result is replaced,
+    others may have any names. Each row depends on its own text only, so nothing is shuffled.
     """
     spark = docs.sparkSession
     with open(vocabulary, encoding="utf-8") as f:
         sent = spark.sparkContext.broadcast(f.read())
-    made = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else [ids, *([decoded] if decoded else [])]
-    keep = [c for c in docs.columns if c not in made]
-    kept = docs.select(*keep, F.col(text).alias("__text")) if text in made or text not in keep else docs.select(*keep)
-    source = "__text" if "__text" in kept.columns else text
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text"]
-    fields += ["n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"] if digests else [f"`{ids}` array<bigint>", *([f"`{decoded}` string"] if decoded else [])]
+    made = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"} if digests else {ids: "array<bigint>", **({decoded: "string"} if decoded else {})}
+    keep = others(docs, *made)
+    (read,) = fresh(docs, "text_read")
 
     def make():
         bpe = encoder(sent.value)
 
         def step(cols):
-            coded = bpe.encode_many([t or "" for t in cols[source]])
-            out = {c: cols[c] for c in cols if c != "__text"}
+            coded = bpe.encode_many([t or "" for t in cols[read]])
             if digests:
-                out["n_tokens"] = [len(c) // 4 for c in coded]
-                out["ids_sha256"] = [hashlib.sha256(c).hexdigest() for c in coded]
-                out["decoded_sha256"] = [hashlib.sha256(bpe.decode(c).encode()).hexdigest() for c in coded]
-            else:
-                out[ids] = [array("I", c).tolist() for c in coded]
-                if decoded:
-                    out[decoded] = [bpe.decode(c) for c in coded]
-            return out
+                return {"n_tokens": [len(c) // 4 for c in coded], "ids_sha256": [hashlib.sha256(c).hexdigest() for c in coded], "decoded_sha256": [hashlib.sha256(bpe.decode(c).encode()).hexdigest() for c in coded]}
+            return {ids: [array("I", c).tolist() for c in coded]} | ({decoded: [bpe.decode(c) for c in coded]} if decoded else {})
 
         return step
 
-    return map_rows(kept, make, ", ".join(fields), 200)
+    return map_rows(docs.select(*map(col, keep), col(text).alias(read)), make, ", ".join(f"`{n}` {t}" for n, t in made.items()), keep, 200)
 
 
 def bpe_decode(tokens: DataFrame, vocabulary: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """Add ``text``, the decoding of the id lists in ``ids``; a null list decodes to the empty string.
 
-    Bytes that are not UTF-8 become U+FFFD; an id outside the vocabulary is an error.
+    Bytes that are not UTF-8 become U+FFFD; an id outside the vocabulary is an error. Empty
+    lists, repeated rows and empty tables need no special case; a column named ``text`` is replaced.
     """
     with open(vocabulary, encoding="utf-8") as f:
         sent = tokens.sparkSession.sparkContext.broadcast(f.read())
-    kept = tokens.select(*[c for c in tokens.columns if c != text])
+    keep = others(tokens, text)
+    (read,) = fresh(tokens, "ids_read")
 
     def make():
         bpe = encoder(sent.value)
-        return lambda cols: cols | {text: [bpe.decode(array("I", x or []).tobytes()) for x in cols[ids]]}
+        return lambda cols: {text: [bpe.decode(array("I", x or []).tobytes()) for x in cols[read]]}
 
-    return map_rows(kept, make, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + [f"`{text}` string"]), 500)
+    return map_rows(tokens.select(*map(col, keep), col(ids).alias(read)), make, f"`{text}` string", keep)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import map_rows, materialize, words_of
+from lodestar.llm.common import col, fresh, map_rows, materialize, others, words_of
 from lodestar.llm.quality_rules import text_counts
 from lodestar.sources.shipping import ship
 
@@ -24,8 +24,8 @@ FEATURES = ["log_words", "word_length", "symbols", "capitals", "dup_lines", "rep
 RANDOM_FEATURES, BANDWIDTH, RIDGE, SEED = 256, 3.0, 1e-3, 11
 #: Calibration sums are kept for so many equal steps of the ridge score from -0.5 to 1.5.
 STEPS = 2_000
-#: Partial sums meet in so many tasks before the driver adds them up.
-MEET = 16
+#: So many partial sums (of half a megabyte) meet in one task, and on the driver.
+MEET = 32
 
 _digits = str.maketrans("", "", "0123456789")
 _marks = str.maketrans("", "", ".,;:!?")
@@ -56,13 +56,13 @@ def statistics(text: str) -> list[float]:
 
 def document_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """The columns of ``docs`` but the text, and x: FEATURES; a null text counts as empty."""
-    keep = [c for c in docs.columns if c not in (text, "x")]
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
+    keep = others(docs, text, "x")
+    (read,) = fresh(docs, "text_read")
 
     def make():
-        return lambda cols: {c: cols[c] for c in keep} | {"x": [statistics(t or "") for t in cols["__text"]]}
+        return lambda cols: {"x": [statistics(t or "") for t in cols[read]]}
 
-    return map_rows(docs.select(*keep, F.col(text).alias("__text")), make, ", ".join([*fields, "x array<double>"]))
+    return map_rows(docs.select(*map(col, keep), col(text).alias(read)), make, "x array<double>", keep)
 
 
 class FourierMap:
@@ -80,8 +80,8 @@ class FourierMap:
         return np.hstack([z, np.ones((len(x), 1))])
 
 
-def normal_equations(train: DataFrame, phi: FourierMap) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sums of z z', z y and 1 over the rows (x, y): summed by partition, then in MEET tasks, then here."""
+def normal_equations(train: DataFrame, phi: FourierMap, fan: int = MEET) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sums of z z', z y and 1 over the rows (x, y): by partition, then ``fan`` sums at a time until ``fan`` are left."""
     ship(train.sparkSession)
     m = len(phi.b) + 1
 
@@ -99,12 +99,19 @@ def normal_equations(train: DataFrame, phi: FourierMap) -> tuple[np.ndarray, np.
         if n:
             yield pd.DataFrame({"sums": [pack(zz, zy, n)]})
 
-    def add(pdf):
-        return pd.DataFrame({"sums": [sum(np.frombuffer(s) for s in pdf["sums"]).tobytes()]})
-
-    parts = train.select("x", "y").mapInPandas(partial, "sums binary").withColumn("at", F.pmod(F.spark_partition_id(), F.lit(MEET)))
-    got = [np.frombuffer(r["sums"]) for r in parts.groupBy("at").applyInPandas(add, "sums binary").collect()]  # MEET rows at most
-    total = sum(got) if got else np.zeros(m * m + m + 1)
+    def add(key, pdf):
+        total = np.zeros(m * m + m + 1)
+        for s in pdf["sums"]:
+            total += np.frombuffer(s)
+        return pd.DataFrame({"at": [key[0]], "sums": [total.tobytes()]})
+
+    parts = train.select("x", "y").mapInPandas(partial, "sums binary").select(F.spark_partition_id().alias("at"), "sums")
+    parts = materialize(parts, "normal-equations")
+    while parts.count() > fan:  # no task holds more than fan sums, whatever the number of partitions
+        parts = materialize(parts.withColumn("at", F.floor(F.col("at") / fan).cast("int")).groupBy("at").applyInPandas(add, "at int, sums binary"), "normal-equations")
+    total = np.zeros(m * m + m + 1)
+    for r in parts.collect():
+        total += np.frombuffer(r["sums"])
     return total[: m * m].reshape(m, m), total[m * m : -1], int(total[-1])
 
 
@@ -136,7 +143,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     counts as 1 if any label is. Repeated rows get equal scores. Without labels of both kinds
     to learn from, every score is the share of ones, or 0.5 without any; an empty table gives no rows.
     """
-    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    named = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
     rows = materialize(document_statistics(named).withColumn("fold", remainder(F.col("doc_id"))), "quality-statistics")
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("y"))
     learn = materialize(rows.filter("fold <> 1").join(known, "doc_id").select("fold", "x", "y"), "quality-labelled")
@@ -156,10 +163,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
 
     def ridge():
         f, w = model.value
-        return lambda cols: {c: v for c, v in cols.items() if c != "x"} | {"raw": f(np.array(cols["x"]).reshape(-1, d)) @ w}
+        return lambda cols: {"raw": f(np.array(cols["x"]).reshape(-1, d)) @ w}
 
     step = F.least(F.greatest(F.floor((F.col("raw") + 0.5) * (STEPS / 2)), F.lit(0)), F.lit(STEPS - 1))
-    held = map_rows(learn.filter("fold = 2").select("x", "y"), ridge, "y int, raw double", 2_000)
+    held = map_rows(learn.filter("fold = 2").select("y", "x"), ridge, "raw double", ["y"], 2_000)
     sums = held.groupBy(step.alias("at")).agg(F.sum("y").alias("ones"), F.count(F.lit(1)).alias("n")).orderBy("at").collect()  # STEPS rows at most
     if sums:
         places, shares = isotonic(np.array([(r["at"] + 0.5) / (STEPS / 2) - 0.5 for r in sums]), np.array([float(r["ones"]) for r in sums]), np.array([float(r["n"]) for r in sums]))
@@ -171,11 +178,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
         raw, (p, s) = ridge(), knots.value
 
         def do(cols):
-            out = raw(cols)
-            score = np.clip(np.interp(out.pop("raw"), p, s), 0.0, 1.0)
-            return out | {"score": score, "predicted": (score >= 0.5).astype(int)}
+            score = np.clip(np.interp(raw(cols)["raw"], p, s), 0.0, 1.0)
+            return {"score": score, "predicted": (score >= 0.5).astype(int)}
 
         return do
 
-    scored = map_rows(rows.select("doc_id", (F.col("fold") == 1).alias("held_out"), "x"), calibrated, f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, score double, predicted int", 2_000)
-    return scored
+    return map_rows(rows.select("doc_id", (F.col("fold") == 1).alias("held_out"), "x"), calibrated, "score double, predicted int", ["doc_id", "held_out"], 2_000)

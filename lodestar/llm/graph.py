@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import materialize
+from lodestar.llm.common import discard, materialize
 
 #: Far above what the alternation needs (about the logarithm of the number of nodes).
 MOST_ROUNDS = 60
@@ -32,7 +32,8 @@ def components(links: DataFrame) -> DataFrame:
         # small star: the smaller neighbours and the node itself go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least.withColumnRenamed("u", "c"), F.col("u") == F.col("c")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.filter("u <> v").distinct(), "links")
+        before, edges = edges, materialize(small.filter("u <> v").distinct(), "links")
+        discard(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

@@ -1,14 +1,19 @@
 """Operator 5. Approximate nearest neighbours by an inverted multi-index.
 
-Both halves of the vectors are quantised on their own, with a codebook of ``CODES`` centroids
-each, so that CODES ** 2 pairs of centroids make the cells of the index. For a query the
-pairs are traversed with a heap in the order of their summed nearness (the inner products of
-the query's halves with the centroids), until the cells hold ``share`` of all entries; the
-entries met are reranked by the exact inner product in double precision.
-
-Codebooks come from a bounded sample; every vector is indexed. The index is dealt into shards
-by the hash of the id, so that a hot cell is spread over all of them, and each shard is
-searched for a block of queries at a time; a query's best from every shard are merged.
+Both halves of the vectors are quantised on their own, with a codebook of K centroids each,
+so that K ** 2 pairs of centroids make the cells of the index; K grows as the square root of
+the number of vectors. For a query the pairs are traversed with a heap in the order of their
+summed nearness (the inner products of the query's halves with the centroids), until the
+cells hold a share of all entries; the entries met are reranked by the exact inner product in
+double precision.
+
+The share is calibrated: a bounded sample of queries is compared with every vector, and the
+share is the least one that meets the wanted recall on them. More vectors give more codes, and
+a query's neighbours stand out more, so the share falls as the index grows.
+
+Codebooks come from a bounded sample; every vector is indexed. Cells are dealt into shards in
+their order, a cell of more rows than a shard's is split by row, and a query goes only to the
+shards whose cells it visits.
 """
 
 from __future__ import annotations
@@ -21,16 +26,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import map_rows
+from lodestar.llm.common import col, map_rows, materialize
 from lodestar.sources.shipping import ship
 
-CODES, ROUNDS = 32, 12
-#: Vectors that the codebooks are fitted on, about.
-SAMPLE = 20_000
-#: Share of the entries that a query's cells hold. Vectors that are nearly orthogonal need much:
-#: at 0.65 recall of the 20 nearest is 0.96 on 10,000 and 0.97 on 50,000 of them.
-SHARE = 0.65
-SHARD_ROWS, LEAST_SHARDS, BLOCK_QUERIES = 32_768, 12, 8_192
+ROUNDS = 12
+#: Codes of a half: the power of two nearest to the root of the number of vectors by CODES_ROOT, within these.
+LEAST_CODES, MOST_CODES, CODES_ROOT = 8, 1_024, 3.0
+#: Vectors that the codebooks are fitted on, and queries that the share is calibrated with, about.
+SAMPLE, ASKED = 40_000, 128
+#: Recall that the calibrated share meets on the sampled queries.
+RECALL = 0.95
+SHARD_ROWS, BLOCK_QUERIES, AT_ONCE = 16_384, 8_192, 64
+#: Below this part of a shard's rows a query's entries are gathered, above it all are multiplied.
+GATHER = 0.1
 
 
 def kmeans(points: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -80,95 +88,196 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, highest first, ties to the smaller id."""
-    if len(ids) > k:
-        few = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
-    else:
-        few = np.arange(len(ids))
-    return few[np.lexsort((ids[few], -scores[few]))][:k]
+def best(x: np.ndarray, v: np.ndarray, among: np.ndarray, near: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k rows of ``x`` nearest to ``v`` among those in ``among``, ties by ``order``, and their exact scores.
+
+    ``near``: scores from a matrix product, right but for rounding. Whatever may be among the
+    k is scored anew, row by row, so that equal vectors get equal scores.
+    """
+    if len(among) > k:
+        bound = np.partition(near, len(near) - k)[len(near) - k]
+        among = among[near >= bound - 1e-9 * max(1.0, abs(bound))]
+    scores = (x[among] * v).sum(axis=1)
+    first = np.lexsort((order[among], -scores))[:k]
+    return among[first], scores[first]
+
+
+def codes_for(n: int) -> int:
+    """Centroids of each half for ``n`` vectors."""
+    return int(min(MOST_CODES, max(LEAST_CODES, 2 ** round(math.log2(max(1.0, math.sqrt(n) / CODES_ROOT))))))
 
 
-def search(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 20, share: float = SHARE, codes: int = CODES, sample: int = SAMPLE) -> DataFrame:
+def deal(held: np.ndarray, shard_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """First shard of each cell, and number of shards that a cell is split into: cells in order, up to ``shard_rows`` rows a shard."""
+    parts = np.maximum(1, -(-held // shard_rows))
+    first = np.zeros(len(held), np.int64)
+    shard = rows = 0
+    for c, (n, p) in enumerate(zip(held.tolist(), parts.tolist(), strict=True)):
+        if rows and rows + n > shard_rows:
+            shard, rows = shard + 1, 0
+        first[c] = shard
+        rows += n
+        if p > 1:
+            shard, rows = shard + p, 0
+    return first, parts
+
+
+def search(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 20, share: float | None = None, codes: int | None = None, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row that ``queries`` selects.
 
     ``queries`` is a condition on the id. Nearness is the inner product of the original
-    vectors. Rows without an id, and vectors that are null, empty, zero or hold null or
-    non-finite components take no part, nor do vectors of another length than most have. An id
-    that repeats stands for one vector, the smallest. With no more than k candidates all are
-    returned; an empty table gives no rows.
+    vectors; ties go to the smaller id (a null one last). Every row is a candidate but the
+    query's own: rows with the same id are candidates, and queries, each on its own. Vectors
+    that are null, empty, zero or hold null or non-finite components take no part. A vector's
+    candidates are those of its length. With no more than k candidates all are returned; an
+    empty table gives no rows. Columns but id and vector are not read. Without ``share`` it is
+    calibrated for ``recall``; without ``codes`` they grow with the number of vectors.
     """
     spark = vectors.sparkSession
     ship(spark)
-    rows = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).agg(F.max(F.struct("n", "d")).alias("m")).first()["m"]
-    if sizes is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    d = sizes["d"]
-    rows = rows.filter(F.size("v") == d).groupBy("vec_id").agg(F.min("v").alias("v"))  # one vector for each id
-    n = rows.count()
-    half = d // 2
-    some = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // sample))) == 0) if n > sample else rows
-    drawn = sorted((r["vec_id"], r["v"]) for r in some.select("vec_id", "v").collect())
+    rows = vectors.select(col(vec_id).cast("bigint").alias("vec_id"), col(embedding).cast("array<double>").alias("v"))
+    rows = rows.withColumn("asked", F.coalesce(queries, F.lit(False))).filter(usable(F.col("v")))
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")  # the row's number is fixed from here on
+    lengths = [(r["d"], r["n"]) for r in rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    found = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    for d, n in sorted(lengths):
+        found = found.unionByName(_search(rows.filter(F.size("v") == d), d, n, k, share, codes or codes_for(n), sample, recall))
+    return found
+
+
+def _calibrated(rows: DataFrame, codebooks: tuple[np.ndarray, np.ndarray], held: np.ndarray, n: int, k: int, recall: float) -> tuple[float, float]:
+    """Share of the entries that finds ``recall`` of the k nearest of about ASKED sampled rows, compared with all rows; and the recall at it."""
+    a, b = codebooks
+    half = a.shape[1]
+    drawn = sorted((r["row"], r["v"]) for r in _some(rows, n, ASKED).select("row", "v").collect())
+    asked, q = np.array([r for r, _ in drawn]), np.array([v for _, v in drawn])
+    sent = rows.sparkSession.sparkContext.broadcast((asked, q))  # ASKED vectors, about
+
+    def nearest_here(batches):
+        own, x_q = sent.value
+        for pdf in batches:
+            x, at, cell = np.stack(pdf["v"].to_numpy()), pdf["row"].to_numpy(), pdf["cell"].to_numpy()
+            s = x_q @ x.T
+            s[own[:, None] == at[None]] = -np.inf
+            few = min(k, s.shape[1])
+            top = np.argpartition(-s, few - 1, axis=1)[:, :few]
+            who = np.repeat(np.arange(len(x_q)), few)
+            yield pd.DataFrame({"q": who, "score": np.take_along_axis(s, top, 1).ravel(), "cell": cell[top.ravel()]})
+
+    all_near = rows.select("row", "v", "cell").mapInPandas(nearest_here, "q bigint, score double, cell bigint").filter("score > double('-infinity')")
+    by_query = Window.partitionBy("q").orderBy(F.desc("score"))
+    true = all_near.withColumn("r", F.row_number().over(by_query)).filter(F.col("r") <= k).select("q", "cell").toPandas()  # ASKED * k rows, about
+    reached: list[float] = []
+    for i, cells in true.groupby("q")["cell"]:
+        sums = (q[i, :half] @ a.T)[:, None] + (q[i, half:] @ b.T)[None]
+        flat = sums.ravel()
+        reached += [held[flat >= flat[c]].sum() / n for c in cells]
+    reached.sort()
+    at = min(len(reached) - 1, math.ceil(recall * len(reached)) - 1)
+    return float(reached[at]), (at + 1) / len(reached)
+
+
+def _some(rows: DataFrame, n: int, most: int) -> DataFrame:
+    """About ``most`` of the ``n`` rows, by a hash of the row's number."""
+    return rows.filter(F.pmod(F.xxhash64("row"), F.lit(max(1, n // most))) == 0)
+
+
+def _search(rows: DataFrame, d: int, n: int, k: int, share: float | None, codes: int, sample: int, recall: float) -> DataFrame:
+    """``search`` over ``n`` rows (vec_id, v, asked, row) of vectors of ``d`` components."""
+    spark, half = rows.sparkSession, d // 2
+    drawn = sorted((r["row"], r["v"]) for r in _some(rows, n, sample).select("row", "v").collect())
     points = np.array([v for _, v in drawn] or [[0.0] * d])
     books = spark.sparkContext.broadcast((kmeans(points[:, :half], codes), kmeans(points[:, half:], codes)))
-    shards = max(LEAST_SHARDS, math.ceil(n / SHARD_ROWS))
+    a, b = books.value
 
     def assign():
         a, b = books.value
 
         def step(cols):
             x = np.array(cols["v"]).reshape(-1, d)
-            return cols | {"cell": nearest(x[:, :half], a) * len(b) + nearest(x[:, half:], b)}
+            return {"v": list(x), "cell": nearest(x[:, :half], a) * len(b) + nearest(x[:, half:], b)}
 
         return step
 
-    indexed = map_rows(rows, assign, "vec_id bigint, v array<double>, cell int", 5_000)
-    held = np.zeros(codes * codes, np.int64)  # codes ** 2 counts
+    indexed = materialize(map_rows(rows.select("vec_id", "asked", "row", "v"), assign, "v array<double>, cell bigint", ["vec_id", "asked", "row"], 5_000), "index")
+    held = np.zeros(len(a) * len(b), np.int64)  # MOST_CODES ** 2 counts at most
     for r in indexed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
         held[r["cell"]] = r["n"]
-    counts = spark.sparkContext.broadcast(held)
+    if share is None:
+        share = _calibrated(indexed, (a, b), held, n, k, recall)[0] if n > k + 1 else 1.0
+    enough = max(share * n, k) + 1
+    first, parts = deal(held, SHARD_ROWS)
+    plan_of = spark.sparkContext.broadcast((held, first, parts))
+
+    def shards():
+        _, first, parts = plan_of.value
+
+        def step(cols):
+            cell, row = np.array(cols["in_cell"], dtype=np.int64), np.array(cols["at_row"], dtype=np.int64)
+            return {"shard": first[cell] + row % parts[cell]}
+
+        return step
 
     def plan():
-        (a, b), h = books.value, counts.value
+        (a, b), (held, first, parts) = books.value, plan_of.value
 
         def step(cols):
-            x = np.array(cols["v"]).reshape(-1, d)
+            x = np.array(cols["at_v"]).reshape(-1, d)
             u, w = x[:, :half] @ a.T, x[:, half:] @ b.T
-            return cols | {"cells": [traverse(u[i], w[i], h, max(share * n, k) + 1) for i in range(len(x))]}
+            out = []
+            for i in range(len(x)):
+                cells = np.array(sorted(traverse(u[i], w[i], held, enough)), dtype=np.int64)
+                by: dict[int, list[int]] = {}
+                edges = np.flatnonzero(np.diff(first[cells])) + 1
+                for some in np.split(cells, edges):
+                    for shard in range(int(first[some[0]]), int(first[some[0]] + parts[some].max())):
+                        by[shard] = [c for c in some.tolist() if shard < first[c] + parts[c]]
+                out.append([{"shard": s, "cells": c} for s, c in by.items()])
+            return {"visits": out}
 
         return step
 
-    asked = rows.filter(queries)
-    blocks = max(1, math.ceil(asked.count() / BLOCK_QUERIES))
-    asked = map_rows(asked, plan, "vec_id bigint, v array<double>, cells array<int>", 1_000)
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    blocks = max(1, math.ceil(indexed.filter("asked").count() / BLOCK_QUERIES))
+    asked = map_rows(indexed.filter("asked").select("vec_id", "row", "v", F.col("v").alias("at_v")), plan, "visits array<struct<shard:bigint,cells:array<bigint>>>", ["vec_id", "row", "v"], 1_000)
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")).select("vec_id", "row", "v", "block", F.explode("visits").alias("visit")).select("vec_id", "row", "v", "block", F.col("visit.shard").alias("shard"), F.col("visit.cells").alias("cells"))
     # in blocks: a stated set of queries against all rows
-    dealt = indexed.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    entries = map_rows(indexed.select("vec_id", "row", "v", "cell", F.col("cell").alias("in_cell"), F.col("row").alias("at_row")), shards, "shard bigint", ["vec_id", "row", "v", "cell"], 5_000)
+    dealt = entries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def rerank(entries: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+        out: dict[str, list] = {"query_row": [], "query_id": [], "row": [], "score": []}
         if len(entries) and len(questions):
-            ids, cells = entries["vec_id"].to_numpy(), entries["cell"].to_numpy()
-            x = np.stack(entries["v"].to_numpy())
-            order = np.lexsort((*x.T[::-1], ids))
-            order = order[np.append(True, np.diff(ids[order]) != 0)]  # one vector for each id
-            order = order[np.argsort(cells[order], kind="stable")]
-            ids, cells, x = ids[order], cells[order], np.ascontiguousarray(x[order])
-            bounds = np.searchsorted(cells, np.arange(codes * codes + 1))
-            for q, v, visited in zip(questions["vec_id"], questions["v"], questions["cells"], strict=True):
-                lists = [np.arange(bounds[c], bounds[c + 1]) for c in visited if bounds[c] < bounds[c + 1]]
-                if not lists:
-                    continue
-                met = np.concatenate(lists)
-                met = met[ids[met] != q]
-                scores = (x[met] * v).sum(axis=1)  # row by row, so that equal vectors get equal scores
-                top = best(ids[met], scores, k)
-                out["query_id"].append(np.full(len(top), q))
-                out["vec_id"].append(ids[met][top])
-                out["score"].append(scores[top])
-        return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in out.items()}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    found = dealt.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(rerank, "query_id bigint, vec_id bigint, score double")
-    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            entries = entries.sort_values("cell", kind="stable")
+            own, cells, x = entries["row"].to_numpy(), entries["cell"].to_numpy(), np.stack(entries["v"].to_numpy())
+            ids = entries["vec_id"].to_numpy(dtype=float, na_value=np.inf)  # only for the order: a null id is last
+            order = np.empty(len(ids), np.int64)
+            order[np.lexsort((own, ids))] = np.arange(len(ids))
+            here, start = np.unique(cells, return_index=True)
+            stop = np.append(start[1:], len(cells))
+            for at in range(0, len(questions), AT_ONCE):
+                some = questions.iloc[at : at + AT_ONCE]
+                v = np.stack(some["v"].to_numpy())
+                lists = []
+                for q, visited in zip(some["row"], some["cells"], strict=True):
+                    place = np.searchsorted(here, visited)
+                    place = place[(place < len(here)) & (here[np.minimum(place, len(here) - 1)] == visited)]
+                    met = np.concatenate([np.arange(start[p], stop[p]) for p in place]) if len(place) else np.array([], np.int64)
+                    lists.append(met[own[met] != q])
+                dense = sum(map(len, lists)) > GATHER * len(x) * len(lists)
+                near = v @ x.T if dense else None
+                for i, (met, q, name) in enumerate(zip(lists, some["row"], some["vec_id"], strict=True)):
+                    if not len(met):
+                        continue
+                    top, scores = best(x, v[i], met, near[i, met] if dense else x[met] @ v[i], order, k)
+                    out["query_row"].append(np.full(len(top), q))
+                    out["query_id"].append(np.full(len(top), name))
+                    out["row"].append(top)
+                    out["score"].append(scores)
+            ids_here = entries["vec_id"].reset_index(drop=True)
+        found = pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in out.items()}).astype({"query_row": "int64", "query_id": "int64", "score": "float64"})
+        found["vec_id"] = ids_here.iloc[found["row"].astype("int64")].to_numpy() if len(found) else pd.Series([], dtype="int64")
+        return found[["query_row", "query_id", "vec_id", "score"]]
+
+    found = dealt.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(rerank, "query_row bigint, query_id bigint, vec_id bigint, score double")
+    by_query = Window.partitionBy("query_row").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

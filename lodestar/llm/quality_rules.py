@@ -1,16 +1,17 @@
 """Operator 1. Quality rules whose cutoffs are certified on labelled documents.
 
-Each rule rejects documents whose ratio is above a cutoff. A cutoff is certified for a
-stratum if the share of good documents that it rejects there (the false rejection risk) is
-shown to be at most ``risk`` by an exact binomial test: with k of n good labelled documents
-rejected, the p-value is P(Binomial(n, risk) <= k), and the cutoff passes if p <= ``level``
-divided by the number of (stratum, rule) pairs. Within a pair the cutoffs are tested in a
-fixed order, from lax to strict, up to the first that fails, so that their number costs
-nothing. With probability 1 - ``level`` all certified cutoffs keep their bound; several rules
-together reject at most the sum of their risks. The cutoffs on trial are fixed beforehand,
-so all labelled documents serve as the holdout.
-
-A stratum or rule without a certified cutoff rejects nothing.
+Each rule rejects documents whose ratio is above a cutoff. The cutoffs of all rules are
+tightened together along a path fixed beforehand, from lax to strict. A step of the path is
+certified for a stratum if the share of good documents that its rules reject there *taken
+together* (the false rejection risk) is shown to be at most ``risk`` by an exact binomial
+test: with k of n good labelled documents rejected by any rule, the p-value is
+P(Binomial(n, risk) <= k), and the step passes if p <= ``level`` divided by the number of
+strata (Bonferroni). Within a stratum the steps are tested in their order up to the first
+that fails, so that their number costs nothing. With probability 1 - ``level`` the certified
+rules keep the bound in every stratum. The path is fixed beforehand, so all labelled
+documents serve as the holdout.
+
+A stratum without a certified step rejects nothing by these rules.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import map_rows, materialize, words_of
+from lodestar.llm.common import col, fresh, map_rows, materialize, others, same_rows, words_of
 
 #: The base contract: fewer words, or a larger percentage of words in repeated windows, fails.
 LEAST_WORDS, MOST_REPEAT_PERCENT = 50, 50
@@ -35,9 +36,11 @@ RULES: dict[str, tuple[str, str, tuple[int, ...]]] = {
     "dup_lines_per_word": ("n_dup_lines", "n_words", (500, 300, 200, 100, 70, 50, 30, 20)),
     "repeat_share": ("n_repeat_words", "n_words", (500, 450, 400, 350, 300, 250, 200, 150)),
 }
-RISK, LEVEL = 0.01, 0.05
+#: Steps of the path; step i takes the cutoff i of every rule, or its last one.
+STEPS = max(len(cutoffs) for _, _, cutoffs in RULES.values())
+RISK, LEVEL = 0.025, 0.05
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals"]
-#: Certified cutoffs are broadcast up to so many strata.
+#: Certified steps are broadcast up to so many strata.
 MOST_STRATA = 10_000
 
 _symbols = re.compile(r"[#*$%&|<>]+").findall
@@ -68,23 +71,27 @@ def text_counts(text: str) -> tuple[int, int, int, int, int, int]:
 
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """COUNTS of every document beside its other columns (without the text); a null text has no words."""
-    keep = [c for c in docs.columns if c != text and c not in COUNTS]
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
 
     def make():
         def step(cols):
-            found = [text_counts(t or "") for t in cols.pop("__text")]
-            return cols | {c: [x[i] for x in found] for i, c in enumerate(COUNTS)}
+            ((_, texts),) = cols.items()
+            found = [text_counts(t or "") for t in texts]
+            return {c: [x[i] for x in found] for i, c in enumerate(COUNTS)}
 
         return step
 
-    return map_rows(docs.select(*keep, F.col(text).alias("__text")), make, ", ".join([*fields, *[f"{c} bigint" for c in COUNTS]]))
+    keep = others(docs, text, *COUNTS)
+    return map_rows(docs.select(*map(col, keep), col(text)), make, ", ".join(f"{c} bigint" for c in COUNTS), keep)
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT_PERCENT * F.col("n_words"))
 
 
+def cutoff_at(rule: str, step: int) -> int:
+    return RULES[rule][2][min(step, len(RULES[rule][2]) - 1)]
+
+
 def over(rule: str, cutoff: Column | int) -> Column:
     """Whether the rule's ratio is above the cutoff, in whole numbers; never for an empty document."""
     above, below, _ = RULES[rule]
@@ -99,69 +106,67 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.fsum(map(math.exp, terms)))
 
 
-def certified_cutoffs(counts: DataFrame, labels: DataFrame, stratum: str, risk: float = RISK, level: float = LEVEL) -> DataFrame:
-    """(stratum, rule, cutoff): the strictest certified cutoff of each pair that has one.
+def certified_steps(counts: DataFrame, labels: DataFrame, stratum: str, doc_id: str = "doc_id", risk: float = RISK, level: float = LEVEL) -> DataFrame:
+    """(stratum, step): the strictest certified step of each stratum that has one.
 
-    ``counts``: doc_id, ``stratum`` and COUNTS; ``labels``: doc_id and quality (1 is good; other
+    ``counts``: ``doc_id``, ``stratum`` and COUNTS; ``labels``: doc_id and quality (1 is good; other
     values and null aren't; a doc_id labelled twice counts once, good if any label says so).
-    Only good documents that pass the base contract count. A null stratum is a stratum.
+    Only good documents that pass the base contract count; rows that share a labelled id all
+    count. A null stratum is a stratum; empty labels certify nothing.
     """
-    good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    held = counts.filter(~base_failed()).join(good, "doc_id", "left_semi")
-    trials = [(r, c) for r, (_, _, cutoffs) in RULES.items() for c in cutoffs]
-    sums = held.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(over(r, c)).alias(f"{r}_{c}") for r, c in trials])
+    good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("good_id")).distinct()
+    held = counts.filter(~base_failed()).join(good, col(doc_id) == F.col("good_id"), "left_semi")
+    any_rule = [reduce(Column.__or__, [over(r, cutoff_at(r, i)) for r in RULES]) for i in range(STEPS)]
+    sums = held.groupBy(col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.count_if(c) for c in any_rule]).alias("k"))
     sums = materialize(sums, "quality-trials")
-    m = sums.count() * len(RULES)
-    tested = reduce(
-        DataFrame.unionByName,
-        [sums.select("stratum", "n", F.lit(r).alias("rule"), F.array(*[f"{r}_{c}" for c in cutoffs]).alias("k"), F.lit(list(cutoffs)).cast("array<int>").alias("cutoffs")) for r, (_, _, cutoffs) in RULES.items()],
-    )
+    m = max(1, sums.count())
 
     def make():
         def step(cols):
             best = []
-            for n, ks, cutoffs in zip(cols["n"], cols["k"], cols["cutoffs"], strict=True):
+            for n, ks in zip(cols["n"], cols["k"], strict=True):
                 strictest = None
-                for k, cutoff in zip(ks, cutoffs, strict=True):
+                for i, k in enumerate(ks):
                     # a share of at least the risk can't be shown to be below it
                     if k >= n * risk or binomial_tail(k, n, risk) > level / m:
                         break
-                    strictest = cutoff
+                    strictest = i
                 best.append(strictest)
-            return {"stratum": cols["stratum"], "rule": cols["rule"], "cutoff": best}
+            return {"step": best}
 
         return step
 
-    kind = dict(counts.dtypes)[stratum]
-    return map_rows(tested, make, f"stratum {kind}, rule string, cutoff int").filter("cutoff IS NOT NULL")
+    return map_rows(sums, make, "step int", ["stratum"]).filter("step IS NOT NULL")
 
 
-def apply_quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "text", risk: float = RISK, level: float = LEVEL) -> DataFrame:
+def apply_quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "text", doc_id: str = "doc_id", risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """Add COUNTS, base_failed, failed_rule and kept to the columns of ``docs`` without its text.
 
     kept is false if the base contract fails or if a rule certified for the document's stratum
     rejects it; failed_rule names the first such rule. Null or empty texts have no words and
-    fail the base contract. Repeated rows are judged alike; empty labels certify nothing.
-    Columns of ``docs`` with a result's name are replaced.
+    fail the base contract; null ids have no label. Repeated rows are judged alike; empty labels
+    certify nothing; an empty table gives no rows. Columns of ``docs`` with a result's name are
+    replaced; others may have any names.
     """
     made = [*COUNTS, "base_failed", "failed_rule", "kept"]
-    counts = materialize(base_counts(docs.select(*[c for c in docs.columns if c not in made]), text), "quality-counts")
-    cut = certified_cutoffs(counts, labels, stratum, risk, level).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("__cutoffs"))
-    cut = materialize(cut, "quality-cutoffs")
-    if cut.count() <= MOST_STRATA:
-        cut = F.broadcast(cut)
-    judged = counts.join(cut, counts[stratum].eqNullSafe(cut["stratum"]), "left").drop(cut["stratum"])
-    first = F.coalesce(*[F.when(over(r, F.try_element_at("__cutoffs", F.lit(r))), F.lit(r)) for r in RULES])
-    return judged.withColumns({"base_failed": base_failed(), "failed_rule": first}).withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull()).drop("__cutoffs")
-
-
-def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that the rules reject.
-
-    Documents are told apart by key and text; rows that share both are judged alike.
+    counts = materialize(base_counts(docs.select(*map(col, others(docs, *made))), text), "quality-counts")
+    in_stratum, at = fresh(counts, "stratum", "step")
+    certified = materialize(certified_steps(counts, labels, stratum, doc_id, risk, level).toDF(in_stratum, at), "quality-steps")
+    if certified.count() <= MOST_STRATA:
+        certified = F.broadcast(certified)
+    judged = counts.join(certified, col(stratum).eqNullSafe(col(in_stratum)), "left")
+    first = F.coalesce(*[F.when(over(r, F.get(F.array(*[F.lit(cutoff_at(r, i)) for i in range(STEPS)]), col(at))), F.lit(r)) for r in RULES])
+    judged = judged.withColumns({"base_failed": base_failed(), "failed_rule": first}).withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull())
+    return judged.drop(in_stratum, at)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", stratum: str = "lang", text: str = "text", **options) -> DataFrame:
+    """``docs`` without the documents that the rules reject; columns as in ``docs``.
+
+    Documents are told apart by 128 bits of id, stratum and text; rows that share them are judged
+    alike. Nulls, repeats, empty texts and tables as in ``apply_quality_rules``.
     """
-    from lodestar.llm.common import doc_key
-
-    named = docs.withColumn("__doc", doc_key(F.col(key), F.col("text")))
-    verdicts = apply_quality_rules(named.select("__doc", key, "lang", "text"), labels, **options)
-    return named.join(verdicts.filter("kept").select("__doc").distinct(), "__doc", "left_semi").drop("__doc")
+    (key,) = fresh(docs, "quality_key")
+    named = docs.withColumn(key, same_rows(docs, doc_id, stratum, text))
+    verdicts = apply_quality_rules(named.select(key, *map(col, dict.fromkeys((doc_id, stratum, text)))), labels, stratum, text, doc_id, **options)
+    return named.join(verdicts.filter("kept").select(key).distinct(), key, "left_semi").select(*map(col, docs.columns))

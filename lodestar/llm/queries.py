@@ -30,9 +30,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op1_oracle() -> str:
     rules = quality_rules.RULES
-    trials = ", ".join(f"('{r}', {i}, {c})" for r, (_, _, cutoffs) in rules.items() for i, c in enumerate(cutoffs))
-    ratio = "CASE rule " + " ".join(f"WHEN '{r}' THEN 1000 * {a} > cutoff * {b}" for r, (a, b, _) in rules.items()) + " END"
-    order = "CASE rule " + " ".join(f"WHEN '{r}' THEN {i}" for i, r in enumerate(rules)) + " END"
+    risk, level, steps = quality_rules.RISK, quality_rules.LEVEL, quality_rules.STEPS
+    over = lambda rule, step: f"1000 * {rules[rule][0]} > {quality_rules.cutoff_at(rule, step)} * {rules[rule][1]}"
+    each = " UNION ALL ".join(f"SELECT lang, {i} AS step, count(*) AS n, count(*) FILTER (WHERE {' OR '.join(over(r, i) for r in rules)}) AS k FROM good GROUP BY lang" for i in range(steps))
+    cutoffs = ", ".join("([" + ", ".join(str(quality_rules.cutoff_at(r, i)) for i in range(steps)) + f"])[step + 1] AS cut_{r}" for r in rules)
+    first = "CASE " + " ".join(f"WHEN 1000 * {a} > cut_{r} * {b} THEN '{r}'" for r, (a, b, _) in rules.items()) + " END"
     return rf"""
 WITH cut AS (
   SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-
@@ -54,25 +56,19 @@ counts AS (
   FROM numbered LEFT JOIN dups USING (r) LEFT JOIN covered USING (r)),
 based AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
 good AS (SELECT b.* FROM based b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
-trials AS (SELECT * FROM (VALUES {trials}) AS t(rule, i, cutoff)),
-tested AS (
-  SELECT lang, rule, i, cutoff, count(*) AS n, count(*) FILTER (WHERE {ratio}) AS k FROM good, trials GROUP BY ALL),
-pairs AS (SELECT count(DISTINCT coalesce(lang, chr(0))) * {len(rules)} AS m FROM good),
+tested AS ({each}),
+strata AS (SELECT count(DISTINCT coalesce(lang, chr(0))) AS m FROM good),
 tails AS (
-  SELECT lang, rule, i, cutoff,
-    CASE WHEN k >= n * {quality_rules.RISK} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j:
-      exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({quality_rules.RISK}) + (n - j) * ln(1 - {quality_rules.RISK})))) END
-      <= {quality_rules.LEVEL} / m AS passes
-  FROM tested, pairs),
+  SELECT lang, step,
+    CASE WHEN k >= n * {risk} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j:
+      exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({risk}) + (n - j) * ln(1 - {risk})))) END <= {level} / m AS passes
+  FROM tested, strata),
 certified AS (
-  SELECT lang, rule, max_by(cutoff, i) AS cutoff
-  FROM (SELECT *, bool_and(passes) OVER (PARTITION BY lang, rule ORDER BY i) AS all_pass FROM tails) WHERE all_pass GROUP BY lang, rule),
-numbered_counts AS (SELECT row_number() OVER () AS r, * FROM based),
-failed AS (
-  SELECT r, min_by(rule, {order}) AS failed_rule
-  FROM numbered_counts b JOIN certified c ON b.lang IS NOT DISTINCT FROM c.lang WHERE {ratio} GROUP BY r)
+  SELECT lang, max(step) AS step
+  FROM (SELECT *, bool_and(passes) OVER (PARTITION BY lang ORDER BY step) AS all_pass FROM tails) WHERE all_pass GROUP BY lang),
+judged AS (SELECT b.*, {first} AS failed_rule FROM based b LEFT JOIN (SELECT *, {cutoffs} FROM certified) c ON b.lang IS NOT DISTINCT FROM c.lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rule IS NULL AS kept, failed_rule
-FROM numbered_counts LEFT JOIN failed USING (r)
+FROM judged
 """
 
 
@@ -88,7 +84,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op2_mixing"] = rf"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    ('0x' || substr(md5('{mixing.SEED}' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+    ('0x' || substr(md5('{mixing.SEED}' || coalesce(doc_id::VARCHAR, '') || ' ' || coalesce(text, '')), 1, 15))::BIGINT AS h
   FROM documents),
 per AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS source_rank FROM sized GROUP BY source),

@@ -7,19 +7,23 @@ in the shard where its dot product with the residual capacity is highest.
 Placing is sequential, so it works on a bounded number of vectors: groups with a share above
 1 / (shards * FINE) of any measure stand alone (at most 3 * shards * FINE of them), all
 others are bundled by hash into BUNDLES bundles. A group that would fill more than half a
-shard is split by the hash of its rows into at most PIECES pieces. The law that holds is
-``bytes``: shards' sizes are near equal.
+shard is split: its rows are alike but for their ids, so they are numbered by a hash of the
+id and cut into runs of equal length, PER_SHARD for each shard that the group could fill.
+Equal rows are numbered too, so they part like any others. The law that holds is ``bytes``:
+shards' sizes are near equal.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import materialize, word_count
+from lodestar.llm.common import col, materialize, running_totals, sliced, word_count
 
-FINE, BUNDLES, PIECES = 256, 16_384, 64
+FINE, BUNDLES, PER_SHARD = 128, 8_192, 8
 
 
 def place(vectors: np.ndarray, shards: int) -> np.ndarray:
@@ -35,57 +39,69 @@ def place(vectors: np.ndarray, shards: int) -> np.ndarray:
 def pack_shards(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, size, tokens, text_crc32, shard, slot.
 
-    size is the UTF-8 length of the text plus 1; a null text has no bytes, no tokens and the
-    CRC of the empty text, and null texts are a group. Slots count from 0 without gaps within a
-    shard, in the order of a hash of id and text. Repeated rows are placed as rows of one group
-    and get slots of their own. Shards can stay empty; an empty table gives no rows.
+    size is the UTF-8 length of the text plus 1; a null or empty text has no bytes, no tokens and
+    the CRC of the empty text; null texts are a group, empty ones another. Slots count from 0
+    without gaps within a shard: first the runs of split groups, then the other rows in the
+    order of a hash of id and text. Null ids, ties and repeated rows are rows like any other, each
+    with a slot of its own; a repeated row's places are the same in every run. Columns but id and
+    text are not read, so no name can clash. Shards can stay empty; an empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 1).cast("bigint").alias("size"),
-        word_count(F.col(text)).alias("tokens"),
-        F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
-        F.coalesce(F.md5(F.col(text)), F.lit("")).alias("same"),
-        F.xxhash64(F.col(doc_id), F.col(text)).alias("h"),
+        col(doc_id).alias("doc_id"),
+        (F.coalesce(F.octet_length(col(text)), F.lit(0)) + 1).cast("bigint").alias("size"),
+        word_count(col(text)).alias("tokens"),
+        F.crc32(F.coalesce(col(text), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.coalesce(F.md5(col(text)), F.lit("")).alias("same"),
+        F.xxhash64(col(doc_id), col(text)).alias("h"),
+        sliced().alias("slice"),
     )
-    rows = rows.withColumns({"piece": F.pmod("h", F.lit(PIECES)).cast("int"), "bundle": F.pmod(F.xxhash64("same"), F.lit(BUNDLES)).cast("int")})
-    rows = materialize(rows, "shard-rows")
+    rows = materialize(rows.withColumn("bundle", F.pmod(F.xxhash64("same"), F.lit(BUNDLES)).cast("int")), "shard-rows")
     measures = ["size", "tokens", "n"]
     sums = [F.sum(m).alias(m) for m in measures]
-
-    # pieces first, so that a hot group is summed before it meets in one task
-    pieces = rows.groupBy("same", "bundle", "piece").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
-    pieces = materialize(pieces, "shard-pieces")
-    total = pieces.agg(*sums).first()
+    # sums of a hot group are taken before it meets in one task
+    groups = materialize(rows.groupBy("same", "bundle").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")), "shard-groups")
+    total = groups.agg(*sums).first()
     if total["n"] is None:
         return rows.select("doc_id", "size", "tokens", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("bigint").alias("slot"))
-    share = F.greatest(*[F.col(m) / F.lit(max(total[m], 1)) for m in measures])
-    groups = materialize(pieces.groupBy("same", "bundle").agg(*sums).withColumn("share", share), "shard-groups")
-    heavy = groups.filter(F.col("share") * shards * FINE > 1)
-    split = heavy.filter(F.col("share") * shards > 0.5).select("same")
-    alone = heavy.filter(F.col("share") * shards <= 0.5).select("same", F.lit(-1).alias("piece"), *measures)
-    parts = pieces.join(F.broadcast(split), "same", "left_semi").select("same", "piece", *measures)  # at most 6 * shards groups
-    bundles = groups.filter(F.col("share") * shards * FINE <= 1).groupBy("bundle").agg(*sums)
+    whole = [max(total[m], 1) for m in measures]
+    groups = groups.withColumn("share", F.greatest(*[F.col(m) / F.lit(t) for m, t in zip(measures, whole, strict=True)]))
+    bound = 1 / (shards * FINE)
 
-    # at most 3 * shards * FINE groups, 6 * shards * PIECES pieces and BUNDLES bundles
-    items = [(r["same"], r["piece"], None, *(r[m] for m in measures)) for r in alone.unionByName(parts).collect()]
-    items += [(None, None, r["bundle"], *(r[m] for m in measures)) for r in bundles.collect()]
-    vectors = np.array([i[3:] for i in items], dtype=float) / [max(total[m], 1) for m in measures]
+    # at most 3 * shards * FINE groups and BUNDLES bundles come to the driver
+    heavy = groups.filter(F.col("share") > bound).select("same", "share", *measures).collect()
+    light = groups.filter(F.col("share") <= bound).groupBy("bundle").agg(*sums).collect()
+    items: list[tuple] = [("bundle", r["bundle"], 0, r["size"], r["tokens"], r["n"]) for r in light]
+    runs: dict[str, int] = {}  # of split groups, at most 6 * shards of them
+    for r in heavy:
+        n = min(r["n"], math.ceil(r["share"] * shards * PER_SHARD)) if r["share"] * shards > 0.5 else 1
+        if n > 1:
+            runs[r["same"]] = n
+        for i in range(n):
+            here = (i + 1) * r["n"] // n - i * r["n"] // n  # rows of a group are equal in size and tokens
+            items.append(("run" if n > 1 else "group", r["same"], i, *(r[m] * here // r["n"] for m in measures)))
+    vectors = np.array([i[3:] for i in items], dtype=float) / whole
     order = sorted(range(len(items)), key=lambda i: (-vectors[i].max(), str(items[i][:3])))
     where = dict(zip(order, place(vectors[order], shards).tolist(), strict=True))
-    named = [(i[0], i[1], where[k]) for k, i in enumerate(items) if i[2] is None]
-    mixed = [(i[2], where[k]) for k, i in enumerate(items) if i[2] is not None]
-    whole = spark.createDataFrame([(s, w) for s, p, w in named if p < 0], "same string, w1 int")
-    piece = spark.createDataFrame([n for n in named if n[1] >= 0], "same string, piece int, w2 int")
-    rest = spark.createDataFrame(mixed, "bundle int, w3 int")
-    placed = rows.join(F.broadcast(whole), "same", "left").join(F.broadcast(piece), ["same", "piece"], "left").join(F.broadcast(rest), "bundle", "left")
-    placed = placed.select("doc_id", "size", "tokens", "text_crc32", "same", "h", F.coalesce("w1", "w2", "w3").alias("shard"), F.shiftrightunsigned("h", 52).cast("int").alias("part"))
 
-    # slots: in 4,096 hash ranges of each shard, then the counts of the ranges before
-    counts = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("shard", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    within = Window.partitionBy("shard", "part").orderBy("h", "doc_id", "same")
-    slotted = placed.withColumn("at", F.row_number().over(within)).join(F.broadcast(counts), ["shard", "part"])
-    return slotted.select("doc_id", "size", "tokens", "text_crc32", "shard", (F.col("before") + F.col("at") - 1).alias("slot"))
+    # where the runs begin in their shards; the other rows follow
+    filled, starts = [0] * shards, []
+    for k, (kind, name, i, _, _, n) in enumerate(items):
+        if kind == "run":
+            starts.append((name, i, where[k], filled[where[k]]))
+            filled[where[k]] += n
+    alone = spark.createDataFrame([(i[1], where[k]) for k, i in enumerate(items) if i[0] == "group"], "same string, w1 int")
+    rest = spark.createDataFrame([(i[1], where[k]) for k, i in enumerate(items) if i[0] == "bundle"], "bundle int, w2 int")
+    split = spark.createDataFrame([(s, n, next(r["n"] for r in heavy if r["same"] == s)) for s, n in runs.items()], "same string, runs bigint, group_rows bigint")
+    begins = spark.createDataFrame([(s, i, w, at) for s, i, w, at in starts], "same string, run bigint, w3 int, run_start bigint")
+    offsets = F.array(*[F.lit(n).cast("bigint") for n in filled])
+
+    placed = rows.join(F.broadcast(alone), "same", "left").join(F.broadcast(split), "same", "left").join(F.broadcast(rest), "bundle", "left")
+    placed = placed.withColumn("shard", F.when(F.col("runs").isNull(), F.coalesce("w1", "w2")))
+    placed = placed.withColumns({"bucket": F.coalesce(F.col("shard").cast("string"), "same"), "range": F.shiftrightunsigned("h", 52).cast("int")})
+    placed = running_totals(placed.select("doc_id", "size", "tokens", "text_crc32", "same", "h", "slice", "runs", "group_rows", "shard", "bucket", "range"), ["bucket"], "range", ["h"], F.lit(1).cast("bigint"))
+    # the run of a row of a split group is the last one that begins at or before its number
+    run = F.expr("((ahead + 1) * runs - 1) div group_rows")  # null for the other rows
+    placed = placed.withColumn("run", run).join(F.broadcast(begins), ["same", "run"], "left")
+    slot = F.when(F.col("runs").isNull(), F.col("ahead") + F.get(offsets, F.col("shard"))).otherwise(F.expr("ahead - run * group_rows div runs + run_start"))
+    return placed.select("doc_id", "size", "tokens", "text_crc32", F.coalesce("shard", "w3").alias("shard"), slot.cast("bigint").alias("slot"))

@@ -14,6 +14,7 @@ links stay linear in the number of fingerprints.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -21,13 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import doc_key, map_rows, materialize, words_of
+from lodestar.llm.common import col, fresh, map_rows, materialize, others, same_rows, words_of
 from lodestar.llm.graph import components
 from lodestar.sources.shipping import ship
 
 SHINGLE_WORDS, DISTANCE, SEED = 4, 4, 42
-#: Fingerprints that a prefix is meant to receive, the range of prefix lengths, and the rows above which a prefix is split.
-PREFIX_ROWS, SHORTEST, LONGEST, SPLIT_ROWS = 40_000, 6, 16, 1_000_000
+#: Fingerprints that a prefix is meant to receive, the range of prefix lengths, the rows above which a prefix is lengthened, and by how many bits.
+PREFIX_ROWS, SHORTEST, LONGEST, SPLIT_ROWS, MORE_BITS = 40_000, 6, 60, 1_000_000, 8
 #: Variants that a task spells out at a time.
 VARIANTS = 4_000_000
 
@@ -67,14 +68,13 @@ def majority(h: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """The columns of ``docs`` but the text, and fp: the fingerprint as a signed bigint."""
-    keep = [c for c in docs.columns if c not in (text, "fp")]
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
 
     def make():
         signed = lambda x: x - (1 << 64) if x >> 63 else x
-        return lambda cols: {c: cols[c] for c in keep} | {"fp": [signed(fingerprint(t or "", shingle_words)) for t in cols["__text"]]}
+        return lambda cols: {"fp": [signed(fingerprint(t or "", shingle_words)) for (texts,) in [cols.values()] for t in texts]}
 
-    return map_rows(docs.select(*keep, F.col(text).alias("__text")), make, ", ".join([*fields, "fp bigint"]))
+    keep = others(docs, text, "fp")
+    return map_rows(docs.select(*map(col, keep), col(text)), make, "fp bigint", keep)
 
 
 def ball(bits: int, radius: int) -> np.ndarray:
@@ -97,20 +97,19 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def meet(fps: np.ndarray, prefix: int, prefix_bits: int, radius: int, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def meet(fps: np.ndarray, prefix: int, prefix_bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (larger, smaller) that tie together the fingerprints whose variants with this prefix meet.
 
-    ``fps``: distinct, sorted. Of the variants only those in hash part ``part`` of ``parts`` count.
+    ``fps``: distinct, sorted. Variants are spelt out VARIANTS at a time, by their hash.
     """
     low = 64 - prefix_bits
     top = fps >> np.uint64(low)
     away = np.bitwise_count(top ^ np.uint64(prefix))
     base = (fps & np.uint64((1 << low) - 1)) | np.uint64(prefix << low)
     groups = [(np.flatnonzero(away == d), ball(low, radius - d)) for d in range(radius + 1)]
-    total = sum(len(i) * len(m) for i, m in groups)
-    loops = parts * -(-max(total // parts, 1) // VARIANTS)
+    loops = -(-max(sum(len(i) * len(m) for i, m in groups), 1) // VARIANTS)
     left, right = [], []
-    for loop in range(part, loops, parts):
+    for loop in range(loops):
         values, owners = [], []
         for index, masks in groups:
             step = max(1, VARIANTS // len(masks))
@@ -134,55 +133,67 @@ def meet(fps: np.ndarray, prefix: int, prefix_bits: int, radius: int, part: int
         first = np.full(len(twice), len(fps))
         np.minimum.at(first, at, o)
         tied = first[at] != o
-        left.append(o[tied])
-        right.append(first[at[tied]])
+        a, b = o[tied], first[at[tied]]
+        true = np.bitwise_count(fps[a] ^ fps[b]) <= 2 * radius  # colliding pairs are verified
+        left.append(a[true])
+        right.append(b[true])
     if not left:
         return np.array([], np.uint64), np.array([], np.uint64)
-    a, b = np.concatenate(left), np.concatenate(right)
-    # colliding pairs are verified; a shared variant bounds the distance by 2 * radius
-    assert (np.bitwise_count(fps[a] ^ fps[b]) <= 2 * radius).all()
-    root = forest(len(fps), a, b)
+    root = forest(len(fps), np.concatenate(left), np.concatenate(right))
     moved = np.flatnonzero(root != np.arange(len(fps)))
     return fps[moved], fps[root[moved]]
 
 
+def _lengthened(sent: DataFrame, bits: int, more: int, radius: int) -> DataFrame:
+    """Rows (fp, prefix of ``bits``, left) sent on to prefixes that are ``more`` bits longer; left: how far a variant may still differ."""
+    own = F.shiftrightunsigned("fp", 64 - bits - more).bitwiseAND(F.lit((1 << more) - 1))
+    masks = ball(more, radius)
+    by_left = [F.array(*[F.struct(F.lit(int(m)).cast("bigint").alias("mask"), F.lit(int(m).bit_count()).alias("used")) for m in masks if int(m).bit_count() <= k]) for k in range(radius + 1)]
+    which = by_left[-1]
+    for k in range(radius - 1, -1, -1):
+        which = F.when(F.col("left") == k, by_left[k]).otherwise(which)
+    routed = sent.select("fp", "prefix", "left", own.alias("own"), F.explode(which).alias("m"))
+    return routed.select("fp", F.shiftleft("prefix", more).bitwiseOR(F.col("own").bitwiseXOR(F.col("m.mask"))).alias("prefix"), (F.col("left") - F.col("m.used")).alias("left"))
+
+
+def _links_of(bits: int, radius: int):
+    def links(key, pdf):
+        import pandas as pd
+
+        a, b = meet(np.sort(pdf["fp"].to_numpy().view(np.uint64)), int(key[0]), bits, radius)
+        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+    return links
+
+
 def near_links(distinct: DataFrame, distance: int = DISTANCE, prefix_rows: int = PREFIX_ROWS) -> DataFrame:
     """(a, b): links that connect exactly the fingerprints which links of at most ``distance`` bits connect.
 
-    ``distinct``: one column of distinct fingerprints (bigint). ``distance`` is even.
+    ``distinct``: one column of distinct fingerprints (bigint). ``distance`` is even. Prefixes
+    lengthen with the number of fingerprints; one that receives more than SPLIT_ROWS of them
+    is lengthened on its own, up to LONGEST bits, under which a ball has few members.
     """
     if distance % 2:
         raise ValueError("meeting in the middle takes an even distance")
     radius, spark = distance // 2, distinct.sparkSession
-    fp = distinct.columns[0]
     n = distinct.count()
     routes = lambda bits: len(ball(bits, radius))
     bits = next((b for b in range(SHORTEST, LONGEST) if n * routes(b) <= prefix_rows << b), LONGEST)
-    masks = ball(bits, radius).astype(np.int64)
-    prefix = F.shiftrightunsigned(fp, 64 - bits).cast("int")
-    # prefixes that receive very many fingerprints are split by the hash of their variants: 2 ** bits counts at most
-    held = np.zeros(1 << bits, np.int64)
-    for r in distinct.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect():
-        held[r["p"]] = r["n"]
-    gets = sum(held[np.arange(1 << bits) ^ m] for m in masks)
-    parts = {int(p): int(-(-gets[p] // SPLIT_ROWS)) for p in np.flatnonzero(gets > SPLIT_ROWS)}
-    sent = distinct.select(fp, F.explode(F.array(*[prefix.bitwiseXOR(F.lit(int(m))) for m in masks])).alias("prefix"))
-    if parts:
-        split = F.broadcast(spark.createDataFrame(list(parts.items()), "prefix int, parts int"))
-        sent = sent.join(split, "prefix", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    else:
-        sent = sent.withColumn("parts", F.lit(1))
-    sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     ship(spark)
-
-    def links(key, pdf):
-        import pandas as pd
-
-        fps = np.sort(pdf[fp].to_numpy().view(np.uint64))
-        a, b = meet(fps, int(key[0]), bits, radius, int(key[2]), int(key[1]))
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-    return sent.groupBy("prefix", "parts", "part").applyInPandas(links, "a bigint, b bigint").distinct()
+    start = distinct.select(F.col(distinct.columns[0]).alias("fp"), F.lit(0).cast("bigint").alias("prefix"), F.lit(radius).alias("left"))
+    sent, found = _lengthened(start, 0, bits, radius), []
+    while True:
+        full = None
+        if bits + MORE_BITS <= LONGEST:
+            full = sent.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SPLIT_ROWS).select("prefix")
+            full = materialize(full, "full-prefixes")
+            full = None if full.isEmpty() else full
+        here = sent if full is None else sent.join(full, "prefix", "left_anti")
+        found.append(here.select("fp", "prefix").groupBy("prefix").applyInPandas(_links_of(bits, radius), "a bigint, b bigint"))
+        if full is None:
+            break
+        sent, bits = _lengthened(materialize(sent.join(full, "prefix", "left_semi"), "rows-of-full-prefixes"), bits, MORE_BITS, radius), bits + MORE_BITS
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 #: Bands of minimum hashes: texts of similarity 0.8 share none of them once in 38,000 times.
@@ -207,13 +218,14 @@ def similar_links(docs: DataFrame, shingle_words: int, similarity: float) -> Dat
 
     Texts that share a band meet one of the band's texts, another one in each band: no pairs
     of a band are formed. Every pair that meets is compared by its whole sets of shingles.
+    Texts are told apart by their MD5.
     """
-    texts = docs.select(F.xxhash64("text").alias("t"), "text").dropDuplicates(["t"])
+    texts = docs.select(F.unhex(F.md5("text")).alias("t"), "text").dropDuplicates(["t"])
 
     def make():
-        return lambda cols: {"t": cols["t"], "bands": [minimum_bands(shingle_hashes(x or "", shingle_words)) for x in cols["text"]]}
+        return lambda cols: {"bands": [minimum_bands(shingle_hashes(x or "", shingle_words)) for x in cols["text"]]}
 
-    banded = map_rows(texts, make, "t bigint, bands array<bigint>").select("t", F.explode("bands").alias("band"))
+    banded = map_rows(texts, make, "bands array<bigint>", ["t"]).select("t", F.explode("bands").alias("band"))
     banded = materialize(banded, "bands")
     centers = banded.groupBy("band").agg(F.min(F.struct(F.xxhash64("t", "band"), "t")).alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", F.col("m.t").alias("c"))
     pairs = materialize(banded.join(centers, "band").filter("t <> c").select(F.least("t", "c").alias("t"), F.greatest("t", "c").alias("c")).distinct(), "band-pairs")
@@ -244,7 +256,7 @@ def components_of(docs: DataFrame, doc_id: str, text: str, shingle_words: int =
 
     With ``similarity``, texts of so high a Jaccard similarity of their shingles link too.
     """
-    keyed = docs.select(F.col(doc_id).alias("doc_id"), doc_key(F.col(doc_id), F.col(text)).alias("doc_key"), F.col(text).alias("text"))
+    keyed = docs.select(col(doc_id).alias("doc_id"), same_rows(docs, doc_id, text).alias("doc_key"), col(text).alias("text"))
     rows = materialize(fingerprints(keyed, "text", shingle_words), "fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     links = near_links(distinct.select("fp"), distance)
@@ -255,28 +267,33 @@ def components_of(docs: DataFrame, doc_id: str, text: str, shingle_words: int =
     tied = found.join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "least")
     roots = tied.groupBy("root").agg(F.min("least").alias("component_id"))
     tied = tied.join(roots, "root").select("fp", "root", "component_id")
-    alone = distinct.join(tied, "fp", "left").select(F.col("fp").alias("__fp"), F.coalesce("root", "fp").alias("root"), F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    alone = distinct.join(tied, "fp", "left").select(F.col("fp").alias("of_fp"), F.coalesce("root", "fp").alias("root"), F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
     alone = materialize(alone, "fingerprint-components")
-    return rows.join(alone, F.col("fp") == F.col("__fp")).select("doc_id", "doc_key", "fp", "root", "component_id")
+    return rows.join(alone, F.col("fp") == F.col("of_fp")).select("doc_id", "doc_key", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS, distance: int = DISTANCE) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, doc_key, fp and component_id.
+    """One row for each row of ``docs``: doc_id, doc_key (128 bits of id and text), fp and component_id.
 
     component_id is the smallest doc_id among the documents that links of at most ``distance``
     bits reach, the document itself included. Null, empty and wordless texts have fingerprint
     zero and link like any other. A null doc_id counts only if all in its component are null.
-    Repeated rows share a component; an empty table gives no rows.
+    Repeated rows share a component; an empty table gives no rows. Only id and text are read, so
+    no name can clash.
     """
     return components_of(docs, doc_id, text, shingle_words, distance).select("doc_id", "doc_key", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id, then key.
+    """``docs`` with one document of each component: the one with the smallest id (null first), then key.
 
-    Rows that repeat it wholly (same id and text) are one document: one of them stays.
+    Rows that repeat it (same id and text) are one document: one of them stays, the one with the
+    smallest hash of its whole row. Wordless texts are one component. An empty table gives no rows.
     """
+    (key,) = fresh(docs, "near_key")
     found = components_of(docs, doc_id, text, **options)
-    stays = found.groupBy("root").agg(F.min(F.struct("doc_id", "doc_key")).alias("d")).select(F.col("d.doc_key").alias("__doc"))
-    keyed = docs.withColumn("__doc", doc_key(F.col(doc_id), F.col(text)))
-    return keyed.join(stays.distinct(), "__doc", "left_semi").dropDuplicates(["__doc"]).drop("__doc")
+    stays = found.groupBy("root").agg(F.min(F.struct("doc_id", "doc_key")).alias("d")).select(F.col("d.doc_key").alias(key)).distinct()
+    left = docs.withColumn(key, same_rows(docs, doc_id, text)).join(stays, key, "left_semi")
+    everything = F.struct(same_rows(docs).alias("order"), F.struct(*map(col, docs.columns)).alias("row"))
+    one = left.select(F.col(key), everything.alias("r")).groupBy(key).agg(F.min_by("r.row", "r.order").alias("r"))
+    return one.select(*[F.col("r").getField(c).alias(c) for c in docs.columns])

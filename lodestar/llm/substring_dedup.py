@@ -1,17 +1,19 @@
 """Operator 4. Repeated passages, by content-defined chunking with a gear rolling hash.
 
-A chunk starts where the gear hash of the 16 bytes before falls below a bound. Only those
-bytes decide, so an insertion moves chunk borders near itself alone. Candidates for borders
-are word starts (one in four is taken), and any character start in stretches of 64 bytes
-without white space (one in 24); a chunk ends after 4,096 bytes at the latest.
+Candidates for chunk borders are word starts, each with the gear hash of the 16 bytes before
+it. A candidate is a border if its hash is the smallest among those of the REACH candidates
+before and after it; so a chunk has at least REACH + 1 words and five on average, and only
+bytes nearby decide: an insertion moves borders near itself alone. In stretches of 64 bytes
+without white space any character start with a small hash (one in 24) is a border too, and a
+chunk ends after 4,096 bytes at the latest.
 
 A unit is two neighbouring chunks, or one chunk of at least MIN_WORDS words, and has a 64-bit
 digest: chunks of a few frequent words stand elsewhere by chance, so a chunk counts only with
 a neighbour. Of the documents with a unit one owns it: the one with the smallest hash of id
 and text. Units in other documents, and later ones in the owner, are duplicates; duplicates
 that share a chunk form a run, and runs of at least MIN_WORDS words are cut out. So each joint
-between chunks of a cut run stands in another place too. A passage of over 50 words keeps at least MIN_WORDS words of whole chunks but for about
-one in two hundred; the few words between its ends and the outermost borders stay.
+between chunks of a cut run stands in another place too. Of a passage of over 50 words the
+whole chunks go, the few words between its ends and the outermost borders stay.
 
 No occurrence list of a unit is ever gathered: the owner is a minimum with partial sums, and
 only units whose digest occurs more than once are joined, in tasks that Spark can split.
@@ -24,10 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import doc_key, map_rows, materialize
+from lodestar.llm.common import col, fresh, map_rows, materialize, others, unique_keys
 
 WINDOW_BITS = 16  # the gear hash has as many bits as its window has bytes
-WORD_BORDER, CHAR_BORDER = 65_536 // 4, 65_536 // 24
+REACH, CHAR_BORDER = 2, 65_536 // 24
 NO_SPACE, LONGEST = 64, 4096
 MIN_WORDS = 24
 
@@ -51,7 +53,13 @@ def borders(data: bytes) -> np.ndarray:
     before[0], before[1:] = 0xFFFF, h[:-1]
     starts = ~space
     starts[1:] &= space[:-1]
-    cut = starts & (before < WORD_BORDER)
+    at = np.flatnonzero(starts)
+    hashes, least = before[at], np.ones(len(at), bool)
+    for k in range(1, REACH + 1):  # of equal hashes the first is the smaller
+        least[k:] &= hashes[k:] < hashes[:-k]
+        least[:-k] &= hashes[:-k] <= hashes[k:]
+    cut = np.zeros(n, bool)
+    cut[at[least]] = True
     index = np.arange(n)
     since = index - np.maximum.accumulate(np.where(space, index, -1))
     if since.max(initial=0) >= NO_SPACE:
@@ -125,7 +133,7 @@ def unit_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
         return step
 
-    return map_rows(docs, make, "doc bigint, digest bigint, place int, length int, words int, head int, again boolean", 200)
+    return map_rows(docs, make, "doc bigint, digest bigint, place int, length int, words int, head int, again boolean", chunk=200)
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -172,28 +180,29 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     Every passage stays in one document. Null texts stay null and empty ones empty; a text
     that is wholly repeated becomes empty, its row stays. Rows with the same id and text count
-    as one document and are cut alike. An empty table gives no rows. Columns named
-    removed_words or spans are replaced. White space around a cut passage is left as it is.
+    as one document and are cut alike; null ids are ids. An empty table gives no rows. Columns named
+    removed_words or spans are replaced, others may have any names. White space around a cut
+    passage is left as it is.
     """
-    made = ("removed_words", "spans")
-    keyed = docs.select(*[c for c in docs.columns if c not in made], doc_key(F.col(doc_id), F.col(text)).alias("__doc"))
-    found = repeated_spans(keyed.select(F.col("__doc").alias("doc"), F.col(text).alias("text")), min_words)
-    found = materialize(found, "repeated-spans")
-    joined = keyed.join(found, F.col("__doc") == F.col("doc"), "left")
-    raw = F.col(text).cast("binary")
+    kept = others(docs, "removed_words", "spans")
+    doc, of_doc, words, spans = fresh(docs, "doc", "of_doc", "words_out", "spans_out")
+    keyed = docs.select(*map(col, kept), unique_keys(docs, doc_id, text).alias(doc))
+    found = repeated_spans(keyed.select(col(doc).alias("doc"), col(text).alias("text")), min_words)
+    found = materialize(found.toDF(of_doc, spans, words), "repeated-spans")
+    joined = keyed.join(found, F.col(doc) == F.col(of_doc), "left")
+    raw = col(text).cast("binary")
     # what stays: from the end of each span (or 0) to the start of the next (or the end)
-    n = F.size("spans")
     pieces = F.transform(
-        F.sequence(F.lit(0), n),
+        F.sequence(F.lit(0), F.size(spans)),
         lambda i: F.decode(
             F.substring(
                 raw,
-                F.when(i == 0, F.lit(1)).otherwise(F.try_element_at("spans", i)["start"] + F.try_element_at("spans", i)["length"] + 1),
-                F.coalesce(F.try_element_at("spans", i + 1)["start"], F.octet_length(raw)) - F.when(i == 0, F.lit(0)).otherwise(F.try_element_at("spans", i)["start"] + F.try_element_at("spans", i)["length"]),
+                F.when(i == 0, F.lit(1)).otherwise(F.try_element_at(spans, i)["start"] + F.try_element_at(spans, i)["length"] + 1),
+                F.coalesce(F.try_element_at(spans, i + 1)["start"], F.octet_length(raw)) - F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(spans, i)["start"] + F.try_element_at(spans, i)["length"]),
             ),
             "UTF-8",
         ),
     )
-    kept = F.when(F.col("spans").isNull(), F.col(text)).otherwise(F.array_join(pieces, ""))
-    out = [kept.alias(c) if c == text else F.col(c) for c in docs.columns if c not in made]
-    return joined.select(*out, F.coalesce("removed_words", F.lit(0)).cast("bigint").alias("removed_words"), F.coalesce("spans", F.array().cast("array<struct<start:int,length:int>>")).alias("spans"))
+    rest = F.when(F.col(spans).isNull(), col(text)).otherwise(F.array_join(pieces, ""))
+    out = [rest.alias(c) if c.lower() == text.lower() else col(c) for c in kept]
+    return joined.select(*out, F.coalesce(words, F.lit(0)).cast("bigint").alias("removed_words"), F.coalesce(spans, F.array().cast("array<struct<start:int,length:int>>")).alias("spans"))

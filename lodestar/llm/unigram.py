@@ -15,9 +15,8 @@ import math
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from lodestar.llm.common import map_rows, words_of
+from lodestar.llm.common import col, fresh, map_rows, others, words_of
 
 #: Stands before the first character of every pre-token.
 MARK = "▁"
@@ -120,16 +119,17 @@ def count_tokens(docs: DataFrame, scores: dict[str, float], text: str = "text")
     need no special case; columns of ``docs`` with a result's name are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(json.dumps(scores))
-    keep = [c for c in docs.columns if c not in (text, "n_pretokens", "n_tokens", "log_prob")]
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
+    made = ["n_pretokens", "n_tokens", "log_prob"]
+    keep = others(docs, text, *made)
+    (read,) = fresh(docs, "text_read")
 
     def make():
         model = counter(sent.value)
 
         def step(cols):
-            found = model.count_many([t or "" for t in cols["__text"]])
-            return {c: cols[c] for c in keep} | {c: [x[i] for x in found] for i, c in enumerate(("n_pretokens", "n_tokens", "log_prob"))}
+            found = model.count_many([t or "" for t in cols[read]])
+            return {c: [x[i] for x in found] for i, c in enumerate(made)}
 
         return step
 
-    return map_rows(docs.select(*keep, F.col(text).alias("__text")), make, ", ".join([*fields, "n_pretokens bigint", "n_tokens bigint", "log_prob double"]))
+    return map_rows(docs.select(*map(col, keep), col(text).alias(read)), make, "n_pretokens bigint, n_tokens bigint, log_prob double", keep)

@@ -14,7 +14,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import map_rows
+from lodestar.llm.common import col, fresh, map_rows, others
 
 #: A trie whose pickle is larger is not broadcast; the join form takes over.
 MOST_BYTES = 32_000_000
@@ -28,7 +28,7 @@ def split_rule(rule: str) -> tuple[str, str]:
 
 
 def build_trie(rules: Iterable[Rule]) -> dict:
-    """Host node: {label: node, "/": path node}. Path node: {"s": {segment: node}, "p": {prefix: (verdict, rule)}}.
+    """Host node: {label: node, "/": path node}. Path node: {"s": {segment: node}, "p": {prefix: (verdict, rule)}, "l": lengths of "p", falling}.
 
     A rule given twice with both verdicts blocks.
     """
@@ -45,6 +45,7 @@ def build_trie(rules: Iterable[Rule]) -> dict:
         for segment in whole:
             at = at.setdefault("s", {}).setdefault(segment, {})
         at.setdefault("p", {})[last] = (verdict, rule)
+        at["l"] = tuple(sorted({*at.get("l", ()), len(last)}, reverse=True)) if len(last) not in at.get("l", ()) else at["l"]
     return root
 
 
@@ -61,10 +62,10 @@ def longest_match(root: dict, host: str, path: str) -> tuple[str, str] | None:
         for segment in segments:
             if at is None:
                 break
-            if tails := at.get("p"):
-                fits = [p for p in tails if segment.startswith(p)]
-                if fits:
-                    best = tails[max(fits, key=len)]
+            for n in at.get("l", ()):  # one lookup for each length of a tail
+                if n <= len(segment) and (fit := at["p"].get(segment[:n])):
+                    best = fit
+                    break
             at = at.get("s", {}).get(segment)
         found = best or found
     return found
@@ -86,35 +87,37 @@ def filter_urls(urls: DataFrame, rules: Iterable[Rule], url: str = "url", defaul
     """Add host, path, rule and verdict to ``urls``; all rows stay and columns of these names are replaced.
 
     A null url, or one without ``://``, has an empty host and path, no rule and the default
-    verdict. Empty tables and repeated rows need no special case: each row stands alone.
-    The trie is broadcast if its pickle takes at most ``most_bytes``; a larger list of rules is
-    joined instead, on the host suffixes and path prefixes of each url that rules can have.
+    verdict. Empty tables, repeated rows and other columns of any name need no special case: each
+    row stands alone. Without rules every verdict is the default. The trie is broadcast if its
+    pickle takes at most ``most_bytes``; a larger list of rules is joined instead, on the host
+    suffixes and path prefixes of each url that rules can have.
     """
     rules = list(rules)
-    keep = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
-    cut = urls.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    trie = build_trie(rules)
-    packed = pickle.dumps(trie)
+    keep = others(urls, "host", "path", "rule", "verdict")
+    cut = urls.select(*map(col, keep), host_of(col(url)).alias("host"), path_of(col(url)).alias("path"))
+    packed = pickle.dumps(build_trie(rules))
     if len(packed) > most_bytes:
         return _joined(cut, rules, keep, default)
     sent = urls.sparkSession.sparkContext.broadcast(packed)
+    host, path = fresh(cut, "host_read", "path_read")
 
     def make():
         root = pickle.loads(sent.value)
 
         def step(cols):
-            found = [longest_match(root, h, p) for h, p in zip(cols["host"], cols["path"], strict=True)]
-            return cols | {"rule": [f[1] if f else None for f in found], "verdict": [f[0] if f else default for f in found]}
+            found = [longest_match(root, h, p) for h, p in zip(cols[host], cols[path], strict=True)]
+            return {"rule": [f[1] if f else None for f in found], "verdict": [f[0] if f else default for f in found]}
 
         return step
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema]
-    return map_rows(cut, make, ", ".join([*fields, "rule string", "verdict string"]), 2000)
+    return map_rows(cut.select("*", F.col("host").alias(host), F.col("path").alias(path)), make, "rule string, verdict string", cut.columns, 2000)
 
 
 def _joined(cut: DataFrame, rules: list[Rule], keep: list[str], default: str) -> DataFrame:
     """The same by equi-joins: distinct (host, path) meet rules on host suffix and path prefix."""
     spark = cut.sparkSession
+    if not rules:
+        return cut.select(*map(col, keep), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     listed = spark.createDataFrame([(*split_rule(r), r, v) for v, r in sorted(set(rules))], "r_host string, r_path string, rule string, verdict string")
     lengths = [r[0] for r in listed.select(F.length("r_path").alias("n")).distinct().orderBy("n").collect()]  # at most as many as a path has characters
     pages = cut.select("host", "path").distinct()
@@ -123,6 +126,7 @@ def _joined(cut: DataFrame, rules: list[Rule], keep: list[str], default: str) ->
     cuts = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path"))
     tried = pages.select("host", "path", F.explode(suffixes).alias("r_host")).select("*", F.explode(F.transform(cuts, lambda n: F.substring(F.col("path"), F.lit(1), n))).alias("r_path"))
     best = F.max_by(F.struct("rule", "verdict"), F.struct(F.length("r_host"), F.length("r_path"), "verdict"))
-    found = tried.join(listed, ["r_host", "r_path"]).groupBy("host", "path").agg(best.alias("m"))
-    back = cut.join(found, ["host", "path"], "left")
-    return back.select(*keep, "host", "path", F.col("m.rule").alias("rule"), F.coalesce("m.verdict", F.lit(default)).alias("verdict"))
+    of_host, of_path, match = fresh(cut, "of_host", "of_path", "match")
+    found = tried.join(listed, ["r_host", "r_path"]).groupBy("host", "path").agg(best.alias(match)).withColumnsRenamed({"host": of_host, "path": of_path})
+    back = cut.join(found, (F.col("host") == F.col(of_host)) & (F.col("path") == F.col(of_path)), "left")
+    return back.select(*map(col, keep), "host", "path", F.col(match)["rule"].alias("rule"), F.coalesce(F.col(match)["verdict"], F.lit(default)).alias("verdict"))

@@ -52,10 +52,11 @@ def test_components_of_documents(spark, documents):
 
 @pytest.mark.parametrize("split", [False, True])
 def test_links_of_chains_and_clouds(spark, monkeypatch, split):
-    """Fingerprints in chains of 4-bit steps and in clouds, with and without split prefixes and small expansions."""
+    """Fingerprints in chains of 4-bit steps and in clouds, with and without lengthened prefixes and small expansions."""
     if split:
-        monkeypatch.setattr(simhash, "SPLIT_ROWS", 40)
-        monkeypatch.setattr(simhash, "VARIANTS", 5000)
+        monkeypatch.setattr(simhash, "SPLIT_ROWS", 60)
+        monkeypatch.setattr(simhash, "LONGEST", 22)
+        monkeypatch.setattr(simhash, "VARIANTS", 20_000)
     r = random.Random(9)
     fps = {r.getrandbits(64) for _ in range(150)}
     x = r.getrandbits(64)
@@ -100,12 +101,46 @@ def prose(r, n):
 
 def test_gear_hash_and_borders_by_hand():
     data = prose(random.Random(1), 300).encode()
-    h, want = 0, [0]
+    h, hashes, starts = 0, [], []
     for i, b in enumerate(data):
-        if i and h < sd.WORD_BORDER and data[i - 1 : i] == b" " and i >= 1:
-            want.append(i)
+        if i == 0 or data[i - 1 : i] == b" ":
+            starts.append(i)
+            hashes.append(h if i else 0xFFFF)
         h = (h << 1) + int(sd.GEAR[b]) & 0xFFFF
-    assert sd.borders(data).tolist() == sorted({*want, len(data)})
+    # ties go to the first
+    want = [s for k, s in enumerate(starts) if min((hashes[j], j) for j in range(max(0, k - 2), min(len(starts), k + 3))) == (hashes[k], k)]
+    assert sd.borders(data).tolist() == sorted({0, *want, len(data)})
+    words = np.searchsorted(starts, sd.borders(data)[1:-1])
+    assert (np.diff(words) >= sd.REACH + 1).all()
+
+
+def test_cut_runs_against_exact_search(spark):
+    """What is cut stands elsewhere word by word, and long repeats are left in one place."""
+    r = random.Random(11)
+    pool = [prose(r, n) for n in (55, 70, 110)]
+    rows = [(i, " ".join([prose(r, r.randint(30, 90)), *(r.sample(pool, r.randint(0, 2))), prose(r, r.randint(30, 90))])) for i in range(80)]
+    got = {x["doc_id"]: x for x in sd.dedup_substrings(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    texts = dict(rows)
+    for i, x in got.items():
+        for s in x["spans"]:
+            cut = texts[i].encode()[s["start"] : s["start"] + s["length"]].decode().strip()
+            assert any(cut in texts[j] for j in texts if j != i)
+    # exact search: every run of 24 words that stands in two texts
+    places: dict[str, set[int]] = {}
+    for i, t in texts.items():
+        w = t.split()
+        for k in range(len(w) - 23):
+            places.setdefault(" ".join(w[k : k + 24]), set()).add(i)
+    repeated = {run for run, where in places.items() if len(where) > 1}
+    before = sum(len(places[run]) - 1 for run in repeated)
+    left = sum(max(0, sum(run in got[i]["text"] for i in places[run]) - 1) for run in repeated)
+    assert left <= 0.05 * before
+    # nothing is lost: every chunk stays in some text
+    for t in texts.values():
+        edges = sd.borders(t.encode()).tolist()
+        for s, e in zip(edges[:-1], edges[1:], strict=True):
+            chunk = t.encode()[s:e].decode()
+            assert any(chunk in x["text"] for x in got.values())
 
 
 def test_chunks_cover_the_text_and_resist_shifts():

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
-import heapq  # noqa: F401
 import random
+import time
 
 import numpy as np
 import pytest
@@ -47,16 +47,77 @@ def test_recall_against_brute_force(spark):
 
 
 def test_ties_few_candidates_and_odd_vectors(spark):
+    """Every row is a candidate but the query's own: repeated ids, null ids; odd vectors take no part, others meet their length."""
     nan, inf = float("nan"), float("inf")
-    rows = [(i, [1.0, 0.0, 0.0, 2.0]) for i in range(0, 8)] + [(20, None), (21, [0.0] * 4), (22, [nan, 1.0, 1.0, 1.0]), (23, [inf, 1.0, 1.0, 1.0]), (24, [1.0, None, 1.0, 1.0]), (25, [1.0]), (26, []), (None, [1.0] * 4), (3, [1.0, 0.0, 0.0, 2.0])]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    rows = [(i, [1.0, 0.0, 0.0, 2.0]) for i in range(0, 8)] + [(20, None), (21, [0.0] * 4), (22, [nan, 1.0, 1.0, 1.0]), (23, [inf, 1.0, 1.0, 1.0]), (24, [1.0, None, 1.0, 1.0]), (26, []), (None, [1.0, 0.0, 0.0, 2.0]), (3, [1.0, 0.0, 0.0, 2.0]), (40, [3.0]), (41, [2.0])]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id bigint, embedding array<float>, row string, v int")
     got = mi.search(df, F.col("vec_id") % 20 == 0, k=5).orderBy("query_id", "rank").collect()
-    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, i, i, 5.0) for i in range(1, 6)]
-    few = mi.search(df, F.col("vec_id") % 20 == 0, k=50).count()
-    assert few == 7
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, i + 1, v, 5.0) for i, v in enumerate([1, 2, 3, 3, 4])] + [(40, 1, 41, 6.0)]
+    assert [r["vec_id"] for r in mi.search(df, F.col("vec_id") == 0, k=50).orderBy("rank").collect()] == [1, 2, 3, 3, 4, 5, 6, 7, None]
     assert mi.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_repeated_ids_against_brute_force(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(400, 16))
+    ids = r.integers(0, 90, 400)
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)]
+    got = mi.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(5), F.col("vec_id") % 20 == 0, share=1.0)
+    mine = sorted((q["query_id"], q["rank"], q["vec_id"], round(q["score"], 9)) for q in got.collect())
+    want = []
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = (x * x[q]).sum(axis=1)
+        o = [i for i in np.lexsort((ids, -s)) if i != q][:20]
+        want += [(int(ids[q]), n + 1, int(ids[i]), round(float(s[i]), 9)) for n, i in enumerate(o)]
+    assert mine == sorted(want)
+
+
+def test_cells_are_dealt_in_order_and_hot_ones_split():
+    held = np.array([3, 0, 9, 40, 2, 2, 25, 1])
+    first, parts = mi.deal(held, 10)
+    assert parts.tolist() == [1, 1, 1, 4, 1, 1, 3, 1] and first.tolist() == [0, 0, 1, 2, 6, 6, 7, 10]
+    assert mi.codes_for(500) == 8 and mi.codes_for(10**12) == mi.MOST_CODES
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_shards_give_what_one_shard_gives(spark, monkeypatch, hot):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(600, 8)) + (r.random((600, 1)) < 0.5) * (50 if hot else 0)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    out = []
+    for rows, block in ((10**6, 10**6), (37, 11)):
+        monkeypatch.setattr(mi, "SHARD_ROWS", rows)
+        monkeypatch.setattr(mi, "BLOCK_QUERIES", block)
+        out.append(sorted(map(tuple, mi.search(df, F.col("vec_id") % 20 == 0, k=7, share=0.3, codes=8).collect())))
+    assert out[0] == out[1] and len(out[0]) == 30 * 7
+
+
+def test_recall_and_share_as_the_index_grows(spark):
+    """The calibrated share falls with the number of vectors, and recall on other queries stays."""
+    shares = []
+    for n in (500, 4_000, 32_000):
+        r = np.random.default_rng(n)
+        x = r.normal(size=(n, 32))
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>")
+        step = max(20, n // 50)
+        seen = {}
+        real = mi._calibrated
+        try:
+            mi._calibrated = lambda *a: seen.setdefault("share", real(*a))
+            got = mi.search(df, F.col("vec_id") % step == 0).toPandas()
+        finally:
+            mi._calibrated = real
+        hits = total = 0
+        for q, mine in got.groupby("query_id"):
+            want = np.argsort(-(x @ x[q]), kind="stable")
+            want = set(want[want != q][:20].tolist())
+            hits += len(want & set(mine.vec_id))
+            total += 20
+        shares.append(seen["share"][0])
+        assert hits / total >= 0.9
+    assert shares[0] > shares[1] > shares[2]
+
+
 def judge(rules, host, path):
     fits = [(r, v) for v, r in rules for h, p in [uf.split_rule(r)] if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return max(fits, key=lambda f: (len(uf.split_rule(f[0])[0]), len(f[0])), default=None)
@@ -88,3 +149,18 @@ def test_urls_by_trie_and_by_join(spark):
     assert by[8][:3] == ("org", "/es/", "org/es/") and by[9] == ("org", "", None, "allow") and by[11] == ("ex.com", "", None, "allow")
     assert by[12] == ("b:", "//com/en/", None, "allow") and by[13][2] == "example.com/en/7"
     assert uf.filter_urls(df.limit(0), URL_RULES).count() == 0
+
+
+def test_rules_of_one_host_take_a_lookup_for_each_length():
+    rules = [("block", f"example.com/{i}") for i in range(20_000)]
+    trie = uf.build_trie(rules)
+    start = time.perf_counter()
+    for i in range(20_000):
+        assert uf.longest_match(trie, "a.example.com", f"/{i}")[1] == f"example.com/{i}"
+    assert (time.perf_counter() - start) / 20_000 < 20e-6
+
+
+def test_no_rules(spark):
+    df = spark.createDataFrame([(1, "http://a.b/c"), (2, None)], "page_id bigint, url string")
+    for most in (uf.MOST_BYTES, 0):
+        assert sorted(map(tuple, uf.filter_urls(df, [], most_bytes=most).select("page_id", "host", "rule", "verdict").collect())) == [(1, "a.b", None, "allow"), (2, "", None, "allow")]
