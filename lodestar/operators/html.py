@@ -154,7 +154,7 @@ class _Page(HTMLParser):
         self.page: dict = {"title": "", "meta_description": "", "meta_robots": "", "canonical": "", "lang": "", "headings": [], "images": [], "internal_links": [], "external_links": [], "hreflang": [], "og": {}, "jsonld": [], "blocks": []}
         self.open: list[str] = []
         self.shown: list[str] = []
-        self.grabbed: list[str] | None = None
+        self.grabs: list[tuple[str, list[str], str]] = []  # open captures: tag, text, href
         self.heading = ""
         self.block: list[str] = []
 
@@ -182,12 +182,11 @@ class _Page(HTMLParser):
         elif tag == "img":
             p["images"].append({"src": a.get("src", ""), "alt": a.get("alt", "")})
         if tag in ("title", "a", "h1", "h2", "h3", "h4", "h5", "h6") or (tag == "script" and a.get("type") == "application/ld+json"):
-            self.grabbed = []
-            self.href = a.get("href")
+            self.grabs.append((tag, [], a.get("href") or ""))
 
     def handle_data(self, data):
-        if self.grabbed is not None:
-            self.grabbed.append(data)
+        for _, parts, _ in self.grabs:  # a link in a heading belongs to both
+            parts.append(data)
         if not _HIDDEN & set(self.open) and "title" not in self.open:
             self.shown.append(data)
             if _BLOCKS & set(self.open):
@@ -198,24 +197,24 @@ class _Page(HTMLParser):
             return
         while self.open and self.open.pop() != tag:
             pass
-        got = " ".join("".join(self.grabbed or []).split())
         p = self.page
-        if tag == "title" and not p["title"]:
-            p["title"] = got
-        elif tag == "script" and self.grabbed is not None:
-            p["jsonld"].append("".join(self.grabbed).strip())
-        elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            p["headings"].append({"level": int(tag[1]), "text": got})
-            self.flush()
-            self.heading = got
-        elif tag == "a" and self.grabbed is not None:
-            href = self.href or ""
-            if href and not href.startswith(("#", "javascript:")):
-                full = urljoin(self.base, href) if self.base else href
-                inside = not urlsplit(full).netloc or urlsplit(full).netloc == urlsplit(self.base).netloc
-                p["internal_links" if inside else "external_links"].append({"href": full, "text": got[:100]})
-        if tag in ("title", "a", "h1", "h2", "h3", "h4", "h5", "h6", "script"):
-            self.grabbed = None
+        at = max((i for i, g in enumerate(self.grabs) if g[0] == tag), default=None)
+        if at is not None:
+            _, parts, href = self.grabs.pop(at)
+            got = " ".join("".join(parts).split())
+            if tag == "title":
+                p["title"] = p["title"] or got
+            elif tag == "script":
+                p["jsonld"].append("".join(parts).strip())
+            elif tag == "a":
+                if href and not href.startswith(("#", "javascript:")):
+                    full = urljoin(self.base, href) if self.base else href
+                    inside = not urlsplit(full).netloc or urlsplit(full).netloc == urlsplit(self.base).netloc
+                    p["internal_links" if inside else "external_links"].append({"href": full, "text": got[:100]})
+            else:
+                p["headings"].append({"level": int(tag[1]), "text": got})
+                self.flush()
+                self.heading = got
         if tag in _BLOCKS and not _BLOCKS & set(self.open):
             self.block.append(" ")
 

@@ -198,7 +198,10 @@ def greedy_clusters(overlap: DataFrame, serp: DataFrame, method: str = "clique",
                 of |= dict.fromkeys(members, min(members))
         return pd.DataFrame({"keyword": list(of), "cluster": list(of.values())}, dtype=str)
 
-    return nodes.groupBy("root").cogroup(links.groupBy("r")).applyInPandas(cluster, "keyword string, cluster string")
+    found = nodes.groupBy("root").cogroup(links.groupBy("r")).applyInPandas(cluster, "keyword string, cluster string")
+    # keywords that share too few urls with any other are clusters of their own
+    alone = urls.join(parts, F.col("keyword") == F.col("node"), "left_anti").select("keyword", F.col("keyword").alias("cluster"))
+    return found.unionByName(alone)
 
 
 @operator

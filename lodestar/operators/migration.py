@@ -13,63 +13,72 @@ TRACKING = [
 HOPS = 10
 
 
-def migration_key(d: Duck, url: str) -> str:
-    """E1 in SQL: https, lower-case host, no default port, fragment, trailing slash or tracking parameters."""
-    full = f"CASE WHEN {d.like(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://')} THEN {d.sub(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://', 'https://')} ELSE 'https://' || {url} END"
-    bare = d.sub(full, "#.*$", "")
-    host = f"lower({d.sub(d.extract(bare, '^https://([^/?]*)'), ':(80|443)$', '')})"
-    path = d.sub(d.extract(bare, "^https://[^/?]*([^?]*)"), "/+$", "")
-    query = d.extract(bare, "[?](.*)$")
-    kept = d.filter(d.split(query, "&"), lambda x: f"{x} <> '' AND NOT {d.like(f'lower({x})', '^(' + '|'.join(TRACKING) + ')(=|$)')}")
-    order = f"list_sort({kept})" if d.name == "duckdb" else f"array_sort({kept})"
-    joined = d.join(order, "&")
-    return f"'https://' || {host} || {path} || CASE WHEN {joined} <> '' THEN '?' || {joined} ELSE '' END"
+def with_keys(d: Duck, source: str, columns: str, **urls: str) -> str:
+    """E1 in SQL: ``columns`` of ``source``, and for each of ``urls`` (name to column) its key under that name.
+
+    A key is percent-decoded and has https, the host in lower case without a default port or user,
+    a path ("/" at least) without slashes at its end, and the parameters that don't track, sorted;
+    no fragment. An empty or null url has an empty key.
+    """
+    each = lambda make: ", ".join(make(n) for n in urls)
+    full = lambda n: f"CASE WHEN {d.like(f'u_{n}', '^[a-zA-Z][a-zA-Z0-9+.-]*://')} THEN {d.sub(f'u_{n}', '^[a-zA-Z][a-zA-Z0-9+.-]*://', 'https://')} WHEN u_{n} LIKE '//%' THEN 'https:' || u_{n} WHEN u_{n} = '' THEN '' ELSE 'https://' || u_{n} END"
+    host = lambda n: f"lower({d.sub(d.extract(f'u_{n}', '^https://([^/?]*)'), '^.*@|:(80|443)$', '')})"
+    path = lambda n: d.sub(d.extract(f"u_{n}", "^https://[^/?]*([^?]*)"), "/+$", "")
+    query = lambda n: d.join(d.sort(d.filter(d.split(d.extract(f"u_{n}", "[?](.*)$"), "&"), lambda x: f"{x} <> '' AND NOT {d.like(f'lower({x})', '^(' + '|'.join(TRACKING) + ')(=|$)')}")), "&")
+    return f"""(SELECT {columns}, {each(lambda n: f"CASE WHEN u_{n} = '' THEN '' ELSE 'https://' || h_{n} || CASE WHEN p_{n} = '' THEN '/' ELSE p_{n} END || CASE WHEN q_{n} <> '' THEN '?' || q_{n} ELSE '' END END AS {n}")} FROM (
+  SELECT {columns}, {each(lambda n: f"u_{n}, {host(n)} AS h_{n}, {path(n)} AS p_{n}, {query(n)} AS q_{n}")} FROM (
+    SELECT {columns}, {each(lambda n: f"{d.sub(full(n), '#.*$', '')} AS u_{n}")} FROM (
+      SELECT {columns}, {each(lambda n: f"{d.decode(f'trim(coalesce({urls[n]}, {chr(39) * 2}))')} AS u_{n}")} FROM {source}) AS k0) AS k1) AS k2)"""
 
 
 @operator
 def normalize_urls(d: Duck) -> str:
     """E1. ``urls`` (url) with their key."""
-    return f"SELECT url, {migration_key(d, 'url')} AS url_key FROM @urls@"
+    return f"SELECT url, url_key FROM {with_keys(d, '@urls@', 'url', url_key='url')} AS k"
 
 
 @operator
 def redirect_map(d: Duck) -> str:
-    """E2. The first row (by row_id) of each url of ``crawl`` (url, status_code, redirect_url, row_id)."""
-    return """
-SELECT url, status_code, redirect_url FROM (SELECT url, status_code, redirect_url, row_number() OVER (PARTITION BY url ORDER BY row_id) AS n FROM @crawl@) AS r WHERE n = 1"""
+    """E2. The first row (by row_id) of each url key of ``crawl`` (url, status_code, redirect_url, row_id); rows without a url are left out."""
+    keyed = with_keys(d, "@crawl@", "url, status_code, redirect_url, row_id", url_key="url", redirect_key="redirect_url")
+    return f"""
+SELECT url_key, url, status_code, redirect_key FROM (SELECT *, row_number() OVER (PARTITION BY url_key ORDER BY row_id) AS n FROM {keyed} AS k WHERE url_key <> '') AS r WHERE n = 1"""
 
 
 @operator
 def redirect_chains(d: Duck) -> str:
-    """E3. Where each redirecting url of ``map`` ends: hops (10 at most) and whether it comes back."""
-    seen = d.contains("c.path", "m.redirect_url")
-    path = "array_append(c.path, m.redirect_url)"
-    on = "m.url = c.here AND m.status_code LIKE '3%' AND m.redirect_url <> ''"
-    return f"""
-SELECT start, final_url, hops, is_loop FROM (
-  SELECT start, here AS final_url, hops, is_loop, row_number() OVER (PARTITION BY start ORDER BY hops DESC) AS n FROM (
-    WITH RECURSIVE chain(start, here, hops, is_loop, path) AS (
-      SELECT url, redirect_url, 1, url = redirect_url, {d.array('url', 'redirect_url')} FROM @map@ WHERE status_code LIKE '3%' AND redirect_url <> ''
-      UNION ALL
-      SELECT c.start, m.redirect_url, c.hops + 1, {seen}, {path} FROM chain c JOIN @map@ m ON {on} WHERE NOT c.is_loop AND c.hops < {HOPS - 1})
-    SELECT start, here, hops, is_loop FROM chain) AS c) AS r WHERE n = 1"""
+    """E3. Where each redirecting url of ``map`` (url_key, status_code, redirect_key) ends: hops (9 at most, so 10 urls) and whether it comes back.
+
+    One equi-join for each hop, so no recursion and no limit on rows; a chain that has ended
+    meets nothing, under a key of its own.
+    """
+    moves = "(SELECT url_key, redirect_key FROM @map@ WHERE status_code LIKE '3%' AND redirect_key <> '')"
+    path = f"(SELECT url_key AS n0, redirect_key AS n1, 1 AS hops, url_key = redirect_key AS is_loop FROM {moves} AS m1)"
+    for k in range(2, HOPS):
+        seen = ", ".join(f"n{i}" for i in range(k))
+        path = f"""(SELECT {seen}, m.redirect_key AS n{k}, hops + CASE WHEN m.redirect_key IS NULL THEN 0 ELSE 1 END AS hops, is_loop OR coalesce(m.redirect_key IN ({seen}), false) AS is_loop
+  FROM {path} AS p{k} LEFT JOIN {moves} AS m ON m.url_key = CASE WHEN is_loop OR n{k - 1} IS NULL THEN '#' || n0 ELSE n{k - 1} END)"""
+    last = ", ".join(f"n{k}" for k in range(HOPS - 1, 0, -1))
+    return f"SELECT n0 AS start, coalesce({last}) AS final_url, CAST(hops AS BIGINT) AS hops, is_loop FROM {path} AS p"
 
 
 @operator
 def validate_redirects(d: Duck) -> str:
-    """E4. One row for each finding on ``spec`` (old_url, new_url, type) against ``map`` and ``chains``; a rule can be chain and match."""
+    """E4. One row for each finding on ``spec`` (old_url, new_url, type) against ``map`` and ``chains``, by key; a rule can be chain and match, and one without type takes any."""
+    spec = with_keys(d, "@spec@", "old_url, new_url, type", old_key="old_url", new_key="new_url")
     return f"""
 SELECT old_url, finding FROM (SELECT old_url, {d.explode('findings')} AS finding FROM (
-  SELECT s.old_url, CASE WHEN m.url IS NULL OR m.status_code NOT LIKE '3%' THEN {d.array("'missing'", 'NULL')} WHEN c.is_loop THEN {d.array("'loop'", 'NULL')}
-    ELSE {d.array("CASE WHEN c.hops > 1 THEN 'chain' END", "CASE WHEN m.redirect_url = s.new_url AND m.status_code = s.type THEN 'match' WHEN m.redirect_url = s.new_url THEN 'wrong_type' ELSE 'wrong_destination' END")} END AS findings
-  FROM @spec@ s LEFT JOIN @map@ m ON s.old_url = m.url LEFT JOIN @chains@ c ON s.old_url = c.start) AS f) AS x WHERE finding IS NOT NULL"""
+  SELECT s.old_url, CASE WHEN m.url_key IS NULL OR m.status_code NOT LIKE '3%' THEN {d.array("'missing'", 'NULL')} WHEN c.is_loop THEN {d.array("'loop'", 'NULL')}
+    ELSE {d.array("CASE WHEN c.hops > 1 THEN 'chain' END", "CASE WHEN m.redirect_key = s.new_key AND (coalesce(s.type, '') = '' OR m.status_code = s.type) THEN 'match' WHEN m.redirect_key = s.new_key THEN 'wrong_type' ELSE 'wrong_destination' END")} END AS findings
+  FROM {spec} AS s LEFT JOIN @map@ m ON s.old_key = m.url_key LEFT JOIN @chains@ c ON s.old_key = c.start) AS f) AS x WHERE finding IS NOT NULL"""
 
 
 @operator
 def extra_redirects(d: Duck) -> str:
-    """E5. Redirects of ``map`` that ``spec`` lacks."""
-    return """
-SELECT m.url, m.redirect_url FROM @map@ m LEFT ANTI JOIN @spec@ s ON m.url = s.old_url WHERE m.status_code LIKE '3%' AND m.redirect_url <> ''""".replace("LEFT ANTI", "ANTI" if d.name == "duckdb" else "LEFT ANTI")
+    """E5. Redirects of ``map`` that ``spec`` lacks, by key."""
+    spec = with_keys(d, "@spec@", "old_url", old_key="old_url")
+    return f"""
+SELECT m.url, m.redirect_key FROM @map@ m {'ANTI' if d.name == 'duckdb' else 'LEFT ANTI'} JOIN {spec} AS s ON m.url_key = s.old_key WHERE m.status_code LIKE '3%' AND m.redirect_key <> ''"""
 
 
 @operator
@@ -81,25 +90,36 @@ SELECT CAST(count(DISTINCT old_url) AS BIGINT) AS rules, CAST(count_if(finding =
   round(count_if(finding = 'match') * 100e0 / nullif(count(DISTINCT old_url), 0), 1) AS score FROM @findings@"""
 
 
+CRAWL_FIELDS = ["title", "h1", "status_code", "indexability", "canonical"]
+
+
+@operator
+def crawl_by_key(d: Duck) -> str:
+    """E7. The last row (by row_id) of each url key of ``crawl`` (url, the fields of CRAWL_FIELDS, word_count, row_id)."""
+    columns = ", ".join(["url", *CRAWL_FIELDS, "word_count", "row_id"])
+    return f"""
+SELECT url_key, {', '.join(CRAWL_FIELDS)}, word_count FROM (SELECT *, row_number() OVER (PARTITION BY url_key ORDER BY row_id DESC) AS n FROM {with_keys(d, '@crawl@', columns, url_key='url')} AS k WHERE url_key <> '') AS r WHERE n = 1"""
+
+
 @operator
 def compare_crawls(d: Duck) -> str:
-    """E7, E9. Urls of ``old`` and ``new`` (url, word_count, status_code): matched, removed (high risk above 500 words) or new (no redirects)."""
+    """E7, E9. Url keys of ``old`` and ``new`` (see crawl_by_key): matched, removed (high risk above 500 words) or new (no redirects)."""
     return """
-SELECT coalesce(o.url, n.url) AS url, CASE WHEN o.url IS NULL THEN 'new' WHEN n.url IS NULL THEN 'removed' ELSE 'matched' END AS presence, n.url IS NULL AND o.word_count > 500 AS high_risk
-FROM @old@ o FULL OUTER JOIN @new@ n ON o.url = n.url WHERE o.url IS NOT NULL OR n.status_code NOT LIKE '3%'"""
+SELECT coalesce(o.url_key, n.url_key) AS url_key, CASE WHEN o.url_key IS NULL THEN 'new' WHEN n.url_key IS NULL THEN 'removed' ELSE 'matched' END AS presence, n.url_key IS NULL AND o.word_count > 500 AS high_risk
+FROM @old@ o FULL OUTER JOIN @new@ n ON o.url_key = n.url_key WHERE o.url_key IS NOT NULL OR n.status_code NOT LIKE '3%'"""
 
 
 @operator
 def field_changes(d: Duck) -> str:
-    """E8, E14. Changed fields of urls in both ``old`` and ``new`` (url, title, h1, status_code, indexability, canonical, word_count)."""
-    fields = ["title", "h1", "status_code", "indexability", "canonical"]
+    """E8, E14. Changed fields of the url keys in both ``old`` and ``new`` (see crawl_by_key)."""
+    critical = {"status_code": "o.status_code = '200' AND (n.status_code LIKE '4%' OR n.status_code LIKE '5%')", "indexability": "lower(o.indexability) LIKE '%indexable%' AND lower(n.indexability) LIKE '%non%'"}
     each = " UNION ALL ".join(
-        f"SELECT o.url, '{f}' AS field, o.{f} AS old_value, n.{f} AS new_value, " + {"status_code": "o.status_code = '200' AND (n.status_code LIKE '4%' OR n.status_code LIKE '5%')", "indexability": "lower(o.indexability) LIKE '%indexable%' AND lower(n.indexability) LIKE '%non%'"}.get(f, "false") + f" AS critical FROM @old@ o JOIN @new@ n ON o.url = n.url WHERE o.{f} <> '' AND n.{f} <> '' AND o.{f} <> n.{f}"
-        for f in fields
+        f"SELECT o.url_key, '{f}' AS field, o.{f} AS old_value, n.{f} AS new_value, {critical.get(f, 'false')} AS critical FROM @old@ o JOIN @new@ n ON o.url_key = n.url_key WHERE o.{f} <> '' AND n.{f} <> '' AND o.{f} <> n.{f}"
+        for f in CRAWL_FIELDS
     )
     return f"""
-{each} UNION ALL SELECT o.url, 'word_count' AS field, CAST(o.word_count AS STRING) AS old_value, CAST(n.word_count AS STRING) AS new_value, (n.word_count - o.word_count) * 100e0 / o.word_count <= -30 AS critical
-FROM @old@ o JOIN @new@ n ON o.url = n.url WHERE o.word_count > 0 AND n.word_count > 0 AND abs(n.word_count - o.word_count) * 100e0 / o.word_count >= 20"""
+{each} UNION ALL SELECT o.url_key, 'word_count' AS field, CAST(o.word_count AS STRING) AS old_value, CAST(n.word_count AS STRING) AS new_value, (n.word_count - o.word_count) * 100e0 / o.word_count <= -30 AS critical
+FROM @old@ o JOIN @new@ n ON o.url_key = n.url_key WHERE o.word_count > 0 AND n.word_count > 0 AND abs(n.word_count - o.word_count) * 100e0 / o.word_count >= 20"""
 
 
 @operator

@@ -175,10 +175,10 @@ SELECT id, CASE WHEN has_api AND has_search THEN 3 WHEN has_api OR has_search TH
 @operator
 def question_tree(d: Duck, depth: int = 5) -> str:
     """Q16. Questions reachable from ``seeds`` (question) over ``edges`` (parent, question), each at its least depth (equal questions once)."""
-    key = d.sub("lower(trim({}))", "[^a-z0-9 ]", "")
+    key = lambda c: d.sub(f"lower(trim({c}))", "[^a-z0-9 ]", "")
+    steps = [f"level0 AS (SELECT DISTINCT {key('question')} AS question_key FROM @seeds@)", f"asked AS (SELECT DISTINCT {key('parent')} AS parent_key, {key('question')} AS question_key FROM @edges@)"]
+    steps += [f"level{k} AS (SELECT DISTINCT e.question_key FROM level{k - 1} AS t JOIN asked AS e ON e.parent_key = t.question_key)" for k in range(1, depth + 1)]
+    levels = " UNION ALL ".join(f"SELECT question_key, {k} AS depth FROM level{k}" for k in range(depth + 1))
     return f"""
-SELECT question_key, CAST(min(depth) AS BIGINT) AS depth FROM (
-  WITH RECURSIVE tree(question_key, depth) AS (
-    SELECT DISTINCT {key.format('question')}, 0 FROM @seeds@
-    UNION {'ALL' if d.name == 'spark' else ''} SELECT DISTINCT {key.format('e.question')}, t.depth + 1 FROM tree t JOIN @edges@ e ON {key.format('e.parent')} = t.question_key WHERE t.depth < {depth})
-  SELECT question_key, depth FROM tree) AS t GROUP BY question_key"""
+WITH {', '.join(steps)}
+SELECT question_key, CAST(min(depth) AS BIGINT) AS depth FROM ({levels}) AS t GROUP BY question_key"""

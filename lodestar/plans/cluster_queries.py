@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from lodestar.operators import clusters as c
 from lodestar.operators import health as h
 from lodestar.plans import fixtures as fx
@@ -9,11 +11,19 @@ from lodestar.plans.registry import declare, query
 
 VECTORS = fx.shaped("fixture_vectors", "SELECT vec_id AS id, embedding AS vector, label FROM @e@ WHERE vec_id % 5 > 0", e=fx.EMBEDDINGS)
 QUESTIONS = fx.shaped("fixture_questions", "SELECT vec_id AS id, embedding AS vector FROM @e@ WHERE vec_id % 5 = 0", e=fx.EMBEDDINGS)
-PAIRS = c.cosine_pairs(a=QUESTIONS, b=VECTORS, threshold=0.2)
+
+
+def blocked(a, b, threshold: float):
+    """Pairs by blocks of matrix products in Spark; the oracle multiplies them one by one."""
+    node = c.cosine_pairs(a=a, b=b, threshold=threshold)
+    return replace(node, kernel=lambda given: c.similar_pairs(given["a"], given["b"], threshold).selectExpr("left_id", "right_id", "round(similarity, 6) AS similarity"))
+
+
+PAIRS = blocked(QUESTIONS, VECTORS, 0.2)
 NAMED = fx.shaped("fixture_named_pairs", "SELECT 'red bolt ' || CAST(left_id AS STRING) AS keyword, '/shop/red-widget-' || CAST(right_id AS STRING) || '/pricing' AS url, similarity FROM @p@", p=PAIRS)
 NAMES = fx.shaped("fixture_keyword_names", "SELECT 'red bolt ' || CAST(id AS STRING) AS keyword, CASE WHEN id % 10 = 0 THEN '/shop/red-widget-' || CAST(id + 1 AS STRING) || '/pricing' ELSE '' END AS actual_url, CAST(id % 40 AS BIGINT) AS actual_rank FROM @q@", q=QUESTIONS)
 MAPPING = c.keyword_mapping(pairs=NAMED, threshold=0.3, top_n=5)
-SELF = c.cosine_pairs(a=VECTORS, b=VECTORS, threshold=0.3)
+SELF = blocked(VECTORS, VECTORS, 0.3)
 CLOSEST = fx.shaped("fixture_closest", "SELECT id AS url, id + 5 AS closest_match, CAST(80 + id % 20 AS DOUBLE) AS similarity_pct, id + 7 AS closest_semantic_match, round(id % 100 / 100e0, 2) AS semantic_score FROM @v@", v=VECTORS)
 SHARED = c.serp_overlap(serp=fx.SERP)
 JACCARD = c.serp_jaccard(overlap=SHARED, serp=fx.SERP)
@@ -25,7 +35,7 @@ TOPICS = fx.shaped("fixture_topics", "SELECT p_type || p_brand AS cluster, p_nam
 WORDS = fx.shaped("fixture_words", lambda d: f"SELECT doc_id AS page, word FROM (SELECT doc_id, {d.explode(d.extract_all('lower(text)', '[a-z]+'))} AS word FROM @d@) AS w", d=fx.DOCUMENTS)
 ITEMS = fx.shaped("fixture_items", "SELECT event_id AS id, 'https://x.test/' || event_type || '/' || CAST(user_id AS STRING) || CASE WHEN event_id % 2 = 0 THEN '/?a=1' ELSE '' END AS url, CAST(event_id % 3 AS BIGINT) AS priority, CAST(event_id % 997 AS BIGINT) AS length FROM @e@", e=fx.EVENTS)
 
-declare("b1_cosine_pairs", PAIRS)
+declare("b1_cosine_pairs", c.cosine_pairs(a=QUESTIONS, b=VECTORS, threshold=0.2))
 declare("b2_b3_url_keyword_boost", fx.shaped("b3", lambda d: f"SELECT p_partkey, {c.keyword_boost(d, 'p_name', '''concat('https://www.x.test/', replace(p_name, ' ', '-'), '/', p_type, '.html?q=1')''')} AS boost, CAST({d.size(c.slug_words(d, '''concat('https://www.x.test/shop/', p_type, '_', p_brand)'''))} AS BIGINT) AS slug_words FROM @p@", p=fx.PART))
 declare("b4_keyword_mapping", MAPPING)
 declare("b4_keyword_classes", c.keyword_classes(keywords=NAMES, mapping=MAPPING))

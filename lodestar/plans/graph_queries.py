@@ -82,21 +82,30 @@ RAW_URLS = fx.shaped(
     || CASE o_orderkey % 5 WHEN 0 THEN '?b=2&utm_source=x&a=1' WHEN 1 THEN '#part' WHEN 2 THEN '?gclid=7' ELSE '' END AS url FROM @o@""",
     o=fx.ORDERS,
 )
-CRAWL = fx.shaped("fixture_redirect_crawl", "SELECT '/p/' || CAST(p_partkey AS STRING) AS url, CASE WHEN p_partkey % 5 < 2 THEN '301' WHEN p_partkey % 11 = 0 THEN '404' WHEN p_partkey % 13 = 0 THEN '302' ELSE '200' END AS status_code, CASE WHEN p_partkey % 5 < 2 OR p_partkey % 13 = 0 THEN '/p/' || CAST(p_partkey * 7 % 2000 AS STRING) ELSE '' END AS redirect_url, p_partkey AS row_id FROM @p@", p=fx.PART)
+
+
+def _spelt(key: str, of: str) -> str:
+    """One url in several spellings: scheme, case, port, slash, tracking, fragment, percent signs."""
+    return f"""CASE {of} % 5 WHEN 0 THEN 'HTTP://X.test/p/' || {key} || '/' WHEN 1 THEN 'https://x.test:443/p/' || {key} WHEN 2 THEN 'x.test/%70/' || {key} || '?utm_source=a' WHEN 3 THEN '//x.test/p/' || {key} || '#top' ELSE 'http://x.test/p/' || {key} END"""
+
+
+_TARGET = _spelt("CAST(p_partkey * 7 % 2000 AS STRING)", "(p_partkey + 2)")
+CRAWL = fx.shaped("fixture_redirect_crawl", f"SELECT {_spelt('CAST(p_partkey AS STRING)', 'p_partkey')} AS url, CASE WHEN p_partkey % 7 < 3 THEN '301' WHEN p_partkey % 11 = 0 THEN '404' WHEN p_partkey % 13 = 0 THEN '302' ELSE '200' END AS status_code, CASE WHEN p_partkey % 7 < 3 OR p_partkey % 13 = 0 THEN {_TARGET} ELSE '' END AS redirect_url, p_partkey AS row_id FROM @p@", p=fx.PART)
 REDIRECTS = m.redirect_map(crawl=CRAWL)
 CHAINS = m.redirect_chains(map=REDIRECTS)
-SPEC = fx.shaped("fixture_spec", "SELECT '/p/' || CAST(p_partkey AS STRING) AS old_url, '/p/' || CAST((p_partkey * 7 + CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END) % 2000 AS STRING) AS new_url, '301' AS type FROM @p@ WHERE p_partkey % 3 = 0", p=fx.PART)
+SPEC = fx.shaped("fixture_spec", f"SELECT {_spelt('CAST(p_partkey AS STRING)', 'p_size')} AS old_url, {_spelt('CAST((p_partkey * 7 + CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END) % 2000 AS STRING)', '(p_size + 1)')} AS new_url, CASE WHEN p_size % 3 = 0 THEN '' ELSE '301' END AS type FROM @p@ WHERE p_partkey % 3 = 0", p=fx.PART)
 FINDINGS = m.validate_redirects(spec=SPEC, map=REDIRECTS, chains=CHAINS)
 
 
-def _crawl(shift: int) -> str:
-    return f"""SELECT '/p/' || CAST(p_partkey + {shift} AS STRING) AS url, p_name || CASE WHEN (p_partkey + {shift}) % 9 = 0 THEN ' {shift}' ELSE '' END AS title, p_type AS h1, CASE WHEN (p_partkey * 3 + {shift}) % 7 = 0 THEN '404' WHEN (p_partkey + {shift}) % 19 = 0 THEN '301' ELSE '200' END AS status_code,
-    CASE WHEN (p_partkey + {shift}) % 8 = 0 THEN 'Non-Indexable' ELSE 'Indexable' END AS indexability, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_brand END AS canonical, CAST((p_partkey * 31 + {shift} * 97) % 1500 AS BIGINT) AS word_count FROM @p@"""
+def _crawl(shift: int, start: str) -> str:
+    return f"""SELECT '{start}/p/' || CAST(p_partkey + {shift} AS STRING) AS url, p_name || CASE WHEN (p_partkey + {shift}) % 9 = 0 THEN ' {shift}' ELSE '' END AS title, p_type AS h1, CASE WHEN (p_partkey * 3 + {shift}) % 7 = 0 THEN '404' WHEN (p_partkey + {shift}) % 19 = 0 THEN '301' ELSE '200' END AS status_code,
+    CASE WHEN (p_partkey + {shift}) % 8 = 0 THEN 'Non-Indexable' ELSE 'Indexable' END AS indexability, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_brand END AS canonical, CAST((p_partkey * 31 + {shift} * 97) % 1500 AS BIGINT) AS word_count, p_partkey AS row_id FROM @p@"""
 
 
-OLD, NEW = fx.shaped("fixture_old_crawl", _crawl(0), p=fx.PART), fx.shaped("fixture_new_crawl", _crawl(100), p=fx.PART)
+OLD, NEW = fx.shaped("fixture_old_crawl", _crawl(0, "https://x.test"), p=fx.PART), fx.shaped("fixture_new_crawl", _crawl(100, "http://X.test:80"), p=fx.PART)
+OLD_KEYED, NEW_KEYED = m.crawl_by_key(crawl=OLD), m.crawl_by_key(crawl=NEW)
 SNAPSHOTS = fx.shaped("fixture_snapshots", "SELECT replace(substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 10), '-', '') || '120000' AS timestamp, 'https://x.test/' || o_orderpriority || '/' || CAST(o_custkey % (o_orderkey % 90 + 1) AS STRING) || '/x' AS original, CAST(o_custkey % 40 AS STRING) AS digest FROM @o@", o=fx.ORDERS)
-SITEMAP = fx.shaped("fixture_sitemap", "SELECT '/p/' || CAST(p_partkey AS STRING) AS loc FROM @p@ WHERE p_partkey % 4 > 0", p=fx.PART)
+SITEMAP = fx.shaped("fixture_sitemap", "SELECT 'http://X.test:80/p/' || CAST(p_partkey AS STRING) AS loc FROM @p@ WHERE p_partkey % 4 > 0", p=fx.PART)
 SITE = fx.shaped("fixture_sitemap_crawl", "SELECT url, status_code, indexability = 'Indexable' AS indexable FROM @n@", n=NEW)
 SITEMAPS = fx.shaped("fixture_sitemap_urls", "SELECT p_brand AS sitemap, CASE WHEN p_partkey % 6 = 0 THEN 'http' ELSE 'https' END || '://x.test/' || CAST(p_partkey AS STRING) || CASE WHEN p_partkey % 10 = 0 THEN '?a=1' ELSE '' END AS loc, CASE WHEN p_size > 25 THEN '2024-01-01' ELSE '2024-02-02' END AS lastmod FROM @p@", p=fx.PART)
 HREFLANG = fx.shaped(
@@ -111,8 +120,8 @@ declare("e3_e13_redirect_chains", CHAINS)
 declare("e4_validate_redirects", FINDINGS)
 declare("e5_extra_redirects", m.extra_redirects(map=REDIRECTS, spec=SPEC))
 declare("e6_redirect_summary", m.redirect_summary(findings=FINDINGS))
-declare("e7_e9_compare_crawls", m.compare_crawls(old=OLD, new=NEW))
-declare("e8_e14_field_changes", m.field_changes(old=OLD, new=NEW))
+declare("e7_e9_compare_crawls", m.compare_crawls(old=OLD_KEYED, new=NEW_KEYED))
+declare("e8_e14_field_changes", m.field_changes(old=OLD_KEYED, new=NEW_KEYED))
 declare("e10_archive_timeline", m.archive_timeline(snapshots=SNAPSHOTS))
 declare("e11_structural_changes", m.structural_changes(snapshots=SNAPSHOTS))
 declare("e12_robots_versions", m.robots_versions(snapshots=SNAPSHOTS))

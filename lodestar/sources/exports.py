@@ -186,12 +186,19 @@ def sniff(head: str) -> str:
     return max(",;\t|", key=score)
 
 
-def read_export(spark: SparkSession, path: str, spec: TableSpec | str, sep: str | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """S1-S20. A CSV export by its spec; the delimiter is found from the first 4 KB, read through Spark."""
+def read_export(spark: SparkSession, path: str, spec: TableSpec | str, sep: str | None = None, encoding: str = "UTF-8", multi_line: bool | None = None) -> DataFrame:
+    """S1-S20. A CSV export by its spec; the delimiter is found from the first 4 KB, read through Spark.
+
+    An export with line ends inside quotes is read by one task a file; any other is split. Which
+    it is is found in one pass, by lines with an odd number of quotes, if not given.
+    """
     if sep is None:
         first = "\n".join(r[0] for r in spark.read.text(path).limit(20).collect())
         sep = sniff(first[:4096])
-    raw = spark.read.csv(path, header=True, sep=sep, encoding=encoding, multiLine=True, escape='"')
+    if multi_line is None:
+        lines = spark.read.option("wholetext", False).text(path)
+        multi_line = not lines.filter(F.regexp_count("value", F.lit('"')) % 2 == 1).isEmpty()
+    raw = spark.read.csv(path, header=True, sep=sep, encoding=encoding, multiLine=multi_line, escape='"')
     return normalize(raw, spec)
 
 
