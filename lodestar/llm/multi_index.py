@@ -33,7 +33,7 @@ ROUNDS = 12
 #: Codes of a half: the power of two nearest to the root of the number of vectors by CODES_ROOT, within these.
 LEAST_CODES, MOST_CODES, CODES_ROOT = 8, 1_024, 3.0
 #: Vectors that the codebooks are fitted on, and queries that the share is calibrated with, about.
-SAMPLE, ASKED = 40_000, 128
+SAMPLE, ASKED = 20_000, 128
 #: Recall that the calibrated share meets on the sampled queries.
 RECALL = 0.95
 SHARD_ROWS, BLOCK_QUERIES, AT_ONCE = 16_384, 8_192, 64
@@ -149,8 +149,8 @@ def _calibrated(rows: DataFrame, codebooks: tuple[np.ndarray, np.ndarray], held:
     """Share of the entries that finds ``recall`` of the k nearest of about ASKED sampled rows, compared with all rows; and the recall at it."""
     a, b = codebooks
     half = a.shape[1]
-    drawn = sorted((r["row"], r["v"]) for r in _some(rows, n, ASKED).select("row", "v").collect())
-    asked, q = np.array([r for r, _ in drawn]), np.array([v for _, v in drawn])
+    drawn = _some(rows, n, ASKED).select("row", "v").toPandas().sort_values("row")
+    asked, q = drawn["row"].to_numpy(), np.stack(drawn["v"].to_numpy())
     sent = rows.sparkSession.sparkContext.broadcast((asked, q))  # ASKED vectors, about
 
     def nearest_here(batches):
@@ -185,8 +185,9 @@ def _some(rows: DataFrame, n: int, most: int) -> DataFrame:
 def _search(rows: DataFrame, d: int, n: int, k: int, share: float | None, codes: int, sample: int, recall: float) -> DataFrame:
     """``search`` over ``n`` rows (vec_id, v, asked, row) of vectors of ``d`` components."""
     spark, half = rows.sparkSession, d // 2
-    drawn = sorted((r["row"], r["v"]) for r in _some(rows, n, sample).select("row", "v").collect())
-    points = np.array([v for _, v in drawn] or [[0.0] * d])
+    drawn = _some(rows, n, sample).select("row", "v").toPandas().sort_values("row")
+    points = np.stack(drawn["v"].to_numpy()) if len(drawn) else np.zeros((1, d))
+    del drawn
     books = spark.sparkContext.broadcast((kmeans(points[:, :half], codes), kmeans(points[:, half:], codes)))
     a, b = books.value
 
