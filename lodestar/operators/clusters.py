@@ -115,14 +115,15 @@ LEFT JOIN @semantic@ s ON p.left_id = s.url AND p.right_id = s.closest_semantic_
 
 @operator
 def cluster_summary(d: Duck) -> str:
-    """B7, B8. Size, similarity and class of each cluster: ``members`` (node, root) and ``pairs`` (left_id, right_id, similarity, minhash_pct)."""
+    """B7, B8. Size, similarity, class and advice of each cluster: ``members`` (node, root) and ``pairs`` (left_id, right_id, similarity, minhash_pct)."""
     return """
+SELECT *, CASE class WHEN 'EXACT_DUPLICATE' THEN 'CANONICAL' WHEN 'NEAR_DUPLICATE' THEN 'MERGE' WHEN 'SEMANTICALLY_SIMILAR' THEN 'REVIEW' ELSE 'OK' END AS advice FROM (
 SELECT c.root, c.size, p.max_similarity, p.avg_similarity,
   CASE WHEN p.minhash >= 95 THEN 'EXACT_DUPLICATE' WHEN p.minhash >= 90 THEN 'NEAR_DUPLICATE' WHEN p.max_similarity >= 95e-2 THEN 'NEAR_DUPLICATE'
     WHEN p.max_similarity >= 85e-2 THEN 'SEMANTICALLY_SIMILAR' WHEN p.max_similarity >= 70e-2 THEN 'THEMATICALLY_RELATED' ELSE 'RELATED' END AS class
 FROM (SELECT root, CAST(count(*) AS BIGINT) AS size FROM @members@ GROUP BY root) AS c
 JOIN (SELECT m.root, max(round(q.similarity, 4)) AS max_similarity, round(avg(round(q.similarity, 4)), 4) AS avg_similarity, max(q.minhash_pct) AS minhash
-  FROM @pairs@ q JOIN @members@ m ON q.left_id = m.node GROUP BY m.root) AS p ON c.root = p.root"""
+  FROM @pairs@ q JOIN @members@ m ON q.left_id = m.node GROUP BY m.root) AS p ON c.root = p.root) AS s"""
 
 
 @operator

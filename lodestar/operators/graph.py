@@ -56,6 +56,29 @@ SELECT (SELECT CAST(count(*) AS BIGINT) FROM @edges@) AS edges, CAST(count(*) AS
   CAST(count_if(in_degree = 0) AS BIGINT) AS orphans, CAST(count_if(out_degree = 0) AS BIGINT) AS dead_ends FROM @degrees@"""
 
 
+def top_list(name: str, table: str, where: str, by: str, top: int, key: str) -> str:
+    """Ranked rows (list, rank, ``key``, value) of the first ``top`` by an order; only those are numbered."""
+    value = by.removesuffix(" DESC")
+    return f"""SELECT '{name}' AS list, CAST(row_number() OVER (ORDER BY {by}, {key}) AS BIGINT) AS rank, {key}, CAST({value} AS DOUBLE) AS value FROM (
+  SELECT {key}, {value} FROM {table} WHERE {where} ORDER BY {by}, {key} LIMIT {top}) AS t_{name}"""
+
+
+@operator
+def graph_lists(d: Duck, min_links: int = 0) -> str:
+    """D7. Top lists of ``nodes`` (node, in_degree, out_degree, pagerank, betweenness) by their ``classes``.
+
+    ``min_links`` concerns the first list alone: either degree reaches it, or the page is an orphan.
+    """
+    lists = [
+        ("top_pages", f"in_degree >= {min_links} OR out_degree >= {min_links} OR orphan", "pagerank DESC", 30), ("orphans", "orphan", "pagerank DESC", 50), ("hubs", "hub", "out_degree DESC", 20),
+        ("authorities", "authority", "pagerank DESC", 20), ("bridges", "bridge", "betweenness DESC", 20), ("dead_ends", "dead_end", "pagerank DESC", 30),
+    ]
+    parts = " UNION ALL ".join(top_list(name, "rated", where, by, top, "node") for name, where, by, top in lists)
+    return f"""
+WITH rated AS (SELECT n.*, c.orphan, c.dead_end, c.hub, c.authority, c.bridge FROM @nodes@ n JOIN @classes@ c ON n.node = c.node)
+{parts}"""
+
+
 _GENERIC = ", ".join(text(a) for a in GENERIC_ANCHORS)
 
 
@@ -77,11 +100,20 @@ FROM (SELECT target, CAST(count(*) AS BIGINT) AS total, CAST(count(DISTINCT CASE
 
 
 @operator
-def duplicate_anchors(d: Duck, top: int = 30) -> str:
-    """D9. Anchors that say something and lead to more than one target."""
+def duplicate_anchors(d: Duck, top: int = 30, first: int = 5) -> str:
+    """D9. Anchors that say something and lead to more than one target, one row for each of their first targets."""
     return f"""
-SELECT anchor, CAST(count(DISTINCT target) AS BIGINT) AS targets, min(target) AS first_target FROM (SELECT lower(anchor) AS anchor, target FROM {anchors_of(d)} AS a WHERE anchor <> '') AS l
-WHERE anchor NOT IN ({_GENERIC}) GROUP BY anchor HAVING count(DISTINCT target) > 1 ORDER BY targets DESC, anchor LIMIT {top}"""
+WITH ends AS (SELECT DISTINCT lower(anchor) AS anchor, target FROM {anchors_of(d)} AS a WHERE anchor <> ''),
+found AS (SELECT anchor, CAST(count(*) AS BIGINT) AS targets FROM ends WHERE anchor NOT IN ({_GENERIC}) GROUP BY anchor HAVING count(*) > 1 ORDER BY targets DESC, anchor LIMIT {top})
+SELECT anchor, targets, CAST(n AS BIGINT) AS target_rank, target FROM (
+  SELECT f.anchor, f.targets, x.target, row_number() OVER (PARTITION BY f.anchor ORDER BY x.target) AS n FROM found f JOIN ends x ON f.anchor = x.anchor) AS r WHERE n <= {first}"""
+
+
+@operator
+def empty_anchors(d: Duck, top: int = 20) -> str:
+    """D10. The targets that most links without an anchor lead to."""
+    return f"""
+SELECT target, CAST(count(*) AS BIGINT) AS empty FROM {anchors_of(d)} AS a WHERE anchor = '' GROUP BY target ORDER BY empty DESC, target LIMIT {top}"""
 
 
 @operator
@@ -103,6 +135,16 @@ FROM (SELECT coalesce(l.target, r.page) AS page, coalesce(l.n, 0) AS links_in, c
   ON l.target = r.page) AS f"""
 
 
+@operator
+def revenue_lists(d: Duck) -> str:
+    """D12. Top lists of ``joined`` pages (page, links_in, revenue, revenue_per_link, underlinked, overlinked)."""
+    lists = [
+        ("underlinked", "underlinked", "revenue DESC", 30), ("overlinked", "overlinked", "links_in DESC", 30),
+        ("most_efficient", "revenue > 0 AND links_in > 0", "revenue_per_link DESC", 20), ("least_efficient", "revenue > 0 AND links_in > 0", "revenue_per_link", 20),
+    ]
+    return " UNION ALL ".join(top_list(name, "@joined@", where, by, top, "page") for name, where, by, top in lists)
+
+
 @operator
 def link_blocks(d: Duck, client: str = "") -> str:
     """D13. Link blocks of ``blocks`` (site, block, links) by site, and those that the client lacks."""

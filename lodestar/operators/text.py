@@ -57,10 +57,10 @@ def score_passages(d: Duck, lo: int = 134, hi: int = 167) -> str:
     first = d.extract("t", r"^([^.!?]*)")
     unique = d.size(d.distinct(d.extract_all("lower(t)", WORD)))
     return f"""
-SELECT id, length_score, self_containment, data_density, structure, lexical_diversity, qa_format, total,
+SELECT id, word_count, length_score, self_containment, data_density, structure, lexical_diversity, qa_format, total,
   CASE WHEN total >= 80 THEN 'excellent' WHEN total >= 60 THEN 'good' WHEN total >= 40 THEN 'needs_work' WHEN total >= 20 THEN 'poor' ELSE 'critical' END AS rating
 FROM (SELECT *, greatest(0, least(100, length_score + self_containment + data_density + structure + lexical_diversity + qa_format)) AS total FROM (
-  SELECT id, CAST(CASE WHEN n BETWEEN {lo} AND {hi} THEN 25 ELSE greatest(0, 25 - least(abs(n - {lo}), abs(n - {hi}))) END AS BIGINT) AS length_score,
+  SELECT id, CAST(n AS BIGINT) AS word_count, CAST(CASE WHEN n BETWEEN {lo} AND {hi} THEN 25 ELSE greatest(0, 25 - least(abs(n - {lo}), abs(n - {hi}))) END AS BIGINT) AS length_score,
     CAST(20 - CASE WHEN weak THEN 10 ELSE 0 END - CASE WHEN first_words < 5 THEN 5 ELSE 0 END - CASE WHEN ended THEN 0 ELSE 5 END AS BIGINT) AS self_containment,
     CAST(least(20, found * 5) AS BIGINT) AS data_density,
     CAST(least(15, CASE WHEN s BETWEEN 2 AND 5 THEN 15 WHEN s = 1 THEN 8 WHEN s = 6 THEN 12 ELSE greatest(0, 15 - abs(s - 4) * 2) END + CASE WHEN weak OR t LIKE '?%' THEN 0 ELSE 2 END) AS BIGINT) AS structure,
@@ -72,12 +72,27 @@ FROM (SELECT *, greatest(0, least(100, length_score + self_containment + data_de
 
 @operator
 def passage_report(d: Duck) -> str:
-    """F8. Passages of ``scored`` (id, total, rating, url, weight) by url: mean, best, worst, weighted priority, share of the optimum."""
-    return """
-SELECT url, CAST(count(*) AS BIGINT) AS passages, round(avg(total), 1) AS avg_score, max(total) AS best, min(total) AS worst, round(sum(total * weight) / sum(weight), 6) AS weighted,
+    """F8. Passages of ``scored`` (id, total, rating, word_count, url, weight) by url: means, best, worst, weighted mean, share of the optimal length, distribution."""
+    bands = ", ".join(f"CAST(count_if(rating = '{r}') AS BIGINT) AS {r}" for r in ("excellent", "good", "needs_work", "poor", "critical"))
+    return f"""
+SELECT url, round(avg(word_count), 1) AS avg_words, CAST(count_if(word_count BETWEEN 134 AND 167) AS BIGINT) AS optimal, round(count_if(word_count BETWEEN 134 AND 167) * 100e0 / count(*), 1) AS optimal_percentage, {bands}, CAST(count(*) AS BIGINT) AS passages, round(avg(total), 1) AS avg_score, max(total) AS best, min(total) AS worst, round(sum(total * weight) / sum(weight), 6) AS weighted,
   round(count_if(total >= 60) * 100e0 / count(*), 1) AS good_percentage FROM @scored@ GROUP BY url"""
 
 
+@operator
+def section_report(d: Duck) -> str:
+    """F8. Passages of ``scored`` (id, total, url, section) by url and section."""
+    return "SELECT url, section, CAST(count(*) AS BIGINT) AS passages, round(avg(total), 1) AS avg_score, max(total) AS best, min(total) AS worst FROM @scored@ GROUP BY url, section"
+
+
+@operator
+def passage_extremes(d: Duck, k: int = 5) -> str:
+    """F8. The best and the worst k passages of each url of ``scored`` (id, total, url, weight), and their weighted priority; no worst ones among k or fewer."""
+    return f"""
+SELECT url, id, total, round(total * weight, 1) AS weighted_priority, CAST(n AS BIGINT) AS place, n <= {k} AS is_top, n > of_url - {k} AND of_url > {k} AS is_bottom
+FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY total DESC, id) AS n, count(*) OVER (PARTITION BY url) AS of_url FROM @scored@) AS r WHERE n <= {k} OR n > of_url - {k}"""
+
+
 @operator
 def citability(d: Duck) -> str:
     """F10. The five dimensions of each of ``passages`` (id, heading, text), total and grade."""
@@ -149,6 +164,19 @@ def classify_readability(d: Duck, audience: str = "b2c") -> str:
     return f"SELECT id, CASE WHEN fk_grade > {hard} THEN 'too_hard' WHEN fk_grade < {easy} THEN 'too_easy' ELSE 'fitting' END AS class, minutes > 8 AS is_long FROM @scores@"
 
 
+# The grades meant for an audience.
+TARGETS = {"b2c": (6, 8), "b2b": (8, 12), "academic": (12, 16)}
+
+
+@operator
+def grade_assessment(d: Duck, audience: str = "b2c") -> str:
+    """F17. Mean grade of ``scores`` against the grades meant for an audience, and the share of texts of over eight minutes; none for an empty table."""
+    lo, hi = TARGETS[audience]
+    return f"""
+SELECT pages, round(mean, 1) AS mean_grade, CASE WHEN mean > {hi} THEN 'above' WHEN mean < {lo} THEN 'below' ELSE 'within' END AS assessment, long_pages, CAST({d.half_even('long_pages * 100e0 / pages')} AS BIGINT) AS long_percentage
+FROM (SELECT CAST(count(*) AS BIGINT) AS pages, avg(fk_grade) AS mean, CAST(count_if(minutes > 8) AS BIGINT) AS long_pages FROM @scores@ HAVING count(*) > 0) AS t"""
+
+
 @operator
 def grade_distribution(d: Duck) -> str:
     """F16. Rows of ``scores`` by band of grade; negative grades fall in none."""

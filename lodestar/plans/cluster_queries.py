@@ -25,6 +25,8 @@ NAMES = fx.shaped("fixture_keyword_names", "SELECT 'red bolt ' || CAST(id AS STR
 MAPPING = c.keyword_mapping(pairs=NAMED, threshold=0.3, top_n=5)
 SELF = blocked(VECTORS, VECTORS, 0.3)
 CLOSEST = fx.shaped("fixture_closest", "SELECT id AS url, id + 5 AS closest_match, CAST(80 + id % 20 AS DOUBLE) AS similarity_pct, id + 7 AS closest_semantic_match, round(id % 100 / 100e0, 2) AS semantic_score FROM @v@", v=VECTORS)
+GROUPED = fx.shaped("fixture_grouped", "SELECT p_partkey AS node, p_partkey % 50 AS root FROM @p@", p=fx.PART)
+GROUPED_PAIRS = fx.shaped("fixture_grouped_pairs", "SELECT p_partkey AS left_id, p_partkey + 50 AS right_id, CAST(p_partkey * 7 % 100 - p_partkey % 50 % 3 * 10 AS DOUBLE) / 100e0 AS similarity, CASE WHEN p_partkey % 50 % 5 = 0 THEN CAST(60 + p_partkey % 50 % 40 AS DOUBLE) END AS minhash_pct FROM @p@", p=fx.PART)
 SHARED = c.serp_overlap(serp=fx.SERP)
 JACCARD = c.serp_jaccard(overlap=SHARED, serp=fx.SERP)
 MEMBERS = fx.shaped("fixture_members", "SELECT DISTINCT keyword, CAST(CAST(keyword AS BIGINT) % 100 AS BIGINT) AS cluster FROM @s@", s=fx.SERP)
@@ -41,6 +43,7 @@ declare("b4_keyword_mapping", MAPPING)
 declare("b4_keyword_classes", c.keyword_classes(keywords=NAMES, mapping=MAPPING))
 declare("b5_hub_pages", c.hub_pages(mapping=MAPPING, least=3))
 declare("b6_near_duplicate_pairs", c.near_duplicate_pairs(pairs=SELF, minhash=CLOSEST, semantic=CLOSEST))
+declare("b7_b8_cluster_summary", c.cluster_summary(members=GROUPED, pairs=GROUPED_PAIRS))
 declare("b9_exact_duplicates", c.exact_duplicates(docs=DOCS))
 declare("b12_b13_component_class", c.component_class(parts=PARTS))
 declare("b14_keyword_page_topk", c.best_pages(pairs=NAMED, keywords=NAMES, k=5))

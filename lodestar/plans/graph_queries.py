@@ -17,19 +17,24 @@ LINKS = fx.shaped(
 EDGES = g.build_edges(links=LINKS)
 DEGREES = g.degrees(edges=EDGES)
 RATED = fx.shaped("fixture_rated_nodes", "SELECT node, in_degree, out_degree, round(in_degree / 1000e0, 6) AS pagerank, round(out_degree * in_degree / 100000e0, 6) AS betweenness FROM @d@", d=DEGREES)
+CLASSES = g.node_classes(nodes=RATED)
 REVENUE = fx.shaped("fixture_revenue", "SELECT 'https://x.test/part/' || CAST(o_custkey % 350 AS STRING) AS page, o_orderkey % 17 AS transactions, CASE WHEN o_custkey % 5 = 0 THEN 0e0 ELSE o_totalprice END AS revenue, o_orderkey AS row_id FROM @o@", o=fx.ORDERS)
+EARNED = g.revenue_links(links=LINKS, revenue=REVENUE)
 BLOCKS = fx.shaped("fixture_blocks", "SELECT p_brand AS site, p_type || CAST(p_size AS STRING) AS block, CAST(p_partkey % 9 AS BIGINT) AS links FROM @p@", p=fx.PART)
 SUPPLIES = fx.shaped("fixture_supplies", "SELECT l_partkey AS src, 100000 + l_suppkey AS dst, CAST(count(*) AS BIGINT) AS weight FROM @l@ GROUP BY l_partkey, l_suppkey UNION ALL SELECT DISTINCT 100000 + l_suppkey AS src, l_suppkey * 20 AS dst, CAST(1 AS BIGINT) AS weight FROM @l@", l=fx.LINEITEM)
 SPARSE = fx.shaped("fixture_sparse_pairs", "SELECT DISTINCT o_custkey * 2 AS a, o_orderkey % 997 * 2 + 1 AS b FROM @o@", o=fx.ORDERS)
 
 declare("d1_build_edges", EDGES)
 declare("d2_degrees", DEGREES)
-declare("d5_d6_node_classes", g.node_classes(nodes=RATED))
+declare("d5_d6_node_classes", CLASSES)
+declare("d7_graph_lists", g.graph_lists(nodes=RATED, classes=CLASSES, min_links=3))
 declare("d7_graph_summary", g.graph_summary(edges=EDGES, degrees=DEGREES))
 declare("d8_analyze_anchors", g.analyze_anchors(links=LINKS))
 declare("d9_duplicate_anchors", g.duplicate_anchors(links=LINKS))
 declare("d10_generic_anchors", g.generic_anchors(links=LINKS))
-declare("d11_d12_revenue_links", g.revenue_links(links=LINKS, revenue=REVENUE))
+declare("d10_empty_anchors", g.empty_anchors(links=LINKS))
+declare("d11_d12_revenue_links", EARNED)
+declare("d12_revenue_lists", g.revenue_lists(joined=EARNED))
 declare("d13_link_blocks", g.link_blocks(blocks=BLOCKS, client="Brand#2"))
 
 

@@ -11,7 +11,7 @@ from lodestar.plans.registry import declare
 TEXTS = fx.shaped("fixture_texts", "SELECT doc_id AS id, text FROM @d@", d=fx.DOCUMENTS)
 PASSAGES = fx.shaped("fixture_passage_rows", "SELECT conv_id * 1000 + turn AS id, CASE WHEN turn % 3 = 0 THEN 'What is this?' ELSE 'About it' END AS section, CASE WHEN turn % 3 = 0 THEN 'What is this?' ELSE 'About it' END AS heading, CASE WHEN turn % 4 = 0 THEN 'However, 45% of 2024 users. ' WHEN turn % 4 = 1 THEN 'According to Google a score is a number. ' ELSE '' END || text AS text FROM @c@", c=fx.CONVERSATIONS)
 SCORED = t.score_passages(passages=PASSAGES)
-BY_PAGE = fx.shaped("fixture_scored_pages", "SELECT id, total, rating, id % 20 AS url, CAST(1 + id % 3 AS BIGINT) AS weight FROM @s@", s=SCORED)
+BY_PAGE = fx.shaped("fixture_scored_pages", "SELECT id, total, rating, word_count, id % 20 AS url, CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS section, CAST(1 + id % 3 AS BIGINT) AS weight FROM @s@", s=SCORED)
 CITED = t.citability(passages=PASSAGES)
 CITED_PAGES = fx.shaped("fixture_cited_pages", "SELECT id % 20 AS url, word_count, total, grade, containment FROM @c@", c=CITED)
 READ = t.readability(texts=TEXTS)
@@ -22,11 +22,14 @@ TITLES = fx.shaped("fixture_title_keywords", "SELECT p_brand || ' ' || p_name ||
 declare("f1_f2_text_measures", t.text_measures(texts=TEXTS))
 declare("f6_f7_score_passages", SCORED)
 declare("f8_passage_report", t.passage_report(scored=BY_PAGE))
+declare("f8_section_report", t.section_report(scored=BY_PAGE))
+declare("f8_passage_extremes", t.passage_extremes(scored=BY_PAGE))
 declare("f10_citability", CITED)
 declare("f11_f12_page_citability", t.page_citability(scored=CITED_PAGES))
 declare("f13_readability", READ)
 declare("f14_metric_stats", t.metric_stats(scores=READ))
 declare("f15_f17_classify_readability", t.classify_readability(scores=READ))
+declare("f17_grade_assessment", t.grade_assessment(scores=READ, audience="b2b"))
 declare("f16_grade_distribution", t.grade_distribution(scores=READ))
 declare("f18_entity_frequency", t.entity_frequency(texts=TEXTS))
 declare("f19_blog_geo", t.blog_geo(posts=POSTS))

@@ -241,6 +241,38 @@ def distinct_keywords(df: DataFrame, column: str = "keyword") -> DataFrame:
     return df.select(F.trim(column).alias("keyword")).filter("keyword <> ''").distinct()
 
 
+def ordered_queries(df: DataFrame, column: str = "query", order: str = "row_id") -> DataFrame:
+    """S12. Distinct non-empty queries with the place of their first row, in that order."""
+    kept = df.select(F.trim(column).alias("query"), F.col(order).alias("first_seen")).filter("query <> ''")
+    return kept.groupBy("query").agg(F.min("first_seen").alias("first_seen")).orderBy("first_seen", "query")
+
+
+def seeds(df: DataFrame) -> DataFrame:
+    """S15. Seeds of a table in row order: of keyword, Keyword, query, Query and seed the first that a row fills, else its first column."""
+    named = [c for c in ("keyword", "Keyword", "query", "Query", "seed") if c in df.columns]
+    cells = [F.trim(F.col(f"`{c}`").cast("string")) for c in [*named, df.columns[0]]]
+    seed = F.coalesce(*[F.when(c != "", c) for c in cells])
+    return df.select(seed.alias("seed")).filter("seed IS NOT NULL")
+
+
+def ranked_keywords(df: DataFrame, column: str = "json", order: str = "file_order") -> DataFrame:
+    """S13. (kw, sv, actual_url, actual_rank) of ranked-keyword envelopes; the first of a keyword wins over files, then by place.
+
+    Without a volume it is 0, without a result the url is empty and the rank 99. Only the first
+    task and the first result of an envelope count.
+    """
+    item = "struct<keyword_data:struct<keyword:string,keyword_info:struct<search_volume:bigint>>,ranked_serp_element:struct<serp_item:struct<url:string,rank_group:int>>>"
+    parsed = df.select(F.col(order).alias("f"), F.from_json(column, f"tasks array<struct<result:array<struct<items:array<{item}>>>>>").alias("j"))
+    items = parsed.select("f", F.posexplode(F.get(F.get("j.tasks", F.lit(0))["result"], F.lit(0))["items"]).alias("p", "i"))
+    hit = F.col("i.ranked_serp_element.serp_item")
+    rows = items.select(
+        F.trim("i.keyword_data.keyword").alias("kw"), "f", "p", F.coalesce("i.keyword_data.keyword_info.search_volume", F.lit(0)).alias("sv"),
+        F.coalesce(hit["url"], F.lit("")).alias("actual_url"), F.coalesce(hit["rank_group"], F.lit(99)).alias("actual_rank"),
+    ).filter("kw <> ''")
+    first = rows.groupBy("kw").agg(F.min_by(F.struct("sv", "actual_url", "actual_rank"), F.struct("f", "p")).alias("r"))
+    return first.select("kw", "r.*")
+
+
 def text_folder(spark: SparkSession, path: str, min_words: int = 50) -> DataFrame:
     """S22. (url, text, word_count) of the text files in a folder; the url is the decoded stem of the name (which Spark encodes once more)."""
     raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("name"))
