@@ -213,42 +213,61 @@ def minimum_bands(h: np.ndarray) -> list[int]:
     return np.array([digest(x.tobytes(), t) for t, x in enumerate(rows)], dtype=np.uint64).view(np.int64).tolist()
 
 
-def similar_links(docs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """(a, b): fingerprints of texts of ``docs`` (text) with a Jaccard similarity of at least ``similarity``.
+def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
+    """The columns of ``docs`` but text, and what near-duplicates need of it, from one pass over its shingles.
 
-    Texts that share a band meet one of the band's texts, another one in each band: no pairs
-    of a band are formed. Every pair that meets is compared by its whole sets of shingles.
-    Texts are told apart by their MD5.
+    t: MD5 of the text (null: null), fp: fingerprint, n: distinct shingles, bands: its minimum bands.
     """
-    texts = docs.select(F.unhex(F.md5("text")).alias("t"), "text").dropDuplicates(["t"])
 
     def make():
-        return lambda cols: {"bands": [minimum_bands(shingle_hashes(x or "", shingle_words)) for x in cols["text"]]}
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+        def step(cols):
+            hashes = [shingle_hashes(x or "", shingle_words) for x in cols["text"]]
+            return {"fp": [signed(majority(h)) for h in hashes], "n": [len(np.unique(h)) for h in hashes], "bands": [minimum_bands(h) for h in hashes]}
+
+        return step
+
+    keyed = docs.withColumn("t", F.unhex(F.md5("text")))
+    return map_rows(keyed, make, "fp bigint, n bigint, bands array<bigint>", others(keyed, "text"))
 
-    banded = map_rows(texts, make, "bands array<bigint>", ["t"]).select("t", F.explode("bands").alias("band"))
+
+def similar_links(docs: DataFrame, sketched: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """(a, b): fingerprints of texts with a Jaccard similarity of at least ``similarity``.
+
+    ``docs``: doc_key, text; ``sketched``: a stored table of its ``sketches``. Texts that share a
+    band meet one of the band's texts, another one in each band: no pairs of a band are formed.
+    Pairs with one fingerprint are linked by it, and sets of too unlike sizes cannot be so similar;
+    every other pair that meets is compared by its whole sets of shingles. Texts are told apart by
+    their MD5, and only those that meet another are read again.
+    """
+    one = F.struct("t", "fp", "n").alias("one")
+    banded = sketched.filter(F.size("bands") > 0).dropDuplicates(["t"]).select(one, F.explode("bands").alias("band"))
     banded = materialize(banded, "bands")
-    centers = banded.groupBy("band").agg(F.min(F.struct(F.xxhash64("t", "band"), "t")).alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", F.col("m.t").alias("c"))
-    pairs = materialize(banded.join(centers, "band").filter("t <> c").select(F.least("t", "c").alias("t"), F.greatest("t", "c").alias("c")).distinct(), "band-pairs")
+    centers = banded.groupBy("band").agg(F.min(F.struct(F.xxhash64("one.t", "band").alias("order"), "one")).alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", F.col("m.one").alias("center"))
+    sizes = F.least("one.n", "center.n") >= F.lit(float(similarity)) * F.greatest("one.n", "center.n")
+    pairs = banded.join(centers, "band").filter(F.col("one.fp") != F.col("center.fp")).filter(sizes)
+    pairs = pairs.select(F.least("one", "center").alias("p"), F.greatest("one", "center").alias("q")).distinct()
+    pairs = materialize(pairs.select(F.col("p.t").alias("t"), F.col("q.t").alias("c"), F.col("p.fp").alias("a"), F.col("q.fp").alias("b")), "band-pairs")
     met = pairs.select("t").union(pairs.select("c")).distinct()
-    texts = materialize(texts.join(met, "t", "left_semi"), "met-texts")
-    both = pairs.join(texts, "t").withColumnRenamed("text", "x").join(texts.select(F.col("t").alias("c"), F.col("text").alias("y")), "c").select("x", "y")
+    met = materialize(sketched.join(met, "t", "left_semi").dropDuplicates(["t"]).select("t", "doc_key"), "met-keys")
+    texts = docs.select("doc_key", "text").join(met, "doc_key").select("t", "text").dropDuplicates(["t"])
+    texts = materialize(texts, "met-texts")
+    both = pairs.join(texts, "t").withColumnRenamed("text", "x").join(texts.select(F.col("t").alias("c"), F.col("text").alias("y")), "c").select("a", "b", "x", "y")
 
     def compare():
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
-
         def step(cols):
             out: dict[str, list] = {"a": [], "b": []}
-            for x, y in zip(cols["x"], cols["y"], strict=True):
-                h, g = shingle_hashes(x, shingle_words), shingle_hashes(y, shingle_words)
-                s, u = set(h.tolist()), set(g.tolist())
+            for a, b, x, y in zip(cols["a"], cols["b"], cols["x"], cols["y"], strict=True):
+                s, u = set(shingle_hashes(x, shingle_words).tolist()), set(shingle_hashes(y, shingle_words).tolist())
                 if len(s & u) >= similarity * len(s | u):
-                    out["a"].append(signed(majority(h)))
-                    out["b"].append(signed(majority(g)))
+                    out["a"].append(a)
+                    out["b"].append(b)
             return out
 
         return step
 
-    return map_rows(both, compare, "a bigint, b bigint").filter("a <> b").distinct()
+    return map_rows(both, compare, "a bigint, b bigint").distinct()
 
 
 def components_of(docs: DataFrame, doc_id: str, text: str, shingle_words: int = SHINGLE_WORDS, distance: int = DISTANCE, similarity: float | None = None) -> DataFrame:
@@ -257,11 +276,11 @@ def components_of(docs: DataFrame, doc_id: str, text: str, shingle_words: int =
     With ``similarity``, texts of so high a Jaccard similarity of their shingles link too.
     """
     keyed = docs.select(col(doc_id).alias("doc_id"), same_rows(docs, doc_id, text).alias("doc_key"), col(text).alias("text"))
-    rows = materialize(fingerprints(keyed, "text", shingle_words), "fingerprints")
+    rows = materialize(fingerprints(keyed, "text", shingle_words) if similarity is None else sketches(keyed, shingle_words), "fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     links = near_links(distinct.select("fp"), distance)
     if similarity is not None:
-        links = links.unionByName(similar_links(keyed, shingle_words, similarity))
+        links = links.unionByName(similar_links(keyed, rows, shingle_words, similarity))
     links = materialize(links, "near-links")
     found = components(links)
     tied = found.join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "least")
@@ -292,8 +311,12 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """
     (key,) = fresh(docs, "near_key")
     found = components_of(docs, doc_id, text, **options)
-    stays = found.groupBy("root").agg(F.min(F.struct("doc_id", "doc_key")).alias("d")).select(F.col("d.doc_key").alias(key)).distinct()
-    left = docs.withColumn(key, same_rows(docs, doc_id, text)).join(stays, key, "left_semi")
+    rows = found.groupBy("root", "doc_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    stays = rows.groupBy("root").agg(F.min(F.struct("doc_id", "doc_key", "n")).alias("d")).select(F.col("d.doc_key").alias(key), F.col("d.n").alias("n"))
+    stays = materialize(stays, "near-keys")  # texts move only as far as this table is too large to be sent to them
+    keyed = docs.withColumn(key, same_rows(docs, doc_id, text))
+    single = keyed.join(stays.filter("n = 1").select(key), key, "left_semi").select(*map(col, docs.columns))
+    repeated = keyed.join(stays.filter("n > 1").select(key), key, "left_semi")
     everything = F.struct(same_rows(docs).alias("order"), F.struct(*map(col, docs.columns)).alias("row"))
-    one = left.select(F.col(key), everything.alias("r")).groupBy(key).agg(F.min_by("r.row", "r.order").alias("r"))
-    return one.select(*[F.col("r").getField(c).alias(c) for c in docs.columns])
+    one = repeated.select(F.col(key), everything.alias("r")).groupBy(key).agg(F.min_by("r.row", "r.order").alias("r"))
+    return single.unionByName(one.select(*[F.col("r").getField(c).alias(c) for c in docs.columns]))
