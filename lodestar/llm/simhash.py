@@ -250,7 +250,7 @@ def similar_links(docs: DataFrame, sketched: DataFrame, shingle_words: int, simi
     pairs = pairs.select(F.least("one", "center").alias("p"), F.greatest("one", "center").alias("q")).distinct()
     pairs = materialize(pairs.select(F.col("p.t").alias("t"), F.col("q.t").alias("c"), F.col("p.fp").alias("a"), F.col("q.fp").alias("b")), "band-pairs")
     met = pairs.select("t").union(pairs.select("c")).distinct()
-    met = materialize(sketched.join(met, "t", "left_semi").dropDuplicates(["t"]).select("t", "doc_key"), "met-keys")
+    met = materialize(sketched.select("t", "doc_key").dropDuplicates(["t"]).join(met, "t", "left_semi"), "met-keys")
     texts = docs.select("doc_key", "text").join(met, "doc_key").select("t", "text").dropDuplicates(["t"])
     texts = materialize(texts, "met-texts")
     both = pairs.join(texts, "t").withColumnRenamed("text", "x").join(texts.select(F.col("t").alias("c"), F.col("text").alias("y")), "c").select("a", "b", "x", "y")
