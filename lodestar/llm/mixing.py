@@ -151,15 +151,16 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "sour
     rows = _queued(docs, doc_id, source, text, weights, budget, few_sources)
     rows = rows.withColumn("at", F.struct("h", "doc_id", "size", "row"))
     ends = rows.groupBy("source_key").agg(*[F.max(F.when(F.col("copies") > i, F.col("at"))).alias(f"end{i}") for i in range(MOST_COPIES)])
+    ends = materialize(ends, "mix-last")  # one row for each source
+    few = ends.count() <= few_sources
     # rows at an end: how many there are, and how many of them are taken
     at_end = [F.col("at").eqNullSafe(F.col(f"end{i}")) for i in range(MOST_COPIES)]
-    met = rows.join(ends, "source_key").groupBy("source_key").agg(
+    met = rows.join(F.broadcast(ends) if few else ends, "source_key").groupBy("source_key").agg(
         *[F.first(f"end{i}").alias(f"end{i}") for i in range(MOST_COPIES)],
         *[F.count_if(c).alias(f"rows{i}") for i, c in enumerate(at_end)],
         *[F.count_if(c & (F.col("copies") > i)).alias(f"some{i}") for i, c in enumerate(at_end)],
     )
     met = materialize(met.withColumnRenamed("source_key", "of_source"), "mix-ends")
-    few = met.count() <= few_sources
 
     names = fresh(docs, "mix_order", "mix_key", "mix_copies", "mix_all")
     order, key, copies, everything = names
