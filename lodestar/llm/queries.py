@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, classifier, mixing, multi_index, quality_rules, sharding, simhash, substring_dedup, unigram, url_filter
+from lodestar.llm import bpe, classifier, conversation_trie, fim, license_scan, mixing, multi_index, quality_rules, sharding, simhash, substring_dedup, unigram, url_filter
 from lodestar.llm.common import table
 
 #: Rules of the url filter's contract.
@@ -178,4 +178,111 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_bpe, op4_substring_dedup, op5_multi_index, op6_classifier, op7_url_filter, op8_simhash, op9_token_counts, op10_sharding)}
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every whole document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scan_licenses(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def _op11_oracle() -> str:
+    k, covered, slack = license_scan.K, license_scan.COVERED, license_scan.SLACK
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    listed = [f"({i}, {quote(label)}, true, {quote(p)}, {quote(p)})" for i, (p, label) in enumerate(license_scan.PHRASES)]
+    listed += [f"({len(listed) + i}, {quote(label)}, false, {quote(must)}, {quote(text)})" for i, (label, must, text) in enumerate(license_scan.TEMPLATES)]
+    words = lambda x: f"regexp_extract_all(translate(coalesce({x}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+    places = lambda x: f"range(0, greatest(len({x}) - {k - 1}, 0))"
+    return rf"""
+WITH listed AS (SELECT no, label, base, {words("telling")} AS told, {words("txt")} AS words FROM (VALUES {", ".join(listed)}) AS t(no, label, base, telling, txt)),
+marked AS (
+  SELECT *, list_filter(range(0, len(words)), lambda i: words[i + 1 : i + len(told)] = told)[1] AS told_at FROM listed),
+known AS (
+  SELECT no, label, base, len(words) AS m, list_transform({places("told")}, lambda i: i + told_at) AS must, unnest({places("words")}) AS q,
+    unnest(list_transform({places("words")}, lambda i: words[i + 1 : i + {k}])) AS gram FROM marked),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {words("text")} AS words FROM documents),
+cut AS (SELECT r, unnest({places("words")}) AS p, unnest(list_transform({places("words")}, lambda i: words[i + 1 : i + {k}])) AS gram FROM docs),
+votes AS (SELECT r, no, label, base, m, must, p - q AS diagonal, list(q) AS met FROM cut JOIN known USING (gram) GROUP BY ALL),
+merged AS (
+  SELECT *, list_distinct(flatten(list(met) OVER (PARTITION BY r, no ORDER BY diagonal RANGE BETWEEN CURRENT ROW AND {slack} FOLLOWING))) AS near FROM votes),
+judged AS (
+  SELECT r, label, base AND len(met) = m - {k - 1} AS place, diagonal,
+    CASE WHEN base THEN (len(met) = m - {k - 1})::INT::DOUBLE ELSE len(list_distinct(flatten(list_transform(near, lambda q: range(q, q + {k}))))) / m::DOUBLE END AS share,
+    NOT base AND len(list_distinct(flatten(list_transform(near, lambda q: range(q, q + {k}))))) / m::DOUBLE >= {covered} AND list_has_all(near, must) AS verified
+  FROM merged),
+found AS (
+  SELECT r, count(*) FILTER (WHERE place) AS n_base, min(diagonal) FILTER (WHERE place) AS first_word, max(diagonal) FILTER (WHERE place) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE place) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE place OR verified) AS labels,
+    max(share) AS score FROM judged GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM docs LEFT JOIN found USING (r)
+"""
+
+
+ORACLE_SQL["op11_license_scan"] = _op11_oracle()
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-the-middle form of every whole document, and the text restored from it, as digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = fim.fill_in_middle(docs).withColumnsRenamed({"prefix_units": "prefix_chars", "middle_units": "middle_chars"})
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(fim.restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+ORACLE_SQL["op12_fill_in_middle"] = r"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+cut AS (
+  SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS u, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS v,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+      WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+parts AS (SELECT *, substr(text, 1, least(u, v)) AS before, substr(text, least(u, v) + 1, greatest(u, v) - least(u, v)) AS middle, substr(text, greatest(u, v) + 1) AS behind FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(u, v) END AS prefix_chars, CASE WHEN form <> 'plain' THEN greatest(u, v) - least(u, v) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || before || '<S>' || behind || '<M>' || middle ELSE '<S>' || behind || '<P>' || before || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all rebuilt conversations, with the totals of its subtree."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trie = conversation_trie.prefix_trie(turns, base=lambda c: c - c % 20, borrowed=lambda c: F.crc32(c.cast("string").cast("binary")) % 4, most_borrowed=3)
+    return trie.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+ORACLE_SQL["op13_conversation_trie"] = r"""
+WITH said AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn ASC NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i,
+    sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+lists AS (SELECT c, list({k: k, w: words} ORDER BY i) AS own FROM said GROUP BY c),
+heads AS (
+  SELECT *, xor(list_reduce([4294967295::UBIGINT] || list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::UBIGINT),
+    lambda a, b: list_reduce([xor(a, b)] || list_transform(range(8), lambda j: j::UBIGINT), lambda x, j: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))), 4294967295::UBIGINT)::BIGINT % 4 AS h
+  FROM lists),
+rebuilt AS (
+  SELECT a.c, coalesce(b.own[1 : a.h], []) || a.own[a.h + 1 :] AS turns FROM heads a LEFT JOIN lists b ON b.c = a.c - a.c % 20),
+prefixes AS (
+  SELECT c, turns, len(turns) AS n, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt),
+keyed AS (
+  SELECT c, n, d, sha256(array_to_string(list_transform(turns[1 : d], lambda t: t.k), ' ')) AS node,
+    CASE WHEN d > 0 THEN sha256(array_to_string(list_transform(turns[1 : d - 1], lambda t: t.k), ' ')) END AS parent, CASE WHEN d > 0 THEN turns[d].w ELSE 0 END AS w
+  FROM prefixes),
+nodes AS (
+  SELECT node, d, any_value(parent) AS parent, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(w) AS saved,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends_sha256
+  FROM keyed GROUP BY node, d),
+children AS (SELECT parent AS node, count(*) AS n_children FROM nodes GROUP BY parent),
+path AS (SELECT DISTINCT a.node, b.node AS above FROM keyed a JOIN keyed b ON a.c = b.c AND b.d <= a.d),
+totals AS (
+  SELECT above AS node, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves, sum(saved) AS saved_tokens
+  FROM path JOIN nodes USING (node) LEFT JOIN children USING (node) GROUP BY above)
+SELECT a.conv_id, a.d::BIGINT AS depth, p.conv_id AS parent_conv_id, a.n_convs::BIGINT AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, a.ends_sha256
+FROM nodes a JOIN totals t ON t.node = a.node LEFT JOIN children c ON c.node = a.node LEFT JOIN nodes p ON p.node = a.parent
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_bpe, op4_substring_dedup, op5_multi_index, op6_classifier, op7_url_filter, op8_simhash, op9_token_counts, op10_sharding, op11_license_scan, op12_fill_in_middle, op13_conversation_trie)}
