@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.operators.assignment import keep_in_order
+from lodestar.operators.graph import settled
+from lodestar.operators.setjoin import similar_sets
 from lodestar.plans.dialect import Duck, e, operator
 from lodestar.sources.shipping import ship
 
@@ -142,6 +145,36 @@ SELECT pair, round(20e-2 * title + 15e-2 * h1 + 10e-2 * meta + 55e-2 * body, 4)
     WHEN body >= 70e-2 THEN 'REWRITE' ELSE 'MONITOR' END AS advice FROM @parts@"""
 
 
+PARTS = ("title", "h1", "meta", "body")
+
+
+@operator
+def tfidf_weights(d: Duck) -> str:
+    """B12. (id, part, term, w, norm): TF-IDF of the words of ``pages`` (id, title, h1, meta, body), for each part on its own.
+
+    w = count in the part x (ln((1 + pages) / (1 + pages with the term)) + 1); norm is the length of the page's vector of that part.
+    """
+    each = " UNION ALL ".join(f"SELECT id, '{p}' AS part, {d.explode(d.extract_all(f'lower({p})', '[a-z0-9]+'))} AS term FROM @pages@" for p in PARTS)
+    return f"""
+WITH terms AS (SELECT id, part, term, count(*) AS tf FROM ({each}) AS x GROUP BY id, part, term),
+uses AS (SELECT part, term, count(*) AS df FROM terms GROUP BY part, term),
+weighed AS (SELECT t.id, t.part, t.term, t.tf * (ln((1e0 + n.n) / (1e0 + u.df)) + 1e0) AS w FROM terms t JOIN uses u ON t.part = u.part AND t.term = u.term CROSS JOIN (SELECT count(*) AS n FROM @pages@) AS n)
+SELECT id, part, term, w, sqrt(sum(w * w) OVER (PARTITION BY id, part)) AS norm FROM weighed"""
+
+
+@operator
+def component_cosines(d: Duck) -> str:
+    """B12. Cosines of title, h1, meta and body of ``pairs`` (pair, left_id, right_id) over ``weights`` (see tfidf_weights); 0 where a side has no words.
+
+    The two pages of a pair meet term by term, so the work is that of the shared vocabulary.
+    """
+    cosines = ", ".join(f"coalesce(round(sum(CASE WHEN part = '{p}' THEN cosine END), 6), 0e0) AS {p}" for p in PARTS)
+    return f"""
+SELECT p.pair, {cosines} FROM @pairs@ p LEFT JOIN (
+  SELECT q.pair, a.part, sum(a.w / a.norm * b.w / b.norm) AS cosine FROM @pairs@ q JOIN @weights@ a ON a.id = q.left_id JOIN @weights@ b ON b.id = q.right_id AND b.part = a.part AND b.term = a.term GROUP BY q.pair, a.part) AS c
+ON p.pair = c.pair GROUP BY p.pair"""
+
+
 @operator
 def best_pages(d: Duck, k: int = 5) -> str:
     """B14. The k best pages of each keyword, mismatch with the ranking page, and misallocation (mismatch within rank 20)."""
@@ -232,3 +265,39 @@ def item_dedup(d: Duck) -> str:
 SELECT id, url_key, copies FROM (
   SELECT id, url_key, count(*) OVER (PARTITION BY url_key) AS copies, row_number() OVER (PARTITION BY url_key ORDER BY priority, length DESC, id) AS n
   FROM (SELECT id, priority, length, regexp_replace(regexp_replace(lower(url), '[?#].*$', ''), '/+$', '') AS url_key FROM @items@) AS u) AS r WHERE n = 1"""
+
+
+def drop_similar_titles(items: DataFrame, share: float = 0.8) -> DataFrame:
+    """B29, second step. (id, kept_by) of ``items`` (id, title, length): kept_by is the item that stands for it, null if it stays itself.
+
+    Titles are alike if more than ``share`` of the longer one's distinct words are in both. Items are
+    taken from the longest content on (ties: smaller id), and one goes with the first that stays and has
+    a like title. Equal sets of words are one node, and others meet by their rare words
+    (``setjoin``), so no group of titles is paired with itself. Null and wordless titles stay.
+    """
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("title", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
+    place = F.struct((-F.coalesce("length", F.lit(0))).alias("shorter"), F.col("id").alias("by_id"))
+    rows = settled(items.select("id", place.alias("place"), F.array_sort(words).alias("tokens")))
+    worded = rows.filter(F.size("tokens") > 0)
+    firsts = settled(worded.groupBy("tokens").agg(F.min("place").alias("place")).select(F.col("place.by_id").alias("id"), "place", "tokens"))
+    fate = keep_in_order(firsts, settled(similar_sets(firsts, share).select("a", "b")))
+    by_set = firsts.join(fate, "id").select("tokens", F.col("id").alias("first"), F.coalesce("kept_by", "id").alias("for_all"), "kept_by")
+    same = worded.join(by_set, "tokens").select("id", F.when(F.col("id") == F.col("first"), F.col("kept_by")).otherwise(F.col("for_all")).alias("kept_by"))
+    return same.unionByName(rows.filter(F.size("tokens") == 0).select("id", F.lit(None).cast(dict(rows.dtypes)["id"]).alias("kept_by")))
+
+
+@operator
+def titles_in_turn(d: Duck, share: float = 0.8) -> str:
+    """B29, oracle of the second step: items one after another, from the longest content on."""
+    return f"""
+WITH RECURSIVE rows AS (SELECT id, row_number() OVER (ORDER BY length DESC, id) AS n, list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+')) AS t FROM @items@),
+sets AS (SELECT list_sort(t) AS t, any_value(s) AS s FROM (SELECT t, list_sort(t)::VARCHAR AS s FROM rows) AS x WHERE len(t) > 0 GROUP BY list_sort(t)),
+alike AS (SELECT a.s AS s, b.s AS u FROM sets a JOIN sets b ON len(list_intersect(a.t, b.t)) > {share} * greatest(len(a.t), len(b.t)) + 1e-9),
+placed AS (SELECT id, n, list_sort(t)::VARCHAR AS s FROM rows WHERE len(t) > 0),
+near AS (SELECT x.n, list({{'n': y.n, 'id': y.id}} ORDER BY y.n) AS near FROM placed x JOIN alike ON alike.s = x.s JOIN placed y ON y.s = alike.u WHERE y.n < x.n GROUP BY x.n),
+turns AS (
+  SELECT 0::BIGINT AS n, []::BIGINT[] AS kept, NULL::BIGINT AS kept_by
+  UNION ALL
+  SELECT r.n, CASE WHEN len(list_filter(coalesce(near, []), lambda x: list_contains(t.kept, x.n))) > 0 THEN t.kept ELSE list_append(t.kept, r.n) END, list_filter(coalesce(near, []), lambda x: list_contains(t.kept, x.n))[1].id
+  FROM turns t JOIN rows r ON r.n = t.n + 1 LEFT JOIN near ON near.n = r.n)
+SELECT rows.id, turns.kept_by FROM rows JOIN turns ON rows.n = turns.n"""

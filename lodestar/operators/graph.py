@@ -157,10 +157,12 @@ FROM @blocks@ b GROUP BY b.block"""
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the folder of spark.checkpoint.dir (one of our own only where that is unset)."""
+    """``df`` as a table in the folder of spark.checkpoint.dir (one of our own only where that is unset and the master is local)."""
     spark: SparkSession = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestar-"))
         folder = spark.sparkContext.getCheckpointDir()
     path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"

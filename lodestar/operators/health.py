@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from lodestar.functions.dims import HEALTH_WEIGHTS, PAGE_PATTERNS, PAGE_THRESHOLDS
+from lodestar.operators.chains import follow
+from lodestar.operators.graph import settled
 from lodestar.plans.dialect import Duck, e, operator, values
 
 
@@ -207,3 +212,38 @@ def canonical_report(d: Duck) -> str:
     return """
 SELECT a.url, a.canonical, CASE WHEN b.url IS NULL THEN 'not_crawled' WHEN b.status >= 400 THEN 'to_error' WHEN b.canonical <> '' AND b.canonical <> b.url THEN 'chain' ELSE 'ok' END AS verdict
 FROM @crawl@ a LEFT JOIN @crawl@ b ON a.canonical = b.url WHERE a.canonical <> '' AND a.canonical <> a.url"""
+
+
+def canonical_paths(crawl: DataFrame) -> DataFrame:
+    """C26. (url, canonical, canonicals, final, hops, is_loop, verdict) of each url of ``crawl`` (url, canonical, status), chains of any length.
+
+    A url with several canonicals is a conflict, and the smallest of them is followed; one without is
+    ``missing``, one that names itself ``self``. Others lead to where their chain ends: ``loop`` if
+    it never does, else ``not_crawled``, ``to_error`` (status of 400 or more), ``chain`` (more than one hop) or ``ok``.
+    """
+    named = F.when(F.col("canonical") != "", F.col("canonical"))
+    urls = settled(crawl.filter("url IS NOT NULL").groupBy("url").agg(F.min(named).alias("canonical"), F.count_distinct(named).alias("canonicals"), F.max("status").alias("status")))
+    paths = follow(urls.filter("canonical <> url").select(F.col("url").alias("node"), F.col("canonical").alias("next")))
+    ends = urls.select(F.col("url").alias("end"), F.col("status").alias("end_status"))
+    joined = urls.join(paths, F.col("url") == F.col("node"), "left").join(ends, F.col("final") == F.col("end"), "left")
+    verdict = (
+        F.when(F.col("canonicals") > 1, "conflict").when(F.col("canonical").isNull(), "missing").when(F.col("canonical") == F.col("url"), "self").when(F.col("is_loop"), "loop")
+        .when(F.col("end").isNull(), "not_crawled").when(F.col("end_status") >= 400, "to_error").when(F.col("hops") > 1, "chain").otherwise("ok")
+    )
+    return joined.select("url", F.coalesce("canonical", F.lit("")).alias("canonical"), "canonicals", "final", "hops", F.coalesce("is_loop", F.lit(False)).alias("is_loop"), verdict.alias("verdict"))
+
+
+@operator
+def canonical_walks(d: Duck) -> str:
+    """C26, oracle of canonical_paths: each chain walked in a recursion that keeps what it has seen."""
+    return """
+WITH RECURSIVE urls AS (SELECT url, min(nullif(canonical, '')) AS canonical, count(DISTINCT nullif(canonical, '')) AS canonicals, max(status) AS status FROM @crawl@ WHERE url IS NOT NULL GROUP BY url),
+steps AS (SELECT url AS node, canonical AS next FROM urls WHERE canonical <> url),
+walk AS (
+  SELECT node, next AS place, 1::BIGINT AS hops, [node] AS seen FROM steps
+  UNION ALL SELECT w.node, s.next, w.hops + 1, list_append(w.seen, w.place) FROM walk w JOIN steps s ON s.node = w.place WHERE NOT list_contains(w.seen, w.place)),
+ends AS (SELECT node, max_by(place, hops) AS place, max(hops) AS hops, bool_or(list_contains(seen, place)) AS is_loop FROM walk GROUP BY node)
+SELECT u.url, coalesce(u.canonical, '') AS canonical, u.canonicals, CASE WHEN NOT is_loop THEN place END AS final, CASE WHEN NOT is_loop THEN hops END AS hops, coalesce(is_loop, false) AS is_loop,
+  CASE WHEN u.canonicals > 1 THEN 'conflict' WHEN u.canonical IS NULL THEN 'missing' WHEN u.canonical = u.url THEN 'self' WHEN is_loop THEN 'loop' WHEN f.url IS NULL THEN 'not_crawled'
+    WHEN f.status >= 400 THEN 'to_error' WHEN hops > 1 THEN 'chain' ELSE 'ok' END AS verdict
+FROM urls u LEFT JOIN ends e ON e.node = u.url LEFT JOIN urls f ON f.url = e.place AND NOT e.is_loop"""

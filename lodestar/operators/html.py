@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from functools import reduce
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
@@ -10,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.operators.graph import settled
 from lodestar.plans.dialect import Duck, operator, text, values
 from lodestar.sources.shipping import ship
 
@@ -138,58 +141,82 @@ SELECT site, points, CASE WHEN points >= 85 THEN 'Excellent' WHEN points >= 70 T
 # --- whole documents ---------------------------------------------------------------------
 
 PAGE_SCHEMA = (
-    "title string, meta_description string, meta_robots string, canonical string, lang string, word_count bigint, headings array<struct<level:int,text:string>>, images array<struct<src:string,alt:string>>, "
-    "internal_links array<struct<href:string,text:string>>, external_links array<struct<href:string,text:string>>, hreflang array<struct<lang:string,href:string>>, og map<string,string>, jsonld array<string>, "
-    "blocks array<struct<heading:string,text:string>>, text string"
+    "title string, meta_description string, meta_robots string, canonical string, lang string, word_count bigint, words bigint, headings array<struct<level:int,text:string>>, images array<struct<src:string,alt:string,width:string,height:string,loading:string>>, "
+    "internal_links array<struct<href:string,text:string,rel:array<string>>>, external_links array<struct<href:string,text:string,rel:array<string>>>, hreflang array<struct<lang:string,href:string>>, og map<string,string>, twitter map<string,string>, meta map<string,string>, "
+    "jsonld array<string>, server_rendered boolean, blocks array<struct<heading:string,text:string>>, text string"
 )
-_HIDDEN = {"script", "style", "nav", "footer", "header", "noscript", "template"}
+#: Elements whose text does not count, and those that no block holds either.
+_HIDDEN = {"script", "style", "nav", "footer", "header"}
+_ASIDE = _HIDDEN | {"noscript", "template", "title"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _BLOCKS = {"p", "ul", "ol", "table", "blockquote"}
+_GRABBED = {"title", "a", "h1", "h2", "h3", "h4", "h5", "h6"}
+_APP_ROOT = re.compile("app|root|__next|__nuxt", re.IGNORECASE)
+#: An application's root element with less text than this was not rendered by the server.
+RENDERED_CHARS = 50
 
 
 class _Page(HTMLParser):
     def __init__(self, base: str):
         super().__init__(convert_charrefs=True)
         self.base = base
-        self.page: dict = {"title": "", "meta_description": "", "meta_robots": "", "canonical": "", "lang": "", "headings": [], "images": [], "internal_links": [], "external_links": [], "hreflang": [], "og": {}, "jsonld": [], "blocks": []}
+        self.page: dict = {"title": "", "meta_description": "", "meta_robots": "", "canonical": "", "lang": "", "headings": [], "images": [], "internal_links": [], "external_links": [], "hreflang": [], "og": {}, "twitter": {}, "meta": {}, "jsonld": [], "server_rendered": True, "blocks": []}
         self.open: list[str] = []
         self.shown: list[str] = []
-        self.grabs: list[tuple[str, list[str], str]] = []  # open captures: tag, text, href
+        self.grabs: list[tuple[str, list[str], dict]] = []  # open captures: tag, text, attributes
+        self.roots: list[list[int]] = []  # open application roots: depth, characters
         self.heading = ""
         self.block: list[str] = []
 
+    def full(self, url: str) -> str:
+        try:
+            return urljoin(self.base, url) if self.base and url else url
+        except ValueError:  # as of a host with an open bracket
+            return url
+
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
         p = self.page
         if tag not in _VOID:
             self.open.append(tag)
+        if _APP_ROOT.search(a.get("id", "")):
+            if tag in _VOID:
+                p["server_rendered"] = False
+            else:
+                self.roots.append([len(self.open), 0])
         if tag == "html":
             p["lang"] = a.get("lang", "")
         elif tag == "meta":
-            name, content = a.get("name", "").lower(), a.get("content", "")
+            name, prop, content = a.get("name", "").lower(), a.get("property", "").lower(), a.get("content", "")
             if name == "description":
                 p["meta_description"] = content
             elif name == "robots":
                 p["meta_robots"] = content
-            elif a.get("property", "").startswith("og:"):
-                p["og"][a["property"]] = content
+            if prop.startswith("og:"):
+                p["og"][prop] = content
+            if name.startswith("twitter:"):
+                p["twitter"][name] = content
+            if content and (key := (a["name"] if "name" in a else prop).lower()):
+                p["meta"][key] = content
         elif tag == "link":
-            rel = a.get("rel", "").lower()
-            if rel == "canonical":
-                p["canonical"] = a.get("href", "")
-            elif rel == "alternate" and a.get("hreflang"):
+            rel = a.get("rel", "").lower().split()
+            if "canonical" in rel:
+                p["canonical"] = p["canonical"] or a.get("href", "")
+            elif "alternate" in rel and a.get("hreflang"):
                 p["hreflang"].append({"lang": a["hreflang"], "href": a.get("href", "")})
         elif tag == "img":
-            p["images"].append({"src": a.get("src", ""), "alt": a.get("alt", "")})
-        if tag in ("title", "a", "h1", "h2", "h3", "h4", "h5", "h6") or (tag == "script" and a.get("type") == "application/ld+json"):
-            self.grabs.append((tag, [], a.get("href") or ""))
+            p["images"].append({"src": self.full(a.get("src", "")), **{k: a.get(k) for k in ("alt", "width", "height", "loading")}})
+        if tag in _GRABBED or (tag == "script" and a.get("type") == "application/ld+json"):
+            self.grabs.append((tag, [], a))
 
     def handle_data(self, data):
         for _, parts, _ in self.grabs:  # a link in a heading belongs to both
             parts.append(data)
-        if not _HIDDEN & set(self.open) and "title" not in self.open:
+        if not _HIDDEN & set(self.open):
             self.shown.append(data)
-            if _BLOCKS & set(self.open):
+            for root in self.roots:
+                root[1] += len(data.strip())
+            if _BLOCKS & set(self.open) and not _ASIDE & set(self.open):
                 self.block.append(data)
 
     def handle_endtag(self, tag):
@@ -197,27 +224,46 @@ class _Page(HTMLParser):
             return
         while self.open and self.open.pop() != tag:
             pass
-        p = self.page
+        self.close_roots(len(self.open))
         at = max((i for i, g in enumerate(self.grabs) if g[0] == tag), default=None)
         if at is not None:
-            _, parts, href = self.grabs.pop(at)
-            got = " ".join("".join(parts).split())
-            if tag == "title":
-                p["title"] = p["title"] or got
-            elif tag == "script":
-                p["jsonld"].append("".join(parts).strip())
-            elif tag == "a":
-                if href and not href.startswith(("#", "javascript:")):
-                    full = urljoin(self.base, href) if self.base else href
-                    inside = not urlsplit(full).netloc or urlsplit(full).netloc == urlsplit(self.base).netloc
-                    p["internal_links" if inside else "external_links"].append({"href": full, "text": got[:100]})
-            else:
-                p["headings"].append({"level": int(tag[1]), "text": got})
-                self.flush()
-                self.heading = got
+            self.take(*self.grabs.pop(at))
         if tag in _BLOCKS and not _BLOCKS & set(self.open):
             self.block.append(" ")
 
+    def close_roots(self, depth: int):
+        for root in [r for r in self.roots if r[0] > depth]:
+            self.roots.remove(root)
+            if root[1] < RENDERED_CHARS:
+                self.page["server_rendered"] = False
+
+    def take(self, tag: str, parts: list[str], a: dict):
+        """Enter what a closed element held into the record."""
+        p, got = self.page, " ".join("".join(parts).split())
+        if tag == "title":
+            p["title"] = p["title"] or got
+        elif tag == "script":
+            p["jsonld"].append("".join(parts).strip())
+        elif tag == "a":
+            if (href := a.get("href")) and not href.startswith(("#", "javascript:")):
+                full = self.full(href)
+                try:
+                    inside = not urlsplit(full).netloc or urlsplit(full).netloc == urlsplit(self.base).netloc
+                except ValueError:
+                    inside = False
+                p["internal_links" if inside else "external_links"].append({"href": full, "text": got[:100], "rel": a.get("rel", "").split()})
+        else:
+            p["headings"].append({"level": int(tag[1]), "text": got})
+            self.flush()
+            self.heading = got
+
+    def finish(self):
+        """What is still open at the end of the page ends there."""
+        while self.grabs:
+            self.take(*self.grabs.pop(0))
+        self.close_roots(-1)
+        self.flush()
+
     def flush(self):
         text_ = " ".join("".join(self.block).split())
         if text_:
@@ -226,18 +272,35 @@ class _Page(HTMLParser):
 
 
 def parse_page(html: str, base: str = "") -> dict:
-    """H1-H3. The record of one page, as in PAGE_SCHEMA; broken markup is read as far as it goes."""
+    r"""H1-H3. The record of one page, as in PAGE_SCHEMA; broken markup is read as far as it goes.
+
+    word_count counts ``\b\w+\b`` and words what white space parts, both in the text without scripts,
+    styles, navigation, header and footer. Sources and links are joined to the base. server_rendered
+    is false if an element with an application root's id holds hardly any text. Headings and links
+    that are left open end with the page.
+    """
     parser = _Page(base or "")
     try:
         parser.feed(html or "")
         parser.close()
     except (ValueError, AssertionError):  # what stands before the fault counts
         pass
-    parser.flush()
+    parser.finish()
     shown = " ".join(" ".join(parser.shown).split())
-    import re
+    return parser.page | {"text": shown, "word_count": len(re.findall(r"\b\w+\b", shown)), "words": len(shown.split())}
+
+
+# Response headers that protect a page.
+SECURITY_HEADERS = ["Strict-Transport-Security", "Content-Security-Policy", "X-Frame-Options", "X-Content-Type-Options", "Referrer-Policy", "Permissions-Policy"]
+
 
-    return parser.page | {"text": shown, "word_count": len(re.findall(r"\b\w+\b", shown))}
+def security_headers(pages: DataFrame, headers: str = "headers") -> DataFrame:
+    """H3. ``pages`` with the value of each security header of their map ``headers``, whatever its case, and missing_headers; a null map has none."""
+    low = F.transform_keys(F.coalesce(headers, F.create_map().cast("map<string,string>")), lambda k, _: F.lower(k))
+    pages = pages.withColumn("__low", low)
+    each = {h: F.try_element_at("__low", F.lit(h.lower())) for h in SECURITY_HEADERS}
+    missing = F.filter(F.array(*[F.when(v.isNull(), F.lit(h)) for h, v in each.items()]), lambda h: h.isNotNull())
+    return pages.select("*", *[v.alias(h.lower().replace("-", "_")) for h, v in each.items()], missing.alias("missing_headers")).drop("__low")
 
 
 def parse_pages(pages: DataFrame, html: str = "html", url: str | None = "url") -> DataFrame:
@@ -254,6 +317,79 @@ def parse_pages(pages: DataFrame, html: str = "html", url: str | None = "url") -
     return pages.select(*keep, parsed(F.coalesce(F.col(html), F.lit("")), base).alias("__page")).select(*keep, "__page.*")
 
 
+_BLOCK = r"(?is)<script\s+type=[\x22\x27]application/ld\+json[\x22\x27]\s*>(.*?)</script>"
+
+
+def validate_jsonld(pages: DataFrame) -> DataFrame:
+    """H9, H10 by parsed JSON. (id, blocks, invalid, objects, no_context, wrong_context, no_type, placeholders, retired, restricted, types, critical) of ``pages`` (id, html) with a block.
+
+    A block is parsed as VARIANT; one that isn't JSON counts as invalid. Its objects are itself or the members of its
+    list: these need a context and a type and are searched for placeholder texts, each counted once. types: all
+    types at any depth, in lists and graphs too, distinct and sorted, joined by commas; retired and restricted
+    types count wherever an object's type, or one of its list, is one. Null html has no blocks.
+    """
+    blocks = pages.select("id", F.posexplode(F.regexp_extract_all("html", F.lit(_BLOCK), F.lit(1))).alias("block", "source"))
+    blocks = settled(blocks.select("id", "block", F.trim("source").alias("source")))
+    parsed = blocks.select("id", "block", F.try_parse_json("source").alias("v"))
+    listed = lambda v: F.try_variant_get(v, "$", "array<variant>")
+    fields = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
+    tops = parsed.select("id", "block", F.explode(F.coalesce(listed(F.col("v")), F.array("v"))).alias("v")).filter(fields(F.col("v")).isNotNull())
+    context, kind = F.try_variant_get("v", '$["@context"]', "string"), F.try_variant_get("v", '$["@type"]', "variant")
+    names = lambda v: F.coalesce(F.try_variant_get(v, "$", "array<string>"), F.array(F.try_variant_get(v, "$", "string")))
+    own_types = F.coalesce(names(kind), F.array().cast("array<string>"))
+    said = F.lower(F.to_json("v"))
+    placeholders = sum((F.contains(said, F.lit(p.lower())).cast("int") for p in PLACEHOLDERS), F.lit(0))
+    of = lambda kinds: F.exists(own_types, lambda t: t.isin(kinds))
+    checked = tops.select(
+        "id", F.map_contains_key(fields(F.col("v")), "@context").alias("has_context"), context.alias("context"), kind.isNotNull().alias("has_type"),
+        placeholders.alias("placeholders"), of(RETIRED).alias("retired"), of(RESTRICTED).alias("restricted"),
+    )
+    right = F.coalesce(F.col("context").isin("https://schema.org", "http://schema.org"), F.lit(False))
+    counts = checked.groupBy("id").agg(
+        F.count(F.lit(1)).alias("objects"), F.count_if(~F.col("has_context")).alias("no_context"), F.count_if(F.col("has_context") & ~right).alias("wrong_context"), F.count_if(~F.col("has_type")).alias("no_type"),
+        F.sum("placeholders").alias("placeholders"), F.count_if("retired").alias("retired"), F.count_if("restricted").alias("restricted"),
+    )
+    # types level by level: each round opens the lists and objects of the one before, and ends with the deepest block
+    level, found = settled(parsed.filter("v IS NOT NULL").select("id", F.to_json("v").alias("part"))), []
+    while not level.isEmpty():
+        inner = level.select("id", F.try_parse_json("part").alias("v"))
+        found.append(inner.select("id", F.explode(own_types).alias("type")))
+        below = inner.select("id", F.explode(F.coalesce(listed(F.col("v")), F.map_values(fields(F.col("v"))))).alias("v"))
+        level = settled(below.select("id", F.to_json("v").alias("part")).filter(F.substring("part", 1, 1).isin("{", "[")))
+    types = reduce(DataFrame.unionByName, found).filter("type IS NOT NULL").groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types")) if found else counts.select("id", F.lit("").alias("types")).limit(0)
+    each = parsed.groupBy("id").agg(F.count(F.lit(1)).alias("blocks"), F.count_if(F.col("v").isNull()).alias("invalid"))
+    out = each.join(counts, "id", "left").join(types, "id", "left")
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    numbers = ["objects", "no_context", "wrong_context", "no_type", "placeholders", "retired", "restricted"]
+    critical = (F.coalesce("placeholders", F.lit(0)) > 0) | (F.coalesce("retired", F.lit(0)) > 0)
+    return out.select("id", "blocks", "invalid", *map(number, numbers), F.coalesce("types", F.lit("")).alias("types"), critical.alias("critical"))
+
+
+@operator
+def jsonld_by_json(d: Duck) -> str:
+    """H9, oracle of validate_jsonld: DuckDB's JSON functions, and its walk over the whole tree of each block."""
+    inlist = lambda xs: "(" + ", ".join(text(x) for x in xs) + ")"
+    strings = lambda x: f"CASE json_type({x}) WHEN 'VARCHAR' THEN [json_extract_string({x}, '$')] WHEN 'ARRAY' THEN from_json({x}, '[\"VARCHAR\"]') ELSE [] END"
+    hits = " + ".join(f"contains(lower(o::VARCHAR), {text(p.lower())})::INT" for p in PLACEHOLDERS)
+    return f"""
+WITH blocks AS (SELECT id, trim(unnest({d.extract_all('html', _BLOCK, 1)})) AS source FROM @pages@),
+parsed AS (SELECT row_number() OVER () AS r, id, source, CASE WHEN json_valid(source) THEN source::JSON END AS v FROM blocks),
+tops AS (SELECT id, unnest(CASE WHEN json_type(v) = 'ARRAY' THEN from_json(v, '[\"JSON\"]') ELSE [v] END) AS o FROM parsed WHERE v IS NOT NULL),
+objects AS (
+  SELECT id, json_exists(o, '$.\"@context\"') AS has_context, json_extract_string(o, '$.\"@context\"') AS context, json_exists(o, '$.\"@type\"') AS has_type, {hits} AS placeholders, {strings("json_extract(o, '$.\"@type\"')")} AS kinds
+  FROM tops WHERE json_type(o) = 'OBJECT'),
+counts AS (
+  SELECT id, count(*) AS objects, count(*) FILTER (WHERE NOT has_context) AS no_context, count(*) FILTER (WHERE has_context AND coalesce(context, '') NOT IN ('https://schema.org', 'http://schema.org')) AS wrong_context, count(*) FILTER (WHERE NOT has_type) AS no_type,
+    sum(placeholders) AS placeholders, count(*) FILTER (WHERE len(list_filter(kinds, lambda k: k IN {inlist(RETIRED)})) > 0) AS retired, count(*) FILTER (WHERE len(list_filter(kinds, lambda k: k IN {inlist(RESTRICTED)})) > 0) AS restricted
+  FROM objects GROUP BY id),
+walked AS (SELECT p.id, {strings('t.value')} AS kinds FROM parsed p, json_tree(p.v) t WHERE p.v IS NOT NULL AND t.key = '@type'),
+named AS (SELECT DISTINCT id, unnest(kinds) AS kind FROM walked),
+types AS (SELECT id, string_agg(kind, ',' ORDER BY kind) AS types FROM named GROUP BY id),
+each_page AS (SELECT id, count(*) AS blocks, count(*) FILTER (WHERE v IS NULL) AS invalid FROM parsed GROUP BY id)
+SELECT e.id, e.blocks, e.invalid, {", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in ("objects", "no_context", "wrong_context", "no_type", "placeholders", "retired", "restricted"))}, coalesce(types, '') AS types, coalesce(placeholders, 0) > 0 OR coalesce(retired, 0) > 0 AS critical
+FROM each_page e LEFT JOIN counts c USING (id) LEFT JOIN types t USING (id)"""
+
+
 def jsonld_types(block: str) -> list[str]:
     """Types in one JSON-LD block, lists and graphs included; none if it isn't JSON."""
     try:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestar.operators.chains import first_steps
 from lodestar.plans.dialect import Duck, operator
 
 # Query parameters that only track.
@@ -16,11 +20,12 @@ HOPS = 10
 def with_keys(d: Duck, source: str, columns: str, **urls: str) -> str:
     """E1 in SQL: ``columns`` of ``source``, and for each of ``urls`` (name to column) its key under that name.
 
-    A key is percent-decoded and has https, the host in lower case without a default port or user,
+    A key is percent-decoded (a plus sign in the query is a space) and has https, the host in lower case without a default port or user,
     a path ("/" at least) without slashes at its end, and the parameters that don't track, sorted;
     no fragment. An empty or null url has an empty key.
     """
     each = lambda make: ", ".join(make(n) for n in urls)
+    spaced = lambda u: f"CASE WHEN {d.instr(u, chr(39) + '?' + chr(39))} > 0 THEN substr({u}, 1, {d.instr(u, chr(39) + '?' + chr(39))} - 1) || replace(substr({u}, {d.instr(u, chr(39) + '?' + chr(39))}), '+', '%20') ELSE {u} END"
     full = lambda n: f"CASE WHEN {d.like(f'u_{n}', '^[a-zA-Z][a-zA-Z0-9+.-]*://')} THEN {d.sub(f'u_{n}', '^[a-zA-Z][a-zA-Z0-9+.-]*://', 'https://')} WHEN u_{n} LIKE '//%' THEN 'https:' || u_{n} WHEN u_{n} = '' THEN '' ELSE 'https://' || u_{n} END"
     host = lambda n: f"lower({d.sub(d.extract(f'u_{n}', '^https://([^/?]*)'), '^.*@|:(80|443)$', '')})"
     path = lambda n: d.sub(d.extract(f"u_{n}", "^https://[^/?]*([^?]*)"), "/+$", "")
@@ -28,7 +33,8 @@ def with_keys(d: Duck, source: str, columns: str, **urls: str) -> str:
     return f"""(SELECT {columns}, {each(lambda n: f"CASE WHEN u_{n} = '' THEN '' ELSE 'https://' || h_{n} || CASE WHEN p_{n} = '' THEN '/' ELSE p_{n} END || CASE WHEN q_{n} <> '' THEN '?' || q_{n} ELSE '' END END AS {n}")} FROM (
   SELECT {columns}, {each(lambda n: f"u_{n}, {host(n)} AS h_{n}, {path(n)} AS p_{n}, {query(n)} AS q_{n}")} FROM (
     SELECT {columns}, {each(lambda n: f"{d.sub(full(n), '#.*$', '')} AS u_{n}")} FROM (
-      SELECT {columns}, {each(lambda n: f"{d.decode(f'trim(coalesce({urls[n]}, {chr(39) * 2}))')} AS u_{n}")} FROM {source}) AS k0) AS k1) AS k2)"""
+      SELECT {columns}, {each(lambda n: f"{d.decode(spaced(f'r_{n}'))} AS u_{n}")} FROM (
+        SELECT {columns}, {each(lambda n: f"trim(coalesce({urls[n]}, '')) AS r_{n}")} FROM {source}) AS k00) AS k0) AS k1) AS k2)"""
 
 
 @operator
@@ -62,6 +68,15 @@ def redirect_chains(d: Duck) -> str:
     return f"SELECT n0 AS start, coalesce({last}) AS final_url, CAST(hops AS BIGINT) AS hops, is_loop FROM {path} AS p"
 
 
+def follow_redirects(map: DataFrame) -> DataFrame:  # noqa: A002
+    """E3 by paths that double each round (four joins for ten urls); rows as of ``redirect_chains``."""
+    moves = map.filter("status_code LIKE '3%' AND redirect_key <> ''").select(F.col("url_key").alias("node"), F.col("redirect_key").alias("next"))
+    paths = first_steps(moves, HOPS - 1).select("node", F.concat(F.array("node"), "path").alias("path"))
+    back = F.filter(F.sequence(F.lit(1), F.size("path") - 1), lambda k: F.array_contains(F.slice("path", F.lit(1), k), F.get("path", k)))
+    hops = F.coalesce(F.get(back, F.lit(0)), F.size("path") - 1)
+    return paths.select(F.col("node").alias("start"), F.get("path", hops).alias("final_url"), hops.cast("bigint").alias("hops"), (F.size(back) > 0).alias("is_loop"))
+
+
 @operator
 def validate_redirects(d: Duck) -> str:
     """E4. One row for each finding on ``spec`` (old_url, new_url, type) against ``map`` and ``chains``, by key; a rule can be chain and match, and one without type takes any."""
@@ -111,15 +126,15 @@ FROM @old@ o FULL OUTER JOIN @new@ n ON o.url_key = n.url_key WHERE o.url_key IS
 
 @operator
 def field_changes(d: Duck) -> str:
-    """E8, E14. Changed fields of the url keys in both ``old`` and ``new`` (see crawl_by_key)."""
-    critical = {"status_code": "o.status_code = '200' AND (n.status_code LIKE '4%' OR n.status_code LIKE '5%')", "indexability": "lower(o.indexability) LIKE '%indexable%' AND lower(n.indexability) LIKE '%non%'"}
-    each = " UNION ALL ".join(
-        f"SELECT o.url_key, '{f}' AS field, o.{f} AS old_value, n.{f} AS new_value, {critical.get(f, 'false')} AS critical FROM @old@ o JOIN @new@ n ON o.url_key = n.url_key WHERE o.{f} <> '' AND n.{f} <> '' AND o.{f} <> n.{f}"
-        for f in CRAWL_FIELDS
-    )
+    """E8, E14. Changed fields of the url keys in both ``old`` and ``new`` (see crawl_by_key): the crawls meet once, then each key has a row for each field."""
+    pick = lambda side, f: f"CASE field {' '.join(f'WHEN {chr(39)}{c}{chr(39)} THEN {side}_{c}' for c in f)} END"
+    both = ", ".join(f"o.{f} AS o_{f}, n.{f} AS n_{f}" for f in [*CRAWL_FIELDS, "word_count"])
     return f"""
-{each} UNION ALL SELECT o.url_key, 'word_count' AS field, CAST(o.word_count AS STRING) AS old_value, CAST(n.word_count AS STRING) AS new_value, (n.word_count - o.word_count) * 100e0 / o.word_count <= -30 AS critical
-FROM @old@ o JOIN @new@ n ON o.url_key = n.url_key WHERE o.word_count > 0 AND n.word_count > 0 AND abs(n.word_count - o.word_count) * 100e0 / o.word_count >= 20"""
+SELECT url_key, field, old_value, new_value, CASE field WHEN 'status_code' THEN old_value = '200' AND (new_value LIKE '4%' OR new_value LIKE '5%') WHEN 'indexability' THEN lower(old_value) LIKE '%indexable%' AND lower(new_value) LIKE '%non%'
+  WHEN 'word_count' THEN (n_word_count - o_word_count) * 100e0 / o_word_count <= -30 ELSE false END AS critical FROM (
+  SELECT url_key, field, o_word_count, n_word_count, CASE field WHEN 'word_count' THEN CAST(o_word_count AS STRING) ELSE {pick('o', CRAWL_FIELDS)} END AS old_value, CASE field WHEN 'word_count' THEN CAST(n_word_count AS STRING) ELSE {pick('n', CRAWL_FIELDS)} END AS new_value
+  FROM (SELECT o.url_key, {both}, {d.explode(d.array(*[f"'{f}'" for f in [*CRAWL_FIELDS, 'word_count']]))} AS field FROM @old@ o JOIN @new@ n ON o.url_key = n.url_key) AS m) AS f
+WHERE CASE field WHEN 'word_count' THEN o_word_count > 0 AND n_word_count > 0 AND abs(n_word_count - o_word_count) * 100e0 / o_word_count >= 20 ELSE old_value <> '' AND new_value <> '' AND old_value <> new_value END"""
 
 
 @operator

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestar.operators.assignment import assign_in_order
+from lodestar.operators.graph import settled
+from lodestar.operators.matching import all_ratios
 from lodestar.plans.dialect import Duck, operator, text
 
 # Stop words, Dutch then English.
@@ -31,18 +37,71 @@ def product_keys(d: Duck) -> str:
     return f"SELECT id, {identifier(d, 'mpn')} AS key, CAST({d.size(title_tokens(d, 'title'))} AS BIGINT) AS tokens FROM @products@"
 
 
+def _identifiers(d: Duck, side: str) -> str:
+    return " UNION ALL ".join(f"SELECT id, {i} AS place, {identifier(d, f)} AS key FROM @{side}@ WHERE trim({f}) <> ''" for i, f in enumerate(("mpn", "sku", "gtin")))
+
+
 @operator
-def match_products(d: Duck) -> str:
-    """G3. Products of ``own`` and ``other`` (id, mpn, sku, gtin) with a common identifier, one to one where no other claims either.
+def identifier_edges(d: Duck) -> str:
+    """G3. (row, target, choice): for each product of ``own`` the first product of ``other`` under each of its identifiers (id, mpn, sku, gtin), in the order mpn, sku, gtin.
 
-    A pair counts if each is the other's first choice: own fields in the order mpn, sku, gtin, then the smaller id.
+    An identifier of any field meets one of any field; of the products that share it, only the one with the smallest id counts.
     """
-    keys = lambda side: " UNION ALL ".join(f"SELECT id, {i} AS place, {identifier(d, f)} AS key FROM @{side}@ WHERE {f} <> ''" for i, f in enumerate(("mpn", "sku", "gtin")))
     return f"""
-SELECT own_id, other_id, place AS matched_on FROM (
-  SELECT *, row_number() OVER (PARTITION BY own_id ORDER BY place, other_id) AS a, row_number() OVER (PARTITION BY other_id ORDER BY own_id, place) AS b FROM (
-    SELECT o.id AS own_id, c.id AS other_id, min(o.place) AS place FROM ({keys('own')}) AS o JOIN (SELECT key, min(id) AS id FROM ({keys('other')}) AS k WHERE key <> '' GROUP BY key) AS c ON o.key = c.key GROUP BY o.id, c.id) AS p) AS r
-WHERE a = 1 AND b = 1"""
+SELECT o.id AS row, c.id AS target, min(o.place) AS choice FROM ({_identifiers(d, 'own')}) AS o JOIN (SELECT key, min(id) AS id FROM ({_identifiers(d, 'other')}) AS k WHERE key <> '' GROUP BY key) AS c ON o.key = c.key GROUP BY o.id, c.id"""
+
+
+@operator
+def match_in_row_order(d: Duck) -> str:
+    """G3, oracle of the pass by identifiers: the products of ``edges`` (row, target, choice) choose one after another, in a recursion over rows."""
+    return """
+WITH RECURSIVE lists AS (SELECT row, row_number() OVER (ORDER BY row) AS n, list({'choice': choice, 'target': target} ORDER BY choice, target) AS wanted FROM @edges@ GROUP BY row),
+turns AS (
+  SELECT 0::BIGINT AS n, NULL::BIGINT AS own_id, []::STRUCT(choice INTEGER, target BIGINT)[] AS taken
+  UNION ALL
+  SELECT l.n, l.row, list_concat(list_filter(l.wanted, lambda w: NOT list_contains(list_transform(t.taken, lambda x: x.target), w.target))[1:1], t.taken)
+  FROM turns t JOIN lists l ON l.n = t.n + 1)
+SELECT own_id, taken[1].target AS other_id, CAST(taken[1].choice AS INTEGER) AS matched_on FROM (SELECT *, len(taken) - lag(len(taken)) OVER (ORDER BY n) AS got FROM turns) AS t WHERE got = 1"""
+
+
+#: How a match by title is told from one by mpn, sku or gtin (0, 1, 2).
+BY_TITLE = 3
+
+
+def match_products(own: DataFrame, other: DataFrame, title_ratio: float | None = 90.0) -> DataFrame:
+    """G3. (own_id, other_id, matched_on): one-to-one matches of ``own`` and ``other`` (id, mpn, sku, gtin, title), in the order of own ids.
+
+    Each own product takes the first free one among those that its mpn, sku and gtin lead to
+    (matched_on 0, 1, 2); failing that, the free one whose title is most alike, with a ratio of
+    ``title_ratio`` at least, the smaller id on a tie (matched_on 3). The result is that of the
+    sequential loop over rows. Titles are compared only for products that may need it: those whose first
+    choice is wanted by an earlier row, by identifier or title, or that have none.
+    Null and blank identifiers and null titles match nothing; ids are distinct.
+    """
+    edges = settled(identifier_edges(own=own, other=other))
+    if title_ratio is not None:
+        first = edges.groupBy("row").agg(F.min_by("target", F.struct("choice", "target")).alias("target"))
+        wanted = edges.groupBy("target").agg(F.min("row").alias("by"))
+        safe = settled(first.join(wanted, "target").filter("by = row").select("row", "target"))
+        ask = own.select(F.col("id").alias("row")).join(safe.select("row"), "row", "left_anti")
+        while True:
+            asked = settled(own.join(ask.select(F.col("row").alias("id")), "id", "left_semi").select("id", "title"))
+            if asked.isEmpty():
+                break
+            edges = settled(edges.unionByName(_title_edges(asked, other.select("id", "title"), title_ratio)))
+            wanted = edges.filter(F.col("choice") >= BY_TITLE).groupBy("target").agg(F.min("row").alias("by"))
+            unsafe = settled(safe.join(wanted, "target").filter("by < row").select("row"))
+            ask, safe = unsafe, settled(safe.join(unsafe, "row", "left_anti"))
+    found = assign_in_order(edges)
+    return found.select(F.col("row").alias("own_id"), F.col("target").alias("other_id"), F.least("choice", F.lit(BY_TITLE)).cast("int").alias("matched_on"))
+
+
+def _title_edges(own: DataFrame, other: DataFrame, ratio: float) -> DataFrame:
+    """Edges to titles that are alike enough, behind those by identifier: the higher the ratio, the earlier."""
+    a, b = own.toDF("row", "a").filter("a IS NOT NULL"), other.toDF("target", "b").filter("b IS NOT NULL")
+    alike = all_ratios(a.select("a").distinct(), b.select("b").distinct(), ratio)
+    edges = alike.join(a, "a").join(b, "b")
+    return edges.select("row", "target", (BY_TITLE + (100.0 - F.col("ratio"))).alias("choice"))
 
 
 @operator

@@ -6,6 +6,7 @@ from dataclasses import replace
 
 from lodestar.operators import clusters as c
 from lodestar.operators import health as h
+from lodestar.operators.graph import settled
 from lodestar.plans import fixtures as fx
 from lodestar.plans.registry import declare, query
 
@@ -23,8 +24,9 @@ PAIRS = blocked(QUESTIONS, VECTORS, 0.2)
 NAMED = fx.shaped("fixture_named_pairs", "SELECT 'red bolt ' || CAST(left_id AS STRING) AS keyword, '/shop/red-widget-' || CAST(right_id AS STRING) || '/pricing' AS url, similarity FROM @p@", p=PAIRS)
 NAMES = fx.shaped("fixture_keyword_names", "SELECT 'red bolt ' || CAST(id AS STRING) AS keyword, CASE WHEN id % 10 = 0 THEN '/shop/red-widget-' || CAST(id + 1 AS STRING) || '/pricing' ELSE '' END AS actual_url, CAST(id % 40 AS BIGINT) AS actual_rank FROM @q@", q=QUESTIONS)
 MAPPING = c.keyword_mapping(pairs=NAMED, threshold=0.3, top_n=5)
-SELF = blocked(VECTORS, VECTORS, 0.3)
-CLOSEST = fx.shaped("fixture_closest", "SELECT id AS url, id + 5 AS closest_match, CAST(80 + id % 20 AS DOUBLE) AS similarity_pct, id + 7 AS closest_semantic_match, round(id % 100 / 100e0, 2) AS semantic_score FROM @v@", v=VECTORS)
+WHOLE = fx.shaped("fixture_every_vector", "SELECT vec_id AS id, embedding AS vector, label FROM @e@", e=fx.EMBEDDINGS)
+SELF = blocked(WHOLE, WHOLE, 0.3)
+CLOSEST = fx.shaped("fixture_closest", "SELECT id AS url, id + 5 AS closest_match, CAST(80 + id % 20 AS DOUBLE) AS similarity_pct, id + 7 AS closest_semantic_match, round(id % 100 / 100e0, 2) AS semantic_score FROM @v@", v=WHOLE)
 GROUPED = fx.shaped("fixture_grouped", "SELECT p_partkey AS node, p_partkey % 50 AS root FROM @p@", p=fx.PART)
 GROUPED_PAIRS = fx.shaped("fixture_grouped_pairs", "SELECT p_partkey AS left_id, p_partkey + 50 AS right_id, CAST(p_partkey * 7 % 100 - p_partkey % 50 % 3 * 10 AS DOUBLE) / 100e0 AS similarity, CASE WHEN p_partkey % 50 % 5 = 0 THEN CAST(60 + p_partkey % 50 % 40 AS DOUBLE) END AS minhash_pct FROM @p@", p=fx.PART)
 SHARED = c.serp_overlap(serp=fx.SERP)
@@ -37,7 +39,7 @@ TOPICS = fx.shaped("fixture_topics", "SELECT p_type || p_brand AS cluster, p_nam
 WORDS = fx.shaped("fixture_words", lambda d: f"SELECT doc_id AS page, word FROM (SELECT doc_id, {d.explode(d.extract_all('lower(text)', '[a-z]+'))} AS word FROM @d@) AS w", d=fx.DOCUMENTS)
 ITEMS = fx.shaped("fixture_items", "SELECT event_id AS id, 'https://x.test/' || event_type || '/' || CAST(user_id AS STRING) || CASE WHEN event_id % 2 = 0 THEN '/?a=1' ELSE '' END AS url, CAST(event_id % 3 AS BIGINT) AS priority, CAST(event_id % 997 AS BIGINT) AS length FROM @e@", e=fx.EVENTS)
 
-declare("b1_cosine_pairs", c.cosine_pairs(a=QUESTIONS, b=VECTORS, threshold=0.2))
+declare("b1_cosine_pairs", PAIRS)
 declare("b2_b3_url_keyword_boost", fx.shaped("b3", lambda d: f"SELECT p_partkey, {c.keyword_boost(d, 'p_name', '''concat('https://www.x.test/', replace(p_name, ' ', '-'), '/', p_type, '.html?q=1')''')} AS boost, CAST({d.size(c.slug_words(d, '''concat('https://www.x.test/shop/', p_type, '_', p_brand)'''))} AS BIGINT) AS slug_words FROM @p@", p=fx.PART))
 declare("b4_keyword_mapping", MAPPING)
 declare("b4_keyword_classes", c.keyword_classes(keywords=NAMES, mapping=MAPPING))
@@ -45,6 +47,19 @@ declare("b5_hub_pages", c.hub_pages(mapping=MAPPING, least=3))
 declare("b6_near_duplicate_pairs", c.near_duplicate_pairs(pairs=SELF, minhash=CLOSEST, semantic=CLOSEST))
 declare("b7_b8_cluster_summary", c.cluster_summary(members=GROUPED, pairs=GROUPED_PAIRS))
 declare("b9_exact_duplicates", c.exact_duplicates(docs=DOCS))
+WORDED = fx.shaped(
+    "fixture_worded_pages",
+    lambda d: f"SELECT doc_id AS id, {d.join(d.slice('w', '1', '8'), ' ')} AS title, {d.join(d.slice('w', '3', '6'), ' ')} AS h1, {d.join(d.slice('w', '9', '12'), ' ')} AS meta, body FROM (SELECT doc_id, coalesce(text, '') AS body, {d.split('coalesce(text, chr(32))', ' ')} AS w FROM @d@) AS d",
+    d=fx.DOCUMENTS,
+)
+NEIGHBOURS = fx.shaped("fixture_neighbours", "SELECT a.doc_id AS pair, a.doc_id AS left_id, b.doc_id AS right_id FROM @d@ a JOIN @d@ b ON b.doc_id = a.doc_id + 1 UNION ALL SELECT -1 - doc_id AS pair, doc_id AS left_id, doc_id AS right_id FROM @d@", d=fx.DOCUMENTS)
+WEIGHTS = replace(c.tfidf_weights(pages=WORDED), kernel=lambda given: settled(c.tfidf_weights(pages=given["pages"])))
+COSINES = c.component_cosines(pairs=NEIGHBOURS, weights=WEIGHTS)
+TITLED_ITEMS = fx.shaped("fixture_titled_items", "SELECT p_partkey AS id, CASE WHEN p_partkey % 90 = 0 THEN '' ELSE lower(p_type) || ' ' || replace(p_brand, '#', ' ') || ' made to last ' || CASE WHEN p_size > 25 THEN 'and to please' ELSE p_name END END AS title, CAST(p_partkey * 7919 % 1009 AS BIGINT) AS length FROM @p@", p=fx.PART)
+
+declare("b12_component_cosines", COSINES)
+declare("b12_b13_tfidf_class", c.component_class(parts=COSINES))
+declare("b29_title_overlap", replace(c.titles_in_turn(items=TITLED_ITEMS), kernel=lambda given: c.drop_similar_titles(given["items"])))
 declare("b12_b13_component_class", c.component_class(parts=PARTS))
 declare("b14_keyword_page_topk", c.best_pages(pairs=NAMED, keywords=NAMES, k=5))
 declare("b15_cannibalization_severity", c.cannibalization_severity(gsc=fx.QUERY_PAGE))
@@ -104,9 +119,16 @@ declare("c18_dedupe_links", h.dedupe_links(links=LINKS))
 declare("c19_url_rules", h.url_rules(pages=URLS))
 declare("c20_page_analysis", h.page_analysis(pages=ANALYSED))
 declare("c21_web_vitals", h.web_vitals(samples=VITALS))
-declare("c22_broken_links", h.broken_links(links=SITE_LINKS, crawl=SITE_CRAWL))
+declare("c22_broken_links", h.broken_links(links=fx.shaped("fixture_all_site_links", "SELECT l_suppkey AS source, l_partkey AS target, l_returnflag AS anchor FROM @l@", l=fx.LINEITEM), crawl=SITE_CRAWL))
 declare("c23_indexability", h.indexability(crawl=CANONICALS))
 declare("c24_orphan_pages", h.orphan_pages(crawl=SITE_CRAWL, links=SITE_LINKS))
 declare("c25_security_report", h.security_report(pages=fx.PAGES))
 declare("c26_canonical_report", h.canonical_report(crawl=CANONICALS))
 declare("c27_risk_pages", h.risk_pages(health=HEALTH))
+SPREAD = fx.shaped(
+    "fixture_spread_canonicals",
+    """SELECT CAST(p_partkey AS STRING) AS url, CASE WHEN p_partkey % 9 = 0 THEN '' WHEN p_partkey % 9 = 1 THEN CAST(p_partkey AS STRING) WHEN p_partkey % 30 < 20 THEN CAST(p_partkey + 1 AS STRING) WHEN p_partkey % 30 = 29 THEN CAST(p_partkey - 3 AS STRING) ELSE CAST(p_partkey * 7 % 2500 AS STRING) END AS canonical,
+    CASE WHEN p_partkey % 10 = 0 THEN 404 ELSE 200 END AS status FROM @p@ UNION ALL SELECT CAST(p_partkey AS STRING) AS url, 'other' AS canonical, 200 AS status FROM @p@ WHERE p_partkey % 40 = 0""",
+    p=fx.PART,
+)
+declare("c26_canonical_paths", replace(h.canonical_walks(crawl=SPREAD), kernel=lambda given: h.canonical_paths(given["crawl"])))

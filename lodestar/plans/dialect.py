@@ -260,6 +260,8 @@ class Node:
     inputs: dict[str, Node] = field(default_factory=dict)
     #: What Spark runs instead of the body, which then is the oracle's alone.
     kernel: Callable[[dict[str, DataFrame]], DataFrame] | None = None
+    #: The inputs that the kernel reads, where they are not those of the body.
+    kernel_inputs: dict[str, Node] | None = None
 
     def spark(self, spark: SparkSession, sf_dir: str, seen: dict[int, DataFrame] | None = None) -> DataFrame:
         seen = {} if seen is None else seen
@@ -267,7 +269,7 @@ class Node:
             if self.body is None:
                 seen[id(self)] = table(spark, sf_dir, self.name)
             else:
-                given = {n: x.spark(spark, sf_dir, seen) for n, x in self.inputs.items()}
+                given = {n: x.spark(spark, sf_dir, seen) for n, x in (self.kernel_inputs or self.inputs).items()}
                 seen[id(self)] = self.kernel(given) if self.kernel else run(spark, self.body(SPARK), given)
         return seen[id(self)]
 

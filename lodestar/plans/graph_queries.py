@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from lodestar.operators import graph as g
 from lodestar.operators import migration as m
 from lodestar.plans import fixtures as fx
@@ -84,7 +86,7 @@ def d4_betweenness(spark, sf_dir):
 RAW_URLS = fx.shaped(
     "fixture_raw_urls",
     """SELECT DISTINCT CASE o_orderkey % 4 WHEN 0 THEN 'HTTP://' WHEN 1 THEN 'https://' WHEN 2 THEN '' ELSE 'http://' END || 'Shop.Test' || CASE o_orderkey % 3 WHEN 0 THEN ':443' WHEN 1 THEN ':8080' ELSE '' END || '/' || o_orderpriority || CASE WHEN o_orderkey % 2 = 0 THEN '/' ELSE '' END
-    || CASE o_orderkey % 5 WHEN 0 THEN '?b=2&utm_source=x&a=1' WHEN 1 THEN '#part' WHEN 2 THEN '?gclid=7' ELSE '' END AS url FROM @o@""",
+    || CASE o_orderkey % 7 WHEN 0 THEN '?b=2&utm_source=x&a=1' WHEN 1 THEN '#part' WHEN 2 THEN '?gclid=7' WHEN 3 THEN '?q=a+b%2Bc' WHEN 4 THEN '?q=a%20b%2Bc' ELSE '' END AS url FROM @o@""",
     o=fx.ORDERS,
 )
 
@@ -96,8 +98,10 @@ def _spelt(key: str, of: str) -> str:
 
 _TARGET = _spelt("CAST(p_partkey * 7 % 2000 AS STRING)", "(p_partkey + 2)")
 CRAWL = fx.shaped("fixture_redirect_crawl", f"SELECT {_spelt('CAST(p_partkey AS STRING)', 'p_partkey')} AS url, CASE WHEN p_partkey % 7 < 3 THEN '301' WHEN p_partkey % 11 = 0 THEN '404' WHEN p_partkey % 13 = 0 THEN '302' ELSE '200' END AS status_code, CASE WHEN p_partkey % 7 < 3 OR p_partkey % 13 = 0 THEN {_TARGET} ELSE '' END AS redirect_url, p_partkey AS row_id FROM @p@", p=fx.PART)
-REDIRECTS = m.redirect_map(crawl=CRAWL)
-CHAINS = m.redirect_chains(map=REDIRECTS)
+_MAP = m.redirect_map(crawl=CRAWL)
+#: Keys are computed once: the map is written, and chains and findings read it.
+REDIRECTS = replace(_MAP, kernel=lambda given: g.settled(m.redirect_map(crawl=given["crawl"])))
+CHAINS = replace(m.redirect_chains(map=REDIRECTS), kernel=lambda given: m.follow_redirects(given["map"]))
 SPEC = fx.shaped("fixture_spec", f"SELECT {_spelt('CAST(p_partkey AS STRING)', 'p_size')} AS old_url, {_spelt('CAST((p_partkey * 7 + CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END) % 2000 AS STRING)', '(p_size + 1)')} AS new_url, CASE WHEN p_size % 3 = 0 THEN '' ELSE '301' END AS type FROM @p@ WHERE p_partkey % 3 = 0", p=fx.PART)
 FINDINGS = m.validate_redirects(spec=SPEC, map=REDIRECTS, chains=CHAINS)
 

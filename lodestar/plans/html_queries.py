@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from lodestar.operators import html as h
 from lodestar.operators import passages as ps
 from lodestar.plans import fixtures as fx
@@ -25,6 +27,13 @@ JSONLD = fx.shaped(
     """SELECT p_partkey AS id, '<html><script type="application/ld+json">{"@context": "' || CASE p_partkey % 3 WHEN 0 THEN 'https://schema.org' WHEN 1 THEN 'http://schema.org' ELSE 'schema' END || '", "@type": "' || CASE p_partkey % 5 WHEN 0 THEN 'HowTo' WHEN 1 THEN 'FAQPage' ELSE 'Product' END || '", "name": "' || CASE WHEN p_partkey % 7 = 0 THEN '[City]' ELSE p_name END || '"}</script></html>' AS html FROM @p@""",
     p=fx.PART,
 )
+NESTED = fx.shaped(
+    "fixture_nested_jsonld",
+    """SELECT p_partkey AS id, '<script type="application/ld+json">' || CASE p_partkey % 6 WHEN 0 THEN '{"@context": "https://schema.org", "@graph": [{"@type": "HowTo"}, {"@type": ["Product", "Thing"], "offers": [{"@type": "Offer", "seller": {"@type": "' || CASE WHEN p_size > 25 THEN 'Store' ELSE 'Person' END || '"}}]}]}'
+    WHEN 1 THEN '[{"@context": "http://schema.org", "@type": "FAQPage"}, {"@type": "Product", "name": "[City] ' || p_name || '"}, 5]' WHEN 2 THEN '{"@type": "Product", ' WHEN 3 THEN '{"@context": "schema", "@type": ["ClaimReview", "Review"]}' WHEN 4 THEN '{"@context": "https://schema.org", "name": "replace me"}'
+    ELSE '{"@context": "https://schema.org", "@type": "' || p_brand || '"}' END || '</script><p>x</p><script type="application/ld+json">{"@context": "https://schema.org", "@type": "WebPage"}</script>' AS html FROM @p@""",
+    p=fx.PART,
+)
 SITES = fx.shaped("fixture_schema_sites", "SELECT p_partkey AS site, p_partkey % 3 AS organisation, p_partkey % 8 AS same_as, p_partkey % 3 AS author, p_size % 3 AS business_type, p_size > 20 AS search_action, p_size > 10 AS breadcrumb, p_partkey % 3 AS jsonld, p_size % 3 AS rendered, p_size > 45 AS speakable, p_partkey % 4 AS errors, p_partkey % 5 AS knows_about, p_partkey % 2 AS retired FROM @p@", p=fx.PART)
 
 declare("h4_html_lint", h.html_lint(pages=PAGES))
@@ -35,15 +44,22 @@ declare("h6_llmstxt_checks", h.llmstxt_checks(files=LLMS))
 declare("h7_llmstxt_links", CHOSEN)
 declare("h8_llmstxt_text", h.llmstxt_text(links=CHOSEN))
 declare("h9_h10_jsonld_checks", h.jsonld_checks(pages=JSONLD))
+declare("h9_jsonld_by_variant", replace(h.jsonld_by_json(pages=NESTED), kernel=lambda given: h.validate_jsonld(given["pages"])))
 declare("h11_staged_checks", h.staged_checks(pages=PAGES))
 declare("h12_structured_data_score", h.structured_data_score(sites=SITES))
 
 
-@query("h1_parse_html", oracle=r"""SELECT page_id, replace(replace(replace(trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, len(regexp_extract_all(html, '(?is)<h1[ >]'))::BIGINT AS h1_count FROM pages""")
+@query(
+    "h1_parse_html",
+    oracle=r"""WITH bodies AS (SELECT *, regexp_replace(html, '(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g') AS bare FROM pages)
+SELECT page_id, replace(replace(replace(trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, regexp_extract(html, '(?is)<html[^>]* lang="([^"]*)"', 1) AS lang,
+  len(regexp_extract_all(bare, '(?is)<h1[ >]'))::BIGINT AS h1_count, len(regexp_extract_all(bare, '(?is)<h[1-6][ >]'))::BIGINT AS headings, len(regexp_extract_all(bare, '(?is)<img[ >]'))::BIGINT AS images,
+  len(regexp_extract_all(bare, '(?is)<a [^>]*href="[^"#][^"]*"'))::BIGINT AS links, len(regexp_extract_all(html, '(?is)<script[^>]*ld.json'))::BIGINT AS jsonld FROM bodies""",
+)
 def h1_parse_html(spark, sf_dir):
-    """H1: title and number of h1 of every page."""
+    """H1: title, language, and numbers of headings, images, links and JSON-LD blocks of every page."""
     parsed = h.parse_pages(table(spark, sf_dir, "pages"))
-    return parsed.selectExpr("page_id", "title", "CAST(size(filter(headings, x -> x.level = 1)) AS BIGINT) AS h1_count")
+    return parsed.selectExpr("page_id", "title", "lang", "CAST(size(filter(headings, x -> x.level = 1)) AS BIGINT) AS h1_count", "CAST(size(headings) AS BIGINT) AS headings", "CAST(size(images) AS BIGINT) AS images", "CAST(size(internal_links) + size(external_links) AS BIGINT) AS links", "CAST(size(jsonld) AS BIGINT) AS jsonld")
 
 
 @query("h2_h3_page_blocks")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from lodestar.operators import portfolio as p
 from lodestar.operators import products as g
 from lodestar.operators import text as t
 from lodestar.plans import fixtures as fx
-from lodestar.plans.registry import declare
+from lodestar.plans.registry import declare, query
 
 TEXTS = fx.shaped("fixture_texts", "SELECT doc_id AS id, text FROM @d@", d=fx.DOCUMENTS)
 PASSAGES = fx.shaped("fixture_passage_rows", "SELECT conv_id * 1000 + turn AS id, CASE WHEN turn % 3 = 0 THEN 'What is this?' ELSE 'About it' END AS section, CASE WHEN turn % 3 = 0 THEN 'What is this?' ELSE 'About it' END AS heading, CASE WHEN turn % 4 = 0 THEN 'However, 45% of 2024 users. ' WHEN turn % 4 = 1 THEN 'According to Google a score is a number. ' ELSE '' END || text AS text FROM @c@", c=fx.CONVERSATIONS)
@@ -40,13 +42,35 @@ declare("f21_title_checks", t.title_checks(titles=TITLES))
 
 OWN = fx.shaped("fixture_own_products", "SELECT p_partkey AS id, 'MP-' || CAST(CAST(p_partkey / 2 AS BIGINT) AS STRING) AS mpn, CASE WHEN p_partkey % 3 = 0 THEN 'S/' || CAST(p_partkey % 300 AS STRING) ELSE '' END AS sku, CAST(p_partkey % 700 AS STRING) AS gtin, p_type AS category, p_brand AS brand, p_brand || ' ' || p_name || ' - ' || p_type AS title FROM @p@ WHERE p_partkey % 2 = 0", p=fx.PART)
 OTHER = fx.shaped("fixture_other_products", "SELECT p_partkey AS id, 'mp' || CAST(CAST((p_partkey - 1) / 2 AS BIGINT) AS STRING) AS mpn, CASE WHEN p_partkey % 5 = 0 THEN 's' || CAST(p_partkey % 300 AS STRING) ELSE '' END AS sku, '0' || CAST((p_partkey + 1) % 700 AS STRING) AS gtin, p_name || ', ' || p_brand || ' 2024 pro-line' AS title FROM @p@ WHERE p_partkey % 2 = 1", p=fx.PART)
-MATCHES = g.match_products(own=OWN, other=OTHER)
+
+
+def matched(own, other):
+    """G3 by identifiers: rounds of certain edges in Spark, a recursion over rows in the oracle."""
+    return replace(g.match_in_row_order(edges=g.identifier_edges(own=own, other=other)), kernel=lambda given: g.match_products(given["own"], given["other"], None), kernel_inputs={"own": own, "other": other})
+
+
+def _contested(shift: int) -> str:
+    """Products that share identifiers within and across fields, and titles that differ in the order of words only."""
+    return f"""SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE 'MP-' || CAST((p_partkey * 7 + {shift}) % 613 AS STRING) END AS mpn, CASE WHEN p_partkey % 3 = 0 THEN 'mp' || CAST(p_partkey % 411 AS STRING) ELSE '' END AS sku,
+    CASE WHEN p_partkey % 5 = {shift} THEN '00' || CAST(p_partkey % 307 AS STRING) ELSE ' ' END AS gtin, {"p_type || ' ' || p_brand" if shift else "p_brand || ' ' || p_type"} AS title FROM @p@ WHERE p_partkey % 2 = {shift}"""
+
+
+MATCHES = matched(OWN, OTHER)
+RIVALS = fx.shaped("fixture_own_rivals", _contested(0), p=fx.PART), fx.shaped("fixture_other_rivals", _contested(1), p=fx.PART)
 TITLED = fx.shaped("fixture_matched_titles", "SELECT o.category, o.title AS own_title, c.title AS other_title FROM @m@ m JOIN @o@ o ON m.own_id = o.id JOIN @c@ c ON m.other_id = c.id", m=MATCHES, o=OWN, c=OTHER)
 SERP_TITLES = fx.shaped("fixture_product_serp", "SELECT p_type AS grp, p_name || ' ' || p_brand || ' sale' AS title, p_partkey % 14 AS position FROM @p@", p=fx.PART)
 CRUMBS = fx.shaped("fixture_breadcrumbs", "SELECT p_partkey AS url, CASE p_partkey % 4 WHEN 0 THEN 'Home > ' || p_type || ' > ' || p_name WHEN 1 THEN 'Home/' || p_type || '/' || p_name WHEN 2 THEN 'Home » ' || p_name ELSE p_name END AS breadcrumb FROM @p@", p=fx.PART)
 
 declare("g1_g2_product_keys", g.product_keys(products=OWN))
-declare("g3_match_products", MATCHES)
+declare("g3_match_products", matched(*RIVALS))
+
+
+@query("g3_match_with_titles")
+def g3_match_with_titles(spark, sf_dir):
+    """The pass by identifiers, and by titles at the ratio of 90 for whom it leaves."""
+    return g.match_products(*(x.spark(spark, sf_dir) for x in RIVALS))
+
+
 declare("g4_title_gaps", g.title_gaps(matches=TITLED))
 declare("g5_title_patterns", g.title_patterns(titles=SERP_TITLES))
 declare("g6_standardize_titles", g.standardize_titles(products=OWN))

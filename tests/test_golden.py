@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from lodestar.operators import html, matching, migration
+from lodestar.operators import clusters, graph, health, html, matching, migration, portfolio, products, text
 from lodestar.operators import portfolio as p
 from lodestar.sources import exports
 
@@ -75,6 +75,8 @@ def test_crawls_meet_by_key(spark):
     ("<h3>plain <a href='/y'>b</a> tail</h3>", [(3, "plain b tail")]),
     ("<h1>One</h1><p>text</p><h2>Two <b>bold</b></h2>", [(1, "One"), (2, "Two bold")]),
     ("<h2></h2>", [(2, "")]),
+    ("<h1>unclosed <p>x</p>", [(1, "unclosed x")]),
+    ("<h2>one<h3>two", [(2, "onetwo"), (3, "two")]),
 ])
 def test_headings_keep_the_text_of_links(source, headings):
     page = html.parse_page(source, "https://a.test/")
@@ -84,7 +86,7 @@ def test_headings_keep_the_text_of_links(source, headings):
 def test_blocks_stand_under_headings_with_links():
     page = html.parse_page('<title>T</title><h2><a href="/x">Linked</a></h2><p>some <a href="https://b.test/y">more</a> text</p>', "https://a.test/")
     assert page["blocks"] == [{"heading": "Linked", "text": "some more text"}] and page["title"] == "T"
-    assert page["internal_links"] == [{"href": "https://a.test/x", "text": "Linked"}] and page["external_links"] == [{"href": "https://b.test/y", "text": "more"}]
+    assert page["internal_links"] == [{"href": "https://a.test/x", "text": "Linked", "rel": []}] and page["external_links"] == [{"href": "https://b.test/y", "text": "more", "rel": []}]
 
 
 @pytest.mark.parametrize("method", ["clique", "core"])
@@ -106,3 +108,91 @@ def test_exports_are_split_unless_quotes_hold_line_ends(spark, tmp_path):
         (tmp_path / f"{name}.csv").write_text(f"Address,Title\nhttps://x/,{cell}\nhttps://y/,z\n")
     titles = [[r["title"] for r in exports.read_export(spark, str(tmp_path / f"{n}.csv"), exports.TableSpec("pages", {"url": ["address"], "title": ["title"]}, ["url"])).orderBy("url").collect()] for n in ("plain", "lines")]
     assert titles == [['a "b" c', "z"], ["a\nb", "z"]]
+
+
+PAGE = """<html lang="nl"><head><title> A &amp; B </title><meta name="Description" content="d"><meta name="ROBOTS" content="noindex"><meta property="OG:Title" content="og">
+<meta name="twitter:card" content="summary"><meta name="empty" content=""><link rel="Canonical" href="/c"><link rel="alternate" hreflang="de" href="/de"><link rel="alternate" href="/feed"></head>
+<body><header>head</header><nav>menu <a href="/n">n</a></nav><div id="my-app"><p>short</p></div><noscript>no js</noscript><img src="i.png" width="10" loading="lazy"><img alt="">
+<a href="https://o.test/" rel="nofollow  sponsored">Out</a><a href="#x">skip</a><a href="javascript:void(0)">skip</a><a>none</a><script>var a = 1</script><h4>Last"""
+
+
+def test_every_field_of_a_page():
+    page = html.parse_page(PAGE, "https://x.test/a/b")
+    assert {k: v for k, v in page.items() if k not in ("text", "blocks")} == {
+        "title": "A & B", "meta_description": "d", "meta_robots": "noindex", "canonical": "/c", "lang": "nl",
+        "meta": {"description": "d", "robots": "noindex", "og:title": "og", "twitter:card": "summary"}, "og": {"og:title": "og"}, "twitter": {"twitter:card": "summary"},
+        "hreflang": [{"lang": "de", "href": "/de"}], "headings": [{"level": 4, "text": "Last"}], "jsonld": [], "server_rendered": False,
+        "images": [{"src": "https://x.test/a/i.png", "alt": None, "width": "10", "height": None, "loading": "lazy"}, {"src": "", "alt": "", "width": None, "height": None, "loading": None}],
+        "internal_links": [{"href": "https://x.test/n", "text": "n", "rel": []}], "external_links": [{"href": "https://o.test/", "text": "Out", "rel": ["nofollow", "sponsored"]}],
+        "word_count": 10, "words": 11,
+    }
+    assert page["text"] == "A & B short no js Outskipskipnone Last".replace("Outskipskipnone", "Out skip skip none")
+    assert html.parse_page(f"<div id=root>{'x' * 50}</div>")["server_rendered"] and html.parse_page("<div>x</div>")["server_rendered"]
+    assert not html.parse_page("<div id=__NEXT_data><script>long script text that is not shown at all, at all</script>y</div>")["server_rendered"]
+
+
+def test_security_headers(spark):
+    rows = [(1, {"strict-transport-security": "max-age=1", "X-FRAME-OPTIONS": "DENY", "Server": "s"}), (2, None), (3, {})]
+    got = {r.id: r for r in html.security_headers(spark.createDataFrame(rows, "id int, headers map<string,string>")).collect()}
+    assert got[1].strict_transport_security == "max-age=1" and got[1].x_frame_options == "DENY"
+    assert got[1].missing_headers == ["Content-Security-Policy", "X-Content-Type-Options", "Referrer-Policy", "Permissions-Policy"]
+    assert got[2].missing_headers == got[3].missing_headers == html.SECURITY_HEADERS
+
+
+def test_jsonld_by_variant(spark):
+    block = lambda *xs: "".join(f"<script type='application/ld+json'> {x} </script>" for x in xs)
+    pages = [
+        (1, block('{"@context": "https://schema.org", "@type": "Product", "offers": {"@type": "Offer", "seller": [{"@type": ["Store", "Brand"]}]}}')),
+        (2, block("{not json", '{"@type": "HowTo"}')),
+        (3, block('[{"@context": "http://schema.org", "@type": "FAQPage"}, {"@context": "x", "name": "[City] please replace"}, 7]')),
+        (4, block('{"@context": "https://schema.org", "@graph": [{"@type": "ClaimReview"}, {"@graph": [{"@type": "Deep"}]}]}')),
+        (5, "<p>none</p>"),
+        (6, None),
+        (7, block("", "null", '"text"')),
+        (8, block('{"@context": ["https://schema.org"], "@type": ["HowTo", "Recipe"]}')),
+    ]
+    got = {r.id: tuple(r)[1:] for r in html.validate_jsonld(spark.createDataFrame(pages, "id int, html string")).collect()}
+    assert got == {
+        # blocks, invalid, objects, no_context, wrong_context, no_type, placeholders, retired, restricted, types, critical
+        1: (1, 0, 1, 0, 0, 0, 0, 0, 0, "Brand,Offer,Product,Store", False),
+        2: (2, 1, 1, 1, 0, 0, 0, 1, 0, "HowTo", True),
+        3: (1, 0, 2, 0, 1, 1, 2, 0, 1, "FAQPage", True),
+        4: (1, 0, 1, 0, 0, 1, 0, 0, 0, "ClaimReview,Deep", False),
+        7: (3, 1, 0, 0, 0, 0, 0, 0, 0, "", False),
+        8: (1, 0, 1, 0, 1, 0, 0, 1, 0, "HowTo,Recipe", True),
+    }
+    assert html.validate_jsonld(spark.createDataFrame(pages[4:5], "id int, html string")).count() == 0
+
+
+def test_plus_signs_in_queries(spark):
+    urls = ["https://x.test/a+b?q=a+b&utm_source=c+d", "x.test/a+b?q=a%20b", "x.test/a+b?q=a%2Bb", "x.test/a+b"]
+    got = {r.url: r.url_key for r in migration.normalize_urls(urls=spark.createDataFrame([(u,) for u in urls], "url string")).collect()}
+    assert got == {urls[0]: "https://x.test/a+b?q=a b", urls[1]: "https://x.test/a+b?q=a b", urls[2]: "https://x.test/a+b?q=a+b", urls[3]: "https://x.test/a+b"}
+    crawl = spark.createDataFrame([("https://x.test/s?q=a+b", "301", "https://x.test/t", 1)], "url string, status_code string, redirect_url string, row_id int")
+    rules = migration.redirect_map(crawl=crawl)
+    spec = spark.createDataFrame([("https://x.test/s?q=a%20b", "https://x.test/t", "301")], "old_url string, new_url string, type string")
+    assert [r.finding for r in migration.validate_redirects(spec=spec, map=rules, chains=migration.follow_redirects(rules)).collect()] == ["match"]
+
+
+def test_canonicals(spark):
+    rows = [("a", "b", 200), ("b", "c", 200), ("c", "", 200), ("d", "e", 200), ("e", "d", 200), ("f", "c", 200), ("g", "gone", 200), ("h", "x", 200), ("x", "x", 404), ("i", "p", 200), ("i", "q", 200), ("j", "d", 200), ("k", None, 200), (None, "a", 200), ("a", "b", 200)]
+    got = {r.url: (r.final, r.hops, r.verdict) for r in health.canonical_paths(spark.createDataFrame(rows, "url string, canonical string, status int")).collect()}
+    assert got == {
+        "a": ("c", 2, "chain"), "b": ("c", 1, "ok"), "c": (None, None, "missing"), "d": (None, None, "loop"), "e": (None, None, "loop"), "f": ("c", 1, "ok"), "g": ("gone", 1, "not_crawled"),
+        "h": ("x", 1, "to_error"), "x": (None, None, "self"), "i": ("p", 1, "conflict"), "j": (None, None, "loop"), "k": (None, None, "missing"),
+    }
+
+
+def test_component_cosines(spark):
+    pages = spark.createDataFrame([(1, "red bolt", "x", "", "a a b"), (2, "red bolt", "y", "m", "a b b"), (3, "nut", "x", "m", "c")], "id int, title string, h1 string, meta string, body string")
+    pairs = spark.createDataFrame([(12, 1, 2), (13, 1, 3), (23, 2, 3), (33, 3, 3)], "pair int, left_id int, right_id int")
+    got = {r.pair: tuple(r)[1:] for r in clusters.component_cosines(pairs=pairs, weights=clusters.tfidf_weights(pages=pages)).collect()}
+    # a and b are in the same two of three pages, so their weights differ by counts alone: (2, 1) and (1, 2)
+    assert got == {12: (1.0, 0.0, 0.0, 0.8), 13: (0.0, 1.0, 0.0, 0.0), 23: (0.0, 0.0, 1.0, 0.0), 33: (1.0, 1.0, 1.0, 1.0)}
+
+
+def test_titles_that_stand_for_others(spark):
+    rows = [(1, "one two three four five six", 10), (2, "six five four three two one", 20), (3, "one two three four five seven", 30), (4, "one two three four five", 5), (5, None, 1), (6, "", 1), (7, "other words", None), (8, "Other, words!", None)]
+    got = {r.id: r.kept_by for r in clusters.drop_similar_titles(spark.createDataFrame(rows, "id int, title string, length int")).collect()}
+    # 3 and 4 share five words of six and five; 2 shares five of six with 3
+    assert got == {3: None, 2: 3, 1: 3, 4: 3, 5: None, 6: None, 7: None, 8: 7}

@@ -84,8 +84,8 @@ def test_parse_page():
     page = html.parse_page('<html lang="nl"><head><title>A &amp; B</title><meta name="description" content="d"><link rel="canonical" href="/c"><script type="application/ld+json">{"@type": ["X", "Y"]}</script></head><body><nav>no</nav><h1>H <b>1</b></h1><p>Text <a href="/in">in</a> <a href="https://o.test/">out</a><img src="i" alt="a"></p><h2>Q</h2><ul><li>x</li></ul>', "https://x.test/p")
     assert page["title"] == "A & B" and page["canonical"] == "/c" and page["lang"] == "nl" and page["meta_description"] == "d"
     assert page["headings"] == [{"level": 1, "text": "H 1"}, {"level": 2, "text": "Q"}]
-    assert page["internal_links"] == [{"href": "https://x.test/in", "text": "in"}] and page["external_links"][0]["href"] == "https://o.test/"
-    assert page["images"] == [{"src": "i", "alt": "a"}] and [b["heading"] for b in page["blocks"]] == ["H 1", "Q"] and "no" not in page["text"].split()
+    assert page["internal_links"] == [{"href": "https://x.test/in", "text": "in", "rel": []}] and page["external_links"][0]["href"] == "https://o.test/"
+    assert page["images"] == [{"src": "https://x.test/i", "alt": "a", "width": None, "height": None, "loading": None}] and [b["heading"] for b in page["blocks"]] == ["H 1", "Q"] and "no" not in page["text"].split()
     assert html.jsonld_types(page["jsonld"][0]) == ["X", "Y"] and html.jsonld_types("{") == []
     assert html.parse_page("")["word_count"] == 0
 
