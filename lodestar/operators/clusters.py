@@ -290,14 +290,12 @@ def drop_similar_titles(items: DataFrame, share: float = 0.8) -> DataFrame:
 def titles_in_turn(d: Duck, share: float = 0.8) -> str:
     """B29, oracle of the second step: items one after another, from the longest content on."""
     return f"""
-WITH RECURSIVE rows AS (SELECT id, row_number() OVER (ORDER BY length DESC, id) AS n, list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+')) AS t FROM @items@),
-sets AS (SELECT list_sort(t) AS t, any_value(s) AS s FROM (SELECT t, list_sort(t)::VARCHAR AS s FROM rows) AS x WHERE len(t) > 0 GROUP BY list_sort(t)),
+WITH rows AS (SELECT id, row_number() OVER (ORDER BY length DESC, id) AS n, list_sort(list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+')))::VARCHAR AS s, list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+')) AS t FROM @items@),
+sets AS (SELECT s, any_value(t) AS t FROM rows WHERE len(t) > 0 GROUP BY s),
 alike AS (SELECT a.s AS s, b.s AS u FROM sets a JOIN sets b ON len(list_intersect(a.t, b.t)) > {share} * greatest(len(a.t), len(b.t)) + 1e-9),
-placed AS (SELECT id, n, list_sort(t)::VARCHAR AS s FROM rows WHERE len(t) > 0),
-near AS (SELECT x.n, list({{'n': y.n, 'id': y.id}} ORDER BY y.n) AS near FROM placed x JOIN alike ON alike.s = x.s JOIN placed y ON y.s = alike.u WHERE y.n < x.n GROUP BY x.n),
-turns AS (
-  SELECT 0::BIGINT AS n, []::BIGINT[] AS kept, NULL::BIGINT AS kept_by
-  UNION ALL
-  SELECT r.n, CASE WHEN len(list_filter(coalesce(near, []), lambda x: list_contains(t.kept, x.n))) > 0 THEN t.kept ELSE list_append(t.kept, r.n) END, list_filter(coalesce(near, []), lambda x: list_contains(t.kept, x.n))[1].id
-  FROM turns t JOIN rows r ON r.n = t.n + 1 LEFT JOIN near ON near.n = r.n)
-SELECT rows.id, turns.kept_by FROM rows JOIN turns ON rows.n = turns.n"""
+near AS (SELECT x.n, y.n AS m, y.id AS m_id FROM rows x JOIN alike ON alike.s = x.s JOIN rows y ON y.s = alike.u WHERE y.n < x.n),
+lists AS (SELECT r.n, coalesce(list(near.m) FILTER (WHERE near.m IS NOT NULL), []::BIGINT[]) AS near FROM rows r LEFT JOIN near ON near.n = r.n GROUP BY r.n),
+held AS (
+  SELECT unnest(list_reduce(list({{'kept': []::BIGINT[], 'n': n, 'near': near}} ORDER BY n),
+    lambda a, x: {{'kept': CASE WHEN list_has_any(a.kept, x.near) THEN a.kept ELSE list_append(a.kept, x.n) END, 'n': x.n, 'near': x.near}}, {{'kept': []::BIGINT[], 'n': 0::BIGINT, 'near': []::BIGINT[]}}).kept) AS n FROM lists)
+SELECT rows.id, f.m_id AS kept_by FROM rows LEFT JOIN held USING (n) LEFT JOIN (SELECT n, min_by(m_id, m) AS m_id FROM near WHERE m IN (SELECT n FROM held) GROUP BY n) AS f ON f.n = rows.n AND held.n IS NULL"""
