@@ -150,19 +150,19 @@ def unique_keys(docs: DataFrame, *columns: str) -> Column:
     pairs = docs.select(k.alias("k")).select("k.x", "k.y")
     shared = pairs.groupBy("x").agg(F.min("y").alias("least"), F.max("y").alias("most")).filter("least <> most")
     shared = materialize(shared.select(F.col("x").alias("shared_x"), "least"), "shared-keys")
-    met = pairs.join(F.broadcast(shared), F.col("x") == F.col("shared_x")).filter("y <> least").select("x", "y").distinct().collect() if not shared.isEmpty() else []
+    if shared.isEmpty():
+        return k["x"]
+    met = pairs.join(F.broadcast(shared), F.col("x") == F.col("shared_x")).filter("y <> least").select("x", "y").distinct().collect()
+    # some new keys for each, of which those that a row has already are left out, all in one pass
+    tried = {xxhash.xxh64_intdigest(f"{r['x']} {r['y']} {salt}".encode()) - (1 << 63): None for r in met for salt in range(8)}
+    taken = {r["x"] for r in pairs.join(F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in tried], "tried bigint")), F.col("x") == F.col("tried"), "left_semi").distinct().collect()}
     key, given = k["x"], {}
     for r in sorted(met):
-        salt = 0
-        while True:
-            new = xxhash.xxh64_intdigest(f"{r['x']} {r['y']} {salt}".encode()) - (1 << 63)
-            if new not in given and pairs.filter(F.col("x") == new).isEmpty():
-                break
-            salt += 1
+        new = next(t for salt in range(1 << 20) if (t := xxhash.xxh64_intdigest(f"{r['x']} {r['y']} {salt}".encode()) - (1 << 63)) not in given and t not in taken and (salt < 8 or t in tried or pairs.filter(F.col("x") == t).isEmpty()))
         given[new] = r
-    for new, r in given.items():
-        key = F.when((k["x"] == r["x"]) & (k["y"] == r["y"]), F.lit(new)).otherwise(key)
-    return key
+    # looked up in a map by both halves, whatever their number
+    renamed = F.create_map(*[c for new, r in given.items() for c in (F.lit(f"{r['x']} {r['y']}"), F.lit(new))])
+    return F.coalesce(F.try_element_at(renamed, F.concat_ws(" ", k["x"].cast("string"), k["y"].cast("string"))), key)
 
 
 def word_count(text: Column) -> Column:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import col, fresh, map_rows, materialize, others, same_rows, words_of
 from lodestar.llm.graph import components
+from lodestar.operators.setjoin import similar_sets
 from lodestar.sources.shipping import ship
 
 SHINGLE_WORDS, DISTANCE, SEED = 4, 4, 42
@@ -216,7 +217,7 @@ def minimum_bands(h: np.ndarray) -> list[int]:
 def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
     """The columns of ``docs`` but text, and what near-duplicates need of it, from one pass over its shingles.
 
-    t: MD5 of the text (null: null), fp: fingerprint, n: distinct shingles, bands: its minimum bands.
+    t: MD5 of the text (one for all wordless ones), fp: fingerprint, n: distinct shingles, bands: its minimum bands.
     """
 
     def make():
@@ -229,31 +230,50 @@ def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
         return step
 
     keyed = docs.withColumn("t", F.unhex(F.md5("text")))
-    return map_rows(keyed, make, "fp bigint, n bigint, bands array<bigint>", others(keyed, "text"))
+    found = map_rows(keyed, make, "fp bigint, n bigint, bands array<bigint>", others(keyed, "text"))
+    return found.withColumn("t", F.when(F.col("n") == 0, F.unhex(F.md5(F.lit("")))).otherwise(F.col("t")))
 
 
-def similar_links(docs: DataFrame, sketched: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """(a, b): fingerprints of texts with a Jaccard similarity of at least ``similarity``.
+def candidate_pairs(texts: DataFrame, similarity: float, distance: int) -> DataFrame:
+    """(t, c): pairs of ``texts`` (t, fp, n, bands) that may be as similar, from SimHash and from minimum hashes.
 
-    ``docs``: doc_key, text; ``sketched``: a stored table of its ``sketches``. Texts that share a
-    band meet one of the band's texts, another one in each band: no pairs of a band are formed.
-    Pairs with one fingerprint are linked by it, and sets of too unlike sizes cannot be so similar;
-    every other pair that meets is compared by its whole sets of shingles. Texts are told apart by
-    their MD5, and only those that meet another are read again.
+    Texts that share a fingerprint or a band meet one of the texts there, another one in each; fingerprints that link
+    within ``distance`` bits bring one text of each together. No pairs within a group are formed, and
+    sets of too unlike sizes are left out, as they cannot be so similar.
     """
     one = F.struct("t", "fp", "n").alias("one")
-    banded = sketched.filter(F.size("bands") > 0).dropDuplicates(["t"]).select(one, F.explode("bands").alias("band"))
-    banded = materialize(banded, "bands")
-    centers = banded.groupBy("band").agg(F.min(F.struct(F.xxhash64("one.t", "band").alias("order"), "one")).alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", F.col("m.one").alias("center"))
+    order = lambda by: F.struct(F.xxhash64("one.t", by).alias("order"), "one")
+    worded = texts.filter("n > 0").select(one, "fp", F.explode(F.concat("bands", F.array(F.xxhash64(F.lit("fingerprint"), "fp")))).alias("bucket"))
+    worded = materialize(worded, "buckets")
+    centers = worded.groupBy("bucket").agg(F.min(order("bucket")).alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", F.col("m.one").alias("center"))
+    met = worded.join(centers, "bucket").select("one", "center")
+    by_fp = texts.filter("n > 0").select(one, "fp").groupBy("fp").agg(F.min(order("fp")).alias("m")).select("fp", F.col("m.one").alias("one"))
+    by_fp = materialize(by_fp, "fingerprint-centers")
+    links = near_links(by_fp.select("fp"), distance)
+    near = links.join(by_fp.select(F.col("fp").alias("a"), "one"), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("one").alias("center")), "b").select("one", "center")
     sizes = F.least("one.n", "center.n") >= F.lit(float(similarity)) * F.greatest("one.n", "center.n")
-    pairs = banded.join(centers, "band").filter(F.col("one.fp") != F.col("center.fp")).filter(sizes)
-    pairs = pairs.select(F.least("one", "center").alias("p"), F.greatest("one", "center").alias("q")).distinct()
-    pairs = materialize(pairs.select(F.col("p.t").alias("t"), F.col("q.t").alias("c"), F.col("p.fp").alias("a"), F.col("q.fp").alias("b")), "band-pairs")
+    pairs = met.unionByName(near).filter(F.col("one.t") != F.col("center.t")).filter(sizes)
+    return pairs.select(F.least("one.t", "center.t").alias("t"), F.greatest("one.t", "center.t").alias("c")).distinct()
+
+
+def similar_links(docs: DataFrame, sketched: DataFrame, shingle_words: int, similarity: float, distance: int = DISTANCE, exact: bool = False) -> DataFrame:
+    """(a, b): texts (by MD5) with a Jaccard similarity of at least ``similarity``, each pair compared by its whole sets of shingles.
+
+    ``docs``: doc_key, text; ``sketched``: a stored table of its ``sketches``. Compared are the ``candidate_pairs``, so
+    a pair that only other texts of its groups could have brought together may be missed; ``exact`` finds
+    every pair instead, by prefix filters over all shingles, and moves all of them once.
+    """
+    texts = materialize(sketched.select("t", "doc_key", "fp", "n", "bands").dropDuplicates(["t"]), "texts")
+    if exact:
+        whole = docs.join(texts.select("doc_key", "t"), "doc_key").select("t", "text").dropDuplicates(["t"])
+        make = lambda: lambda cols: {"tokens": [np.unique(shingle_hashes(x or "", shingle_words)).view(np.int64).tolist() for x in cols["text"]]}
+        return similar_sets(map_rows(whole, make, "tokens array<bigint>", ["t"]).withColumnRenamed("t", "id"), similarity, "jaccard").select("a", "b")
+    pairs = materialize(candidate_pairs(texts, similarity, distance), "candidate-pairs")
     met = pairs.select("t").union(pairs.select("c")).distinct()
-    met = materialize(sketched.select("t", "doc_key").dropDuplicates(["t"]).join(met, "t", "left_semi"), "met-keys")
-    texts = docs.select("doc_key", "text").join(met, "doc_key").select("t", "text").dropDuplicates(["t"])
-    texts = materialize(texts, "met-texts")
-    both = pairs.join(texts, "t").withColumnRenamed("text", "x").join(texts.select(F.col("t").alias("c"), F.col("text").alias("y")), "c").select("a", "b", "x", "y")
+    met = materialize(texts.select("t", "doc_key").join(met, "t", "left_semi"), "met-keys")
+    read = docs.select("doc_key", "text").join(met, "doc_key").select("t", "text").dropDuplicates(["t"])
+    read = materialize(read, "met-texts")
+    both = pairs.join(read, "t").withColumnRenamed("text", "x").join(read.select(F.col("t").alias("c"), F.col("text").alias("y")), "c").select(F.col("t").alias("a"), F.col("c").alias("b"), "x", "y")
 
     def compare():
         def step(cols):
@@ -267,28 +287,30 @@ def similar_links(docs: DataFrame, sketched: DataFrame, shingle_words: int, simi
 
         return step
 
-    return map_rows(both, compare, "a bigint, b bigint").distinct()
+    return map_rows(both, compare, "a binary, b binary")
 
 
-def components_of(docs: DataFrame, doc_id: str, text: str, shingle_words: int = SHINGLE_WORDS, distance: int = DISTANCE, similarity: float | None = None) -> DataFrame:
-    """The rows of near_duplicates, and root: the smallest fingerprint of the component, which stands for it.
+def components_of(docs: DataFrame, doc_id: str, text: str, shingle_words: int = SHINGLE_WORDS, distance: int = DISTANCE, similarity: float | None = None, exact: bool = False) -> DataFrame:
+    """The rows of near_duplicates, and root: the smallest node of the component, which stands for it.
 
-    With ``similarity``, texts of so high a Jaccard similarity of their shingles link too.
+    Nodes are fingerprints. With ``similarity`` they are texts, and links are those pairs alone whose sets of
+    shingles have such a Jaccard similarity; SimHash then proposes pairs, and never links unlike ones.
     """
     keyed = docs.select(col(doc_id).alias("doc_id"), same_rows(docs, doc_id, text).alias("doc_key"), col(text).alias("text"))
-    rows = materialize(fingerprints(keyed, "text", shingle_words) if similarity is None else sketches(keyed, shingle_words), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    links = near_links(distinct.select("fp"), distance)
-    if similarity is not None:
-        links = links.unionByName(similar_links(keyed, rows, shingle_words, similarity))
+    if similarity is None:
+        rows, by = materialize(fingerprints(keyed, "text", shingle_words), "fingerprints"), "fp"
+    else:
+        rows, by = materialize(sketches(keyed, shingle_words), "sketches"), "t"
+    distinct = materialize(rows.groupBy(F.col(by).alias("own")).agg(F.min("doc_id").alias("least")), "distinct-nodes")
+    links = near_links(distinct.select("own"), distance) if similarity is None else similar_links(keyed, rows, shingle_words, similarity, distance, exact)
     links = materialize(links, "near-links")
     found = components(links)
-    tied = found.join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "least")
+    tied = found.join(distinct, F.col("node") == F.col("own")).select("own", "root", "least")
     roots = tied.groupBy("root").agg(F.min("least").alias("component_id"))
-    tied = tied.join(roots, "root").select("fp", "root", "component_id")
-    alone = distinct.join(tied, "fp", "left").select(F.col("fp").alias("of_fp"), F.coalesce("root", "fp").alias("root"), F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    alone = materialize(alone, "fingerprint-components")
-    return rows.join(alone, F.col("fp") == F.col("of_fp")).select("doc_id", "doc_key", "fp", "root", "component_id")
+    tied = tied.join(roots, "root").select("own", "root", "component_id")
+    alone = distinct.join(tied, "own", "left").select(F.col("own").alias("of_own"), F.coalesce("root", "own").alias("root"), F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    alone = materialize(alone, "node-components")
+    return rows.join(alone, F.col(by) == F.col("of_own")).select("doc_id", "doc_key", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS, distance: int = DISTANCE) -> DataFrame:

@@ -7,13 +7,15 @@ bytes nearby decide: an insertion moves borders near itself alone. In stretches
 without white space any character start with a small hash (one in 24) is a border too, and a
 chunk ends after 4,096 bytes at the latest.
 
-A unit is two neighbouring chunks, or one chunk of at least MIN_WORDS words, and has a 64-bit
-digest: chunks of a few frequent words stand elsewhere by chance, so a chunk counts only with
-a neighbour. Of the documents with a unit one owns it: the one with the smallest hash of id
-and text. Units in other documents, and later ones in the owner, are duplicates; duplicates
-that share a chunk form a run, and runs of at least MIN_WORDS words are cut out. So each joint
-between chunks of a cut run stands in another place too. Of a passage of over 50 words the
-whole chunks go, the few words between its ends and the outermost borders stay.
+A unit is four neighbouring chunks (of a text with fewer, all of them), or one chunk of at least
+MIN_WORDS words, and has a 64-bit digest: chunks of a few frequent words stand elsewhere by
+chance, so a chunk counts only with its neighbours. As a chunk has three words at least, each
+eight consecutive words lie within a unit. Of the documents with a unit one owns it: the one with
+the smallest hash of id and text. Units in other documents, and later ones in the owner, are
+duplicates; the owned one stays whole, whatever its neighbours are. Duplicates that follow one
+another form a run, and pieces of a run of at least MIN_WORDS words are cut out. So whatever eight
+words are cut out of a text stand in another one or at another place. Of a passage of over 50 words
+the whole chunks go, the few words between its ends and the outermost borders stay.
 
 No occurrence list of a unit is ever gathered: the owner is a minimum with partial sums, and
 only units whose digest occurs more than once are joined, in tasks that Spark can split.
@@ -32,6 +34,8 @@ WINDOW_BITS = 16  # the gear hash has as many bits as its window has bytes
 REACH, CHAR_BORDER = 2, 65_536 // 24
 NO_SPACE, LONGEST = 64, 4096
 MIN_WORDS = 24
+#: Chunks of a unit; with REACH + 1 words in each, any eight words lie in so many.
+UNIT_CHUNKS = 4
 
 #: The gear: 256 numbers of 16 bits by a rule.
 GEAR = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) & 0xFFFF for b in range(256)], dtype=np.uint16)
@@ -90,84 +94,131 @@ def chunks(data: bytes) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
     return [digest(data[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)], edges[:-1], np.diff(edges), np.diff(total[edges])
 
 
-def units(data: bytes, min_words: int = MIN_WORDS) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Digest, start, length, words and words of the first chunk of the units of ``data``."""
+def units(data: bytes, min_words: int = MIN_WORDS) -> tuple[list[int], dict[str, np.ndarray]]:
+    """Digests of the units of ``data``, and their chunk, place, length, word and words; single: long chunks that are units alone."""
     single, starts, lengths, words = chunks(data)
-    digest = xxhash.xxh3_64_intdigest
+    n = len(single)
+    span = min(UNIT_CHUNKS, n)
     ends = starts + lengths
-    both = [digest(data[s:e], 1) for s, e in zip(starts[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    total = np.concatenate(([0], np.cumsum(words)))
+    digest = xxhash.xxh3_64_intdigest
+    first = np.arange(n - span + 1)
+    several = [digest(data[s:e], 1) for s, e in zip(starts[first].tolist(), ends[first + span - 1].tolist(), strict=True)]
     long = np.flatnonzero(words >= min_words)
-    return (
-        both + [single[i] for i in long],
-        np.concatenate((starts[:-1], starts[long])),
-        np.concatenate((lengths[:-1] + lengths[1:], lengths[long])),
-        np.concatenate((words[:-1] + words[1:], words[long])),
-        np.concatenate((words[:-1], words[long])),
-    )
+    chunk, last = np.concatenate((first, long)), np.concatenate((first + span, long + 1))
+    return several + [single[i] for i in long], {
+        "chunk": chunk, "place": starts[chunk], "length": ends[last - 1] - starts[chunk], "word": total[chunk], "words": total[last] - total[chunk], "single": np.arange(len(chunk)) >= len(first),
+    }
 
 
 def _signed(values: list[int]) -> np.ndarray:
     return np.array(values, dtype=np.uint64).view(np.int64)
 
 
+_UNIT = "doc bigint, digest bigint, chunk int, place int, length int, word int, words int, kind tinyint"
+#: Bits of a unit's kind: the document has the digest at an earlier place; it has it at a later one; a long chunk alone.
+AGAIN, REPEATS, SINGLE = 1, 2, 4
+
+
 def unit_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, digest, place, length, words, head, again) of every unit of ``docs`` (doc, text); head: words of its first chunk.
+    """One row for each unit of ``docs`` (doc, text): its digest, first chunk, bytes, words and kind.
 
-    again: the document has the digest at an earlier place. Runs of units with the same
-    digest, as of a line repeated a thousand times, stay single rows.
+    Units with the same digest, as of a line repeated a thousand times, stay single rows.
     """
 
     def make():
+        names = ("doc", "digest", "chunk", "place", "length", "word", "words", "kind")
+
         def step(cols):
-            out: dict[str, list] = {c: [] for c in ("doc", "digest", "place", "length", "words", "head", "again")}
+            out: dict[str, list] = {c: [] for c in names}
             for doc, text in zip(cols["doc"], cols["text"], strict=True):
                 if not text:
                     continue
-                digests, starts, lengths, words, head = units(text.encode(), min_words)
+                digests, found = units(text.encode(), min_words)
                 d = _signed(digests)
-                again = np.ones(len(d), bool)
-                again[np.unique(d, return_index=True)[1]] = False
-                for c, v in (("doc", np.full(len(d), doc)), ("digest", d), ("place", starts), ("length", lengths), ("words", words), ("head", head), ("again", again)):
+                _, first, uses = np.unique(d, return_index=True, return_counts=True)
+                kind = np.full(len(d), AGAIN, np.int8)
+                kind[first] = np.where(uses > 1, REPEATS, 0)
+                kind += found.pop("single") * np.int8(SINGLE)
+                for c, v in (("doc", np.full(len(d), doc)), ("digest", d), ("kind", kind), *found.items()):
                     out[c].append(v)
             return {c: np.concatenate(v) if v else [] for c, v in out.items()}
 
         return step
 
-    return map_rows(docs, make, "doc bigint, digest bigint, place int, length int, words int, head int, again boolean", chunk=200)
+    return map_rows(docs, make, _UNIT, chunk=200)
+
+
+def cut_ranges(found: list[dict], min_words: int) -> list[tuple[int, int, int]]:
+    """(start, end, words) of what goes of a text, in bytes, from its duplicate units and those that must stay whole.
+
+    Duplicate units whose first chunks follow one another are a run: each stretch of UNIT_CHUNKS chunks in it stands in a
+    unit's owner. Where two runs overlap without that, the stretches across stand nowhere else, so the last unit of the one and
+    the first of the other stay. A piece of a run goes if it has ``min_words`` words.
+    """
+    ends = lambda u: ((u["place"], u["word"]), (u["place"] + u["length"], u["word"] + u["words"]))
+    runs: list[list] = []  # start, end, first chunk of the last unit, chunk behind, its last unit's range
+    stay = sorted(ends(u) for u in found if u["stays"])
+    for u in sorted((u for u in found if not u["stays"]), key=lambda u: (u["chunk"], u["kind"] & SINGLE)):
+        start, end = ends(u)
+        alone = bool(u["kind"] & SINGLE)
+        behind = u["chunk"] + (1 if alone else UNIT_CHUNKS)
+        if runs and alone and behind <= runs[-1][3]:
+            continue
+        if runs and not alone and u["chunk"] == runs[-1][2] + 1:
+            runs[-1][1:] = [end, u["chunk"], behind, (start, end)]
+            continue
+        if runs and start < runs[-1][1] and not (alone or runs[-1][2] < 0):
+            stay += [runs[-1][4], (start, end)]
+        runs.append([start, end, -2 if alone else u["chunk"], behind, (start, end)])
+    stay.sort()
+    merged: list[list] = []
+    for start, end, *_ in runs:
+        if merged and start <= merged[-1][1] and start < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], end)
+        else:
+            merged.append([start, end])
+    out, i = [], 0
+    for start, end in merged:
+        at = start
+        while i < len(stay) and stay[i][1] <= start:
+            i += 1
+        j = i
+        while j < len(stay) and stay[j][0] < end:
+            if stay[j][0] > at:
+                out.append((at, stay[j][0]))
+            at = max(at, stay[j][1])
+            j += 1
+        if at < end:
+            out.append((at, end))
+    return [(a[0], b[0], b[1] - a[1]) for a, b in out if b[1] - a[1] >= min_words]
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, spans, removed_words) of the documents (doc, text) with runs of duplicate units.
 
-    spans: start and length in bytes of UTF-8, in order.
+    spans: start and length in bytes of UTF-8, in order. A unit that repeats stays whole where it is owned.
     """
     table = materialize(unit_table(docs, min_words), "units")
-    owners = table.filter("NOT again").groupBy("digest").agg(F.min("doc").alias("owner"), F.count(F.lit(1)).alias("n"))
+    again, repeats = F.col("kind").bitwiseAND(AGAIN) > 0, F.col("kind").bitwiseAND(REPEATS) > 0
+    owners = table.filter(~again).groupBy("digest").agg(F.min("doc").alias("owner"), F.count(F.lit(1)).alias("n"))
     owners = owners.filter("n > 1").select("digest", "owner")
-    elsewhere = table.join(owners, "digest").filter("doc <> owner").select("doc", "place", "length", "words", "head")
-    within = table.filter("again").select("doc", "place", "length", "words", "head")
-    dup = elsewhere.unionByName(within)
-    by_doc = dup.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("place", "length", "words", "head"))).alias("dup"))
+    about = ["doc", "chunk", "place", "length", "word", "words", "kind"]
+    shared = table.filter(~again).join(owners, "digest").select(*about, (F.col("doc") == F.col("owner")).alias("stays"))
+    # in a text alone: later places go, and the first stays unless another text owns it
+    later = table.filter(again).select(*about, F.lit(False).alias("stays"))
+    alone = table.filter(repeats).join(owners, "digest", "left_anti").select(*about, F.lit(True).alias("stays"))
+    found = shared.unionByName(later).unionByName(alone)
+    by_doc = found.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct(*about[1:], "stays"))).alias("found")).filter(F.exists("found", lambda u: ~u["stays"]))
 
     def make():
         def step(cols):
             out: dict[str, list] = {"doc": [], "spans": [], "removed_words": []}
-            for doc, dup in zip(cols["doc"], cols["dup"], strict=True):
-                runs: list[list[int]] = []
-                for c in dup:
-                    if runs and runs[-1][0] + runs[-1][1] > c["place"]:
-                        # what they share is the first chunk of the later one, or all of it
-                        end = c["place"] + c["length"] - runs[-1][0]
-                        if end > runs[-1][1]:
-                            runs[-1][1] = end
-                            runs[-1][2] += c["words"] - c["head"]
-                    else:
-                        runs.append([c["place"], c["length"], c["words"]])
-                runs = [r for r in runs if r[2] >= min_words]
-                if runs:
+            for doc, found in zip(cols["doc"], cols["found"], strict=True):
+                if cut := cut_ranges(found, min_words):
                     out["doc"].append(doc)
-                    out["spans"].append([{"start": s, "length": n} for s, n, _ in runs])
-                    out["removed_words"].append(sum(w for _, _, w in runs))
+                    out["spans"].append([{"start": a, "length": b - a} for a, b, _ in cut])
+                    out["removed_words"].append(sum(w for _, _, w in cut))
             return out
 
         return step
