@@ -12,8 +12,11 @@ share is the least one that meets the wanted recall on them. More vectors give m
 a query's neighbours stand out more, so the share falls as the index grows.
 
 Codebooks come from a bounded sample; every vector is indexed. Cells are dealt into shards in
-their order, a cell of more rows than a shard's is split by row, and a query goes only to the
-shards whose cells it visits.
+their order, and a cell of more rows than a shard's is split by row. Entries move once, to
+their shard; a query goes to the shards whose cells it visits, with the sum at which its traversal
+stopped, and the shard finds by it which of its own cells are visited. Queries stream past a
+shard's entries, so a task holds one shard and a batch of queries. There are about as many shards as
+tasks run at once until SHARD_ROWS fill one, so what is moved grows with the number of vectors.
 """
 
 from __future__ import annotations
@@ -31,12 +34,12 @@ from lodestar.sources.shipping import ship
 
 ROUNDS = 12
 #: Codes of a half: the power of two nearest to the root of the number of vectors by CODES_ROOT, within these.
-LEAST_CODES, MOST_CODES, CODES_ROOT = 8, 1_024, 3.0
+LEAST_CODES, MOST_CODES, CODES_ROOT = 8, 1_024, 6.0
 #: Vectors that the codebooks are fitted on, and queries that the share is calibrated with, about.
 SAMPLE, ASKED = 20_000, 128
 #: Recall that the calibrated share meets on the sampled queries.
 RECALL = 0.95
-SHARD_ROWS, BLOCK_QUERIES, AT_ONCE = 16_384, 8_192, 64
+LEAST_SHARD_ROWS, SHARD_ROWS, AT_ONCE = 2_048, 131_072, 64
 #: Below this part of a shard's rows a query's entries are gathered, above it all are multiplied.
 GATHER = 0.1
 
@@ -60,16 +63,17 @@ def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.argmin((centres**2).sum(axis=1) - 2 * points @ centres.T, axis=1)
 
 
-def traverse(u: np.ndarray, v: np.ndarray, held: np.ndarray, enough: float) -> list[int]:
-    """Cells (i * len(v) + j) in falling order of u[i] + v[j], until they hold ``enough`` entries."""
+def traverse(u: np.ndarray, v: np.ndarray, held: np.ndarray, enough: float) -> tuple[list[int], float]:
+    """Cells (i * len(v) + j) in falling order of u[i] + v[j], until they hold ``enough`` entries, and the last one's sum."""
     a, b = np.argsort(-u, kind="stable"), np.argsort(-v, kind="stable")
     x, y, ai, bj, m = u[a].tolist(), v[b].tolist(), a.tolist(), b.tolist(), len(v)
     count = held.tolist()
     heap = [(-(x[0] + y[0]), 0, 0)]
     row = [0] * len(x)  # cells taken of each row; a cell opens when those above and left of it are taken
-    found, total = [], 0
+    found, total, stop = [], 0, -math.inf
     while heap and total < enough:
-        _, i, j = heapq.heappop(heap)
+        stop, i, j = heapq.heappop(heap)
+        stop = -stop
         row[i] = j + 1
         cell = ai[i] * m + bj[j]
         if count[cell]:
@@ -79,7 +83,7 @@ def traverse(u: np.ndarray, v: np.ndarray, held: np.ndarray, enough: float) -> l
             heapq.heappush(heap, (-(x[i] + y[j + 1]), i, j + 1))
         if i + 1 < len(x) and row[i + 1] == j:
             heapq.heappush(heap, (-(x[i + 1] + y[j]), i + 1, j))
-    return found
+    return found, stop if total >= enough else -math.inf
 
 
 def usable(vector: Column) -> Column:
@@ -207,7 +211,8 @@ def _search(rows: DataFrame, d: int, n: int, k: int, share: float | None, codes:
     if share is None:
         share = _calibrated(indexed, (a, b), held, n, k, recall)[0] if n > k + 1 else 1.0
     enough = max(share * n, k) + 1
-    first, parts = deal(held, SHARD_ROWS)
+    shard_rows = min(SHARD_ROWS, max(LEAST_SHARD_ROWS, -(-n // (2 * spark.sparkContext.defaultParallelism))))
+    first, parts = deal(held, shard_rows)
     plan_of = spark.sparkContext.broadcast((held, first, parts))
 
     def shards():
@@ -225,60 +230,67 @@ def _search(rows: DataFrame, d: int, n: int, k: int, share: float | None, codes:
         def step(cols):
             x = np.array(cols["at_v"]).reshape(-1, d)
             u, w = x[:, :half] @ a.T, x[:, half:] @ b.T
-            out = []
+            visits, stops = [], []
             for i in range(len(x)):
-                cells = np.array(sorted(traverse(u[i], w[i], held, enough)), dtype=np.int64)
-                by: dict[int, list[int]] = {}
-                edges = np.flatnonzero(np.diff(first[cells])) + 1
-                for some in np.split(cells, edges):
-                    for shard in range(int(first[some[0]]), int(first[some[0]] + parts[some].max())):
-                        by[shard] = [c for c in some.tolist() if shard < first[c] + parts[c]]
-                out.append([{"shard": s, "cells": c} for s, c in by.items()])
-            return {"visits": out}
+                cells, stop = traverse(u[i], w[i], held, enough)
+                cells = np.array(cells, dtype=np.int64)
+                split = cells[parts[cells] > 1]
+                visits.append(np.unique(np.concatenate([first[cells], *[first[c] + np.arange(parts[c]) for c in split]])))
+                stops.append(stop)
+            return {"visits": visits, "stop": stops}
 
         return step
 
-    blocks = max(1, math.ceil(indexed.filter("asked").count() / BLOCK_QUERIES))
-    asked = map_rows(indexed.filter("asked").select("vec_id", "row", "v", F.col("v").alias("at_v")), plan, "visits array<struct<shard:bigint,cells:array<bigint>>>", ["vec_id", "row", "v"], 1_000)
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")).select("vec_id", "row", "v", "block", F.explode("visits").alias("visit")).select("vec_id", "row", "v", "block", F.col("visit.shard").alias("shard"), F.col("visit.cells").alias("cells"))
-    # in blocks: a stated set of queries against all rows
+    asked = map_rows(indexed.filter("asked").select("vec_id", "row", "v", F.col("v").alias("at_v")), plan, "visits array<bigint>, stop double", ["vec_id", "row", "v"], 1_000)
+    asked = asked.select("vec_id", "row", "v", F.lit(None).cast("bigint").alias("cell"), F.explode("visits").alias("shard"), "stop", F.lit(1).alias("kind"))
     entries = map_rows(indexed.select("vec_id", "row", "v", "cell", F.col("cell").alias("in_cell"), F.col("row").alias("at_row")), shards, "shard bigint", ["vec_id", "row", "v", "cell"], 5_000)
-    dealt = entries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def rerank(entries: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"query_row": [], "query_id": [], "row": [], "score": []}
-        if len(entries) and len(questions):
-            entries = entries.sort_values("cell", kind="stable")
-            own, cells, x = entries["row"].to_numpy(), entries["cell"].to_numpy(), np.stack(entries["v"].to_numpy())
-            ids = entries["vec_id"].to_numpy(dtype=float, na_value=np.inf)  # only for the order: a null id is last
-            order = np.empty(len(ids), np.int64)
-            order[np.lexsort((own, ids))] = np.arange(len(ids))
-            here, start = np.unique(cells, return_index=True)
-            stop = np.append(start[1:], len(cells))
-            for at in range(0, len(questions), AT_ONCE):
-                some = questions.iloc[at : at + AT_ONCE]
-                v = np.stack(some["v"].to_numpy())
-                lists = []
-                for q, visited in zip(some["row"], some["cells"], strict=True):
-                    place = np.searchsorted(here, visited)
-                    place = place[(place < len(here)) & (here[np.minimum(place, len(here) - 1)] == visited)]
-                    met = np.concatenate([np.arange(start[p], stop[p]) for p in place]) if len(place) else np.array([], np.int64)
-                    lists.append(met[own[met] != q])
-                dense = sum(map(len, lists)) > GATHER * len(x) * len(lists)
-                near = v @ x.T if dense else None
-                for i, (met, q, name) in enumerate(zip(lists, some["row"], some["vec_id"], strict=True)):
-                    if not len(met):
-                        continue
-                    top, scores = best(x, v[i], met, near[i, met] if dense else x[met] @ v[i], order, k)
-                    out["query_row"].append(np.full(len(top), q))
-                    out["query_id"].append(np.full(len(top), name))
-                    out["row"].append(top)
-                    out["score"].append(scores)
-            ids_here = entries["vec_id"].reset_index(drop=True)
-        found = pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in out.items()}).astype({"query_row": "int64", "query_id": "int64", "score": "float64"})
-        found["vec_id"] = ids_here.iloc[found["row"].astype("int64")].to_numpy() if len(found) else pd.Series([], dtype="int64")
+    entries = entries.select("vec_id", "row", "v", "cell", "shard", F.lit(None).cast("double").alias("stop"), F.lit(0).alias("kind"))
+    # a shard's entries come first, and its queries stream past them: a stated set of queries against the rows they visit
+    met = entries.unionByName(asked).repartition(int(first.max() + parts.max()), "shard").sortWithinPartitions("shard", "kind")
+
+    def held_by(parts_of: list[pd.DataFrame]) -> dict:
+        entries = pd.concat(parts_of).sort_values("cell", kind="stable").reset_index(drop=True)
+        own, cells = entries["row"].to_numpy(), entries["cell"].to_numpy(dtype=np.int64)
+        ids = entries["vec_id"].to_numpy(dtype=float, na_value=np.inf)  # only for the order: a null id is last
+        order = np.empty(len(ids), np.int64)
+        order[np.lexsort((own, ids))] = np.arange(len(ids))
+        here, counts = np.unique(cells, return_counts=True)
+        return {"own": own, "x": np.stack(entries["v"].to_numpy()), "ids": entries["vec_id"], "order": order, "here": here, "counts": counts}
+
+    def answers(shard: dict, questions: pd.DataFrame) -> pd.DataFrame:
+        (a, b), x, own = books.value, shard["x"], shard["own"]
+        i, j = np.divmod(shard["here"], len(b))
+        out: dict[str, list] = {"query_row": [], "query_id": [], "at": [], "score": []}
+        for at in range(0, len(questions), AT_ONCE):
+            some = questions.iloc[at : at + AT_ONCE]
+            v, stop = np.stack(some["v"].to_numpy()), some["stop"].to_numpy(dtype=float)[:, None]
+            sums = (v[:, :half] @ a.T)[:, i] + (v[:, half:] @ b.T)[:, j]
+            visited = sums >= np.where(np.isfinite(stop), stop - 1e-9 * np.maximum(1.0, np.abs(stop)), stop)  # products may round in another way here
+            dense = (visited @ shard["counts"]).sum() > GATHER * len(x) * len(v)
+            near = v @ x.T if dense else None
+            for r, (q, name) in enumerate(zip(some["row"], some["vec_id"], strict=True)):
+                among = np.flatnonzero(np.repeat(visited[r], shard["counts"]) & (own != q))
+                if len(among):
+                    top, scores = best(x, v[r], among, near[r, among] if dense else x[among] @ v[r], shard["order"], k)
+                    for c, values in (("query_row", np.full(len(top), q)), ("query_id", np.full(len(top), name)), ("at", top), ("score", scores)):
+                        out[c].append(values)
+        found = pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in out.items()}).astype({"query_row": "int64", "at": "int64", "score": "float64"})
+        found["vec_id"] = shard["ids"].iloc[found["at"]].to_numpy() if len(found) else pd.Series([], dtype="int64")
         return found[["query_row", "query_id", "vec_id", "score"]]
 
-    found = dealt.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(rerank, "query_row bigint, query_id bigint, vec_id bigint, score double")
+    def stream(batches):
+        now, gathered, shard = None, [], None
+        for pdf in batches:
+            for number, part in pdf.groupby("shard", sort=False):
+                if number != now:
+                    now, gathered, shard = number, [], None
+                if len(entries := part[part["kind"] == 0]):
+                    gathered.append(entries[["vec_id", "row", "v", "cell"]])
+                if gathered and len(questions := part[part["kind"] == 1]):
+                    if shard is None:
+                        shard, gathered = held_by(gathered), gathered[:1]
+                    yield answers(shard, questions)
+
+    found = met.mapInPandas(stream, "query_row bigint, query_id bigint, vec_id bigint, score double")
     by_query = Window.partitionBy("query_row").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -15,11 +15,13 @@ def test_traverse_goes_by_falling_sum():
     r = np.random.default_rng(0)
     u, v = r.normal(size=9), r.normal(size=7)
     held = r.integers(0, 5, 63)
-    got = mi.traverse(u, v, held, 10**9)
+    got, stop = mi.traverse(u, v, held, 10**9)
+    assert stop == -np.inf
     sums = (u[:, None] + v[None]).ravel()
     want = [c for c in np.argsort(-sums, kind="stable") if held[c]]
     assert got == want
-    some = mi.traverse(u, v, held, 40)
+    some, stop = mi.traverse(u, v, held, 40)
+    assert stop == sums[some[-1]]
     assert some == want[: len(some)] and held[some].sum() >= 40 > held[some[:-1]].sum()
 
 
@@ -87,7 +89,8 @@ def test_shards_give_what_one_shard_gives(spark, monkeypatch, hot):
     out = []
     for rows, block in ((10**6, 10**6), (37, 11)):
         monkeypatch.setattr(mi, "SHARD_ROWS", rows)
-        monkeypatch.setattr(mi, "BLOCK_QUERIES", block)
+        monkeypatch.setattr(mi, "LEAST_SHARD_ROWS", rows)
+        monkeypatch.setattr(mi, "AT_ONCE", block)
         out.append(sorted(map(tuple, mi.search(df, F.col("vec_id") % 20 == 0, k=7, share=0.3, codes=8).collect())))
     assert out[0] == out[1] and len(out[0]) == 30 * 7
 
