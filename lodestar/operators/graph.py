@@ -48,6 +48,19 @@ FROM (SELECT *, {", ".join(map(sort, columns))} FROM (
   SELECT *, {d.int('count(*) OVER () * 75e-2')} + 1 AS k, {ranks} FROM @nodes@) AS r) AS t"""
 
 
+def classify_nodes(nodes: DataFrame) -> DataFrame:
+    """D5, D6 by order statistics: rows as of ``node_classes``, without a global window."""
+    from lodestar.operators.order import value_at
+
+    n = nodes.count()
+    least = {c: value_at(nodes, c, int(n * 0.75) + 1) for c in ("in_degree", "out_degree", "pagerank", "betweenness")}
+    over = lambda c: F.col(c) >= F.lit(least[c])
+    return nodes.select(
+        "node", (F.col("in_degree") == 0).alias("orphan"), (F.col("out_degree") == 0).alias("dead_end"), (over("out_degree") & (F.col("out_degree") > 5)).alias("hub"),
+        (over("in_degree") & over("pagerank")).alias("authority"), (over("betweenness") & (F.col("betweenness") > 1e-3)).alias("bridge"),
+    )
+
+
 @operator
 def graph_summary(d: Duck) -> str:
     """D7. Totals over ``edges`` and ``degrees``."""

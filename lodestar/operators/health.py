@@ -80,17 +80,27 @@ def risk_pages(d: Duck, top: int = 25) -> str:
     return f"SELECT url, health_score, total_risk FROM @health@ ORDER BY total_risk DESC, url LIMIT {top}"
 
 
+# Crawler filters, a predicate for each over (address, title, h1, meta_desc).
+PAGE_FILTERS = {
+    "titles:missing": "title = ''", "titles:over_60": "length(title) > 60", "titles:below_30": "title <> '' AND length(title) < 30", "titles:same_as_h1": "title <> '' AND title = h1",
+    "meta:missing": "meta_desc = ''", "meta:over_155": "length(meta_desc) > 155", "meta:below_70": "meta_desc <> '' AND length(meta_desc) < 70",
+    "h1:missing": "h1 = ''", "h1:over_70": "length(h1) > 70",
+}
+# Filters for texts that more than one page has, and the column of each.
+COPIED = {"titles:duplicate": "title", "meta:duplicate": "meta_desc", "h1:duplicate": "h1"}
+
+
 @operator
 def page_filters(d: Duck) -> str:
-    """C12, S38. Crawler filters over ``pages`` (address, title, h1, meta_desc): one row for each filter that a page meets."""
-    tests = {
-        "titles:missing": "title = ''", "titles:over_60": "length(title) > 60", "titles:below_30": "title <> '' AND length(title) < 30", "titles:duplicate": "title <> '' AND title_copies > 1", "titles:same_as_h1": "title <> '' AND title = h1",
-        "meta:missing": "meta_desc = ''", "meta:over_155": "length(meta_desc) > 155", "meta:below_70": "meta_desc <> '' AND length(meta_desc) < 70", "meta:duplicate": "meta_desc <> '' AND meta_copies > 1",
-        "h1:missing": "h1 = ''", "h1:over_70": "length(h1) > 70", "h1:duplicate": "h1 <> '' AND h1_copies > 1",
-    }
-    source = "(SELECT *, count(*) OVER (PARTITION BY title) AS title_copies, count(*) OVER (PARTITION BY meta_desc) AS meta_copies, count(*) OVER (PARTITION BY h1) AS h1_copies FROM @pages@)"
-    named = d.array(*[f"CASE WHEN {t} THEN '{n}' END" for n, t in tests.items()])
-    return f"SELECT address, tab_filter FROM (SELECT address, {d.explode(named)} AS tab_filter FROM {source} AS p) AS x WHERE tab_filter IS NOT NULL"
+    """C12, S38. Crawler filters over ``pages`` (address, title, h1, meta_desc): one row for each filter that a page meets.
+
+    Row filters are one projection; a text that several pages have is found by its count and joined back, empty ones left out first.
+    """
+    named = d.array(*[f"CASE WHEN {t} THEN '{n}' END" for n, t in PAGE_FILTERS.items()])
+    copied = " UNION ALL ".join(
+        f"SELECT p.address, '{n}' AS tab_filter FROM @pages@ p JOIN (SELECT {c} FROM @pages@ WHERE {c} <> '' GROUP BY {c} HAVING count(*) > 1) AS m ON p.{c} = m.{c}" for n, c in COPIED.items()
+    )
+    return f"SELECT address, tab_filter FROM (SELECT address, {d.explode(named)} AS tab_filter FROM @pages@) AS x WHERE tab_filter IS NOT NULL UNION ALL {copied}"
 
 
 # Least words, and least and most internal links, by page type.

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestar.operators.order import place_in, running_sum
 from lodestar.plans.dialect import Duck, operator, values
 
 # Category weights of the composite scores.
@@ -107,6 +111,12 @@ def corpus_budget(d: Duck, most: int = 80_000) -> str:
 SELECT id, relevance, words, relevance = 1 OR upto <= {most} AS kept FROM (SELECT *, CAST(sum(words) OVER (ORDER BY relevance, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS upto FROM @items@) AS t"""
 
 
+def fit_corpus(items: DataFrame, most: int = 80_000) -> DataFrame:
+    """Q13 by range-sorted running sums: rows as of ``corpus_budget``."""
+    summed = running_sum(items.select("id", "relevance", "words"), [F.col("relevance"), F.col("id")], F.col("words").cast("bigint"), "upto")
+    return summed.select("id", "relevance", "words", ((F.col("relevance") == 1) | (F.col("upto") <= most)).alias("kept"))
+
+
 @operator
 def crm_stats(d: Duck) -> str:
     """P1. Totals over ``prospects`` (id, status, monthly_value, geo_score)."""
@@ -128,6 +138,14 @@ def dashboard(d: Duck, status: str = "active") -> str:
 SELECT id, company, CAST(row_number() OVER (ORDER BY geo_score, id) AS BIGINT) AS by_score, CAST(row_number() OVER (ORDER BY lower(company), id) AS BIGINT) AS by_company, CAST(row_number() OVER (ORDER BY monthly_value DESC, id) AS BIGINT) AS by_value FROM @prospects@ WHERE status = '{status}'"""
 
 
+def dashboard_places(prospects: DataFrame, status: str = "active") -> DataFrame:
+    """P3 by range sorting: rows as of ``dashboard``."""
+    rows = prospects.filter(F.col("status") == status).select("id", "company", "geo_score", "monthly_value")
+    for to, order in (("by_score", [F.col("geo_score"), F.col("id")]), ("by_company", [F.lower("company"), F.col("id")]), ("by_value", [F.col("monthly_value").desc(), F.col("id")])):
+        rows = place_in(rows, order, to)
+    return rows.select("id", "company", "by_score", "by_company", "by_value")
+
+
 @operator
 def pipeline_by_status(d: Duck) -> str:
     """P4. Prospects and value by status, in the order of the pipeline."""

@@ -239,14 +239,16 @@ def page_priority(d: Duck, top: int = 25) -> str:
     """
 
     def scaled(c: str) -> str:
-        return f"CASE WHEN max({c}) OVER () > 0 THEN {c} * 100e0 / max({c}) OVER () ELSE 0e0 END"
+        return f"CASE WHEN top_{c} > 0 THEN {c} * 100e0 / top_{c} ELSE 0e0 END"
+
+    tops = ", ".join(f"max({c}) AS top_{c}" for c in ("clicks", "impressions", "inlinks", "revenue", "decay_risk"))
 
     return f"""
 SELECT page, round(score, 2) AS priority_score FROM (
   SELECT page, CASE WHEN revenue_max > 0 THEN 30e-2 * c + 20e-2 * i + 15e-2 * l + 20e-2 * r + 5e-2 * w + 10e-2 * k
     ELSE (30e-2 * c + 20e-2 * i + 15e-2 * l + 5e-2 * w + 10e-2 * k) / 80e-2 END AS score
   FROM (SELECT page, {scaled('clicks')} AS c, {scaled('impressions')} AS i, {scaled('inlinks')} AS l, {scaled('revenue')} AS r,
-    CASE WHEN word_count > 500 THEN 100e0 ELSE 0e0 END AS w, {scaled('decay_risk')} AS k, max(revenue) OVER () AS revenue_max FROM @pages@) AS s) AS t
+    CASE WHEN word_count > 500 THEN 100e0 ELSE 0e0 END AS w, {scaled('decay_risk')} AS k, top_revenue AS revenue_max FROM @pages@ CROSS JOIN (SELECT {tops} FROM @pages@) AS m) AS s) AS t
 ORDER BY score DESC, page LIMIT {top}"""
 
 
@@ -314,7 +316,7 @@ FROM (SELECT keyword, volume, row_number() OVER (PARTITION BY keyword ORDER BY r
 def simple_sov(d: Duck) -> str:
     """A23. Share of ``traffic`` (domain, traffic, keywords) row by row; a domain's rows stay apart."""
     return """
-SELECT domain, traffic, keywords, round(CASE WHEN sum(traffic) OVER () > 0 THEN traffic * 100e0 / sum(traffic) OVER () ELSE 0e0 END, 2) AS sov_percent FROM @traffic@"""
+SELECT domain, traffic, keywords, round(CASE WHEN total > 0 THEN traffic * 100e0 / total ELSE 0e0 END, 2) AS sov_percent FROM @traffic@ CROSS JOIN (SELECT sum(traffic) AS total FROM @traffic@) AS t"""
 
 
 # --- keywords ----------------------------------------------------------------------------

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from lodestar.plans.dialect import Duck, e, operator, values
 
 # Patterns of passage scores.
@@ -153,6 +156,21 @@ SELECT metric, round(avg(value), 4) AS mean, round(median(value), 4) AS median,
 FROM (SELECT metric, value, row_number() OVER (PARTITION BY metric ORDER BY value, id) AS rn, count(*) OVER (PARTITION BY metric) AS n FROM ({each}) AS u) AS r GROUP BY metric"""
 
 
+def metric_statistics(scores: DataFrame) -> DataFrame:
+    """F14 by order statistics: rows as of ``metric_stats``."""
+    from lodestar.operators.order import value_at
+
+    names, rows = ["flesch", "fk_grade", "fog", "smog", "minutes"], []
+    for m in names:
+        n, mean, deviation, least, most = scores.agg(F.count(m), F.round(F.avg(m), 4), F.round(F.stddev_samp(m), 4), F.min(m), F.max(m)).first()
+        if n:
+            at = lambda place, m=m: float(value_at(scores, m, place))
+            middle = (at((n + 1) // 2) + at(n // 2 + 1)) / 2
+            rows.append((m, mean, middle, deviation, least, most, at(n // 10 + 1), at(min(n - 1, int(n * 0.9)) + 1)))
+    made = scores.sparkSession.createDataFrame(rows, "metric string, mean double, median double, stdev double, lowest double, highest double, p10 double, p90 double")
+    return made.withColumn("median", F.round("median", 4))
+
+
 # Grade above which a text is hard and below which it is easy.
 AUDIENCES = {"b2c": (10, 4), "b2b": (14, 6), "academic": (18, 10)}
 

@@ -19,7 +19,7 @@ LINKS = fx.shaped(
 EDGES = g.build_edges(links=LINKS)
 DEGREES = g.degrees(edges=EDGES)
 RATED = fx.shaped("fixture_rated_nodes", "SELECT node, in_degree, out_degree, round(in_degree / 1000e0, 6) AS pagerank, round(out_degree * in_degree / 100000e0, 6) AS betweenness FROM @d@", d=DEGREES)
-CLASSES = g.node_classes(nodes=RATED)
+CLASSES = replace(g.node_classes(nodes=RATED), kernel=lambda given: g.classify_nodes(g.settled(given["nodes"])))
 REVENUE = fx.shaped("fixture_revenue", "SELECT 'https://x.test/part/' || CAST(o_custkey % 350 AS STRING) AS page, o_orderkey % 17 AS transactions, CASE WHEN o_custkey % 5 = 0 THEN 0e0 ELSE o_totalprice END AS revenue, o_orderkey AS row_id FROM @o@", o=fx.ORDERS)
 EARNED = g.revenue_links(links=LINKS, revenue=REVENUE)
 BLOCKS = fx.shaped("fixture_blocks", "SELECT p_brand AS site, p_type || CAST(p_size AS STRING) AS block, CAST(p_partkey % 9 AS BIGINT) AS links FROM @p@", p=fx.PART)

@@ -7,6 +7,7 @@ from dataclasses import replace
 from lodestar.operators import portfolio as p
 from lodestar.operators import products as g
 from lodestar.operators import text as t
+from lodestar.operators.graph import settled
 from lodestar.plans import fixtures as fx
 from lodestar.plans.registry import declare, query
 
@@ -29,7 +30,7 @@ declare("f8_passage_extremes", t.passage_extremes(scored=BY_PAGE))
 declare("f10_citability", CITED)
 declare("f11_f12_page_citability", t.page_citability(scored=CITED_PAGES))
 declare("f13_readability", READ)
-declare("f14_metric_stats", t.metric_stats(scores=READ))
+declare("f14_metric_stats", replace(t.metric_stats(scores=READ), kernel=lambda given: t.metric_statistics(settled(given["scores"]))))
 declare("f15_f17_classify_readability", t.classify_readability(scores=READ))
 declare("f17_grade_assessment", t.grade_assessment(scores=READ, audience="b2b"))
 declare("f16_grade_distribution", t.grade_distribution(scores=READ))
@@ -116,7 +117,7 @@ declare("q9_visibility_score", p.visibility_score(log=LOG))
 declare("q10_sentiment", p.sentiment(items=SENTIMENT))
 declare("q11_analysis_checks", p.analysis_checks(analyses=ANALYSES))
 declare("q12_source_coverage", p.source_coverage(items=FOUND, sources=WANTED))
-declare("q13_corpus_budget", p.corpus_budget(items=BUDGET))
+declare("q13_corpus_budget", replace(p.corpus_budget(items=BUDGET), kernel=lambda given: p.fit_corpus(given["items"])))
 declare("q14_capability", p.capability(flags=FLAGS))
 declare("q15_next_phase", p.next_phase(phases=PHASES))
 declare("q16_question_tree", p.question_tree(seeds=SEEDS, edges=QUESTIONS, depth=5))
@@ -126,5 +127,5 @@ declare("q20_brand_sentiment", p.sentiment(items=SENTIMENT, high=20, medium=5))
 declare("q21_sales_forecast", p.sales_forecast(prospects=PROSPECTS))
 declare("p1_crm_stats", p.crm_stats(prospects=PROSPECTS))
 declare("p2_p5_p6_prospect_tiers", p.prospect_tiers(prospects=PROSPECTS))
-declare("p3_dashboard", p.dashboard(prospects=PROSPECTS))
+declare("p3_dashboard", replace(p.dashboard(prospects=PROSPECTS), kernel=lambda given: p.dashboard_places(given["prospects"])))
 declare("p4_pipeline_by_status", p.pipeline_by_status(prospects=PROSPECTS))
