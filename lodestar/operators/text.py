@@ -212,6 +212,38 @@ SELECT entity, CAST(count(*) AS BIGINT) AS mentions, CAST(count(DISTINCT id) AS
 GROUP BY entity ORDER BY mentions DESC, entity LIMIT {top}"""
 
 
+def _mentions(d: Duck) -> str:
+    """(id, entity, place) of each mention; place: share of the text's phrases before it."""
+    return f"""(SELECT id, entity, (n - 1) / CAST(total AS DOUBLE) AS place FROM (
+  SELECT id, total, n, {d.at('found', 'n')} AS entity FROM (SELECT id, found, {d.size('found')} AS total, {d.explode(d.sequence('1', d.size('found')))} AS n FROM (
+    SELECT id, {d.extract_all('text', '[A-Z][a-z]+(?: [A-Z][a-z]+)+')} AS found FROM @texts@) AS t) AS u) AS v)"""
+
+
+@operator
+def entity_prominence(d: Duck, top: int = 50) -> str:
+    """F18. The entities of ``texts`` (id, text) that stand earliest: mentions, pages, mean place of all mentions and of each page's first (0: the beginning).
+
+    A place is the share of the text's capitalised phrases that stand before it; entities of fewer than two pages are left out.
+    """
+    return f"""
+SELECT entity, CAST(sum(mentions) AS BIGINT) AS mentions, CAST(count(*) AS BIGINT) AS pages, round(sum(places) / sum(mentions), 6) AS mean_place, round(avg(first_place), 6) AS mean_first_place FROM (
+  SELECT id, entity, count(*) AS mentions, sum(place) AS places, min(place) AS first_place FROM {_mentions(d)} AS m GROUP BY id, entity) AS p
+GROUP BY entity HAVING count(*) >= 2 ORDER BY mean_first_place, entity LIMIT {top}"""
+
+
+@operator
+def entity_pairs(d: Duck, frequent: int = 200, top: int = 100) -> str:
+    """F18. Pairs of entities of ``texts`` (id, text) that most pages have both of, among the ``frequent`` entities of most pages.
+
+    The entities are cut to the frequent ones, by exact counts, before they meet, so a page has at most frequent ** 2 / 2 pairs.
+    """
+    return f"""
+WITH held AS (SELECT DISTINCT id, entity FROM {_mentions(d)} AS m),
+frequent AS (SELECT entity FROM (SELECT entity, count(*) AS pages FROM held GROUP BY entity) AS c ORDER BY pages DESC, entity LIMIT {frequent}),
+kept AS (SELECT h.id, h.entity FROM held h JOIN frequent f ON h.entity = f.entity)
+SELECT a.entity AS entity_a, b.entity AS entity_b, CAST(count(*) AS BIGINT) AS pages FROM kept a JOIN kept b ON a.id = b.id AND a.entity < b.entity GROUP BY a.entity, b.entity ORDER BY pages DESC, entity_a, entity_b LIMIT {top}"""
+
+
 @operator
 def blog_geo(d: Duck) -> str:
     """F19. 15 points of ``posts`` (url, passages, question_headings, faq, entities, sources, headings, lists, robots_ok, ssr)."""

@@ -6,6 +6,7 @@ from dataclasses import replace
 
 from lodestar.operators import portfolio as p
 from lodestar.operators import products as g
+from lodestar.operators import questions as q
 from lodestar.operators import text as t
 from lodestar.operators.graph import settled
 from lodestar.plans import fixtures as fx
@@ -35,6 +36,8 @@ declare("f15_f17_classify_readability", t.classify_readability(scores=READ))
 declare("f17_grade_assessment", t.grade_assessment(scores=READ, audience="b2b"))
 declare("f16_grade_distribution", t.grade_distribution(scores=READ))
 declare("f18_entity_frequency", t.entity_frequency(texts=TEXTS))
+declare("f18_entity_prominence", t.entity_prominence(texts=TEXTS))
+declare("f18_entity_pairs", t.entity_pairs(texts=TEXTS))
 declare("f19_blog_geo", t.blog_geo(posts=POSTS))
 declare("f20_signal_total", t.signal_total(signals=SIGNALS))
 declare("f21_title_checks", t.title_checks(titles=TITLES))
@@ -110,6 +113,9 @@ FLAGS = fx.shaped("fixture_flags", "SELECT c_custkey AS id, c_custkey % 2 = 0 AS
 SEEDS = fx.shaped("fixture_seeds", "SELECT 'What is ' || CAST(p_partkey AS STRING) || '?' AS question FROM @p@ WHERE p_partkey < 5", p=fx.PART)
 QUESTIONS = fx.shaped("fixture_question_edges", "SELECT 'What is ' || CAST(p_partkey AS STRING) || '?' AS parent, 'what is ' || CAST((p_partkey * 3 + k) % 500 AS STRING) AS question FROM @p@ CROSS JOIN (SELECT * FROM (VALUES (1), (2), (3)) AS v(k)) AS v", p=fx.PART)
 
+ROOTS = fx.shaped("fixture_question_roots", "SELECT n_nationkey AS place, 'What is ' || CAST(n_nationkey * 31 % 500 AS STRING) || '?' AS question FROM @n@", n=fx.scan("nation"))
+ASKED = fx.shaped("fixture_asked", "SELECT 'What is ' || CAST(p_partkey AS STRING) || '?' AS parent, k AS place, 'What is   ' || CAST((p_partkey * 3 + k * k) % 500 AS STRING) || CASE WHEN k = 2 THEN '!' ELSE '?' END AS question FROM @p@ CROSS JOIN (SELECT * FROM (VALUES (1), (2), (3)) AS v(k)) AS v", p=fx.PART)
+
 declare("q4_authority_modifier", p.authority_modifier(composite=p.composite_score(scores=scores_for("content_geo"), kind="content_geo"), pages=TOPIC_PAGES))
 declare("q6_platform_readiness", p.platform_readiness(scores=scores_for("geo_report")))
 declare("q8_delta_report", p.delta_report(history=HISTORY))
@@ -121,6 +127,7 @@ declare("q13_corpus_budget", replace(p.corpus_budget(items=BUDGET), kernel=lambd
 declare("q14_capability", p.capability(flags=FLAGS))
 declare("q15_next_phase", p.next_phase(phases=PHASES))
 declare("q16_question_tree", p.question_tree(seeds=SEEDS, edges=QUESTIONS, depth=5))
+declare("q16_question_forest", replace(q.questions_in_turn(seeds=ROOTS, edges=ASKED, depth=4), kernel=lambda given: q.question_forest(given["seeds"], given["edges"], 4)))
 declare("q17_check_points", p.check_points(checks=CHECKS, points=POINTS))
 declare("q19_lens_score", p.lens_score(texts=LENSES))
 declare("q20_brand_sentiment", p.sentiment(items=SENTIMENT, high=20, medium=5))

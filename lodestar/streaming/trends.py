@@ -21,3 +21,18 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
 def first_seen(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
     """The first event of equal ones within the watermark."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+
+
+def anomalies(monthly: DataFrame, window: int = 3, std: float = 2.0) -> DataFrame:
+    """A10 on a stream of ``monthly`` (page, month, clicks): the anomalies of every page that a batch has brought months of.
+
+    State is a page's months and clicks, one entry for each month, so late and shuffled months count like any other; a month
+    that comes again replaces its clicks. Each batch gives, for each page in it, all anomalies of the page as
+    of now and their ``version`` (the page's batches so far); a page without any has one row with a null month, so that the
+    rows of a page's last version are what the batch operator gives over all input.
+    """
+    from lodestar.streaming.processors import anomaly_processor
+
+    out = "page string, version bigint, month string, clicks bigint, delta double, rolling_avg_before double, drop_percentage double"
+    keyed = monthly.select("page", "month", F.col("clicks").cast("bigint").alias("clicks")).filter("page IS NOT NULL AND month IS NOT NULL").groupBy("page")
+    return keyed.transformWithStateInPandas(anomaly_processor(window, std), out, "Update", "None")
