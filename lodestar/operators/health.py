@@ -90,6 +90,33 @@ PAGE_FILTERS = {
 COPIED = {"titles:duplicate": "title", "meta:duplicate": "meta_desc", "h1:duplicate": "h1"}
 
 
+# Further crawler filters, over (address, status_code, canonical, canonical_indexable, directives, h2, word_count, seconds, jsonld_blocks, hsts).
+CRAWL_FILTERS = {
+    "response_codes:success_2xx": "status_code LIKE '2%'", "response_codes:redirection_3xx": "status_code LIKE '3%'", "response_codes:redirection_301": "status_code = '301'", "response_codes:redirection_302": "status_code = '302'",
+    "response_codes:client_error_4xx": "status_code LIKE '4%'", "response_codes:server_error_5xx": "status_code LIKE '5%'", "response_codes:no_response": "status_code IN ('', '0')",
+    "h2:missing": "trim(h2) = ''", "canonicals:self_referencing": "canonical = address", "canonicals:canonicalised": "canonical <> '' AND canonical <> address", "canonicals:missing": "canonical = ''", "canonicals:non_indexable_canonical": "canonical <> '' AND NOT canonical_indexable",
+    "directives:index": "directives <> '' AND directives NOT LIKE '%noindex%'", "directives:noindex": "directives LIKE '%noindex%'", "directives:follow": "directives <> '' AND directives NOT LIKE '%nofollow%'", "directives:nofollow": "directives LIKE '%nofollow%'", "directives:none": "directives = ''",
+    "directives:noarchive": "directives LIKE '%noarchive%'", "directives:nosnippet": "directives LIKE '%nosnippet%'",
+    "structured_data:contains": "jsonld_blocks > 0", "structured_data:missing": "jsonld_blocks = 0", "content:low_content_pages": "word_count < 200", "page_speed:slow_over_1s": "seconds > 1",
+    "security:http_urls": "address LIKE 'http://%'", "security:missing_hsts": "NOT hsts",
+}
+
+
+@operator
+def filter_counts(d: Duck) -> str:
+    """S38. Pages that each filter of the catalogue fits, and their share, over ``crawl`` (the columns of PAGE_FILTERS and CRAWL_FILTERS).
+
+    All predicates are one aggregate over one scan, whose single row is then turned into one for each filter.
+    """
+    tests = PAGE_FILTERS | CRAWL_FILTERS
+    sums = ", ".join(f"count_if({t}) AS f{i}" for i, t in enumerate(tests.values()))
+    which = " ".join(f"WHEN '{n}' THEN f{i}" for i, n in enumerate(tests))
+    return f"""
+SELECT tab_filter, CAST(n AS BIGINT) AS pages, round(n * 100e0 / nullif(total, 0), 2) AS share FROM (
+  SELECT tab_filter, total, CASE tab_filter {which} END AS n FROM (
+    SELECT *, {d.explode(d.array(*[f"'{n}'" for n in tests]))} AS tab_filter FROM (SELECT count(*) AS total, {sums} FROM @crawl@) AS a) AS b) AS c"""
+
+
 @operator
 def page_filters(d: Duck) -> str:
     """C12, S38. Crawler filters over ``pages`` (address, title, h1, meta_desc): one row for each filter that a page meets.

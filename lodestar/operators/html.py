@@ -406,3 +406,93 @@ def jsonld_types(block: str) -> list[str]:
             types += [str(v) for v in (t if isinstance(t, list) else [t]) if v]
             todo += [v for k, v in x.items() if k == "@graph"]
     return sorted(types)
+
+
+# Elements that passages leave out, and those that a page's main text leaves out.
+NO_PASSAGES = ["script", "style", "nav", "header", "footer", "aside", "noscript", "iframe", "svg", "form"]
+NO_CONTENT = {"script", "style", "nav", "header", "footer", "aside", "noscript", "iframe"}
+_CONTENT_CLASS = re.compile("content|post|entry|article")
+
+
+@operator
+def passage_text(d: Duck) -> str:
+    """F9. The one section of text that passages of ``pages`` (id, html) are cut from: ten elements left out, tags to spaces, white space collapsed."""
+    bare = "html"
+    for tag in NO_PASSAGES:
+        bare = d.sub(bare, rf"(?is)<{tag}[\s>].*?</{tag}>", "")
+    return f"SELECT id, trim({d.sub(d.sub(bare, '<[^>]+>', ' '), r'\s+', ' ')}) AS text FROM @pages@"
+
+
+class _Main(HTMLParser):
+    """Texts of a page in order, and the first element of each kind that may hold its main text, as a range of them."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open: list[tuple[str, str | None]] = []  # tag, and the kind that it is the first of
+        self.hidden = 0
+        self.texts: list[str] = []
+        self.ranges: dict[str, list[int]] = {}
+
+    def handle_starttag(self, tag, attrs):
+        if tag in _VOID:
+            return
+        self.hidden += tag in NO_CONTENT
+        a = dict(attrs)
+        kinds = [] if self.hidden else [k for k, fits in (
+            ("main", tag == "main"), ("article", tag == "article"), ("role", tag == "div" and a.get("role") == "main"),
+            ("class", tag == "div" and any(map(_CONTENT_CLASS.search, (a.get("class") or "").split()))), ("body", tag == "body"),
+        ) if fits and k not in self.ranges]
+        for k in kinds:
+            self.ranges[k] = [len(self.texts), -1]
+        self.open.append((tag, kinds))
+
+    def handle_data(self, data):
+        if not self.hidden and data.strip():
+            self.texts.append(data)
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _ in self.open):
+            while self.close_last() != tag:
+                pass
+
+    def close_last(self) -> str:
+        tag, kinds = self.open.pop()
+        self.hidden -= tag in NO_CONTENT
+        for k in kinds:
+            self.ranges[k][1] = len(self.texts)
+        return tag
+
+    def main(self) -> str:
+        while self.open:
+            self.close_last()
+        a, b = next((self.ranges[k] for k in ("main", "article", "role", "class", "body") if k in self.ranges), [0, len(self.texts)])
+        return " ".join(" ".join(self.texts[a:b]).split())
+
+
+def main_text_of(html: str) -> str:
+    """S28 for one page."""
+    parser = _Main()
+    try:
+        parser.feed(html or "")
+        parser.close()
+    except (ValueError, AssertionError):  # what stands before the fault counts
+        pass
+    return parser.main()
+
+
+def main_text(pages: DataFrame, html: str = "html", min_words: int = 0) -> DataFrame:
+    """S28. ``pages`` without their html, and text and word_count of the main part of each with ``min_words`` words at least.
+
+    The main part is the first ``main``, else the first ``article``, ``div role=main``, ``div`` whose class speaks of content,
+    else the body, else all; without scripts, styles, navigation, headers, footers, asides and frames. An element that is left
+    open ends with the one around it. Null html has no words.
+    """
+    ship(pages.sparkSession)
+    keep = [c for c in pages.columns if c not in (html, "text", "word_count")]
+
+    @F.pandas_udf("string")
+    def read(source: pd.Series) -> pd.Series:
+        return source.map(main_text_of)
+
+    found = pages.select(*keep, read(F.coalesce(F.col(html), F.lit(""))).alias("text"))
+    return found.withColumn("word_count", F.regexp_count("text", F.lit(r"[^\s]+")).cast("bigint")).filter(F.col("word_count") >= min_words)

@@ -132,3 +132,10 @@ SPREAD = fx.shaped(
     p=fx.PART,
 )
 declare("c26_canonical_paths", replace(h.canonical_walks(crawl=SPREAD), kernel=lambda given: h.canonical_paths(given["crawl"])))
+EXPORT = fx.shaped(
+    "fixture_crawl_export",
+    """SELECT address, title, h1, meta_desc, h2, word_count, CASE WHEN p_partkey % 4 = 0 THEN address ELSE canonical END AS canonical, p_partkey % 7 > 0 AS canonical_indexable, CASE p_partkey % 12 WHEN 0 THEN '301' WHEN 1 THEN '302' WHEN 2 THEN '404' WHEN 3 THEN '500' WHEN 4 THEN '' ELSE '200' END AS status_code,
+    CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'noindex, follow' WHEN 2 THEN 'index, nofollow' WHEN 3 THEN 'noarchive, nosnippet' ELSE 'index, follow' END AS directives, p_partkey % 3 / 1e0 AS seconds, p_partkey % 4 AS jsonld_blocks, p_partkey % 6 > 0 AS hsts FROM @c@""",
+    c=CRAWL,
+)
+declare("s38_filter_counts", h.filter_counts(crawl=EXPORT))

@@ -69,6 +69,20 @@ def h2_page_blocks(spark, sf_dir):
     return parsed.selectExpr("page_id", "word_count", "posexplode(blocks) AS (place, block)").selectExpr("page_id", "word_count", "place", "block.heading AS heading", "block.text AS text")
 
 
+declare("f9_passage_text", h.passage_text(pages=PAGES))
+
+
+@query(
+    "s28_main_text",
+    oracle=r"""WITH found AS (SELECT page_id, regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1) AS body FROM pages),
+bare AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(body, '(?is)<!--.*?-->|<(script|style|nav|header|footer|aside|noscript|iframe)[\s>].*?</(script|style|nav|header|footer|aside|noscript|iframe)>', '', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM found)
+SELECT page_id, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&') AS text, len(regexp_extract_all(t, '[^\s]+'))::BIGINT AS word_count FROM bare""",
+)
+def s28_main_text(spark, sf_dir):
+    """Main text of every page."""
+    return h.main_text(table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
 @query("f3_f5_passages")
 def f5_passages(spark, sf_dir):
     """Passages of every document."""

@@ -196,3 +196,40 @@ def test_titles_that_stand_for_others(spark):
     got = {r.id: r.kept_by for r in clusters.drop_similar_titles(spark.createDataFrame(rows, "id int, title string, length int")).collect()}
     # 3 and 4 share five words of six and five; 2 shares five of six with 3
     assert got == {3: None, 2: 3, 1: 3, 4: 3, 5: None, 6: None, 7: None, 8: 7}
+
+
+@pytest.mark.parametrize("source,want", [
+    ("<body>a<nav>n</nav><main>b <p>c&amp;d</p><aside>x</aside></main>e</body>", "b c&d"),
+    ("<div class='big post-body'>p<div>q</div></div><article>r", "r"),
+    ("<div class='big post-body'>p<div>q</div></div> tail", "p q"),
+    ("<div role=main>m<span>n</div>o<article><script>no</script>", ""),
+    ("<header><main>no</main></header><div role=main>m<br>n</div>", "m n"),
+    ("<p>no body<footer>f</footer> at all", "no body at all"),
+    ("<body>x<section><b>y</section>z", "x y z"),
+    ("", ""),
+])
+def test_main_text(source, want):
+    assert html.main_text_of(source) == want
+
+
+def test_main_text_of_pages(spark):
+    rows = [(1, "<main>one two three</main>"), (2, None), (3, "<main>one</main>")]
+    pages = spark.createDataFrame(rows, "id int, html string")
+    assert sorted(map(tuple, html.main_text(pages).collect())) == [(1, "one two three", 3), (2, "", 0), (3, "one", 1)]
+    assert [r.id for r in html.main_text(pages, min_words=2).collect()] == [1]
+
+
+def test_passage_text(spark):
+    rows = [(1, "<form id=f>no</form><p>a<b>b</b>\n c</p><svg>x</svg><SCRIPT >y</SCRIPT>"), (2, "<formula>kept</formula>")]
+    assert {r.id: r.text for r in html.passage_text(pages=spark.createDataFrame(rows, "id int, html string")).collect()} == {1: "a b c", 2: "kept"}
+
+
+def test_filter_counts(spark):
+    names = "address string, title string, h1 string, meta_desc string, h2 string, word_count int, canonical string, canonical_indexable boolean, status_code string, directives string, seconds double, jsonld_blocks int, hsts boolean"
+    rows = [("http://a", "", "x", "m", " ", 10, "", True, "301", "", 2.0, 0, True), ("https://b", "t" * 61, "t" * 61, "", "h", 300, "https://b", True, "200", "noindex, nofollow", 0.5, 2, False)]
+    got = {r.tab_filter: r.pages for r in health.filter_counts(crawl=spark.createDataFrame(rows, names)).collect() if r.pages}
+    assert got == {
+        "titles:missing": 1, "titles:over_60": 1, "titles:same_as_h1": 1, "meta:missing": 1, "meta:below_70": 1, "h2:missing": 1, "response_codes:success_2xx": 1, "response_codes:redirection_3xx": 1, "response_codes:redirection_301": 1,
+        "canonicals:missing": 1, "canonicals:self_referencing": 1, "directives:none": 1, "directives:noindex": 1, "directives:nofollow": 1, "content:low_content_pages": 1, "page_speed:slow_over_1s": 1,
+        "structured_data:contains": 1, "structured_data:missing": 1, "security:http_urls": 1, "security:missing_hsts": 1,
+    }
