@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.operators.chains import first_steps
+from lodestar.operators.graph import settled
 from lodestar.plans.dialect import Duck, operator
 
 # Query parameters that only track.
@@ -77,6 +78,34 @@ def follow_redirects(map: DataFrame) -> DataFrame:  # noqa: A002
     return paths.select(F.col("node").alias("start"), F.get("path", hops).alias("final_url"), hops.cast("bigint").alias("hops"), (F.size(back) > 0).alias("is_loop"))
 
 
+def redirect_report(map: DataFrame) -> DataFrame:  # noqa: A002
+    """E13. (start, final_url, hops, is_loop, types, advice) of each redirecting url of ``map`` (see redirect_map).
+
+    types: the status of each hop, joined by ``>``. advice: ``break loop``, ``link A to C`` for a chain, ``make permanent``
+    for a single hop that isn't 301 or 308, else empty.
+    """
+    moves = map.filter("status_code LIKE '3%' AND redirect_key <> ''").select(F.col("url_key").alias("node"), F.col("redirect_key").alias("next"), "status_code")
+    chains = settled(follow_redirects(map))
+    paths = first_steps(moves.select("node", "next"), HOPS - 1).select("node", F.concat(F.array("node"), "path").alias("path"))
+    hops = paths.join(chains, F.col("node") == F.col("start")).select("start", "hops", F.posexplode("path").alias("at", "url")).filter("at < hops")
+    typed = hops.join(moves.select(F.col("node").alias("of"), "status_code"), F.col("url") == F.col("of")).groupBy("start").agg(F.array_sort(F.collect_list(F.struct("at", "status_code"))).alias("t"))
+    out = chains.join(typed, "start").withColumn("types", F.array_join(F.transform("t", lambda x: x["status_code"]), ">"))
+    advice = F.when(F.col("is_loop"), "break loop").when(F.col("hops") > 1, F.concat(F.lit("link "), "start", F.lit(" to "), "final_url")).when(~F.col("types").isin("301", "308"), "make permanent").otherwise("")
+    return out.select("start", "final_url", "hops", "is_loop", "types", advice.alias("advice"))
+
+
+@operator
+def redirect_walks(d: Duck) -> str:
+    """E13, oracle of redirect_report: each chain walked in a recursion of nine hops."""
+    return f"""
+WITH RECURSIVE moves AS (SELECT url_key AS node, redirect_key AS next, status_code AS type FROM @map@ WHERE status_code LIKE '3%' AND redirect_key <> ''),
+walk AS (
+  SELECT node, next AS place, 1::BIGINT AS hops, [node] AS seen, type AS types FROM moves
+  UNION ALL SELECT w.node, m.next, w.hops + 1, list_append(w.seen, w.place), w.types || '>' || m.type FROM walk w JOIN moves m ON m.node = w.place WHERE NOT list_contains(w.seen, w.place) AND w.hops < {HOPS - 1}),
+ends AS (SELECT node, max_by(place, hops) AS final_url, max(hops) AS hops, bool_or(list_contains(seen, place)) AS is_loop, max_by(types, hops) AS types FROM walk GROUP BY node)
+SELECT node AS start, final_url, hops, is_loop, types, CASE WHEN is_loop THEN 'break loop' WHEN hops > 1 THEN 'link ' || node || ' to ' || final_url WHEN types NOT IN ('301', '308') THEN 'make permanent' ELSE '' END AS advice FROM ends"""
+
+
 @operator
 def validate_redirects(d: Duck) -> str:
     """E4. One row for each finding on ``spec`` (old_url, new_url, type) against ``map`` and ``chains``, by key; a rule can be chain and match, and one without type takes any."""

@@ -126,6 +126,7 @@ HREFLANG = fx.shaped(
 declare("e1_normalize_urls", m.normalize_urls(urls=RAW_URLS))
 declare("e2_redirect_map", REDIRECTS)
 declare("e3_e13_redirect_chains", CHAINS)
+declare("e13_redirect_report", replace(m.redirect_walks(map=REDIRECTS), kernel=lambda given: m.redirect_report(given["map"])))
 declare("e4_validate_redirects", FINDINGS)
 declare("e5_extra_redirects", m.extra_redirects(map=REDIRECTS, spec=SPEC))
 declare("e6_redirect_summary", m.redirect_summary(findings=FINDINGS))
