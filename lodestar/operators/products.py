@@ -116,23 +116,42 @@ WHERE rn <= CASE WHEN category IS NULL THEN {top} ELSE 20 END"""
 
 @operator
 def title_patterns(d: Duck, positions: int = 12, k: int = 5) -> str:
-    """G5. The commonest words at each place of the titles of ``titles`` (grp, title, position up to 10), with their share."""
+    """G5. The commonest words at each place of the titles of ``titles`` (grp, title, position, row_id), with their share of the group's titles.
+
+    Where a group's first row has a position, titles on positions 1 to 10 count, else all of them; dominant: a first word of more than 30 percent.
+    """
     tokens = d.extract_all("lower(title)", "[a-z0-9]+(?:-[a-z0-9]+)*")
     return f"""
-SELECT grp, place, word, n, round(n * 100e0 / titles, 1) AS percentage FROM (
+SELECT grp, place, word, n, round(n * 100e0 / titles, 1) AS percentage, place = 1 AND rn = 1 AND n * 100e0 / titles > 30 AS dominant FROM (
   SELECT w.grp, w.place, w.word, CAST(count(*) AS BIGINT) AS n, max(w.titles) AS titles, row_number() OVER (PARTITION BY w.grp, w.place ORDER BY count(*) DESC, w.word) AS rn FROM (
     SELECT grp, titles, place, {d.at('t', 'place')} AS word FROM (
       SELECT grp, t, titles, {d.explode(d.sequence('1', f'least({positions}, {d.size("t")})'))} AS place FROM (
-        SELECT grp, {tokens} AS t, count(*) OVER (PARTITION BY grp) AS titles FROM @titles@ WHERE position BETWEEN 1 AND 10) AS a) AS b) AS w GROUP BY w.grp, w.place, w.word) AS r WHERE rn <= {k}"""
+        SELECT u.grp, u.t, c.titles FROM (
+          SELECT x.grp, {tokens} AS t FROM @titles@ x JOIN (SELECT y.grp, max(y.position) AS first_position FROM @titles@ y JOIN (SELECT grp, min(row_id) AS row_id FROM @titles@ GROUP BY grp) AS f ON y.grp = f.grp AND y.row_id = f.row_id GROUP BY y.grp) AS h ON x.grp = h.grp
+          WHERE h.first_position IS NULL OR (x.position > 0 AND x.position <= 10)) AS u
+        JOIN (SELECT x.grp, count(*) AS titles FROM @titles@ x JOIN (SELECT y.grp, max(y.position) AS first_position FROM @titles@ y JOIN (SELECT grp, min(row_id) AS row_id FROM @titles@ GROUP BY grp) AS f ON y.grp = f.grp AND y.row_id = f.row_id GROUP BY y.grp) AS h ON x.grp = h.grp
+          WHERE h.first_position IS NULL OR (x.position > 0 AND x.position <= 10) GROUP BY x.grp) AS c ON u.grp = c.grp) AS a) AS b) AS w GROUP BY w.grp, w.place, w.word) AS r WHERE rn <= {k}"""
 
 
 @operator
 def standardize_titles(d: Duck) -> str:
-    """G6. Averages, brand-first share and separators of ``products`` (category, brand, title) by category."""
-    seps = ", ".join(f"CAST(count_if({d.instr('title', text(s))} > 0) AS BIGINT) AS {n}" for n, s in (("dashes", " - "), ("pipes", " | "), ("commas", ", "), ("slashes", " / "), ("colons", ": ")))
+    """G6. Averages, brand-first share and separators of ``products`` (category, brand, title) by category; blank titles are left out, a missing category is All."""
+    seps = ", ".join(f"CAST(count_if({d.instr('title', text(s))} > 0) AS BIGINT) AS {n}" for n, s in (("hyphens", " - "), ("pipes", " | "), ("slashes", " / "), ("en_dashes", " – "), ("em_dashes", " — ")))
     return f"""
 SELECT category, CAST(count(*) AS BIGINT) AS products, round(avg(length(title)), 1) AS avg_chars, round(avg({d.count('title', '[^ ]+')}), 1) AS avg_words, CAST(min(length(title)) AS BIGINT) AS min_chars, CAST(max(length(title)) AS BIGINT) AS max_chars,
-  round(count_if(lower(title) LIKE lower(brand) || '%') * 100e0 / count(*), 1) AS brand_first, CAST(count(DISTINCT brand) AS BIGINT) AS brands, {seps} FROM @products@ GROUP BY category"""
+  round(count_if(brand <> '' AND lower(title) LIKE lower(brand) || '%') * 100e0 / count(*), 1) AS brand_first, CAST(count(DISTINCT CASE WHEN brand <> '' THEN lower(brand) END) AS BIGINT) AS brands, {seps}
+FROM (SELECT coalesce(trim(category), 'All') AS category, trim(coalesce(brand, '')) AS brand, trim(title) AS title FROM @products@ WHERE trim(title) <> '') AS t GROUP BY category"""
+
+
+@operator
+def title_samples(d: Duck, k: int = 5) -> str:
+    """G6. By category of ``products`` (id, category, title): the ``k`` commonest first words and the first ``k`` titles (by id)."""
+    rows = f"(SELECT id, coalesce(trim(category), 'All') AS category, trim(title) AS title, {d.extract('lower(trim(title))', '^([^ ]+)')} AS word FROM @products@ WHERE trim(title) <> '')"
+    return f"""
+SELECT category, 'first_word' AS kind, CAST(place AS BIGINT) AS place, word AS value, n FROM (
+  SELECT category, word, CAST(count(*) AS BIGINT) AS n, row_number() OVER (PARTITION BY category ORDER BY count(*) DESC, word) AS place FROM {rows} AS r GROUP BY category, word) AS w WHERE place <= {k}
+UNION ALL SELECT category, 'sample' AS kind, CAST(place AS BIGINT) AS place, title AS value, CAST(1 AS BIGINT) AS n FROM (
+  SELECT category, title, row_number() OVER (PARTITION BY category ORDER BY id) AS place FROM {rows} AS r) AS s WHERE place <= {k}"""
 
 
 @operator

@@ -62,7 +62,7 @@ def _contested(shift: int) -> str:
 MATCHES = matched(OWN, OTHER)
 RIVALS = fx.shaped("fixture_own_rivals", _contested(0), p=fx.PART), fx.shaped("fixture_other_rivals", _contested(1), p=fx.PART)
 TITLED = fx.shaped("fixture_matched_titles", "SELECT o.category, o.title AS own_title, c.title AS other_title FROM @m@ m JOIN @o@ o ON m.own_id = o.id JOIN @c@ c ON m.other_id = c.id", m=MATCHES, o=OWN, c=OTHER)
-SERP_TITLES = fx.shaped("fixture_product_serp", "SELECT p_type AS grp, p_name || ' ' || p_brand || ' sale' AS title, p_partkey % 14 AS position FROM @p@", p=fx.PART)
+SERP_TITLES = fx.shaped("fixture_product_serp", "SELECT p_type AS grp, p_name || ' ' || p_brand || ' sale' AS title, CASE WHEN p_partkey % 9 > 0 THEN p_partkey % 14 END AS position, p_partkey AS row_id FROM @p@", p=fx.PART)
 CRUMBS = fx.shaped("fixture_breadcrumbs", "SELECT p_partkey AS url, CASE p_partkey % 4 WHEN 0 THEN 'Home > ' || p_type || ' > ' || p_name WHEN 1 THEN 'Home/' || p_type || '/' || p_name WHEN 2 THEN 'Home » ' || p_name ELSE p_name END AS breadcrumb FROM @p@", p=fx.PART)
 
 declare("g1_g2_product_keys", g.product_keys(products=OWN))
@@ -78,6 +78,7 @@ def g3_match_with_titles(spark, sf_dir):
 declare("g4_title_gaps", g.title_gaps(matches=TITLED))
 declare("g5_title_patterns", g.title_patterns(titles=SERP_TITLES))
 declare("g6_standardize_titles", g.standardize_titles(products=OWN))
+declare("g6_title_samples", g.title_samples(products=OWN))
 declare("g7_g8_discover_categories", g.discover_categories(products=OWN))
 declare("g9_breadcrumb_parts", g.breadcrumb_parts(pages=CRUMBS))
 
