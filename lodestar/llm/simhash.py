@@ -197,6 +197,8 @@ def near_links(distinct: DataFrame, distance: int = DISTANCE, prefix_rows: int =
     return reduce(DataFrame.unionByName, found).distinct()
 
 
+#: Keys (of 40 bytes) that are broadcast at most.
+MOST_SENT = 1_000_000
 #: Bands of minimum hashes: texts of similarity 0.8 share none of them once in 38,000 times.
 BANDS, BAND_HASHES = 20, 4
 _MIX = np.array([[xxhash.xxh64_intdigest(bytes([i, j]), 11) | (j == 1) for j in range(2)] for i in range(BANDS * BAND_HASHES)], dtype=np.uint64)
@@ -271,6 +273,8 @@ def similar_links(docs: DataFrame, sketched: DataFrame, shingle_words: int, simi
     pairs = materialize(candidate_pairs(texts, similarity, distance), "candidate-pairs")
     met = pairs.select("t").union(pairs.select("c")).distinct()
     met = materialize(texts.select("t", "doc_key").join(met, "t", "left_semi"), "met-keys")
+    # texts stay where they are while the keys of those that are read again are few enough to be sent to them
+    met = F.broadcast(met) if met.count() <= MOST_SENT else met
     read = docs.select("doc_key", "text").join(met, "doc_key").select("t", "text").dropDuplicates(["t"])
     read = materialize(read, "met-texts")
     both = pairs.join(read, "t").withColumnRenamed("text", "x").join(read.select(F.col("t").alias("c"), F.col("text").alias("y")), "c").select(F.col("t").alias("a"), F.col("c").alias("b"), "x", "y")

@@ -94,59 +94,68 @@ def chunks(data: bytes) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
     return [digest(data[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)], edges[:-1], np.diff(edges), np.diff(total[edges])
 
 
-def units(data: bytes, min_words: int = MIN_WORDS) -> tuple[list[int], dict[str, np.ndarray]]:
-    """Digests of the units of ``data``, and their chunk, place, length, word and words; single: long chunks that are units alone."""
+def units(data: bytes, min_words: int = MIN_WORDS) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Digests of the units of ``data``, their first chunks, and whether each is a long chunk alone."""
     single, starts, lengths, words = chunks(data)
     n = len(single)
     span = min(UNIT_CHUNKS, n)
     ends = starts + lengths
-    total = np.concatenate(([0], np.cumsum(words)))
     digest = xxhash.xxh3_64_intdigest
     first = np.arange(n - span + 1)
     several = [digest(data[s:e], 1) for s, e in zip(starts[first].tolist(), ends[first + span - 1].tolist(), strict=True)]
     long = np.flatnonzero(words >= min_words)
-    chunk, last = np.concatenate((first, long)), np.concatenate((first + span, long + 1))
-    return several + [single[i] for i in long], {
-        "chunk": chunk, "place": starts[chunk], "length": ends[last - 1] - starts[chunk], "word": total[chunk], "words": total[last] - total[chunk], "single": np.arange(len(chunk)) >= len(first),
-    }
+    chunk = np.concatenate((first, long))
+    return several + [single[i] for i in long], chunk, np.arange(len(chunk)) >= len(first)
+
+
+def placed(data: bytes, codes: list[int]) -> list[dict]:
+    """The units of ``data`` that ``codes`` name (see repeated_units), with their bytes and words."""
+    edges = borders(data)
+    space = SPACE[np.frombuffer(data, np.uint8)]
+    word = ~space
+    word[1:] &= space[:-1]
+    total = np.concatenate(([0], np.cumsum(word)))[edges].tolist()
+    edges, out = edges.tolist(), []
+    for code in codes:
+        chunk, kind, stays = code >> 4, code >> 1 & 7, bool(code & 1)
+        last = min(chunk + (1 if kind & SINGLE else UNIT_CHUNKS), len(edges) - 1)
+        out.append({"chunk": chunk, "kind": kind, "stays": stays, "place": edges[chunk], "length": edges[last] - edges[chunk], "word": total[chunk], "words": total[last] - total[chunk]})
+    return out
 
 
 def _signed(values: list[int]) -> np.ndarray:
     return np.array(values, dtype=np.uint64).view(np.int64)
 
 
-_UNIT = "doc bigint, digest bigint, chunk int, place int, length int, word int, words int, kind tinyint"
 #: Bits of a unit's kind: the document has the digest at an earlier place; it has it at a later one; a long chunk alone.
 AGAIN, REPEATS, SINGLE = 1, 2, 4
 
 
 def unit_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row for each unit of ``docs`` (doc, text): its digest, first chunk, bytes, words and kind.
+    """(doc, digest, chunk, kind) of each unit of ``docs`` (doc, text); where a chunk stands is found anew in the text.
 
     Units with the same digest, as of a line repeated a thousand times, stay single rows.
     """
 
     def make():
-        names = ("doc", "digest", "chunk", "place", "length", "word", "words", "kind")
-
         def step(cols):
-            out: dict[str, list] = {c: [] for c in names}
+            out: dict[str, list] = {c: [] for c in ("doc", "digest", "chunk", "kind")}
             for doc, text in zip(cols["doc"], cols["text"], strict=True):
                 if not text:
                     continue
-                digests, found = units(text.encode(), min_words)
+                digests, chunk, single = units(text.encode(), min_words)
                 d = _signed(digests)
                 _, first, uses = np.unique(d, return_index=True, return_counts=True)
                 kind = np.full(len(d), AGAIN, np.int8)
                 kind[first] = np.where(uses > 1, REPEATS, 0)
-                kind += found.pop("single") * np.int8(SINGLE)
-                for c, v in (("doc", np.full(len(d), doc)), ("digest", d), ("kind", kind), *found.items()):
+                kind += single * np.int8(SINGLE)
+                for c, v in (("doc", np.full(len(d), doc)), ("digest", d), ("chunk", chunk), ("kind", kind)):
                     out[c].append(v)
             return {c: np.concatenate(v) if v else [] for c, v in out.items()}
 
         return step
 
-    return map_rows(docs, make, _UNIT, chunk=200)
+    return map_rows(docs, make, "doc bigint, digest bigint, chunk int, kind tinyint", chunk=200)
 
 
 def cut_ranges(found: list[dict], min_words: int) -> list[tuple[int, int, int]]:
@@ -194,36 +203,19 @@ def cut_ranges(found: list[dict], min_words: int) -> list[tuple[int, int, int]]:
     return [(a[0], b[0], b[1] - a[1]) for a, b in out if b[1] - a[1] >= min_words]
 
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, spans, removed_words) of the documents (doc, text) with runs of duplicate units.
-
-    spans: start and length in bytes of UTF-8, in order. A unit that repeats stays whole where it is owned.
-    """
+def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc, codes) of the documents (doc, text) with duplicate units: 16 * chunk + 2 * kind of these, and, plus 1, of the units that must stay whole."""
     table = materialize(unit_table(docs, min_words), "units")
     again, repeats = F.col("kind").bitwiseAND(AGAIN) > 0, F.col("kind").bitwiseAND(REPEATS) > 0
     owners = table.filter(~again).groupBy("digest").agg(F.min("doc").alias("owner"), F.count(F.lit(1)).alias("n"))
     owners = owners.filter("n > 1").select("digest", "owner")
-    about = ["doc", "chunk", "place", "length", "word", "words", "kind"]
-    shared = table.filter(~again).join(owners, "digest").select(*about, (F.col("doc") == F.col("owner")).alias("stays"))
+    code = F.col("chunk").cast("bigint") * 16 + F.col("kind") * 2
+    shared = table.filter(~again).join(owners, "digest").select("doc", (code + (F.col("doc") == F.col("owner")).cast("int")).alias("code"))
     # in a text alone: later places go, and the first stays unless another text owns it
-    later = table.filter(again).select(*about, F.lit(False).alias("stays"))
-    alone = table.filter(repeats).join(owners, "digest", "left_anti").select(*about, F.lit(True).alias("stays"))
-    found = shared.unionByName(later).unionByName(alone)
-    by_doc = found.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct(*about[1:], "stays"))).alias("found")).filter(F.exists("found", lambda u: ~u["stays"]))
-
-    def make():
-        def step(cols):
-            out: dict[str, list] = {"doc": [], "spans": [], "removed_words": []}
-            for doc, found in zip(cols["doc"], cols["found"], strict=True):
-                if cut := cut_ranges(found, min_words):
-                    out["doc"].append(doc)
-                    out["spans"].append([{"start": a, "length": b - a} for a, b, _ in cut])
-                    out["removed_words"].append(sum(w for _, _, w in cut))
-            return out
-
-        return step
-
-    return map_rows(by_doc, make, "doc bigint, spans array<struct<start:int,length:int>>, removed_words bigint")
+    later = table.filter(again).select("doc", code.alias("code"))
+    alone = table.filter(repeats).join(owners, "digest", "left_anti").select("doc", (code + 1).alias("code"))
+    by_doc = shared.unionByName(later).unionByName(alone).groupBy("doc").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+    return by_doc.filter(F.exists("codes", lambda c: c % 2 == 0))
 
 
 def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -236,24 +228,34 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     passage is left as it is.
     """
     kept = others(docs, "removed_words", "spans")
-    doc, of_doc, words, spans = fresh(docs, "doc", "of_doc", "words_out", "spans_out")
+    doc, of_doc, codes, raw = fresh(docs, "doc", "of_doc", "codes", "raw")
     keyed = docs.select(*map(col, kept), unique_keys(docs, doc_id, text).alias(doc))
-    found = repeated_spans(keyed.select(col(doc).alias("doc"), col(text).alias("text")), min_words)
-    found = materialize(found.toDF(of_doc, spans, words), "repeated-spans")
+    found = repeated_units(keyed.select(col(doc).alias("doc"), col(text).alias("text")), min_words)
+    found = materialize(found.toDF(of_doc, codes), "repeated-units")
     joined = keyed.join(found, F.col(doc) == F.col(of_doc), "left")
-    raw = col(text).cast("binary")
-    # what stays: from the end of each span (or 0) to the start of the next (or the end)
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.size(spans)),
-        lambda i: F.decode(
-            F.substring(
-                raw,
-                F.when(i == 0, F.lit(1)).otherwise(F.try_element_at(spans, i)["start"] + F.try_element_at(spans, i)["length"] + 1),
-                F.coalesce(F.try_element_at(spans, i + 1)["start"], F.octet_length(raw)) - F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(spans, i)["start"] + F.try_element_at(spans, i)["length"]),
-            ),
-            "UTF-8",
-        ),
-    )
-    rest = F.when(F.col(spans).isNull(), col(text)).otherwise(F.array_join(pieces, ""))
-    out = [rest.alias(c) if c.lower() == text.lower() else col(c) for c in kept]
-    return joined.select(*out, F.coalesce(words, F.lit(0)).cast("bigint").alias("removed_words"), F.coalesce(spans, F.array().cast("array<struct<start:int,length:int>>")).alias("spans"))
+    rest = [c for c in kept if c.lower() != text.lower()]
+
+    def make():
+        def step(cols):
+            out: dict[str, list] = {"rest": [], "removed_words": [], "spans": []}
+            for whole, named in zip(cols[raw], cols[codes], strict=True):
+                cut = cut_ranges(placed(whole.encode(), named), min_words) if named else []
+                if cut:
+                    data, at, left = whole.encode(), 0, []
+                    for a, b, _ in cut:
+                        left.append(data[at:a])
+                        at = b
+                    whole = b"".join([*left, data[at:]]).decode()
+                out["rest"].append(whole)
+                out["removed_words"].append(sum(w for _, _, w in cut))
+                out["spans"].append([{"start": a, "length": b - a} for a, b, _ in cut])
+            return out
+
+        return step
+
+    read = joined.select(*map(col, rest), col(text).alias(raw), codes)
+    cut = map_rows(read, make, "rest string, removed_words bigint, spans array<struct<start:int,length:int>>", rest, chunk=200)
+    (name,) = [c for c in kept if c.lower() == text.lower()]
+    cut = cut.toDF(*[f"c{i}" for i in range(len(rest))], "rest", "removed_words", "spans")
+    of = {c: f"c{i}" for i, c in enumerate(rest)} | {name: "rest"}
+    return cut.select(*[F.col(of[c]).alias(c) for c in kept], "removed_words", "spans")
