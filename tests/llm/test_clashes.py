@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, classifier, common, mixing, multi_index, quality_rules, sharding, simhash, substring_dedup, unigram, url_filter
+from lodestar.llm import bpe, classifier, common, fim, license_scan, mixing, multi_index, quality_rules, sharding, simhash, substring_dedup, unigram, url_filter
 
 NAMES = ["doc", "__doc", "copies", "m", "__n", "__key", "__cutoffs", "__text", "a.b", "Host", "Stratum", "size", "h", "fp", "slice", "mix_key", "text_read", "of_doc", "c`d", "row", "v", "near_key", "quality_key", "spans"]
 
@@ -39,6 +39,8 @@ OPERATORS = {
     "op8_documents": lambda d, labels: simhash.drop_near_duplicates(d),
     "op9": lambda d, labels: unigram.count_tokens(d, unigram.rank_scores([f"<0x{b:02X}>" for b in range(256)])),
     "op10": lambda d, labels: sharding.pack_shards(d, 3),
+    "op11": lambda d, labels: license_scan.scan_licenses(d),
+    "op12": lambda d, labels: fim.fill_in_middle(d),
 }
 
 
