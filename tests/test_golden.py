@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from lodestar.operators import clusters, graph, health, html, matching, migration, portfolio, products, text
+from lodestar.operators import clusters, health, html, matching, migration
 from lodestar.operators import portfolio as p
 from lodestar.sources import exports
 
