@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.operators.graph import connected_components
+from lodestar.operators.setjoin import similar_sets
 from lodestar.plans.dialect import Duck, operator
 from lodestar.sources.shipping import ship
 
@@ -234,3 +235,14 @@ SELECT a.page AS page_a, b.page AS page_b, CASE WHEN lower(a.keyword) = lower(b.
 FROM @pages@ a JOIN @pages@ b ON {stem('a.keyword')} = {stem('b.keyword')} AND a.page < b.page
 UNION ALL SELECT least(s.page, l.page) AS page_a, greatest(s.page, l.page) AS page_b, 'Low' AS severity, s.kind <> l.kind AS cross_type
 FROM @pages@ s JOIN (SELECT page, kind, keyword, {d.explode(d.split('lower(keyword)', ' '))} AS word FROM @pages@) AS l ON lower(s.keyword) = l.word AND lower(s.keyword) <> lower(l.keyword)"""
+
+
+def shared_headings(headings: DataFrame, least: int = 3) -> DataFrame:
+    """B17, rule of shared headings. (page_a, page_b, severity, shared): pairs of pages of ``headings`` (page, h2) with ``least`` common second headings: High.
+
+    Headings count once for each page, without case and outer spaces; blank ones don't. Pages meet by their rarer
+    headings, so those that stand on most pages pair none by themselves.
+    """
+    named = headings.select("page", F.trim(F.lower("h2")).alias("h2")).filter("page IS NOT NULL AND h2 <> ''").distinct()
+    sets = named.groupBy(F.col("page").alias("id")).agg(F.collect_list("h2").alias("tokens"))
+    return similar_sets(sets, least, "count").select(F.col("a").alias("page_a"), F.col("b").alias("page_b"), F.lit("High").alias("severity"), F.col("common").cast("bigint").alias("shared"))

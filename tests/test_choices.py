@@ -98,7 +98,7 @@ def test_chains(spark):
     assert chains.follow(spark.createDataFrame([], "node bigint, next bigint")).count() == 0
 
 
-@pytest.mark.parametrize("measure,share", [("longer", 0.8), ("longer", 0.5), ("jaccard", 0.8), ("jaccard", 0.5), ("jaccard", 1.0)])
+@pytest.mark.parametrize("measure,share", [("longer", 0.8), ("longer", 0.5), ("jaccard", 0.8), ("jaccard", 0.5), ("jaccard", 1.0), ("count", 3)])
 def test_similar_sets(spark, measure, share):
     rnd = random.Random(7)
     sets = {i: sorted({rnd.choice("abcdefghijkl") + str(rnd.randrange(2)) for _ in range(rnd.randrange(9))} | {"the"}) for i in range(150)}
@@ -108,6 +108,6 @@ def test_similar_sets(spark, measure, share):
     for a, x in sets.items():
         for b, y in sets.items():
             common = len(set(x) & set(y))
-            if a < b and x and y and (common > share * max(len(x), len(y)) + 1e-9 if measure == "longer" else common >= share * len(set(x) | set(y)) - 1e-9):
+            if a < b and x and y and (common >= share if measure == "count" else common > share * max(len(x), len(y)) + 1e-9 if measure == "longer" else common >= share * len(set(x) | set(y)) - 1e-9):
                 want[a, b] = common
     assert got == want
