@@ -176,15 +176,14 @@ FROM (SELECT month, urls, lag(urls) OVER (ORDER BY month) AS previous FROM (
 
 
 @operator
-def structural_changes(d: Duck, most: int = 20) -> str:
-    """E11. Path patterns (two segments) that are new in or gone from a year of ``snapshots``, the first ``most`` of each in their order."""
+def structural_changes(d: Duck) -> str:
+    """E11. Path patterns (two segments) that are new in or gone from a year of ``snapshots``, all of them."""
     pattern = d.extract("original", "^(?:https?://[^/]*)?((?:/[^/?#]*){0,2})")
     return f"""
 WITH p AS (SELECT DISTINCT substr(timestamp, 1, 4) AS yr, {pattern} AS pattern FROM @snapshots@),
 y AS (SELECT yr, lag(yr) OVER (ORDER BY yr) AS before, lead(yr) OVER (ORDER BY yr) AS after FROM (SELECT DISTINCT yr FROM p) AS d)
-SELECT year, pattern, change FROM (SELECT *, row_number() OVER (PARTITION BY year, change ORDER BY pattern) AS n FROM (
-  SELECT p.yr AS year, p.pattern, 'new' AS change FROM p JOIN y ON p.yr = y.yr LEFT JOIN p AS q ON q.yr = y.before AND q.pattern = p.pattern WHERE y.before IS NOT NULL AND q.yr IS NULL
-  UNION ALL SELECT y.after AS year, p.pattern, 'removed' AS change FROM p JOIN y ON p.yr = y.yr LEFT JOIN p AS q ON q.yr = y.after AND q.pattern = p.pattern WHERE y.after IS NOT NULL AND q.yr IS NULL) AS c) AS r WHERE n <= {most}"""
+SELECT p.yr AS year, p.pattern, 'new' AS change FROM p JOIN y ON p.yr = y.yr LEFT JOIN p AS q ON q.yr = y.before AND q.pattern = p.pattern WHERE y.before IS NOT NULL AND q.yr IS NULL
+UNION ALL SELECT y.after AS year, p.pattern, 'removed' AS change FROM p JOIN y ON p.yr = y.yr LEFT JOIN p AS q ON q.yr = y.after AND q.pattern = p.pattern WHERE y.after IS NOT NULL AND q.yr IS NULL"""
 
 
 @operator
