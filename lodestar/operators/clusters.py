@@ -23,8 +23,8 @@ from lodestar.sources.shipping import ship
 
 # Words of a url that say nothing.
 SLUG_STOP = ["www", "com", "net", "org", "html", "htm", "php", "asp", "index", "page", "en", "nl", "de"]
-#: Rows of a block of vectors.
-BLOCK = 4096
+#: Rows of a block of vectors, and of a strip that is multiplied at once.
+BLOCK, STRIP = 4096, 256
 
 
 def slug_words(d: Duck, url: str) -> str:
@@ -40,34 +40,52 @@ def keyword_boost(d: Duck, kw: str, url: str, boost: float = 0.05) -> str:
     return f"({d.size(d.intersect(words, slug_words(d, url)))} * {e(boost)} / greatest({d.size(words)}, 1))"
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, key: str = "id", vector: str = "vector", block: int = BLOCK) -> DataFrame:
+def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, key: str = "id", vector: str = "vector", block: int = BLOCK, best: tuple[str, int, float] | None = None) -> DataFrame:
     """B1. (left_id, right_id, similarity) of all pairs with a cosine of at least ``threshold``.
 
-    Blocks of ``block`` rows on either side meet in one task each, whatever the number of rows;
+    Blocks of ``block`` rows on either side meet in one task each, whatever the number of rows, a strip at a time;
     a vector of length zero has cosine zero with all. Null vectors take no part.
+
+    ``best`` (side, k, slack): leaves out the pairs of a row of that side ("left" or "right") that lie more than ``slack``
+    below its k-th best of the block, for whoever wants no more than k of each row: k better ones of the same row stay.
     """
     spark = left.sparkSession
     ship(spark)
     sides = []
-    for df in (left, right):
-        kept = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
-        n = max(1, math.ceil(kept.count() / block))
+    for df, name in ((left, "left"), (right, "right")):
+        size = 4 * block if best and best[0] != name else block  # long rows to choose the best of
+        kept = df.select(F.col(key).alias("id"), F.col(vector).alias("v")).filter("v IS NOT NULL")
+        n = max(1, math.ceil(kept.count() / size))
         sides.append((kept.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n))
     (a, na), (b, nb) = sides
     a = a.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))).withColumnsRenamed({"b": "x", "c": "y"})
     b = b.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(na - 1)))).withColumnsRenamed({"b": "y", "c": "x"})
     kinds = [dict(df.select(key).dtypes)[key] for df in (left, right)]
+    turned = bool(best) and best[0] == "right"
 
     def score(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"left_id": l["id"][:0], "right_id": r["id"][:0], "similarity": np.zeros(0)})
         if l.empty or r.empty:
             return empty
-        p, q = np.stack(l["v"].to_numpy()), np.stack(r["v"].to_numpy())
-        p = p / (np.linalg.norm(p, axis=1, keepdims=True) + 1e-10)
-        q = q / (np.linalg.norm(q, axis=1, keepdims=True) + 1e-10)
-        s = p @ q.T
-        i, j = np.nonzero(s >= threshold)
-        return pd.DataFrame({"left_id": l["id"].to_numpy()[i], "right_id": r["id"].to_numpy()[j], "similarity": s[i, j]})
+        p, q = (np.stack(side["v"].to_numpy()).astype(np.float64) for side in (l, r))
+        p /= np.linalg.norm(p, axis=1, keepdims=True) + 1e-10
+        q /= np.linalg.norm(q, axis=1, keepdims=True) + 1e-10
+        if turned:
+            p, q = q, p
+        rows, columns, values = [], [], []
+        for at in range(0, len(p), STRIP):
+            s = p[at : at + STRIP] @ q.T
+            hit = s >= threshold
+            if best and best[1] < s.shape[1]:
+                hit &= s >= np.partition(s, -best[1], axis=1)[:, -best[1], None] - best[2]
+            i, j = np.nonzero(hit)
+            rows.append((i + at).astype(np.int32))
+            columns.append(j.astype(np.int32))
+            values.append(s[i, j])
+        i, j = np.concatenate(rows), np.concatenate(columns)
+        if turned:
+            i, j = j, i
+        return pd.DataFrame({"left_id": l["id"].to_numpy()[i], "right_id": r["id"].to_numpy()[j], "similarity": np.concatenate(values)})
 
     return a.groupBy("x", "y").cogroup(b.groupBy("x", "y")).applyInPandas(score, f"left_id {kinds[0]}, right_id {kinds[1]}, similarity double")
 

@@ -8,22 +8,35 @@ from lodestar.operators import clusters as c
 from lodestar.operators import health as h
 from lodestar.operators.graph import settled
 from lodestar.plans import fixtures as fx
+from lodestar.plans.dialect import SPARK, run
 from lodestar.plans.registry import declare, query
 
 VECTORS = fx.shaped("fixture_vectors", "SELECT vec_id AS id, embedding AS vector, label FROM @e@ WHERE vec_id % 5 > 0", e=fx.EMBEDDINGS)
 QUESTIONS = fx.shaped("fixture_questions", "SELECT vec_id AS id, embedding AS vector FROM @e@ WHERE vec_id % 5 = 0", e=fx.EMBEDDINGS)
 
 
-def blocked(a, b, threshold: float):
+def blocked(a, b, threshold: float, **options):
     """Pairs by blocks of matrix products in Spark; the oracle multiplies them one by one."""
     node = c.cosine_pairs(a=a, b=b, threshold=threshold)
-    return replace(node, kernel=lambda given: c.similar_pairs(given["a"], given["b"], threshold).selectExpr("left_id", "right_id", "round(similarity, 6) AS similarity"))
+    return replace(node, kernel=lambda given: c.similar_pairs(given["a"], given["b"], threshold, **options).selectExpr("left_id", "right_id", "round(similarity, 6) AS similarity"))
+
+
+def with_best(node, pairs, side: str, k: int, slack: float = 0.0):
+    """``node`` with ``pairs`` (the one with the oracle of PAIRS) in Spark reduced to what can be among the ``k`` best of each row of a side, all told; rounding included."""
+    fewer = blocked(QUESTIONS, VECTORS, 0.2, best=(side, k, slack + 2e-6))
+
+    def swap(n):
+        return fewer if n is pairs else replace(n, inputs={name: swap(x) for name, x in n.inputs.items()}) if n.inputs else n
+
+    reduced = {name: swap(x) for name, x in node.inputs.items()}
+    return replace(node, kernel=lambda given: run(next(iter(given.values())).sparkSession, node.body(SPARK), given), kernel_inputs=reduced)
 
 
 PAIRS = blocked(QUESTIONS, VECTORS, 0.2)
 NAMED = fx.shaped("fixture_named_pairs", "SELECT 'red bolt ' || CAST(left_id AS STRING) AS keyword, '/shop/red-widget-' || CAST(right_id AS STRING) || '/pricing' AS url, similarity FROM @p@", p=PAIRS)
 NAMES = fx.shaped("fixture_keyword_names", "SELECT 'red bolt ' || CAST(id AS STRING) AS keyword, CASE WHEN id % 10 = 0 THEN '/shop/red-widget-' || CAST(id + 1 AS STRING) || '/pricing' ELSE '' END AS actual_url, CAST(id % 40 AS BIGINT) AS actual_rank FROM @q@", q=QUESTIONS)
-MAPPING = c.keyword_mapping(pairs=NAMED, threshold=0.3, top_n=5)
+#: A boost adds 0.05 at most, so the five best of a keyword lie within that of its fifth best cosine.
+MAPPING = with_best(c.keyword_mapping(pairs=NAMED, threshold=0.3, top_n=5), PAIRS, "left", 5, 0.05)
 WHOLE = fx.shaped("fixture_every_vector", "SELECT vec_id AS id, embedding AS vector, label FROM @e@", e=fx.EMBEDDINGS)
 SELF = blocked(WHOLE, WHOLE, 0.3)
 CLOSEST = fx.shaped("fixture_closest", "SELECT id AS url, id + 5 AS closest_match, CAST(80 + id % 20 AS DOUBLE) AS similarity_pct, id + 7 AS closest_semantic_match, round(id % 100 / 100e0, 2) AS semantic_score FROM @v@", v=WHOLE)
