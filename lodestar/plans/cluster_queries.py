@@ -74,13 +74,13 @@ declare("b12_component_cosines", COSINES)
 declare("b12_b13_tfidf_class", c.component_class(parts=COSINES))
 declare("b29_title_overlap", replace(c.titles_in_turn(items=TITLED_ITEMS), kernel=lambda given: c.drop_similar_titles(given["items"])))
 declare("b12_b13_component_class", c.component_class(parts=PARTS))
-declare("b14_keyword_page_topk", c.best_pages(pairs=NAMED, keywords=NAMES, k=5))
+declare("b14_keyword_page_topk", with_best(c.best_pages(pairs=NAMED, keywords=NAMES, k=5), PAIRS, "left", 5))
 declare("b15_cannibalization_severity", replace(c.cannibalization_severity(gsc=fx.QUERY_PAGE), kernel=lambda given: c.cannibalizing_pages(given["gsc"])))
 declare("b18_serp_overlap", SHARED)
 declare("b19_serp_jaccard", JACCARD)
 declare("b23_hub_urls", c.hub_urls(members=MEMBERS, serp=fx.SERP))
 declare("b24_cluster_coherence", c.cluster_coherence(members=MEMBERS, jaccard=JACCARD))
-declare("b26_passage_retrieval", c.passage_retrieval(pairs=PASSAGES, least=0.2))
+declare("b26_passage_retrieval", with_best(c.passage_retrieval(pairs=PASSAGES, least=0.2), PAIRS, "right", 5))
 declare("b27_topical_checks", c.topical_checks(clusters=TOPICS))
 declare("b28_unique_words", c.unique_words(words=WORDS))
 declare("b29_item_dedup", c.item_dedup(items=ITEMS))
