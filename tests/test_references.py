@@ -34,3 +34,12 @@ def test_main_texts_match_their_sql(spark, tmp_path):
 def test_scripts_keep_their_text():
     page = parse_page(PAGE.format(t="a &quot; b"), references=("lt", "gt", "amp"))
     assert page["jsonld"] == ['{"a": "x&y"}'] and page["title"] == "a &quot; b"
+
+
+def test_pages_are_parsed_a_few_at_a_time(spark, monkeypatch):
+    from lodestar.operators import html
+
+    monkeypatch.setattr(html, "PARSED_PAGES", 3)
+    pages = spark.range(20).coalesce(1).selectExpr("id AS page_id", "CAST(NULL AS STRING) AS url", "concat('<title>', id, '</title><p>a b</p>') AS html", "id AS title_id")
+    got = html.parse_pages(pages).select("page_id", "url", "title_id", "title", "word_count").collect()
+    assert sorted(map(tuple, got)) == [(i, None, i, str(i), 3) for i in range(20)]
