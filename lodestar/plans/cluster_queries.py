@@ -38,7 +38,7 @@ NAMES = fx.shaped("fixture_keyword_names", "SELECT 'red bolt ' || CAST(id AS STR
 #: A boost adds 0.05 at most, so the five best of a keyword lie within that of its fifth best cosine.
 MAPPING = with_best(c.keyword_mapping(pairs=NAMED, threshold=0.3, top_n=5), PAIRS, "left", 5, 0.05)
 WHOLE = fx.shaped("fixture_every_vector", "SELECT vec_id AS id, embedding AS vector, label FROM @e@", e=fx.EMBEDDINGS)
-SELF = blocked(WHOLE, WHOLE, 0.3)
+SELF = blocked(WHOLE, WHOLE, 0.3, block=2 * c.BLOCK)
 CLOSEST = fx.shaped("fixture_closest", "SELECT id AS url, id + 5 AS closest_match, CAST(80 + id % 20 AS DOUBLE) AS similarity_pct, id + 7 AS closest_semantic_match, round(id % 100 / 100e0, 2) AS semantic_score FROM @v@", v=WHOLE)
 GROUPED = fx.shaped("fixture_grouped", "SELECT p_partkey AS node, p_partkey % 50 AS root FROM @p@", p=fx.PART)
 GROUPED_PAIRS = fx.shaped("fixture_grouped_pairs", "SELECT p_partkey AS left_id, p_partkey + 50 AS right_id, CAST(p_partkey * 7 % 100 - p_partkey % 50 % 3 * 10 AS DOUBLE) / 100e0 AS similarity, CASE WHEN p_partkey % 50 % 5 = 0 THEN CAST(60 + p_partkey % 50 % 40 AS DOUBLE) END AS minhash_pct FROM @p@", p=fx.PART)
