@@ -7,6 +7,8 @@ one block against one block with a matrix product (see ``similar_pairs``).
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -195,6 +197,94 @@ SELECT p.pair, {cosines} FROM @pairs@ p LEFT JOIN (
 ON p.pair = c.pair GROUP BY p.pair"""
 
 
+#: Terms of two pages or more that are sent to the tasks at most; beyond, the weights are joined as rows.
+MOST_TERMS = 500_000
+
+
+def cosines_of_parts(pages: DataFrame, pairs: DataFrame) -> DataFrame:
+    """B12. Rows as of ``component_cosines`` over the weights of ``pages``, with one row for each page instead of one for each term.
+
+    A page's terms are counted where its text is and move as one list; the numbers of pages that use a term go to the
+    tasks. A term of one page adds to its length only. A page is not joined with itself: its cosine is 1 where it has words.
+    """
+    spark = pages.sparkSession
+    ship(spark)
+    kind = dict(pages.dtypes)["id"]
+
+    few = lambda batches: (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256))
+
+    def count(batches):
+        for batch in few(batches):
+            terms, times = [], []
+            for texts in zip(*(batch[p].to_pylist() for p in PARTS), strict=True):
+                counts = Counter(f"{k}{word}" for k, text in enumerate(texts) if text for word in re.findall("[a-z0-9]+", text))
+                terms.append(list(counts))
+                times.append(list(counts.values()))
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(terms, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32()))], ["id", "terms", "times"])
+
+    bags = pages.select("id", *[F.lower(p).alias(p) for p in PARTS]).mapInArrow(count, f"id {kind}, terms array<string>, times array<int>")
+    bags = settled(bags.groupBy("id").agg(F.flatten(F.collect_list("terms")).alias("terms"), F.flatten(F.collect_list("times")).alias("times")))
+    uses = bags.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("uses")).filter("uses > 1")
+    uses = settled(uses)
+    if uses.count() > MOST_TERMS:
+        return component_cosines(pairs=pairs, weights=settled(tfidf_weights(pages=pages)))
+    rare = math.log((1.0 + (n := pages.count())) / 2.0) + 1.0
+    rows = uses.collect()
+    known = spark.sparkContext.broadcast({r["term"]: k for k, r in enumerate(rows)})
+    idf = spark.sparkContext.broadcast(np.array([math.log((1.0 + n) / (1.0 + r["uses"])) + 1.0 for r in rows]))
+
+    def number(batches):
+        codes_of, weight = known.value, idf.value
+        for batch in few(batches):
+            codes, times, norms = [], [], []
+            for terms, counts in zip(batch["terms"].to_pylist(), batch["times"].to_pylist(), strict=True):
+                bag: dict[str, int] = {}
+                for term, k in zip(terms, counts, strict=True):
+                    bag[term] = bag.get(term, 0) + k
+                squares = [0.0] * len(PARTS)
+                shared = []
+                for term, k in bag.items():
+                    code = codes_of.get(term)
+                    squares[int(term[0])] += (k * (rare if code is None else weight[code])) ** 2
+                    if code is not None:
+                        shared.append((code * len(PARTS) + int(term[0]), k))
+                shared.sort()
+                codes.append([c for c, _ in shared])
+                times.append([k for _, k in shared])
+                norms.append([math.sqrt(x) for x in squares])
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(codes, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32())), pa.array(norms, pa.list_(pa.float64()))], ["id", "codes", "times", "norms"])
+
+    vectors = settled(bags.filter("id IS NOT NULL").mapInArrow(number, f"id {kind}, codes array<int>, times array<int>, norms array<double>"))
+    each = [F.when(F.col("norms")[k] > 0, 1.0).otherwise(0.0).alias(p) for k, p in enumerate(PARTS)]
+    same = pairs.filter("left_id = right_id").join(vectors.select(F.col("id").alias("left_id"), "norms"), "left_id").select("pair", *each)
+    sides = [vectors.select(F.col("id").alias(to), F.struct("codes", "times", "norms").alias(side)) for to, side in (("left_id", "a"), ("right_id", "b"))]
+    both = pairs.filter("left_id <> right_id").join(sides[0], "left_id").join(sides[1], "right_id").select("pair", "a", "b")
+
+    def multiply(batches):
+        weight = idf.value
+        for batch in few(batches):
+            out = np.zeros((len(PARTS), batch.num_rows))
+            lists = {}
+            for side in ("a", "b"):
+                fields = [batch[side].field(k) for k in range(3)]
+                bounds = np.concatenate(([0], np.cumsum(fields[0].value_lengths().to_numpy())))
+                lists[side] = bounds, fields[0].flatten().to_numpy(), fields[1].flatten().to_numpy(), fields[2].flatten().to_numpy().reshape(-1, len(PARTS))
+            (ba, ca, ta, na), (bb, cb, tb, nb) = lists["a"], lists["b"]
+            for i in range(batch.num_rows):
+                common, x, y = np.intersect1d(ca[ba[i] : ba[i + 1]], cb[bb[i] : bb[i + 1]], assume_unique=True, return_indices=True)
+                products = ta[ba[i] + x] * tb[bb[i] + y] * weight[common // len(PARTS)] ** 2
+                sums = np.bincount(common % len(PARTS), products, len(PARTS))
+                lengths = na[i] * nb[i]
+                out[:, i] = np.divide(sums, lengths, out=np.zeros(len(PARTS)), where=lengths > 0)
+            yield pa.RecordBatch.from_arrays([batch["pair"], *map(pa.array, out)], ["pair", *PARTS])
+
+    met = both.mapInArrow(multiply, f"pair {dict(pairs.dtypes)['pair']}, " + ", ".join(f"{p} double" for p in PARTS)).unionByName(same)
+    # a pair given several times counts as often for each of its rows, as in the SQL; a null one meets none
+    given = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("given"))
+    sums = met.groupBy("pair").agg(*[F.sum(p).alias(p) for p in PARTS])
+    return given.join(sums, "pair", "left").select("pair", *[F.coalesce(F.round(F.col("given") * F.col(p), 6), F.lit(0.0)).alias(p) for p in PARTS])
+
+
 @operator
 def best_pages(d: Duck, k: int = 5) -> str:
     """B14. The k best pages of each keyword, mismatch with the ranking page, and misallocation (mismatch within rank 20)."""

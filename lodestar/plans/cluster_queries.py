@@ -6,7 +6,6 @@ from dataclasses import replace
 
 from lodestar.operators import clusters as c
 from lodestar.operators import health as h
-from lodestar.operators.graph import settled
 from lodestar.plans import fixtures as fx
 from lodestar.plans.dialect import SPARK, run
 from lodestar.plans.registry import declare, query
@@ -66,8 +65,7 @@ WORDED = fx.shaped(
     d=fx.DOCUMENTS,
 )
 NEIGHBOURS = fx.shaped("fixture_neighbours", "SELECT a.doc_id AS pair, a.doc_id AS left_id, b.doc_id AS right_id FROM @d@ a JOIN @d@ b ON b.doc_id = a.doc_id + 1 UNION ALL SELECT -1 - doc_id AS pair, doc_id AS left_id, doc_id AS right_id FROM @d@", d=fx.DOCUMENTS)
-WEIGHTS = replace(c.tfidf_weights(pages=WORDED), kernel=lambda given: settled(c.tfidf_weights(pages=given["pages"])))
-COSINES = c.component_cosines(pairs=NEIGHBOURS, weights=WEIGHTS)
+COSINES = replace(c.component_cosines(pairs=NEIGHBOURS, weights=c.tfidf_weights(pages=WORDED)), kernel=lambda given: c.cosines_of_parts(given["pages"], given["pairs"]), kernel_inputs={"pages": WORDED, "pairs": NEIGHBOURS})
 TITLED_ITEMS = fx.shaped("fixture_titled_items", "SELECT p_partkey AS id, CASE WHEN p_partkey % 90 = 0 THEN '' ELSE lower(p_type) || ' ' || replace(p_brand, '#', ' ') || ' made to last ' || CASE WHEN p_size > 25 THEN 'and to please' ELSE p_name END END AS title, CAST(p_partkey * 7919 % 1009 AS BIGINT) AS length FROM @p@", p=fx.PART)
 
 declare("b12_component_cosines", COSINES)
