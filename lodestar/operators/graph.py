@@ -94,6 +94,12 @@ WITH rated AS (SELECT n.*, c.orphan, c.dead_end, c.hub, c.authority, c.bridge FR
 {parts}"""
 
 
+def lists_of_graph(nodes: DataFrame, min_links: int = 0) -> DataFrame:
+    """D7. ``graph_lists`` of ``nodes`` and their ``classify_nodes``, both made once for all lists."""
+    nodes = settled(nodes)
+    return graph_lists(nodes=nodes, classes=settled(classify_nodes(nodes)), min_links=min_links)
+
+
 _GENERIC = ", ".join(text(a) for a in GENERIC_ANCHORS)
 
 

@@ -29,7 +29,7 @@ SPARSE = fx.shaped("fixture_sparse_pairs", "SELECT DISTINCT o_custkey * 2 AS a,
 declare("d1_build_edges", EDGES)
 declare("d2_degrees", DEGREES)
 declare("d5_d6_node_classes", CLASSES)
-declare("d7_graph_lists", g.graph_lists(nodes=RATED, classes=CLASSES, min_links=3))
+declare("d7_graph_lists", replace(g.graph_lists(nodes=RATED, classes=CLASSES, min_links=3), kernel=lambda given: g.lists_of_graph(given["nodes"], 3), kernel_inputs={"nodes": RATED}))
 declare("d7_graph_summary", g.graph_summary(edges=EDGES, degrees=DEGREES))
 declare("d8_analyze_anchors", g.analyze_anchors(links=LINKS))
 declare("d9_duplicate_anchors", g.duplicate_anchors(links=LINKS))
