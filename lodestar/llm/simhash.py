@@ -258,19 +258,91 @@ def candidate_pairs(texts: DataFrame, similarity: float, distance: int) -> DataF
     return pairs.select(F.least("one.t", "center.t").alias("t"), F.greatest("one.t", "center.t").alias("c")).distinct()
 
 
+#: Of the texts, one in SAMPLE tells which shingles are common: in COMMON of those at least, the MOST_COMMON commonest. Their order depends on it, no link does.
+SAMPLE, COMMON, MOST_COMMON = 16, 8, 1_000_000
+
+
+def common_shingles(docs: DataFrame, shingle_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of common shingles, and their number of uses in a sample of the texts."""
+    some = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    make = lambda: lambda cols: {"h": [x for t in cols["text"] for x in np.unique(shingle_hashes(t or "", shingle_words)).view(np.int64).tolist()]}
+    uses = map_rows(some, make, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("uses")).filter(F.col("uses") >= COMMON)
+    found = uses.orderBy(F.desc("uses"), "h").limit(MOST_COMMON).toPandas()
+    h, n = found["h"].to_numpy(np.int64).view(np.uint64), found["uses"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def first_shingles(h: np.ndarray, common: np.ndarray, uses: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of the distinct shingles ``h``, by uses if common and then by hash, so many that two sets as similar share one of them."""
+    if not len(h):
+        return h
+    rank = np.zeros(len(h), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        rank = np.where(common[at] == h, uses[at], 0)
+    return h[np.lexsort((h, rank))][: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]
+
+
+def pairs_across(docs: DataFrame, texts: DataFrame, linked: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """(t, c): every pair of ``texts`` (t, doc_key, n) in unlike components of ``linked`` (a, b) that may be as similar.
+
+    Sets as similar have a common shingle among the first of either, in whatever order, and so many of them that the
+    shingles behind could make up the rest. Common shingles come last. Pairs within a component change nothing and are not formed.
+    """
+    of = materialize(components(linked), "linked-components")
+    numbered = texts.filter("n > 0").select("t", "doc_key", "n").join(of.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
+    numbered = materialize(numbered.withColumn("num", F.monotonically_increasing_id()), "numbered-texts")
+    numbered = numbered.join(numbered.groupBy("root").agg(F.min("num").alias("of")), "root").select("t", "doc_key", "n", "num", "of")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle_words))  # MOST_COMMON at most
+
+    def make():
+        known, uses = common.value
+        firsts = lambda x: first_shingles(np.unique(shingle_hashes(x or "", shingle_words)), known, uses, similarity).view(np.int64).tolist()
+        return lambda cols: {"h": [firsts(x) for x in cols["text"]]}
+
+    heads = map_rows(docs.select("doc_key", "text"), make, "h array<bigint>", ["doc_key"]).dropDuplicates(["doc_key"])
+    heads = materialize(heads.join(numbered, "doc_key").select("t", "n", "num", "of", "h"), "first-shingles")
+    places = heads.select("n", "num", "of", F.posexplode("h").alias("place", "h"))
+    mixed = places.groupBy("h").agg(F.min("of").alias("least"), F.max("of").alias("most")).filter("least < most").select("h")
+    mixed = materialize(mixed, "shingles-across")
+    mixed = F.broadcast(mixed) if mixed.count() <= MOST_SENT else mixed
+    hits = materialize(places.join(mixed, "h"), "places-across")
+    groups = hits.select("h", "of").distinct()
+    met = groups.toDF("h", "of_a").join(groups.toDF("h", "of_b"), "h").filter("of_a < of_b")
+    side = lambda k: hits.select("h", *[F.col(c).alias(f"{c}_{k}") for c in ("n", "num", "of", "place")])
+    both = met.join(side("a"), ["h", "of_a"]).join(side("b"), ["h", "of_b"])
+    sizes = F.least("n_a", "n_b") >= F.lit(float(similarity)) * F.greatest("n_a", "n_b") - 1e-9
+    counted = both.filter(sizes).groupBy("num_a", "num_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("common"), F.max("place_a").alias("last_a"), F.max("place_b").alias("last_b"))
+    # the rest of those first shingles that end earlier meets none of the other set
+    rest = lambda x, y: F.least(F.ceil(F.lit(float(similarity)) * F.col(f"n_{x}") - 1e-9) - 1, F.col(f"n_{y}") - F.col(f"last_{y}") - 1)
+    enough = F.col("common") + F.greatest(rest("a", "b"), rest("b", "a")) >= (F.col("n_a") + F.col("n_b")) * (similarity / (1 + similarity)) - 1e-9
+    pairs = counted.filter(enough)
+    name = lambda k, c: heads.select(F.col("num").alias(f"num_{k}"), F.col("t").alias(c))
+    return pairs.join(name("a", "t"), "num_a").join(name("b", "c"), "num_b").select("t", "c")
+
+
 def similar_links(docs: DataFrame, sketched: DataFrame, shingle_words: int, similarity: float, distance: int = DISTANCE, exact: bool = False) -> DataFrame:
     """(a, b): texts (by MD5) with a Jaccard similarity of at least ``similarity``, each pair compared by its whole sets of shingles.
 
-    ``docs``: doc_key, text; ``sketched``: a stored table of its ``sketches``. Compared are the ``candidate_pairs``, so
-    a pair that only other texts of its groups could have brought together may be missed; ``exact`` finds
-    every pair instead, by prefix filters over all shingles, and moves all of them once.
+    ``docs``: doc_key, text; ``sketched``: a stored table of its ``sketches``. Compared are the ``candidate_pairs``, and
+    then all ``pairs_across`` the components of the links found among them, so the links have the components of
+    all similar pairs. ``exact`` finds every pair, those within components too, by prefix filters over all shingles, and moves all of them once.
     """
     texts = materialize(sketched.select("t", "doc_key", "fp", "n", "bands").dropDuplicates(["t"]), "texts")
     if exact:
         whole = docs.join(texts.select("doc_key", "t"), "doc_key").select("t", "text").dropDuplicates(["t"])
         make = lambda: lambda cols: {"tokens": [np.unique(shingle_hashes(x or "", shingle_words)).view(np.int64).tolist() for x in cols["text"]]}
         return similar_sets(map_rows(whole, make, "tokens array<bigint>", ["t"]).withColumnRenamed("t", "id"), similarity, "jaccard").select("a", "b")
-    pairs = materialize(candidate_pairs(texts, similarity, distance), "candidate-pairs")
+    proposed = compared(docs, texts, candidate_pairs(texts, similarity, distance), shingle_words, similarity)
+    proposed = materialize(proposed, "proposed-links")
+    return proposed.unionByName(compared(docs, texts, pairs_across(docs, texts, proposed, shingle_words, similarity), shingle_words, similarity))
+
+
+def compared(docs: DataFrame, texts: DataFrame, pairs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """(a, b): those of ``pairs`` (t, c) of ``texts`` that are as similar."""
+    tasks = 4 * docs.sparkSession.sparkContext.defaultParallelism  # pairs are small, and long to compare
+    pairs = materialize(pairs.repartition(tasks), "candidate-pairs")
     met = pairs.select("t").union(pairs.select("c")).distinct()
     met = materialize(texts.select("t", "doc_key").join(met, "t", "left_semi"), "met-keys")
     # texts stay where they are while the keys of those that are read again are few enough to be sent to them

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.llm import simhash
 
@@ -73,3 +75,25 @@ def test_recall_among_template_texts(spark, exact):
     left = {x.doc_id for x in simhash.drop_near_duplicates(docs, shingle_words=5, similarity=0.8, exact=exact).collect()}
     assert set(range(300)) <= left and {1000 + i for i in range(60)} - close <= left
     assert len(close) >= 40 and len(left & close) <= (0 if exact else 0.1 * len(close))
+
+
+def test_every_similar_text_of_a_template_goes(spark):
+    """Texts of one template with close copies: none stays beside a text it is 0.8 like, whatever their groups propose."""
+    r = random.Random(11)
+    rows = template_texts(300, 200, 100)
+    for i in range(60):
+        w = rows[i][1].split()
+        for at in r.sample(range(10, 290), 4 if i % 2 else 5):
+            w[at] = "changed"
+        rows.append((1000 + i, " ".join(w), "en", "web", 1))
+    close = {1000 + i for i in range(60) if jaccard(rows[i][1], rows[300 + i][1]) >= 0.8}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert left == {x[0] for x in rows} - close
+    keyed = docs.select(F.md5("text").alias("doc_key"), "text")
+    sketched = simhash.sketches(keyed, 5)
+    texts = sketched.select("t", "doc_key", "fp", "n", "bands")
+    none = spark.createDataFrame([], "a binary, b binary")
+    pairs = {frozenset((bytes(x.t).hex(), bytes(x.c).hex())) for x in simhash.pairs_across(keyed, texts, none, 5, 0.8).collect()}
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    assert {frozenset((md5(rows[c - 1000][1]), md5(rows[300 + c - 1000][1]))) for c in close} <= pairs
