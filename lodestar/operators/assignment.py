@@ -2,33 +2,47 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.operators.graph import settled
+from lodestar.sources.shipping import ship
+
+#: Edges of a range of rows that choose in one task.
+RANGE_EDGES = 4_000_000
 
 
 def assign_in_order(edges: DataFrame) -> DataFrame:
     """One-to-one choice in row order: ``edges`` (row, target, choice, ...), each row takes its first choice that is still free.
 
     The rows choose one after another, by ``row``; lower ``choice`` goes first, then the smaller target.
-    An edge is certain if it is the first one left at its row and its row is the first one left at
-    its target, so each round fixes all such edges at once and strikes what they exclude. The
-    outcome is that of the sequential loop. Rounds end when no edge is left; each is a written table.
+    In a round, each range of rows chooses by itself, as the loop would, and a target turns away all rows behind the first
+    of those that took it. What is struck so is never had by that row in the loop, and once no two rows take one
+    target, the outcome is that of the loop. The k-th range is settled after k rounds at the latest. Each round is a written table.
     """
-    left, fixed = settled(edges), []
+    ship(edges.sparkSession)
+    left, kinds = settled(edges), dict(edges.dtypes)
+
+    def choose(batches):
+        taken, done = set(), None
+        for batch in batches:
+            keep = []
+            for k, (row, target) in enumerate(zip(batch["row"].to_pylist(), batch["target"].to_pylist(), strict=True)):
+                if row != done and target not in taken:
+                    taken.add(target)
+                    done = row
+                    keep.append(k)
+            yield batch.take(pa.array(keep, pa.int64()))
+
     while True:
-        of_row = Window.partitionBy("row").orderBy("choice", "target")
-        firsts = left.groupBy(F.col("target").alias("t")).agg(F.min("row").alias("first_row"))
-        ranked = left.withColumn("n", F.row_number().over(of_row)).filter("n = 1").drop("n")
-        sure = settled(ranked.join(firsts, (F.col("target") == F.col("t")) & (F.col("row") == F.col("first_row"))).drop("t", "first_row"))
-        if sure.isEmpty():
-            break
-        fixed.append(sure)
-        left = settled(left.join(sure.select("row"), "row", "left_anti").join(sure.select("target"), "target", "left_anti").select(edges.columns))
-    return reduce(DataFrame.unionByName, fixed) if fixed else left
+        ranges = max(1, -(-left.count() // RANGE_EDGES))
+        asks = left.repartitionByRange(ranges, "row").sortWithinPartitions("row", "choice", "target")
+        asks = settled(asks.mapInArrow(choose, ", ".join(f"`{c}` {t}" for c, t in kinds.items())))
+        held = asks.groupBy(F.col("target").alias("t")).agg(F.min("row").alias("holder"))
+        if asks.count() == held.count():
+            return asks
+        left = settled(left.join(held, F.col("target") == F.col("t"), "left").filter("holder IS NULL OR row <= holder").select(edges.columns))
 
 
 def keep_in_order(nodes: DataFrame, pairs: DataFrame) -> DataFrame:

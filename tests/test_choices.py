@@ -111,3 +111,20 @@ def test_similar_sets(spark, measure, share):
             if a < b and x and y and (common >= share if measure == "count" else common > share * max(len(x), len(y)) + 1e-9 if measure == "longer" else common >= share * len(set(x) | set(y)) - 1e-9):
                 want[a, b] = common
     assert got == want
+
+
+@pytest.mark.parametrize("edges_a_range,most", [(4_000_000, 2), (90, 44)])
+def test_rows_that_want_the_same(spark, monkeypatch, edges_a_range, most):
+    """Rows of one list of wishes take a round for each range of them, not for each row, and end as the loop does."""
+    monkeypatch.setattr(assignment, "RANGE_EDGES", edges_a_range, raising=False)
+    tables, settled = [], assignment.settled
+    monkeypatch.setattr(assignment, "settled", lambda df: tables.append(1) or settled(df))
+    edges = [(row, target, (target * 7 + row % 2) % 5) for row in range(45) for target in range(40)]
+    got = {(r.row, r.target) for r in assignment.assign_in_order(spark.createDataFrame(edges, "row bigint, target bigint, choice int")).collect()}
+    taken, want = set(), set()
+    for row in range(45):
+        wishes = sorted((c, t) for r, t, c in edges if r == row and t not in taken)
+        if wishes:
+            taken.add(wishes[0][1])
+            want.add((row, wishes[0][1]))
+    assert got == want and len(tables) <= most
