@@ -31,7 +31,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: pairs that SimHash and minimum hashes propose, with five-word shingles of a similarity of 0.8 or more.
+    """One document of each group of near-duplicates: pairs with five-word shingles of a similarity of 0.8 or more, those that SimHash and minimum hashes propose first.
 
     Documents that no chain of such pairs unites all stay. The smallest id of a group stays, a null one first; rows that share id and text are one
     document. Null, empty and wordless texts are one group. Texts that tie go by a hash of the row.
