@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from itertools import accumulate, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,28 +139,97 @@ def fuzzy_matches(own: DataFrame, other: DataFrame, threshold: float = 90.0) ->
     return rated.withColumn("n", F.row_number().over(first)).filter("n = 1").select("own_id", "other_id", F.round("ratio", 4).alias("ratio"))
 
 
+#: Longs of a bitmap of a set of shingles, and the constants of XXH64.
+BITMAP = 16
+_XX = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+
+
+def _rotated(x: np.ndarray, bits: int) -> np.ndarray:
+    return x << np.uint64(bits) | x >> np.uint64(64 - bits)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(33)) * _XX[1]
+    h = (h ^ h >> np.uint64(29)) * _XX[2]
+    return h ^ h >> np.uint64(32)
+
+
+#: Shingles whose minimum hashes are made at once.
+AT_ONCE = 4_096
+
+
+def least_hashes(sets: list[np.ndarray], n: int) -> list[np.ndarray]:
+    """For each of ``sets`` (of longs, not empty) the smallest xxhash64(x, t) of its x for each int t below ``n``, as by the SQL function."""
+    out, k = [], 0
+    while k < len(sets):
+        first, size = k, 0
+        while k < len(sets) and size < AT_ONCE:
+            size += len(sets[k])
+            k += 1
+        x = np.concatenate(sets[first:k]).view(np.uint64)
+        starts = np.cumsum([0, *map(len, sets[first : k - 1])])
+        x = _rotated(x * _XX[1], 31) * _XX[0] ^ np.full(1, 42 + 8, np.uint64) + _XX[4]
+        x = _mixed(_rotated(x, 27) * _XX[0] + _XX[3]) + (_XX[4] + np.full(1, 4, np.uint64))
+        least = [np.minimum.reduceat(_mixed(_rotated(x ^ np.full(1, t, np.uint64) * _XX[0], 23) * _XX[1] + _XX[2]).view(np.int64), starts) for t in range(n)]
+        out += list(np.array(least).T)
+    return out
+
+
+def shingle_set(lower: str, k: int) -> np.ndarray:
+    """Distinct hashes (as longs) of the k-word shingles of a text in lower case; words are runs of ASCII letters, digits and _."""
+    words = re.findall("[A-Za-z0-9_]+", lower)
+    joined, ends = " ".join(words).encode(), list(accumulate(len(w) + 1 for w in words))
+    places = map(slice, [0, *ends], [x - 1 for x in ends[k - 1 :]])
+    return np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, map(joined.__getitem__, places), repeat(42))), ">i8").astype(np.int64))
+
+
+def _sketches(texts: DataFrame, k: int, hashes: int) -> DataFrame:
+    """(id, n, s, least, bits) of ``texts`` (id, text: in lower case) with k words at least: the set of shingles, its size, minimum hashes and bitmap.
+
+    A bit of the bitmap is the parity of the shingles that fall on it, so two sets differ by as many shingles as bits at least.
+    """
+    ship(texts.sparkSession)
+
+    def sketch(batches):
+        for batch in batches:
+            sets = [shingle_set(t, k) for t in batch["text"].to_pylist()]
+            some = [len(s) > 0 for s in sets]
+            sets = [s for s in sets if len(s)]
+            bits = [np.packbits(np.bincount(s & (64 * BITMAP - 1), minlength=64 * BITMAP) & 1).view(np.int64) for s in sets]
+            lists = lambda xs: pa.ListArray.from_arrays(np.cumsum([0, *map(len, xs)], dtype=np.int32), pa.array(np.concatenate([np.zeros(0, np.int64), *xs])))
+            columns = [batch["id"].filter(pa.array(some, pa.bool_())), pa.array([len(s) for s in sets], pa.int32()), lists(sets), lists(least_hashes(sets, hashes)), lists(bits)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "s", "least", "bits"])
+
+    return texts.mapInArrow(sketch, f"id {dict(texts.dtypes)['id']}, n int, s array<bigint>, least array<bigint>, bits array<bigint>")
+
+
 def minhash_duplicates(docs: DataFrame, threshold: float = 0.9, k: int = 5, tables: int = 8) -> DataFrame:
     """B10. Pairs of ``docs`` (id, text) whose sets of k-word shingles have a Jaccard similarity of at least the threshold.
 
     Equal texts are one document, the one with the smallest id, so copies don't square: every
     other copy, of a text of any length, has one row with it (id_a; copy is true). Null texts
-    have no copies. Candidates share one of ``tables`` bands of two minimum hashes; the
-    similarity is exact.
+    have no copies. Candidates share one of ``tables`` bands of two minimum hashes, and their sizes and bitmaps
+    don't rule the threshold out; the similarity is exact. Shingles are made once, and move for candidates alone.
     """
-    words = F.filter(F.split(F.lower("text"), r"\W+"), lambda w: w != "")
-    one = docs.groupBy("text").agg(F.min("id").alias("id")).select("id", words.alias("w")).filter(F.size("w") >= k)
-    shingles = one.select("id", F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " ")))).alias("s"))
-    least = lambda t: F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(t))))
-    bands = F.array(*[F.xxhash64(F.lit(t), least(2 * t), least(2 * t + 1)) for t in range(tables)])
-    keyed = shingles.select("id", F.explode(bands).alias("band"))
-    pairs = keyed.alias("a").join(keyed.alias("b"), F.col("a.band") == F.col("b.band")).filter("a.id < b.id").select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
-    a = shingles.select(F.col("id").alias("id_a"), F.col("s").alias("s_a"))
-    b = shingles.select(F.col("id").alias("id_b"), F.col("s").alias("s_b"))
+    one = docs.filter("text IS NOT NULL").groupBy("text").agg(F.min("id").alias("id")).select("id", F.lower("text").alias("text"))
+    sets = settled(_sketches(one, k, 2 * tables))
+    bands = F.array(*[F.xxhash64(F.lit(t), F.col("least")[2 * t], F.col("least")[2 * t + 1]) for t in range(tables)])
+    keyed = sets.select("id", "n", *[F.col("bits")[i].alias(f"bits{i}") for i in range(BITMAP)], F.explode(bands).alias("band"))
+    unlike = sum((F.bit_count(F.col(f"a.bits{i}").bitwiseXOR(F.col(f"b.bits{i}"))) for i in range(BITMAP)), F.lit(0))
+    # sets that are alike enough have sizes that are, and differ by no more shingles than this
+    near_sizes = F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9
+    near_bits = unlike <= (F.col("a.n") + F.col("b.n")) * ((1 - threshold) / (1 + threshold)) + 1e-9
+    met = keyed.alias("a").join(keyed.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id")) & near_sizes & near_bits)
+    pairs = settled(met.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct())
+    a = sets.select(F.col("id").alias("id_a"), F.col("s").alias("s_a"))
+    b = sets.select(F.col("id").alias("id_b"), F.col("s").alias("s_b"))
+    a, b = a.join(pairs.select("id_a"), "id_a", "left_semi"), b.join(pairs.select("id_b"), "id_b", "left_semi")
     both = F.size(F.array_intersect("s_a", "s_b"))
     found = pairs.join(a, "id_a").join(b, "id_b").withColumn("jaccard", both / (F.size("s_a") + F.size("s_b") - both))
     near = found.filter(F.col("jaccard") >= threshold).select("id_a", "id_b", F.round("jaccard", 6).alias("jaccard"), F.lit(False).alias("copy"))
-    kept = docs.groupBy("text").agg(F.min("id").alias("id_a"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND text IS NOT NULL").select("text", "id_a")
-    copies = docs.join(kept, "text").filter("id <> id_a").select("id_a", F.col("id").alias("id_b"), F.lit(1.0).alias("jaccard"), F.lit(True).alias("copy"))
+    named = docs.filter("text IS NOT NULL").select("id", F.unhex(F.sha2("text", 256)).alias("of"))
+    kept = named.groupBy("of").agg(F.min("id").alias("id_a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("of", "id_a")
+    copies = named.join(kept, "of").filter("id <> id_a").select("id_a", F.col("id").alias("id_b"), F.lit(1.0).alias("jaccard"), F.lit(True).alias("copy"))
     return near.unionByName(copies.distinct())
 
 
