@@ -430,6 +430,19 @@ SELECT cluster, size, round(mean, 4) AS coherence, CASE WHEN mean >= 5e-1 THEN '
     GROUP BY a.cluster) AS j ON s.cluster = j.cluster) AS m"""
 
 
+def jaccard_within(members: DataFrame, serp: DataFrame) -> DataFrame:
+    """B24. Rows as of ``serp_jaccard`` (without shared) for pairs of keywords with a common cluster of ``members``, the only ones that coherence needs.
+
+    Keywords meet by cluster and url, so pairs between clusters are never formed.
+    """
+    sizes = serp.groupBy("keyword").agg(F.count_distinct("url").alias("n"))
+    placed = serp.join(members.filter("cluster IS NOT NULL").select("keyword", "cluster").distinct(), "keyword").join(sizes, "keyword")
+    a, b = (placed.select("cluster", "url", F.col("keyword").alias(f"keyword_{k}"), F.col("n").alias(f"n_{k}")) for k in "ab")
+    met = a.join(b, ["cluster", "url"]).filter("keyword_a < keyword_b")
+    shared = met.groupBy("cluster", "keyword_a", "keyword_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared"))
+    return shared.select("keyword_a", "keyword_b", F.round(F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")).cast("double"), 4).alias("jaccard")).distinct()
+
+
 @operator
 def passage_retrieval(d: Duck, k: int = 5, least: float = 0.3) -> str:
     """B26. The best queries of each passage in ``pairs`` (passage, query, similarity), its mean over the top three and rating."""

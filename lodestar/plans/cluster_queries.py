@@ -6,6 +6,7 @@ from dataclasses import replace
 
 from lodestar.operators import clusters as c
 from lodestar.operators import health as h
+from lodestar.operators.graph import settled
 from lodestar.plans import fixtures as fx
 from lodestar.plans.dialect import SPARK, run
 from lodestar.plans.registry import declare, query
@@ -31,6 +32,16 @@ def with_best(node, pairs, side: str, k: int, slack: float = 0.0):
     return replace(node, kernel=lambda given: run(next(iter(given.values())).sparkSession, node.body(SPARK), given), kernel_inputs=reduced)
 
 
+def coherent(node, members, serp):
+    """``node``, coherence of clusters, in Spark over stored ``members`` and only those pairs of keywords that share a cluster."""
+
+    def kernel(given):
+        stored = settled(given["members"])
+        return run(stored.sparkSession, node.body(SPARK), {"members": stored, "jaccard": c.jaccard_within(stored, given["serp"])})
+
+    return replace(node, kernel=kernel, kernel_inputs={"members": members, "serp": serp})
+
+
 PAIRS = blocked(QUESTIONS, VECTORS, 0.2)
 NAMED = fx.shaped("fixture_named_pairs", "SELECT 'red bolt ' || CAST(left_id AS STRING) AS keyword, '/shop/red-widget-' || CAST(right_id AS STRING) || '/pricing' AS url, similarity FROM @p@", p=PAIRS)
 NAMES = fx.shaped("fixture_keyword_names", "SELECT 'red bolt ' || CAST(id AS STRING) AS keyword, CASE WHEN id % 10 = 0 THEN '/shop/red-widget-' || CAST(id + 1 AS STRING) || '/pricing' ELSE '' END AS actual_url, CAST(id % 40 AS BIGINT) AS actual_rank FROM @q@", q=QUESTIONS)
@@ -44,6 +55,7 @@ GROUPED_PAIRS = fx.shaped("fixture_grouped_pairs", "SELECT p_partkey AS left_id,
 SHARED = c.serp_overlap(serp=fx.SERP)
 JACCARD = c.serp_jaccard(overlap=SHARED, serp=fx.SERP)
 MEMBERS = fx.shaped("fixture_members", "SELECT DISTINCT keyword, CAST(CAST(keyword AS BIGINT) % 100 AS BIGINT) AS cluster FROM @s@", s=fx.SERP)
+COHERENCE = coherent(c.cluster_coherence(members=MEMBERS, jaccard=JACCARD), replace(MEMBERS, inputs={"s": fx.STORED_SERP}), fx.STORED_SERP)
 DOCS = fx.shaped("fixture_docs", "SELECT doc_id AS id, text FROM @d@", d=fx.DOCUMENTS)
 PARTS = fx.shaped("fixture_components", "SELECT l_orderkey * 10 + l_linenumber AS pair, l_discount * 10 AS title, l_tax * 12 AS h1, l_discount * 5 AS meta, l_quantity / 50 AS body FROM @l@", l=fx.LINEITEM)
 PASSAGES = fx.shaped("fixture_passages", "SELECT right_id AS passage, CAST(left_id AS STRING) AS query, similarity FROM @p@", p=PAIRS)
@@ -77,7 +89,7 @@ declare("b15_cannibalization_severity", replace(c.cannibalization_severity(gsc=f
 declare("b18_serp_overlap", SHARED)
 declare("b19_serp_jaccard", JACCARD)
 declare("b23_hub_urls", c.hub_urls(members=MEMBERS, serp=fx.SERP))
-declare("b24_cluster_coherence", c.cluster_coherence(members=MEMBERS, jaccard=JACCARD))
+declare("b24_cluster_coherence", COHERENCE)
 declare("b26_passage_retrieval", with_best(c.passage_retrieval(pairs=PASSAGES, least=0.2), PAIRS, "right", 5))
 declare("b27_topical_checks", c.topical_checks(clusters=TOPICS))
 declare("b28_unique_words", c.unique_words(words=WORDS))
