@@ -1,10 +1,10 @@
-"""Pairs within clusters alone give the coherence of the SQL."""
+"""Pairs within clusters alone give the coherence of the SQL; many components go through one group."""
 
 from __future__ import annotations
 
 import random
 
-from lodestar.operators import clusters
+from lodestar.operators import clusters, matching
 
 
 def test_pairs_within_clusters(spark):
@@ -30,3 +30,19 @@ def test_query_forms_no_pairs_between_clusters(spark):
     got = registry.queries()["b24_cluster_coherence"](spark, "/root/testdata/sf0.001").collect()
     whole = clusters.cluster_coherence(members=cluster_queries.MEMBERS, jaccard=cluster_queries.JACCARD).spark(spark, "/root/testdata/sf0.001").collect()
     assert got and sorted(map(str, got)) == sorted(map(str, whole))
+
+
+def test_components_share_groups(spark):
+    r = random.Random(9)
+    rows = [(f"{chr(97 + r.randrange(6))}{c}", f"{c}/{r.randrange(9)}") for c in range(40) for _ in range(40)]
+    serp = spark.createDataFrame(sorted(set(rows)), "keyword string, url string")
+    overlap = clusters.serp_overlap(serp=serp)
+    for method in ("clique", "core"):
+        got = matching.greedy_clusters(overlap, serp, method, 2)
+        # the tasks are given, as they are long for their few bytes
+        assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+        found = {tuple(x) for x in got.collect()}
+        assert len(found) == serp.select("keyword").distinct().count()
+        for c in (0, 13):  # each component by itself gives the same clusters
+            own = serp.filter(f"url LIKE '{c}/%'")
+            assert {tuple(x) for x in matching.greedy_clusters(clusters.serp_overlap(serp=own), own, method, 2).collect()} <= found
