@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +46,82 @@ def assign_in_order(edges: DataFrame) -> DataFrame:
         left = settled(left.join(held, F.col("target") == F.col("t"), "left").filter("holder IS NULL OR row <= holder").select(edges.columns))
 
 
+def assign_with_groups(edges: DataFrame, wishes: DataFrame, alike: DataFrame, members: DataFrame) -> DataFrame:
+    """``assign_in_order`` of ``edges`` (row, target, choice) and of those that lead from ``wishes`` (row, wish) over ``alike`` (wish, of, choice) to ``members`` (target, of), which are not formed.
+
+    A target is a member of one group at most, a row has one wish at most, and a wish has a choice for each group. Rows
+    come in ascending order and what is taken or struck stays so, hence a range of rows goes through each group's targets once. A range none
+    of whose targets has an earlier holder need not choose again; the first that has one is settled by the next round.
+    """
+    from lodestar.operators.order import running_sum
+
+    ship(edges.sparkSession)
+    kind, target = dict(edges.dtypes)["row"], dict(edges.dtypes)["target"]
+    groups = settled(alike.select("of").distinct().select("of", F.monotonically_increasing_id().alias("group")))
+    known = settled(alike.select("wish").distinct().select("wish", F.monotonically_increasing_id().alias("a")))
+    ways = settled(alike.join(groups, "of").join(known, "wish").select("a", "group", F.col("choice").cast("double").alias("choice")))
+    members = settled(members.join(groups, "of").select("group", "target"))
+    lists = edges.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("choice").cast("double").alias("choice"), "target"))).alias("wants"))
+    rows = lists.join(wishes.join(known, "wish").select("row", "a"), "row", "full").join(ways.groupBy("a").agg(F.count(F.lit(1)).alias("ways")), "a", "left")
+    rows = running_sum(rows, [F.col("row")], F.greatest(F.size(F.coalesce("wants", F.array())), F.lit(0)) + F.coalesce("ways", F.lit(0)) + 1, "until")
+    rows = settled(rows.select("row", "a", "wants", F.floor(F.col("until") / RANGE_EDGES).cast("int").alias("range")))
+
+    def choose(mine: pa.Table, given: pa.Table) -> pa.Table:
+        kinds = given["kind"].to_numpy()
+        part = lambda k, *columns: zip(*(given.filter(pa.array(kinds == k))[c].to_pylist() for c in columns), strict=True)
+        holder = dict(part(2, "target", "holder"))
+        ranked: dict[int, dict[float, list[int]]] = {}
+        for a, group, choice in part(0, "a", "group", "choice"):
+            ranked.setdefault(a, {}).setdefault(choice, []).append(group)
+        ordered = {a: sorted(ways.items()) for a, ways in ranked.items()}
+        queues: dict[int, list] = {}
+        for group, t in part(1, "group", "target"):
+            queues.setdefault(group, []).append(t)
+        for queue in queues.values():
+            queue.sort(reverse=True)
+        taken, out = set(), []
+        mine = mine.sort_by("row")
+        for row, a, wants in zip(mine["row"].to_pylist(), mine["a"].to_pylist(), mine["wants"].to_pylist(), strict=True):
+            free = lambda t: t not in taken and holder.get(t, row) >= row  # noqa: B023, E731
+            hit = next(((w["target"], w["choice"]) for w in wants or () if free(w["target"])), None)
+            for choice, of in ordered.get(a, ()) if hit is None else ():
+                heads = []
+                for group in of:
+                    queue = queues.get(group, [])
+                    while queue and not free(queue[-1]):
+                        queue.pop()
+                    heads += queue[-1:]
+                if heads:
+                    hit = min(heads), choice
+                    break
+            if hit:
+                taken.add(hit[0])
+                out.append((row, *hit))
+        columns = list(zip(*out, strict=True)) or [(), (), ()]
+        at = pa.array(np.full(len(out), mine["range"][0].as_py() if len(mine) else 0), pa.int32())
+        return pa.table({"row": pa.array(columns[0], mine["row"].type), "target": pa.array(columns[1], given["target"].type), "choice": pa.array(columns[2], pa.float64()), "range": at})
+
+    none = lambda t: F.lit(None).cast(t)
+    asks, held, open_ = None, None, settled(rows.select("range").distinct())
+    while True:
+        left = rows.join(F.broadcast(open_), "range")
+        used = settled(left.filter("a IS NOT NULL").select("range", "a").distinct().join(ways, "a"))
+        given = used.select("range", F.lit(0).alias("kind"), "a", "group", "choice", none(target).alias("target"), none(kind).alias("holder"))
+        reached = used.select("range", "group").distinct().join(members, "group")
+        given = given.unionByName(reached.select("range", F.lit(1).alias("kind"), none("bigint").alias("a"), "group", none("double").alias("choice"), "target", none(kind).alias("holder")))
+        if asks is not None:
+            # a target that was asked for stays with its first holder or an earlier one
+            strikes = open_.crossJoin(held.select("target", "holder"))
+            given = given.unionByName(strikes.select("range", F.lit(2).alias("kind"), none("bigint").alias("a"), none("bigint").alias("group"), none("double").alias("choice"), "target", "holder"))
+        got = left.groupBy("range").cogroup(given.groupBy("range")).applyInArrow(choose, f"row {kind}, target {target}, choice double, range int")
+        asks = settled(got if asks is None else got.unionByName(asks.join(F.broadcast(open_), "range", "left_anti").select("row", "target", "choice", "range")))
+        now = asks.groupBy("target").agg(F.min("row").alias("holder"))
+        held = settled(now if held is None else now.unionByName(held).groupBy("target").agg(F.min("holder").alias("holder")))
+        open_ = settled(asks.join(held, "target").filter("holder < row").select("range").distinct())
+        if open_.isEmpty():
+            return asks.select("row", "target", "choice")
+
+
 def keep_in_order(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, kept_by): ``nodes`` (id, place) are taken by place, and one stays unless a pair of it stays already; null if it stays.
 

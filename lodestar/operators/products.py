@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.operators.assignment import assign_in_order
+from lodestar.operators.assignment import assign_in_order, assign_with_groups
 from lodestar.operators.graph import settled
-from lodestar.operators.matching import all_ratios
+from lodestar.operators.matching import BLOCK_TITLES, all_ratios
 from lodestar.plans.dialect import Duck, operator, text
 
 # Stop words, Dutch then English.
@@ -75,35 +75,41 @@ def match_products(own: DataFrame, other: DataFrame, title_ratio: float | None =
     (matched_on 0, 1, 2); failing that, the free one whose title is most alike, with a ratio of
     ``title_ratio`` at least, the smaller id on a tie (matched_on 3). The result is that of the
     sequential loop over rows. Titles are compared only for products that may need it: those whose first
-    choice is wanted by an earlier row, by identifier or title, or that have none.
+    choice is wanted by an earlier row, by identifier or title, or that have none; products of one
+    title are not paired off: rows choose among the groups of products of alike titles.
     Null and blank identifiers and null titles match nothing; ids are distinct.
     """
     edges = settled(identifier_edges(own=own, other=other))
-    if title_ratio is not None:
+    if title_ratio is None:
+        found = assign_in_order(edges)
+    else:
+        titles = own.select(F.col("id").alias("row"), F.col("title").alias("a"))
+        targets = settled(other.select(F.col("id").alias("target"), F.col("title").alias("b")).filter("b IS NOT NULL"))
+        few = titles.agg(F.count_distinct("a")).first()[0] * targets.agg(F.count_distinct("b")).first()[0] <= BLOCK_TITLES**2
         first = edges.groupBy("row").agg(F.min_by("target", F.struct("choice", "target")).alias("target"))
         wanted = edges.groupBy("target").agg(F.min("row").alias("by"))
-        safe = settled(first.join(wanted, "target").filter("by = row").select("row", "target"))
-        ask = own.select(F.col("id").alias("row")).join(safe.select("row"), "row", "left_anti")
+        # a single block of titles is compared at once, for all rows
+        safe = settled(first.join(wanted, "target").filter("by = row").select("row", "target")) if not few else None
+        ask = titles.join(safe.select("row"), "row", "left_anti") if not few else titles
+        asked, alike = None, None
         while True:
-            asked = settled(own.join(ask.select(F.col("row").alias("id")), "id", "left_semi").select("id", "title"))
-            if asked.isEmpty():
+            ask = settled(ask.filter("a IS NOT NULL"))
+            if ask.isEmpty():
                 break
-            edges = settled(edges.unionByName(_title_edges(asked, other.select("id", "title"), title_ratio)))
-            wanted = edges.filter(F.col("choice") >= BY_TITLE).groupBy("target").agg(F.min("row").alias("by"))
-            unsafe = settled(safe.join(wanted, "target").filter("by < row").select("row"))
-            ask, safe = unsafe, settled(safe.join(unsafe, "row", "left_anti"))
-    found = assign_in_order(edges)
+            new = ask.select("a").distinct() if alike is None else ask.select("a").distinct().join(asked.select("a").distinct(), "a", "left_anti")
+            near = all_ratios(new, targets.select("b").distinct(), title_ratio).select("a", "b", (BY_TITLE + (100.0 - F.col("ratio"))).alias("choice"))
+            asked = ask if asked is None else settled(asked.unionByName(ask))
+            alike = settled(near if alike is None else alike.unionByName(near))
+            if few:
+                break
+            # the first row that wants a title wants all products that have it
+            by_title = alike.join(asked.groupBy("a").agg(F.min("row").alias("by")), "a").groupBy("b").agg(F.min("by").alias("by"))
+            unsafe = settled(safe.join(targets.join(by_title, "b").select("target", "by"), "target").filter("by < row").select("row"))
+            ask, safe = titles.join(unsafe, "row"), settled(safe.join(unsafe, "row", "left_anti"))
+        found = assign_in_order(edges) if alike is None else assign_with_groups(edges, asked.toDF("row", "wish"), alike.toDF("wish", "of", "choice"), targets.toDF("target", "of"))
     return found.select(F.col("row").alias("own_id"), F.col("target").alias("other_id"), F.least("choice", F.lit(BY_TITLE)).cast("int").alias("matched_on"))
 
 
-def _title_edges(own: DataFrame, other: DataFrame, ratio: float) -> DataFrame:
-    """Edges to titles that are alike enough, behind those by identifier: the higher the ratio, the earlier."""
-    a, b = own.toDF("row", "a").filter("a IS NOT NULL"), other.toDF("target", "b").filter("b IS NOT NULL")
-    alike = all_ratios(a.select("a").distinct(), b.select("b").distinct(), ratio)
-    edges = alike.join(a, "a").join(b, "b")
-    return edges.select("row", "target", (BY_TITLE + (100.0 - F.col("ratio"))).alias("choice"))
-
-
 @operator
 def title_gaps(d: Duck, top: int = 50) -> str:
     """G4. Tokens of the other title that the own one lacks, over ``matches`` (category, own_title, other_title): overall (category NULL) and by category."""

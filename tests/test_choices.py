@@ -128,3 +128,24 @@ def test_rows_that_want_the_same(spark, monkeypatch, edges_a_range, most):
             taken.add(wishes[0][1])
             want.add((row, wishes[0][1]))
     assert got == want and len(tables) <= most
+
+
+@pytest.mark.parametrize("edges_a_range,block", [(4_000_000, 0), (60, 2_048)])
+def test_products_of_one_title_are_not_paired_off(spark, monkeypatch, edges_a_range, block):
+    """As the loop, in one range and in many; the 120 by 100 pairs of one title are in no table."""
+    monkeypatch.setattr(assignment, "RANGE_EDGES", edges_a_range)
+    monkeypatch.setattr(products, "BLOCK_TITLES", block, raising=False)
+    sizes, settled = [], products.settled
+
+    def noted(df):
+        sizes.append((kept := settled(df)).count())
+        return kept
+
+    monkeypatch.setattr(products, "settled", noted)
+    monkeypatch.setattr(assignment, "settled", noted)
+    rnd = random.Random(11)
+    some = lambda i, n: (i, rnd.choice([None, f"a{rnd.randrange(n)}"]), None, "", rnd.choice(["red bolt", "bolt red", "Bolt red", "red bolts", None]))
+    own, other = [some(i, 30) for i in range(120)], [some(i, 30) for i in range(100)]
+    schema = "id bigint, mpn string, sku string, gtin string, title string"
+    got = products.match_products(spark.createDataFrame(own, schema), spark.createDataFrame(other, schema)).collect()
+    assert sorted(map(tuple, got)) == in_turn(own, other, 90.0) and max(sizes) < 400
