@@ -23,6 +23,16 @@ def test_shared_headings_of_blocks(spark, monkeypatch):
     assert matching.shared_headings(few).count() == 0
 
 
+def test_no_block_is_copied_for_those_it_meets(spark, monkeypatch):
+    monkeypatch.setattr(matching, "BLOCK_PAGES", 4)
+    rows = [(p, f"h{p % 3 + k}") for p in range(60) for k in range(4)]
+    found = matching.shared_headings(spark.createDataFrame(rows, "page bigint, h2 string"))
+    sets = {p: {h for q, h in rows if q == p} for p in range(60)}
+    assert found.count() == sum(len(sets[a] & sets[b]) >= 3 for a, b in combinations(range(60), 2))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan
+
+
 def test_keywords_of_one_stem_meet_in_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(matching, "BLOCK_ROWS", 16)
     monkeypatch.setattr(matching, "TASK_PAIRS", 500)
